@@ -7,18 +7,85 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, langid, sharding, simhash, tokenfile
+from fieldmark.llm import bpe, langid, mixing, pii, sharding, simhash, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Target shares of op1's margins; sources share equally.
+LANGUAGES = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+TOPICS = {"prose": 0.8, "table": 0.1, "credentials": 0.1}
+#: Part of all tokens that op1 keeps in expectation.
+FRACTION = 0.5
+
+
+def topic(text: Column) -> Column:
+    """The tables name no topic; a coarse one from the text's form stands in."""
+    return F.when(text.contains(" | "), "table").when(text.contains("token = "), "credentials").otherwise("prose")
+
+
+def op1_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its raked weight, its probability and whether it is drawn."""
+    docs = _table(spark, sf_dir, "documents").withColumn("topic", topic(F.col("text")))
+    mixed = mixing.mix(docs, {"source": None, "lang": LANGUAGES, "topic": TOPICS}, FRACTION)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 4).alias("weight"), F.round("probability", 4).alias("probability"), "kept")
+
+
+OP1_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, 'token = ') THEN 'credentials' ELSE 'prose' END AS topic,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens
+  FROM documents),
+cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+named AS (
+  SELECT c.*, 1.0 / (SELECT count(DISTINCT source) FROM cells)::DOUBLE AS ts, l.share AS tl, t.share AS tt
+  FROM cells c
+  JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in LANGUAGES.items())}) l(lang, share) ON c.lang = l.lang
+  JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in TOPICS.items())}) t(topic, share) ON c.topic = t.topic),
+present AS (SELECT (SELECT sum(tl) FROM (SELECT DISTINCT lang, tl FROM named)) AS l, (SELECT sum(tt) FROM (SELECT DISTINCT topic, tt FROM named)) AS t),
+r AS (
+  SELECT 0 AS i, source, lang, topic, tokens, ts, tl / l AS tl, tt / t AS tt, tokens AS share FROM named, present
+  UNION ALL
+  SELECT i + 1, source, lang, topic, tokens, ts, tl, tt,
+         CASE i % 3 WHEN 0 THEN share * ts / sum(share) OVER (PARTITION BY source)
+                    WHEN 1 THEN share * tl / sum(share) OVER (PARTITION BY lang)
+                    ELSE share * tt / sum(share) OVER (PARTITION BY topic) END
+  FROM r WHERE i < {3 * mixing.MOST_SWEEPS}),
+raked AS (SELECT source, lang, topic, tokens, share FROM r WHERE i = {3 * mixing.MOST_SWEEPS}),
+total AS (SELECT sum(tokens) AS n FROM cells),
+steps AS (
+  SELECT tokens / share AS need,
+         ({FRACTION} * n - coalesce(sum(tokens) OVER (ORDER BY tokens / share, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(share) OVER (ORDER BY tokens / share, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
+  FROM raked, total),
+one AS (SELECT min_by(scale, need) AS scale FROM steps WHERE scale <= need),
+found AS (SELECT source, lang, topic, share * n / tokens AS weight, least(1.0, coalesce(scale * share / tokens, 1.0)) AS probability FROM raked, total, one),
+every AS (
+  SELECT d.*, CASE WHEN n_tokens > 0 THEN coalesce(weight, 0) ELSE 0 END AS w, CASE WHEN n_tokens > 0 THEN coalesce(probability, 0) ELSE 0 END AS p
+  FROM d LEFT JOIN found f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic = f.topic)
+SELECT doc_id, source, lang, topic, n_tokens, round(w, 4) AS weight, round(p, 4) AS probability,
+       ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < p AS kept
+FROM every
+"""
+
+
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes."""
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 24)
 
 
+#: Key of op4's pseudonyms; whoever runs it over private data names one of their own.
+PII_KEY = "fieldmark-public-example-key"
+
+
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by format-preserving pseudonyms."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, count="n_replaced")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
@@ -47,11 +114,13 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_raked_mix": op1_raked_mix,
     "op2_minimax_shards": op2_minimax_shards,
+    "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_file": op6_token_file,
     "op9_language_id": op9_language_id,
     "op10_simhash_bk_trees": op10_simhash_bk_trees,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_raked_mix": OP1_SQL}
