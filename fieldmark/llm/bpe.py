@@ -186,7 +186,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: st
         for pdf in batches:
             yield pdf.assign(**{ids: [c.encode(t or "") for t in pdf.pop("_text")]})
 
-    schema = type(docs.schema)(keep).add(ids, "binary")
+    schema = type(docs.schema)([*keep]).add(ids, "binary")
     return docs.select(*[f.name for f in keep], F.col(text).alias("_text")).mapInPandas(run, schema)
 
 
@@ -199,7 +199,7 @@ def decode(tokens: DataFrame, ids: str = "token_ids", out: str = "decoded", path
         for pdf in batches:
             yield pdf.assign(**{out: [None if x is None else c.decode(x) for x in pdf.pop("_ids")]})
 
-    schema = type(tokens.schema)(keep).add(out, "binary")
+    schema = type(tokens.schema)([*keep]).add(out, "binary")
     return tokens.select(*[f.name for f in keep], F.col(ids).alias("_ids")).mapInPandas(run, schema)
 
 

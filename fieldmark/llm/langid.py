@@ -260,5 +260,5 @@ def identify(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFram
                 got += m.predict_all(texts[at : at + 1000])
             yield pdf.assign(lang_pred=[x for x, _ in got], score=[x for _, x in got])
 
-    schema = type(docs.schema)(keep).add("lang_pred", "string").add("score", "double")
+    schema = type(docs.schema)([*keep]).add("lang_pred", "string").add("score", "double")
     return docs.select(*[f.name for f in keep], F.col(text).alias("_text")).mapInPandas(run, schema)

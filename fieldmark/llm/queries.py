@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, langid, mixing, pii, sharding, simhash, tokenfile
+from fieldmark.llm import bpe, langid, mixing, multiindex, pii, sharding, simhash, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,11 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate group of every embedding."""
+    return multiindex.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def held_out(id: str = "doc_id") -> Column:
     return F.crc32(F.col(id).cast("string")) % 4 == 2
 
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_file": op6_token_file,
+    "op7_multi_index": op7_multi_index,
     "op9_language_id": op9_language_id,
     "op10_simhash_bk_trees": op10_simhash_bk_trees,
 }

@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int
             fps = [simhash(t, words, seed) for t in pdf.pop("_text")]
             yield pdf.assign(fp=np.array(fps, np.uint64).view(np.int64))
 
-    schema = type(docs.schema)(keep).add("fp", "long")
+    schema = type(docs.schema)([*keep]).add("fp", "long")
     return docs.select(*[f.name for f in keep], F.col(text).cast("binary").alias("_text")).mapInPandas(run, schema)
 
 
