@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, langid, mixing, multiindex, pii, sharding, simhash, tokenfile
+from fieldmark.llm import bpe, langid, mixing, multiindex, pii, sharding, simhash, suffixdedup, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,12 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 24)
 
 
+def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that came before."""
+    out = suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Key of op4's pseudonyms; whoever runs it over private data names one of their own.
 PII_KEY = "fieldmark-public-example-key"
 
@@ -121,6 +127,7 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_raked_mix": op1_raked_mix,
     "op2_minimax_shards": op2_minimax_shards,
+    "op3_run_length_index": op3_run_length_index,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_file": op6_token_file,
