@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, langid, mixing, multiindex, pii, sharding, simhash, suffixdedup, tokenfile
+from fieldmark.llm import bpe, chroma, langid, mixing, multiindex, pii, sharding, simhash, suffixdedup, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,13 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings that match every hundredth one. The tables hold no media, so each
+    document's bytes stand for a recording of 8-bit samples."""
+    media = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("data"))
+    return chroma.search(media, "id % 100 = 0").withColumnRenamed("id", "doc_id").withColumn("bit_error", F.round("bit_error", 6))
+
+
 def held_out(id: str = "doc_id") -> Column:
     return F.crc32(F.col(id).cast("string")) % 4 == 2
 
@@ -132,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_file": op6_token_file,
     "op7_multi_index": op7_multi_index,
+    "op8_chroma_search": op8_chroma_search,
     "op9_language_id": op9_language_id,
     "op10_simhash_bk_trees": op10_simhash_bk_trees,
 }
