@@ -141,3 +141,132 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     found = components(hamming_links(distinct.where("node is not null"), radius))
     classes = distinct.join(found, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
     return rows.join(classes, "fp").select(F.col("id").alias(id), "fp", "component_id")
+
+
+#: Bits of a wide fingerprint, and the Hamming distance up to which two of them link unseen.
+WIDE, SURE = 256, 24
+_MIX = [np.uint64(int(x)) for x in np.random.default_rng(10).integers(1, 1 << 62, WIDE // 64) * 2 + 1]
+
+
+class WordHashes(dict):
+    """XXH64 of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 42)
+        if len(self) < 500_000 and len(word) <= 40:
+            self[word] = h
+        return h
+
+
+def shingle_hashes(text: bytes | None, words: int, memo: dict[bytes, int]) -> np.ndarray:
+    """Sorted hashes of a text's distinct word shingles (fewer words: of all of them)."""
+    ws = (text or b"").lower().split()
+    if not ws:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
+    n = max(1, len(h) - words + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(words, len(h))):
+        out = (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + n]
+    return np.unique(out)
+
+
+def wide_simhash(hashes: np.ndarray) -> bytes:
+    """``WIDE`` majority bits over the shingles, each hash stretched to that many bits."""
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        h = hashes[at : at + (1 << 14)]
+        wide = np.stack([(h ^ h >> np.uint64(31)) * m for m in _MIX], axis=1)
+        wide ^= wide >> np.uint64(32)
+        counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def agreement(similarity: float) -> float:
+    """Probability that two fingerprints of that Jaccard similarity agree in a bit."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95, shard_rows: int = 4096) -> DataFrame:
+    """``id, component_id`` of every row: the smallest id reachable over links of texts
+    whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Wide fingerprints are dealt by several choices of their bits; each shard's BK-tree
+    finds what lies within the distance that similar texts keep. The number of bits
+    follows the number of fingerprints and the number of choices follows ``recall``,
+    so shards stay small. Very close fingerprints link at once and grow no tree; of the
+    others each text's nearest neighbour in every group so far is verified on the
+    whole texts. Texts without words are alike. Null ids, repeated rows and empty
+    tables are as in ``near_duplicates``.
+    """
+    p = agreement(similarity)
+    radius = int(WIDE * (1 - p) + 2.5 * (WIDE * p * (1 - p)) ** 0.5)
+    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+
+    def prints(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes()
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "fp": [wide_simhash(shingle_hashes(t, words, memo)) for t in pdf["text"]]})
+
+    rows = saved(source.mapInPandas(prints, "id long, fp binary"))
+    distinct = saved(rows.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null"))
+    n = distinct.count()
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 2, 12, 32))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - p**bits)))
+    picks = np.stack([np.random.default_rng(100 + k).choice(WIDE, bits, replace=False) for k in range(tables)])
+
+    def deal(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                some = pdf.iloc[at : at + 1000]
+                if len(some):
+                    flat = np.unpackbits(np.frombuffer(b"".join(some["fp"]), np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+                    keys = flat[:, picks].astype(np.int64) @ weights | np.arange(tables, dtype=np.int64) << 32
+                    yield pd.DataFrame({"shard": keys.ravel(), "node": np.repeat(some["node"].to_numpy(), tables), "fp": np.repeat(some["fp"].to_numpy(), tables)})
+
+    dealt = distinct.mapInPandas(deal, "shard long, node long, fp binary")
+    crowded = dealt.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees"))
+    dealt = dealt.join(crowded, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "trees").cast("int")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    dealt = dealt.select("shard", "tree", (F.col("own") != F.col("tree")).alias("asks"), "node", "fp")
+
+    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, forest, key, nodes = BKTree(), Forest(), None, []
+        for pdf in batches:
+            links = []
+            for shard, number, asks, node, fp in zip(pdf["shard"].tolist(), pdf["tree"].tolist(), pdf["asks"].tolist(), pdf["node"].tolist(), pdf["fp"], strict=True):
+                value = int.from_bytes(fp, "little")
+                if key != (shard, number):
+                    tree, forest, key, nodes = BKTree(), Forest(), (shard, number), []
+                near: dict[int, tuple[int, int]] = {}
+                for other in tree.within(value, radius):
+                    d, root = (tree.values[other] ^ value).bit_count(), forest.find(nodes[other])
+                    if root not in near or d < near[root][0]:
+                        near[root] = d, nodes[other]
+                for d, other in near.values():
+                    forest.join(node, other)
+                    links.append((node, other, d <= SURE))
+                if not asks and min((d for d, _ in near.values()), default=WIDE) > SURE and tree.insert(value) == len(nodes):
+                    nodes.append(node)
+            yield pd.DataFrame(links, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
+
+    found = saved(dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "asks", "node").mapInPandas(search, "a long, b long, sure boolean"))
+    sure, rest = found.where("sure").select("a", "b").distinct(), found.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    named = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = saved(source.join(named, "id").groupBy("id").agg(F.min("text").alias("text")))
+    pairs = rest.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+
+    def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes()
+        for pdf in batches:
+            keep = []
+            for x, y in zip(pdf["ta"], pdf["tb"], strict=True):
+                s, t = shingle_hashes(x, words, memo), shingle_hashes(y, words, memo)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both >= similarity * (len(s) + len(t) - both))
+            yield pdf.loc[keep, ["a", "b"]]
+
+    links = sure.unionByName(pairs.mapInPandas(verify, "a long, b long"))
+    classes = distinct.join(components(links), "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
+    return rows.join(classes, "fp", "left").select(F.col("id").alias(id), "component_id")
