@@ -1 +1 @@
-"""Survey and text analytics on Spark DataFrames."""
+"""Survey and text analytics on Spark."""

@@ -74,9 +74,12 @@ def entities(docs: DataFrame, id: str = "doc_id", text: str = "text", names: boo
     ``first`` is its first place in the text.
     """
     body = F.col(text)
-    parts = [_found(body, k, p, c) for k, (p, c) in kinds.items()]
+    parts = [F.concat(*[_found(body, k, p, c) for k, (p, c) in kinds.items()])]
+    none = F.filter(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value"), F.lit("").alias("confidence"))), lambda s: F.lit(False))
+    parts[0] = F.when(body.rlike("[0-9@０-９一-龥]|(?i:wechat|vx)"), parts[0]).otherwise(none)
     if names:
-        parts += [F.filter(_found(body, "姓名", p, "mid"), lambda s: ~s["value"].isin(*NOT_NAMES)) for p in name_patterns(surnames)]
+        named = F.concat(*[F.filter(_found(body, "姓名", p, "mid"), lambda s: ~s["value"].isin(*NOT_NAMES)) for p in name_patterns(surnames)])
+        parts.append(F.when(body.rlike("[一-龥]"), named).otherwise(none))
     found = F.concat(*parts)
     rank = {k: i for i, k in enumerate([*kinds, "姓名"])}
     order = F.coalesce(*[F.when(F.col("e.kind") == k, i) for k, i in rank.items()])

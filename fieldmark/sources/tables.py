@@ -48,6 +48,12 @@ def sniff(spark: SparkSession, path: str, head: int = 1 << 16) -> str:
     return "utf-8"
 
 
+def allow_charsets(spark: SparkSession) -> None:
+    """Let the session read charsets beyond Spark's default list, bad bytes replaced."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+
+
 def read_table(spark: SparkSession, path: str, encoding: str | None = None, clean: bool = True) -> DataFrame:
     """A table by its ending: csv, tsv, txt (tabs), json, orc, parquet; xlsx, xls and sav with
     the optional readers installed.
@@ -57,6 +63,8 @@ def read_table(spark: SparkSession, path: str, encoding: str | None = None, clea
     end = os.path.splitext(path.rstrip("/"))[1].lower()
     if end in (".csv", ".tsv", ".txt"):
         encoding = encoding or sniff(spark, path)
+        if encoding.lower() not in ("utf-8", "utf8"):
+            allow_charsets(spark)
         options = {"header": True, "inferSchema": True, "multiLine": True, "escape": '"', "encoding": encoding, "sep": "," if end == ".csv" else "\t", "nullValue": "", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
         df = spark.read.options(**options).csv(path)
         first = df.columns[0] if df.columns else ""
@@ -91,6 +99,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
     Whole files are decoded where they lie: UTF-8 if valid, else GB18030.
     """
+    allow_charsets(spark)
     files = spark.read.format("binaryFile").load(path)
     named = F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in BINARY) + ")$")
     binary = named | (F.expr("position(X'00' in content)") > 0)
