@@ -554,3 +554,99 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k
 """)
 def event_sessions(spark, sf_dir):
     return streams.sessions(table(spark, sf_dir, "events")).select("user_id", "start", "n")
+
+
+@query("""
+SELECT conv_id, turn, text, CASE WHEN c IS NULL THEN '' ELSE c END AS code FROM conversations LEFT JOIN
+  (SELECT trim(text) AS t, max_by('c' || (conv_id % 10)::VARCHAR, conv_id * 1000 + turn) AS c FROM conversations WHERE conv_id % 3 = 0 GROUP BY 1) ON trim(text) = t
+""")
+def carry_over_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    old = rows.where("conv_id % 3 = 0").select("text", (F.col("conv_id") * 1000 + F.col("turn")).alias("no"), F.concat(F.lit("c"), (F.col("conv_id") % 10).cast("string")).alias("code"))
+    done = coding.carry_over(rows.withColumn("code", F.lit(None).cast("string")), old, ["code"])
+    return done.select("conv_id", "turn", "text", F.coalesce("code", F.lit("")).alias("code"))
+
+
+@query("""
+WITH x AS (SELECT doc_id AS no, lang AS code, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'k_' || lang END AS cat FROM documents),
+r AS (SELECT code, min(cat) AS t FROM x WHERE cat IS NOT NULL GROUP BY 1 HAVING count(DISTINCT cat) = 1)
+SELECT no, coalesce(cat, t, '') AS category, cat IS NULL AND t IS NOT NULL AS is_inferred FROM x LEFT JOIN r USING (code)
+""")
+def code_inference(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("no"), F.array("lang").alias("codes"), F.expr("if(doc_id % 3 = 0, cast(array() as array<string>), array(concat('k_', lang)))").alias("categories"))
+    got = coding.inferred(rows, "codes", "categories")
+    return got.select("no", F.array_join("categories_all", "、").alias("category"), "is_inferred")
+
+
+@query("""
+WITH b AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders)
+SELECT least(floor((o_totalprice - low) / ((high - low) / 20)), 19)::INT AS bin, count(*) AS n FROM orders, b GROUP BY 1
+""")
+def price_histogram(spark, sf_dir):
+    return compare.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 20).select("bin", "n")
+
+
+@query("""
+SELECT round(avg(l_extendedprice), 4) AS mean, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS weighted_mean,
+       round(sum(l_quantity * l_extendedprice) / sum(l_quantity) - avg(l_extendedprice), 4) AS shift FROM lineitem
+""")
+def unweighted_vs_weighted(spark, sf_dir):
+    return numbers(spark, weights.compare_weighted(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity"), ["mean", "weighted_mean", "shift"], 4)
+
+
+@query("""
+WITH g AS (SELECT o_orderpriority AS g, count(*)::DOUBLE AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1),
+w AS (SELECT *, n / v AS w, sum(n / v) OVER () AS sw, sum(n / v * m) OVER () / sum(n / v) OVER () AS mm, count(*) OVER ()::DOUBLE AS k FROM g),
+s AS (SELECT sum(w * (m - mm) ** 2) / (any_value(k) - 1) AS a, sum((1 - w / sw) ** 2 / (n - 1)) AS lam, any_value(k) AS k FROM w)
+SELECT round(a / (1 + 2 * (k - 2) / (k * k - 1) * lam), 6) AS f, k - 1 AS df1, round((k * k - 1) / (3 * lam), 4) AS df2 FROM s
+""")
+def welch_anova(spark, sf_dir):
+    found = compare.welch_anova(compare.groups(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice"))
+    return numbers(spark, found | {"df2": round(found["df2"], 4)}, ["f", "df1", "df2"])
+
+
+@query("SELECT c_custkey, CASE WHEN trim(c_name) <> '' THEN '[姓名' || substr(sha256('salt' || trim(c_name)), 1, 10) || ']' ELSE c_name END AS name FROM customer")
+def masked_columns(spark, sf_dir):
+    return deident.mask_columns(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name")), "salt")
+
+
+@query("SELECT o_orderkey, (o_orderstatus = 'O')::DOUBLE AS y FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def binary_encoding(spark, sf_dir):
+    from fieldmark.functions.columns import encode_binary
+
+    two = table(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')")
+    return two.select("o_orderkey", encode_binary(two, "o_orderstatus").alias("y"))
+
+
+@query("""
+WITH q AS (SELECT count(*) AS n, count(*) FILTER (l_orderkey % 7 = 0) AS m FROM lineitem)
+SELECT (m * 100.0 / n) > 10 AS dropped FROM q
+""")
+def sparse_columns(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_tax", F.expr("if(l_orderkey % 7 = 0, null, l_quantity)").alias("x"))
+    kept, _ = prep.drop_sparse(df, 10.0)
+    return spark.createDataFrame([("x" not in kept.columns,)], "dropped boolean")
+
+
+@query("SELECT l_returnflag AS mode FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_returnflag LIMIT 1)")
+def mode_fill_value(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag").unionByName(spark.createDataFrame([(None,)], "l_returnflag string"))
+    filled, _ = prep.fill(df, ["l_returnflag"], "mode")
+    return filled.groupBy("l_returnflag").count().orderBy(F.desc("count"), "l_returnflag").limit(1).select(F.col("l_returnflag").alias("mode"))
+
+
+@query(f"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(f"({p}::DOUBLE)" for p in TESTS)}) v(p)), r AS (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM t),
+a AS (SELECT p, m, p < 0.05 AS raw, p <= 0.05::DOUBLE / m AS bon, k <= coalesce((SELECT max(k) FROM r WHERE p <= k * 0.05::DOUBLE / m), 0) AS bh FROM r)
+SELECT count(*) AS n_tests, count(*) FILTER (raw) AS n_raw, count(*) FILTER (bon) AS n_bonferroni, count(*) FILTER (bh) AS n_bh, count(*) FILTER (raw AND NOT bh) AS n_dropped, round(1 - 0.95::DOUBLE ** count(*), 6) AS familywise FROM a
+""")
+def ledger_summary(spark, sf_dir):
+    tests = spark.createDataFrame([(p, False) for p in TESTS], "p double, exploratory boolean")
+    got = multiple.summary(tests).where("exploratory is null")
+    return got.drop("exploratory").withColumn("familywise", F.round("familywise", 6))
+
+
+@query()
+def correlation_report(spark, sf_dir):
+    return regress.correlations(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount")
