@@ -242,3 +242,19 @@ def apply_layout(lines: DataFrame, layout: dict, line: str = "line") -> DataFram
         return out
 
     return lines.withColumn(line, F.array_join(F.transform(parts, mask), " "))
+
+
+def numbered_by_sequence(found: DataFrame, docs: DataFrame, sequence: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``found`` plus ``placeholder`` named by where an entity first stands: its document's
+    ``sequence`` value, or ``#`` and the line; several of a kind there get a, b, ..."""
+    where = docs.select(id, F.col(text).alias("_t"), *([F.col(sequence).cast("string").alias("_s")] if sequence else []))
+    line = F.concat(F.lit("#"), (F.length(F.substring(F.col("_t"), F.lit(1), F.col("first"))) - F.length(F.replace(F.substring(F.col("_t"), F.lit(1), F.col("first")), F.lit("\n"), F.lit(""))) + 1).cast("string"))
+    at = found.join(where, id).withColumn("_at", F.col("_s") if sequence else line)
+    firsts = at.groupBy(id, "kind", "key").agg(F.min(F.struct("first", "_at")).alias("_f"))
+    firsts = firsts.withColumn("_at", F.col("_f._at"))
+    order = Window.partitionBy(id, "kind", "_at").orderBy("_f", "key")
+    several = F.count("*").over(Window.partitionBy(id, "kind", "_at")) > 1
+    n = F.row_number().over(order)
+    suffix = F.when(several, F.when(n <= 26, F.char(n + 96)).otherwise(n.cast("string"))).otherwise("")
+    named = firsts.select(id, "kind", "key", F.format_string("[%s%s%s]", "kind", "_at", suffix).alias("placeholder"))
+    return found.join(named, [id, "kind", "key"])

@@ -135,3 +135,10 @@ def name_hints(found: dict, top: int = 8) -> dict[int, list[str]]:
         size = np.abs(found["loadings"][:, f])
         out[f + 1] = [found["items"][i] for i in np.argsort(-size, kind="stable")[:top] if size[i] >= found["least"]]
     return out
+
+
+def by_scale(df: DataFrame, **options) -> dict[str, dict]:
+    """One analysis for each scale that the column names show."""
+    from fieldmark.operators.profile import scales
+
+    return {stem: analyse(df, items, **options) for stem, items in scales(df).items()}

@@ -202,3 +202,12 @@ def banded_columns(df: DataFrame, columns: list[str]) -> list[str]:
         aggs += [F.count_distinct(filled), F.count(filled), F.count(F.when(filled.isNotNull(), banded_number(filled))), F.count(F.when(filled.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), 1))]
     got = df.agg(*[x.alias(f"a{k}") for k, x in enumerate(aggs)]).first()
     return [c for k, c in enumerate(columns) if 2 <= got[4 * k] <= 8 and got[4 * k + 1] == got[4 * k + 2] and got[4 * k + 3] < got[4 * k + 1]]
+
+
+def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = (0.25, 0.5, 0.75), exact: bool = True) -> DataFrame:
+    """``variable, q, value``: linearly interpolated quantiles, or approximate ones with bounded state."""
+    take = (lambda c: F.percentile(c, list(at))) if exact else (lambda c: F.percentile_approx(c, list(at), 10_000))
+    wide = df.agg(*[take(number(col(c))).alias(f"q{k}") for k, c in enumerate(columns)])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"q{k}").alias("v")) for k, c in enumerate(columns)])).alias("r")
+    pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("r.v").alias("value"))).alias("p")
+    return wide.select(each).select("r.variable", pairs).select("variable", F.col("p.q").alias("q"), F.col("p.value").alias("value"))

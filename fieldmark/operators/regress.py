@@ -263,3 +263,10 @@ def hosmer_lemeshow(predicted: DataFrame, groups: int = 10) -> tuple[DataFrame,
     rows = table.collect()  # at most ``groups`` rows
     stat = sum((r["observed"] - r["expected"]) ** 2 / (r["expected"] * (1 - r["expected"] / r["n"])) for r in rows if 0 < r["expected"] < r["n"])
     return table, {"groups": len(rows), "chi2": stat, "df": len(rows) - 2, "p": dist.chi2_sf(stat, len(rows) - 2) if len(rows) > 2 else None}
+
+
+def fit_line(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """``n, slope, intercept, r2`` of the least-squares line, in each group if asked."""
+    a, b = number(col(y)), number(col(x))
+    keys = [col(k).alias(k) for k in by or []]
+    return df.groupBy(*keys).agg(F.regr_count(a, b).alias("n"), F.regr_slope(a, b).alias("slope"), F.regr_intercept(a, b).alias("intercept"), F.regr_r2(a, b).alias("r2"))

@@ -650,3 +650,29 @@ def ledger_summary(spark, sf_dir):
 @query()
 def correlation_report(spark, sf_dir):
     return regress.correlations(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem GROUP BY 1")
+def fit_lines(spark, sf_dir):
+    got = regress.fit_line(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    return got.select("l_returnflag", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 8).alias("r2"))
+
+
+@query("""
+SELECT variable, q::DOUBLE AS q, round(value, 4) AS value FROM (
+  SELECT 'o_totalprice' AS variable, unnest([0.25, 0.5, 0.75]) AS q, unnest(quantile_cont(o_totalprice, [0.25, 0.5, 0.75])) AS value FROM orders)
+""")
+def quantiles(spark, sf_dir):
+    return profile.quantiles(table(spark, sf_dir, "orders"), ["o_totalprice"]).withColumn("value", F.round("value", 4))
+
+
+@query(r"""
+WITH e AS (SELECT doc_id, m AS value, min(instr(text, m)) AS first, any_value(text) AS text FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})', 1)) AS m FROM documents) GROUP BY 1, 2),
+l AS (SELECT doc_id, value, first, '#' || (length(substr(text, 1, first)) - length(replace(substr(text, 1, first), chr(10), '')) + 1)::VARCHAR AS line FROM e),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS several, row_number() OVER (PARTITION BY doc_id, line ORDER BY first, value) AS k FROM l)
+SELECT doc_id, value, '[邮箱' || line || CASE WHEN several > 1 THEN chr((96 + k)::INT) ELSE '' END || ']' AS placeholder FROM n
+""")
+def email_by_line(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = deident.entities(docs, names=False, kinds={"邮箱": deident.DIRECT["邮箱"]})
+    return deident.numbered_by_sequence(found, docs).select("doc_id", "value", "placeholder")

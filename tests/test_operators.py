@@ -301,3 +301,14 @@ def test_stream_equals_table(spark, sf, tmp_path):
     q.awaitTermination(120)
     got = {(r["start"], r["event_type"], r["n"]) for r in spark.table("w").collect()}
     assert got == {(r["start"], r["event_type"], r["n"]) for r in streams.windowed(events).collect()}
+
+
+def test_unify_and_scales(spark):
+    rows = spark.createDataFrame([(1, ["压力", "加班。"]), (2, ["【压力】"]), (3, ["压力"]), (4, [])], "no long, codes array<string>")
+    got = {r["no"]: r["codes"] for r in coding.unify_labels(rows, "codes").collect()}
+    assert got == {1: ["压力", "加班。"], 2: ["压力"], 3: ["压力"], 4: []}
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=200)
+    items = np.clip(np.round(3 + base[:, None] + rng.normal(0, 0.7, (200, 4))), 1, 5)
+    df = frame(spark, [tuple(map(float, r)) for r in items], "S_1 double, S_2 double, S_3 double, S_4 double")
+    assert factor.by_scale(df, parallel=False)["S"]["factors"] == 1
