@@ -66,18 +66,28 @@ class MultiIndex:
         return a.argmin(axis=1) * len(self.books[1]) + b.argmin(axis=1)
 
     def _calibrated(self, x: np.ndarray, recall: float) -> float:
-        """How far past its nearest cell a vector must look, by the sample's pairs."""
+        """How far past its nearest cell a vector must look to meet all of its partners.
+
+        The quantile over the sample's vectors that have partners; where fewer than 50 do,
+        over made-up partners at the least similarity, in random directions.
+        """
         a, b = self.halves(x)
         i, j = a.argmin(axis=1), b.argmin(axis=1)
         least = a.min(axis=1) + b.min(axis=1)
         need = []
         for at in range(0, len(x), 512):
-            p, q = np.nonzero(x[at : at + 512] @ x.T >= self.similarity)
-            p += at
-            need.append(np.unique((a[p, i[q]] + b[p, j[q]] - least[p])[p != q]))
-        need = np.concatenate([*need, np.zeros(1)])
-        if len(need) < 50:  # too few pairs to learn from: as far as two linked vectors can be apart
-            return float((2 * np.sqrt(2 - 2 * self.similarity) + np.sqrt(least.max(initial=0))) ** 2)
+            linked = x[at : at + 512] @ x.T >= self.similarity
+            linked[np.arange(len(linked)), at + np.arange(len(linked))] = False
+            for p in np.flatnonzero(linked.any(axis=1)):
+                q = np.flatnonzero(linked[p])
+                need.append((a[at + p, i[q]] + b[at + p, j[q]]).max() - least[at + p])
+        if len(need) < 50:
+            e = np.random.default_rng(9).normal(size=x.shape)
+            e -= (e * x).sum(axis=1, keepdims=True) * x
+            partner = self.similarity * x + np.sqrt(1 - self.similarity**2) * unit(e)
+            c, d = self.halves(partner)
+            rows = np.arange(len(x))
+            need = a[rows, c.argmin(axis=1)] + b[rows, d.argmin(axis=1)] - least
         return 1.15 * float(np.quantile(need, recall)) + 1e-9
 
     def visits(self, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -103,7 +113,7 @@ def build(vectors: DataFrame, similarity: float, recall: float) -> MultiIndex |
     rows = vectors.orderBy(F.xxhash64("node"), "node").select("vector").limit(SAMPLE).toPandas()
     if not n:
         return None
-    return MultiIndex(unit(np.array(rows["vector"].tolist())), int(np.clip(n**0.5 / 4, 2, CENTROIDS)), similarity, recall)
+    return MultiIndex(unit(np.array(rows["vector"].tolist())), int(np.clip(n**0.5 / 2, 2, CENTROIDS)), similarity, recall)
 
 
 def embedding_links(vectors: DataFrame, similarity: float = 0.9, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
