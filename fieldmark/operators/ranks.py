@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions import dist
+from fieldmark.sources.tables import written
 
 
 def running(df: DataFrame, order: list[str], amounts: dict[str, str]) -> DataFrame:
-    """``df`` plus running sums, by name, over a global order; each row included."""
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """``df`` plus running sums, by name, over a global order; each row included.
+
+    The dealt rows are written with the number of their range: a second execution could cut
+    the ranges elsewhere.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.select("*", *[F.sum(c).over(inside).alias(n) for n, c in amounts.items()])
     totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in amounts.items()])
