@@ -25,7 +25,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as Unicode's property has it; Python's own \s also takes U+001C to U+001F.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 #: Results that one worker remembers, and the longest text it remembers one for.
-MEMO, MEMO_LENGTH = 700_000, 40
+MEMO, MEMO_LENGTH = 400_000, 40
 
 
 class PerfectHash:

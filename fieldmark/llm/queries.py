@@ -122,7 +122,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fitted on those not held out."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    return langid.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return langid.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
 def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
