@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import Forest, components, saved, whole_groups
+from fieldmark.llm.common import Forest, components, saved
 
 
 def simhash(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -145,6 +145,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
 #: Bits of a wide fingerprint, and the Hamming distance up to which two of them link unseen.
 WIDE, SURE = 256, 24
+#: Rows of ids up to which a side is broadcast; beyond, both sides are dealt.
+FEW = 1_000_000
 _MIX = [np.uint64(int(x)) for x in np.random.default_rng(10).integers(1, 1 << 62, WIDE // 64) * 2 + 1]
 
 
@@ -227,7 +229,12 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", w
 
     dealt = distinct.mapInPandas(deal, "shard long, node long, fp binary")
     crowded = dealt.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees"))
-    dealt = dealt.join(crowded, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    crowded = saved(crowded)
+    n_crowded = crowded.count()
+    if n_crowded:
+        dealt = dealt.join(F.broadcast(crowded) if n_crowded <= FEW else crowded, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    else:
+        dealt = dealt.withColumn("trees", F.lit(1))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "trees").cast("int")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
     dealt = dealt.select("shard", "tree", (F.col("own") != F.col("tree")).alias("asks"), "node", "fp")
 
@@ -253,8 +260,8 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", w
 
     found = saved(dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "asks", "node").mapInPandas(search, "a long, b long, sure boolean"))
     sure, rest = found.where("sure").select("a", "b").distinct(), found.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    named = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = saved(source.join(named, "id").groupBy("id").agg(F.min("text").alias("text")))
+    named = saved(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = saved(source.join(F.broadcast(named) if named.count() <= FEW else named, "id").groupBy("id").agg(F.min("text").alias("text")))
     pairs = rest.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
