@@ -25,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.bpe import MEMO, MEMO_LENGTH, units
+from fieldmark.llm.bpe import MEMO_LENGTH, units
 from fieldmark.llm.common import shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CHUNK, RANK_BLOCK = 8, 512
+#: Results that one worker remembers.
+MEMO = 700_000
 #: Ids of a stored block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 20
 BLOCKS = "part int, block int, n_ids long, doc_ids binary, nulls binary, ends binary, codes binary"
@@ -207,13 +209,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 nulls = np.unpackbits(np.frombuffer(row.nulls, np.uint8), bitorder="little")[: len(ends)].astype(bool)
                 codes = AddressableCodes(row.codes)
                 yield pd.DataFrame({
-                    "part": row.part, "block": row.block, "doc_id": pd.Series(np.frombuffer(row.doc_ids, "<i8")).astype("Int64").mask(nulls),
-                    "begin": begins, "n_tokens": ends - begins,
+                    "doc_id": pd.Series(np.frombuffer(row.doc_ids, "<i8")).astype("Int64").mask(nulls), "start": row.first + begins, "n_tokens": ends - begins,
                     "ids": [codes.range(a, b).astype("<u4").tobytes() for a, b in zip(begins, ends, strict=True)],
                 })
 
-    docs = blocks.mapInPandas(run, "part int, block int, doc_id long, begin long, n_tokens long, ids binary")
-    return docs.join(starts, ["part", "block"]).select("doc_id", (F.col("begin") + F.col("first")).alias("start"), "n_tokens", "ids")
+    # offsets join whole blocks, so that ids never travel
+    return blocks.join(starts, ["part", "block"]).mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_file_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
