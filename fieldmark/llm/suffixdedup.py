@@ -16,7 +16,9 @@ form one stretch of text. Equal windows have equal minimizers, so:
    which longer-than-``span`` matches begin there and where the first of them is.
 3. Each document's marked bytes are united and cut out.
 
-A minimizer in too many different stretches is dealt again by single windows.
+Where a minimizer stands in too many different stretches, their windows are settled like
+equal stretches: single windows are either equal or not, so their hashes say it all.
+No text of theirs travels, and no index grows with the number of copies.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from fieldmark.llm.common import saved
 
 SPAN, GRAM = 100, 32
-#: Bytes hashed at once, bytes of an index, stretches from which a minimizer is dealt again.
-PIECE, INDEX_BYTES, HOT = 1 << 20, 1 << 20, 20_000
+#: Bytes hashed at once, bytes of an index, stretches and their bytes from which a minimizer is settled by windows, windows settled at once.
+PIECE, INDEX_BYTES, HOT, HOT_BYTES, LOT = 1 << 20, 1 << 20, 20_000, 1 << 22, 200_000
 _PLACE = np.uint64((1 << 21) - 1)
 NO_ID = -(1 << 63)
 _RNG = np.random.default_rng(20240607)
@@ -194,7 +196,7 @@ def _find(span: int):
             for x in _pieces(pdf["text"].tolist(), pdf["id"].to_numpy(), pdf["tie"].to_numpy(), span):
                 parts.append(x)
                 n += len(x[0])
-                if n >= 200_000:
+                if n >= LOT:
                     yield lot(parts)
                     parts, n = [], 0
         if parts:
@@ -235,34 +237,61 @@ def _settle(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = pdf.iloc[[kinds[-1]]]
 
 
+FETCHED = "h long, s long, id long, tie long, at long, text binary, sure boolean"
+
+
 def _fetch(span: int):
+    def windows(parts: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Windows as hashes of 128 bits; those that equal an earlier one of the same lot are sure, in runs."""
+        digests, i, t, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, s = digests[:, 0], digests[:, 1]
+        by = np.lexsort((start, t, i, s, h))
+        h, s, i, t, start = (x[by] for x in (h, s, i, t, start))
+        again = np.concatenate([[False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])])
+        yield pd.DataFrame({"h": h[~again], "s": s[~again], "id": i[~again], "tie": t[~again], "at": start[~again] << 32 | span, "text": None, "sure": False})
+        i, t, start = i[again], t[again], start[again]
+        if len(i):
+            by = np.lexsort((start, t, i))
+            i, t, start = i[by], t[by], start[by]
+            at = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (start[1:] != start[:-1] + 1)]))
+            length = np.diff(np.append(at, len(i))) - 1 + span
+            i, t, start = i[at], t[at], start[at]
+            spread = _mix(i.astype(np.uint64) + start.astype(np.uint64)).view(np.int64)
+            yield pd.DataFrame({"h": spread, "s": 0, "id": i, "tie": t, "at": start << 32 | length, "text": None, "sure": True})
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The text of stretches; a crowded minimizer's by windows."""
+        """The text of stretches; a crowded minimizer's as hashes of its windows."""
+        parts, n = [], 0
         for pdf in batches:
             out, size = [], 0
             for i, t, text, asked in zip(pdf["id"], pdf["tie"], pdf["text"], pdf["asked"], strict=True):
                 for a in asked:
                     start, length = a["at"] >> 32, a["at"] & 0xFFFFFFFF
-                    if a["lots"] > 1:
-                        for k in range(start, start + length - span + 1):
-                            w = text[k : k + span]
-                            lot = int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "little") % a["lots"]
-                            out.append((a["h"], lot, i, t, k, w))
+                    if a["crowded"]:
+                        at = np.arange(start, start + length - span + 1, dtype=np.int64)
+                        digests = b"".join(hashlib.blake2b(text[k : k + span], digest_size=16).digest() for k in at.tolist())
+                        parts.append((np.frombuffer(digests, np.int64).reshape(-1, 2), np.full(len(at), i), np.full(len(at), t), at))
+                        n += len(at)
+                        if n >= LOT:
+                            yield from windows(parts)
+                            parts, n = [], 0
                     else:
-                        out.append((a["h"], 0, i, t, start, text[start : start + length]))
-                    size += length
-                if size > 1 << 23:
-                    yield pd.DataFrame(out, columns=["h", "lot", "id", "tie", "start", "text"])
-                    out, size = [], 0
+                        out.append((a["h"], 0, i, t, a["at"], text[start : start + length], False))
+                        size += length
+                        if size > 1 << 23:
+                            yield pd.DataFrame(out, columns=["h", "s", "id", "tie", "at", "text", "sure"])
+                            out, size = [], 0
             if out:
-                yield pd.DataFrame(out, columns=["h", "lot", "id", "tie", "start", "text"])
+                yield pd.DataFrame(out, columns=["h", "s", "id", "tie", "at", "text", "sure"])
+        if parts:
+            yield from windows(parts)
 
     return run
 
 
 def _index(span: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Marked runs of bytes, from an index over whole groups of stretches."""
+        """Marked runs of bytes: of equal windows all but the first, else from an index over whole groups of stretches."""
 
         def marked(parts: list[pd.DataFrame]) -> pd.DataFrame:
             pdf = pd.concat(parts, ignore_index=True)
@@ -273,19 +302,30 @@ def _index(span: int):
             at = np.flatnonzero(new)
             last = np.append(at[1:], len(string)) - 1
             own = pdf.iloc[string[at]]
-            return pd.DataFrame({"id": own["id"].to_numpy(), "tie": own["tie"].to_numpy(), "at": own["start"].to_numpy() + offset[at] << 32 | offset[last] - offset[at] + span})
+            return pd.DataFrame({"id": own["id"].to_numpy(), "tie": own["tie"].to_numpy(), "at": (own["at"].to_numpy() >> 32) + offset[at] << 32 | offset[last] - offset[at] + span})
 
-        held, size, key = [], 0, None
+        held, size, key, window = [], 0, None, None
         for pdf in batches:
-            h, lot, n = pdf["h"].to_numpy(), pdf["lot"].to_numpy(), pdf["text"].str.len().to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (lot[1:] != lot[:-1])]))
+            hashed, sure = pdf["text"].isna().to_numpy(), pdf["sure"].to_numpy()
+            if hashed.any():
+                open_ = pdf[hashed & ~sure]
+                h, s = open_["h"].to_numpy(), open_["s"].to_numpy()
+                again = np.concatenate([[False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])]) if len(h) else np.zeros(0, bool)
+                if len(h):
+                    again[0], window = (h[0], s[0]) == window, (h[-1], s[-1])
+                yield pd.concat([pdf[hashed & sure], open_[again]])[["id", "tie", "at"]]
+                pdf = pdf[~hashed]
+                if not len(pdf):
+                    continue
+            h, n = pdf["h"].to_numpy(), pdf["text"].str.len().to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True):
-                if size >= INDEX_BYTES and key != (h[a], lot[a]):
+                if size >= INDEX_BYTES and key != h[a]:
                     yield marked(held)
                     held, size = [], 0
                 held.append(pdf.iloc[a:b])
                 size += int(n[a:b].sum())
-                key = (h[a], lot[a])
+                key = h[a]
         if held:
             yield marked(held)
 
@@ -325,11 +365,12 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", span
     order = ["h", "s", "id", "tie", "at"]
     settled = saved(found.repartition("h").sortWithinPartitions(*order).mapInPandas(_settle, STRETCHES))
     asked = settled.where("not sure")
-    crowded = asked.groupBy("h").count().where(F.col("count") > hot).select("h", F.ceil(F.col("count") / hot).cast("int").alias("lots"))
-    asked = asked.join(crowded, "h", "left").groupBy("id", "tie").agg(F.collect_list(F.struct("h", "at", F.coalesce("lots", F.lit(1)).alias("lots"))).alias("asked"))
+    many = (F.count("*") > hot) | (F.sum(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))) > HOT_BYTES)
+    crowded = asked.groupBy("h").agg(many.alias("crowded")).where("crowded")
+    asked = asked.join(crowded, "h", "left").groupBy("id", "tie").agg(F.collect_list(F.struct("h", "at", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("asked"))
     texts = rows.dropDuplicates() if alike else rows
-    fetched = texts.join(asked, ["id", "tie"]).mapInPandas(_fetch(span), "h long, lot int, id long, tie long, start long, text binary")
-    ordered = fetched.repartition("h", "lot").sortWithinPartitions("h", "lot", "id", "tie", "start")
+    fetched = texts.join(asked, ["id", "tie"]).mapInPandas(_fetch(span), FETCHED)
+    ordered = fetched.repartition("h", "s").sortWithinPartitions("h", "s", "id", "tie", "at")
     marked = saved(ordered.mapInPandas(_index(span), "id long, tie long, at long"))
     spans = settled.where("sure").select("id", "tie", "at").unionByName(marked)
     spans = spans.groupBy("id", "tie").agg(F.collect_list("at").alias("spans"))

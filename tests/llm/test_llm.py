@@ -144,6 +144,29 @@ def test_repeats_odd_rows(odd, none):
     assert suffixdedup.remove_repeats(none).count() == 0
 
 
+def test_repeats_crowded_passage(monkeypatch):
+    """A passage in many documents sends hashes, once per task, and reaches no index."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    passage = bytes(rng.integers(97, 123, 120, np.uint8))
+    docs = [bytes(rng.integers(97, 123, 30, np.uint8)) + passage for _ in range(300)]
+    asked = [[{"h": 1, "at": 0 << 32 | 150, "lots": 3, "crowded": True}] for _ in docs]
+    frame = pd.DataFrame({"id": np.arange(300), "tie": 0, "text": docs, "asked": asked})
+    sent = pd.concat(suffixdedup._fetch(100)([frame.iloc[:150]]))
+    assert sent["text"].isna().all()
+    assert len(sent[~sent["sure"]]) == len({d[k : k + 100] for d in docs[:150] for k in range(51)}) < 150 * 31
+    parts = pd.concat([sent, *suffixdedup._fetch(100)([frame.iloc[150:]])], ignore_index=True).sort_values(["h", "s", "id", "tie", "at"])
+    monkeypatch.setattr(suffixdedup, "RunIndex", None)
+    got = defaultdict(set)
+    for cut in (1000, len(parts)):
+        got.clear()
+        for pdf in suffixdedup._index(100)(parts.iloc[a : a + cut] for a in range(0, len(parts), cut)):
+            for i, at in zip(pdf["id"], pdf["at"], strict=True):
+                got[i] |= set(range(at >> 32, (at >> 32) + (at & 0xFFFFFFFF)))
+        assert set(got) == set(range(1, 300)) and all(set(range(30, 150)) <= v <= set(range(27, 150)) for v in got.values())
+
+
 def test_run_index_round_trip():
     strings = [b"banana" * 30, b"bananab" * 25, b"x" * 120]
     index = suffixdedup.RunIndex(strings, 100)
