@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import Forest, components, saved
@@ -198,7 +198,8 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     follows the number of fingerprints and the number of choices follows ``recall``,
     so shards stay small. Very close fingerprints link at once and grow no tree; of the
     others each text's nearest neighbour in every group so far is verified on the
-    whole texts. Texts without words are alike. Null ids, repeated rows and empty
+    whole texts. Then every pair of a shard that lies within the distance and is not
+    joined by verified links is verified as well, so that no group hides a partner. Texts without words are alike. Null ids, repeated rows and empty
     tables are as in ``near_duplicates``.
     """
     p = agreement(similarity)
@@ -220,23 +221,29 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     def deal(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = 1 << np.arange(bits, dtype=np.int64)
         for pdf in batches:
+            others = [c for c in pdf.columns if c != "fp"]
             for at in range(0, len(pdf), 1000):
                 some = pdf.iloc[at : at + 1000]
                 if len(some):
                     flat = np.unpackbits(np.frombuffer(b"".join(some["fp"]), np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
                     keys = flat[:, picks].astype(np.int64) @ weights | np.arange(tables, dtype=np.int64) << 32
-                    yield pd.DataFrame({"shard": keys.ravel(), "node": np.repeat(some["node"].to_numpy(), tables), "fp": np.repeat(some["fp"].to_numpy(), tables)})
+                    yield pd.DataFrame({"shard": keys.ravel(), **{c: np.repeat(some[c].to_numpy(), tables) for c in others}, "fp": np.repeat(some["fp"].to_numpy(), tables)})
 
     dealt = distinct.mapInPandas(deal, "shard long, node long, fp binary")
     crowded = dealt.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees"))
     crowded = saved(crowded)
     n_crowded = crowded.count()
-    if n_crowded:
-        dealt = dealt.join(F.broadcast(crowded) if n_crowded <= FEW else crowded, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-    else:
-        dealt = dealt.withColumn("trees", F.lit(1))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "trees").cast("int")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-    dealt = dealt.select("shard", "tree", (F.col("own") != F.col("tree")).alias("asks"), "node", "fp")
+
+    def in_trees(dealt: DataFrame, first: Column) -> DataFrame:
+        """Each row in its own tree and, asking, in the others of its shard from ``first`` on."""
+        if n_crowded:
+            dealt = dealt.join(F.broadcast(crowded) if n_crowded <= FEW else crowded, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+        else:
+            dealt = dealt.withColumn("trees", F.lit(1))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "trees").cast("int")).withColumn("tree", F.explode(F.sequence(first, F.col("trees") - 1)))
+        return dealt.withColumn("asks", F.col("own") != F.col("tree")).drop("trees", "own")
+
+    dealt = in_trees(dealt, F.lit(0))
 
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, forest, key, nodes = BKTree(), Forest(), None, []
@@ -260,20 +267,68 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", w
 
     found = saved(dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "asks", "node").mapInPandas(search, "a long, b long, sure boolean"))
     sure, rest = found.where("sure").select("a", "b").distinct(), found.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    named = saved(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = saved(source.join(F.broadcast(named) if named.count() <= FEW else named, "id").groupBy("id").agg(F.min("text").alias("text")))
-    pairs = rest.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose whole texts are similar."""
+        named = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        texts = saved(source.join(F.broadcast(named) if named.count() <= FEW else named, "id").groupBy("id").agg(F.min("text").alias("text")))
+        pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        return pairs.mapInPandas(verify, "a long, b long")
 
     def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
         for pdf in batches:
             keep = []
-            for x, y in zip(pdf["ta"], pdf["tb"], strict=True):
-                s, t = shingle_hashes(x, words, memo), shingle_hashes(y, words, memo)
+            a = b = None
+            for i, j, x, y in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
+                if i != a:
+                    a, s = i, shingle_hashes(x, words, memo)
+                if j != b:
+                    b, t = j, shingle_hashes(y, words, memo)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(both >= similarity * (len(s) + len(t) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    links = sure.unionByName(pairs.mapInPandas(verify, "a long, b long"))
-    classes = distinct.join(components(links), "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
+    def missed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of a tree's own rows with all its rows, within the radius and not of one group."""
+        key, kept = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            node, group, own = pdf["node"].to_numpy(), pdf["group"].to_numpy(), ~pdf["asks"].to_numpy()
+            shard, tree = pdf["shard"].to_numpy(), pdf["tree"].to_numpy()
+            fp = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
+            start = np.concatenate([[True], (shard[1:] != shard[:-1]) | (tree[1:] != tree[:-1])])
+            place, found = start.cumsum(), []
+            if key == (shard[0], tree[0]):
+                nodes, groups, fps = kept
+                m = int((place == 1).sum())
+                for at in range(0, m, 64):
+                    to = min(at + 64, m)
+                    i, j = np.nonzero(group[at:to, None] != groups)
+                    near = np.bitwise_count(fp[at + i] ^ fps[j]).sum(axis=1) <= radius
+                    found.append((node[at + i[near]], nodes[j[near]]))
+            live, k = np.flatnonzero(own), 1
+            while len(live := live[live + k < len(pdf)]) and len(live := live[place[live] == place[live + k]]):
+                i = live[group[live] != group[live + k]]
+                i = i[np.bitwise_count(fp[i] ^ fp[i + k]).sum(axis=1) <= radius]
+                found.append((node[i], node[i + k]))
+                k += 1
+            mine = own & (place == place[-1])
+            mine = node[mine], group[mine], fp[mine]
+            same, key = key == (shard[-1], tree[-1]), (shard[-1], tree[-1])
+            kept = tuple(np.concatenate(x) for x in zip(kept, mine, strict=True)) if same else mine
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (node[:0], node[:0])
+            if len(a):
+                yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+
+    links = saved(sure.unionByName(checked(rest)))
+    groups = components(links)
+    grouped = distinct.join(groups, "node", "left").select("node", F.coalesce("component_id", "node").alias("group"), "fp")
+    again = in_trees(grouped.mapInPandas(deal, "shard long, node long, group long, fp binary"), F.col("own"))
+    again = again.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "asks").mapInPandas(missed, "a long, b long")
+    again = saved(again.distinct().join(rest, ["a", "b"], "left_anti"))
+    if again.limit(1).count():
+        groups = components(links.unionByName(checked(again)))
+    classes = distinct.join(groups, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
     return rows.join(classes, "fp", "left").select(F.col("id").alias(id), "component_id")

@@ -467,6 +467,37 @@ def test_similar_documents(spark, none, odd):
     assert simhash.similar_documents(odd).count() == odd.count()
 
 
+def test_similar_documents_templates(spark):
+    """Similar pairs in a crowd of texts that are nearly similar to one another."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+
+    def changed(ws, at):
+        new = list(ws)
+        for i in at:
+            new[i] = f"n{rng.integers(10**9)}"
+        return new
+
+    texts = []
+    for _ in range(150):
+        one = changed(base, rng.choice(400, 5, replace=False))
+        texts += [one, changed(one, rng.choice(400, 8, replace=False))]
+    sets = [{tuple(t[i : i + 5]) for i in range(396)} for t in texts]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = by_id(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "component_id")
+    from fieldmark.llm.common import Forest
+
+    forest, pairs = Forest(), 0
+    for i in range(300):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                pairs += 1
+                forest.join(i, j)
+    assert pairs >= 150
+    assert all(forest.find(i) == forest.find(c) for i, (c,) in got.items())
+    assert len({c for c, in got.values()}) <= len({forest.find(i) for i in range(300)}) + 4
+
+
 # pipeline
 
 
