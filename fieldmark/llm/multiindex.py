@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm.common import Forest, components, saved, whole_groups
 
-#: Vectors that the codebooks and the bound are fitted on, at most; centroids of a half, at most; vectors of a block.
+#: Vectors that the codebooks and the bound are fitted on, at most; centroids of a half, at most; vectors of a block (and, about, of a cell).
 SAMPLE, CENTROIDS, BLOCK = 8192, 256, 4096
 
 
@@ -68,8 +68,9 @@ class MultiIndex:
     def _calibrated(self, x: np.ndarray, recall: float) -> float:
         """How far past its nearest cell a vector must look to meet all of its partners.
 
-        The quantile over the sample's vectors that have partners; where fewer than 50 do,
-        over made-up partners at the least similarity, in random directions.
+        The largest of the quantiles over the sample's vectors that have partners, and over
+        made-up partners at the least similarity: in random directions, and in directions
+        within either half. Partners in the sample alone may all be of one tight group.
         """
         a, b = self.halves(x)
         i, j = a.argmin(axis=1), b.argmin(axis=1)
@@ -81,14 +82,17 @@ class MultiIndex:
             for p in np.flatnonzero(linked.any(axis=1)):
                 q = np.flatnonzero(linked[p])
                 need.append((a[at + p, i[q]] + b[at + p, j[q]]).max() - least[at + p])
-        if len(need) < 50:
-            e = np.random.default_rng(9).normal(size=x.shape)
-            e -= (e * x).sum(axis=1, keepdims=True) * x
-            partner = self.similarity * x + np.sqrt(1 - self.similarity**2) * unit(e)
-            c, d = self.halves(partner)
-            rows = np.arange(len(x))
-            need = a[rows, c.argmin(axis=1)] + b[rows, d.argmin(axis=1)] - least
-        return 1.15 * float(np.quantile(need, recall)) + 1e-9
+        rows, margins = np.arange(len(x)), [float(np.quantile(need, recall))] if need else []
+        rng = np.random.default_rng(9)
+        for part in (slice(None), slice(None, self.cut), slice(self.cut, None)):
+            e, y = np.zeros_like(x), x[:, part]
+            e[:, part] = rng.normal(size=y.shape)
+            size = np.maximum((y * y).sum(axis=1, keepdims=True), 1e-12)
+            e[:, part] -= (e[:, part] * y).sum(axis=1, keepdims=True) / size * y
+            e /= np.maximum(np.sqrt((e * e).sum(axis=1, keepdims=True)), 1e-12)
+            c, d = self.halves(self.similarity * x + np.sqrt(1 - self.similarity**2) * e)
+            margins.append(float(np.quantile(a[rows, c.argmin(axis=1)] + b[rows, d.argmin(axis=1)] - least, recall)))
+        return 1.15 * max(margins) + 1e-9
 
     def visits(self, a: np.ndarray, b: np.ndarray) -> list[int]:
         """Cells in the order of the sum of their two distances, up to the bound."""
@@ -113,7 +117,7 @@ def build(vectors: DataFrame, similarity: float, recall: float) -> MultiIndex |
     rows = vectors.orderBy(F.xxhash64("node"), "node").select("vector").limit(SAMPLE).toPandas()
     if not n:
         return None
-    return MultiIndex(unit(np.array(rows["vector"].tolist())), int(np.clip(n**0.5 / 2, 2, CENTROIDS)), similarity, recall)
+    return MultiIndex(unit(np.array(rows["vector"].tolist())), int(np.clip(2 * (n / BLOCK) ** 0.5, 2, CENTROIDS)), similarity, recall)
 
 
 def embedding_links(vectors: DataFrame, similarity: float = 0.9, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:

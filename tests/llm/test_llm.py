@@ -341,6 +341,23 @@ def test_multi_index_blocks(spark, monkeypatch):
     assert all(r["n_links"] == 199 and r["component_id"] == 0 for r in got)
 
 
+def test_multi_index_outside_sample(spark, monkeypatch):
+    """Isolated pairs near the threshold, in a table with one hot tight group and a small sample."""
+    monkeypatch.setattr(multiindex, "SAMPLE", 256)
+    monkeypatch.setattr(multiindex, "BLOCK", 64)
+    rng = np.random.default_rng(12)
+    x, hot = multiindex.unit(rng.normal(size=(1000, 16))), rng.normal(size=16)
+    e = rng.normal(size=x.shape)
+    e[:500, 8:] = 0
+    e[:500, :8] -= ((e[:500, :8] * x[:500, :8]).sum(axis=1) / (x[:500, :8] ** 2).sum(axis=1))[:, None] * x[:500, :8]
+    e[500:] -= (e[500:] * x[500:]).sum(axis=1)[:, None] * x[500:]
+    partner = 0.91 * x + (1 - 0.91**2) ** 0.5 * multiindex.unit(e)
+    rows = [*x, *partner, *(hot + rng.normal(0, 0.1, (500, 16)))]
+    rows = [r.astype(np.float32).tolist() for r in rows]
+    got = {r["vec_id"]: r for r in multiindex.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").repartition(4)).collect()}
+    assert np.mean([got[i]["component_id"] == got[i + 1000]["component_id"] for i in range(1000)]) > 0.99
+
+
 def test_multi_sequence_order():
     index = multiindex.MultiIndex(multiindex.unit(np.random.default_rng(1).normal(size=(200, 8))), 6, 0.9, 0.99)
     index.margin = 1e9
