@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import Forest, components, saved, whole_groups
+from fieldmark.llm.common import components, saved
 
 #: Vectors that the codebooks and the bound are fitted on, at most; centroids of a half, at most; vectors of a block (and, about, of a cell).
 SAMPLE, CENTROIDS, BLOCK = 8192, 256, 4096
@@ -120,6 +120,70 @@ def build(vectors: DataFrame, similarity: float, recall: float) -> MultiIndex |
     return MultiIndex(unit(np.array(rows["vector"].tolist())), int(np.clip(2 * (n / BLOCK) ** 0.5, 2, CENTROIDS)), similarity, recall)
 
 
+def comparison(similarity: float):
+    def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Linked weights and links from a partition sorted by block, its own rows first.
+
+        Memory holds one block's own vectors; the asking ones stream past them.
+        """
+        key, parts, own, mine, weight, root = None, [], None, None, None, None
+
+        def joined(at: np.ndarray) -> list[tuple]:
+            """One link to each group of the block that is not joined yet."""
+            groups = np.unique(root[at])
+            if len(groups) > 1:
+                root[np.isin(root, groups)] = groups[0]
+            return [(int(mine[groups[0]]), int(mine[g]), 0) for g in groups[1:]]
+
+        def linked(x: np.ndarray, nodes: np.ndarray, n: np.ndarray, asks: bool) -> pd.DataFrame:
+            out, got = [], np.zeros(len(mine), np.int64)
+            for at in range(0, len(x), 512):
+                near = x[at : at + 512] @ own.T >= similarity
+                if not asks:
+                    near[np.arange(len(near)), at + np.arange(len(near))] = False
+                hit = np.flatnonzero(near.any(axis=1))
+                if not len(hit):
+                    continue
+                out += zip(nodes[at + hit].tolist(), [None] * len(hit), (near[hit] @ weight).tolist(), strict=True)
+                if asks:
+                    got += n[at : at + 512] @ near
+                for i in hit.tolist():
+                    q = np.flatnonzero(near[i])
+                    if asks:
+                        out.append((int(nodes[at + i]), int(mine[q[0]]), 0))
+                    out += joined(q if asks else np.append(q, at + i))
+            hit = np.flatnonzero(got)
+            out += zip(mine[hit].tolist(), [None] * len(hit), got[hit].tolist(), strict=True)
+            return pd.DataFrame({"a": pd.Series([r[0] for r in out], dtype="int64"), "b": pd.Series([r[1] for r in out], dtype="Int64"), "n": pd.Series([r[2] for r in out], dtype="int64")})
+
+        def closed() -> pd.DataFrame:
+            nonlocal parts, own, mine, weight, root
+            own, mine, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts, root = [], np.arange(len(mine))
+            return linked(own, mine, weight, False)
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cell, block, asks = pdf["cell"].to_numpy(), pdf["block"].to_numpy(), pdf["asks"].to_numpy()
+            x, nodes, n = unit(np.array(pdf["vector"].tolist())), pdf["node"].to_numpy(), pdf["n"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])]))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True):
+                new = key != (cell[a], block[a])
+                if parts and (new or asks[a]):
+                    yield closed()
+                if new:
+                    key, own = (cell[a], block[a]), None
+                if not asks[a]:
+                    parts.append((x[a:b], nodes[a:b], n[a:b]))
+                elif own is not None:
+                    yield linked(x[a:b], nodes[a:b], n[a:b], True)
+        if parts:
+            yield closed()
+
+    return compare
+
+
 def embedding_links(vectors: DataFrame, similarity: float = 0.9, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
     """``(node, n)``: weights linked to each node; ``(a, b)``: links joining what is linked.
 
@@ -165,38 +229,7 @@ def embedding_links(vectors: DataFrame, similarity: float = 0.9, recall: float =
                 some = pdf.iloc[at[s : s + 20_000]]
                 yield pd.DataFrame({"cell": cells[s : s + 20_000], "block": blocks[s : s + 20_000], "asks": asks[s : s + 20_000], "node": some["node"].to_numpy(), "vector": some["vector"].to_numpy(), "n": some["n"].to_numpy()})
 
-    def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, own, mine, weight, forest = None, None, None, None, None
-        for pdf in whole_groups(batches, ["cell", "block", "asks"]):
-            out = []
-            for (cell, block, asks), g in pdf.groupby(["cell", "block", "asks"], sort=True):
-                x, nodes, n = unit(np.array(g["vector"].tolist())), g["node"].to_numpy(), g["n"].to_numpy()
-                if not asks:
-                    key, own, mine, weight, forest = (cell, block), x, nodes, n, Forest()
-                elif key != (cell, block):
-                    continue
-                got = np.zeros(len(mine), np.int64)
-                for at in range(0, len(x), 512):
-                    linked = x[at : at + 512] @ own.T >= similarity
-                    if not asks:
-                        linked[np.arange(len(linked)), at + np.arange(len(linked))] = False
-                    p, q = np.nonzero(linked)
-                    if not len(p):
-                        continue
-                    sums = linked @ weight
-                    hit = np.flatnonzero(sums)
-                    out += zip(nodes[at + hit].tolist(), [None] * len(hit), sums[hit].tolist(), strict=True)
-                    if asks:
-                        got += n[at : at + 512] @ linked
-                    # one link to each group that is not joined yet
-                    for i, j in zip((at + p).tolist(), q.tolist(), strict=True):
-                        if forest.join(int(nodes[i]), int(mine[j])):
-                            out.append((int(nodes[i]), int(mine[j]), 0))
-                hit = np.flatnonzero(got)
-                out += zip(mine[hit].tolist(), [None] * len(hit), got[hit].tolist(), strict=True)
-            if out:
-                yield pd.DataFrame({"a": pd.Series([r[0] for r in out], dtype="int64"), "b": pd.Series([r[1] for r in out], dtype="Int64"), "n": pd.Series([r[2] for r in out], dtype="int64")})
-
+    compare = comparison(similarity)
     dealt = placed.mapInPandas(deal, "cell long, block int, asks boolean, node long, vector array<float>, n long")
     found = saved(dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "asks").mapInPandas(compare, "a long, b long, n long"))
     return found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), found.where("b is not null").select("a", "b")

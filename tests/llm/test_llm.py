@@ -358,6 +358,31 @@ def test_multi_index_outside_sample(spark, monkeypatch):
     assert np.mean([got[i]["component_id"] == got[i + 1000]["component_id"] for i in range(1000)]) > 0.99
 
 
+def test_multi_index_streams_asking_rows():
+    """Asking rows are compared batch by batch, none held until their block ends."""
+    import pandas as pd
+
+    rng = np.random.default_rng(13)
+    rows = [(rng.normal(size=8) * 0.02 + 1).tolist() for _ in range(60)]
+    frame = pd.DataFrame({"cell": 1, "block": 0, "asks": [False] * 20 + [True] * 40, "node": range(60), "vector": rows, "n": 1})
+    taken = []
+
+    def batches():
+        for at in range(0, 60, 10):
+            taken.append(at)
+            yield frame.iloc[at : at + 10]
+
+    seen, out = [], []
+    for pdf in multiindex.comparison(0.9)(batches()):
+        seen.append(len(taken))
+        out.append(pdf)
+    assert seen == [3, 3, 4, 5, 6]
+    out = pd.concat(out)
+    sums = out[out["b"].isna()].groupby("a")["n"].sum()
+    assert (sums[:20] == 59).all() and (sums[20:] == 20).all() and len(sums) == 60
+    assert out["b"].notna().sum() == 59
+
+
 def test_multi_sequence_order():
     index = multiindex.MultiIndex(multiindex.unit(np.random.default_rng(1).normal(size=(200, 8))), 6, 0.9, 0.99)
     index.margin = 1e9
