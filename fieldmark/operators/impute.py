@@ -73,11 +73,14 @@ def draw_categories(df: DataFrame, row_id: str, column: str, seed: int = SEED) -
     """Nulls of a column drawn from its observed proportions, by keyed numbers."""
     counts = df.where(col(column).isNotNull()).groupBy(col(column).alias("_v")).agg(F.count("*").alias("n"))
     order = Window.orderBy("_v")  # levels only
-    share = counts.select("_v", (F.sum("n").over(order) / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("upto")).orderBy("upto").limit(1000).collect()
-    u, pick = uniform(col(row_id), seed, column), F.lit(None)
-    for r in reversed(share):
-        pick = F.when(u <= r["upto"], F.lit(r["_v"])).otherwise(pick)
-    return df.withColumn(column, F.coalesce(col(column), pick))
+    share = counts.select("_v", (F.sum("n").over(order) / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("_upto"))
+    share = share.select("_v", "_upto", F.lag("_upto", 1, -1.0).over(order).alias("_from"))
+    # a range join by equal slices of the numbers, so that any count of levels does
+    piece = lambda x: F.floor(x * 4096).cast("int")
+    share = share.withColumn("_piece", F.explode(F.sequence(piece(F.greatest("_from", F.lit(0.0))), piece(F.col("_upto")))))
+    rows = df.withColumn("_u", F.when(col(column).isNull(), uniform(col(row_id), seed, column))).withColumn("_slice", piece(F.col("_u")))
+    found = rows.join(share, (F.col("_slice") == F.col("_piece")) & (F.col("_u") > F.col("_from")) & (F.col("_u") <= F.col("_upto")), "left")
+    return found.withColumn(column, F.coalesce(col(column), F.col("_v"))).select(*[col(c) for c in df.columns])
 
 
 def rubin(estimates: list[float], variances: list[float], complete_df: float | None = None, alpha: float = 0.05) -> dict:

@@ -312,3 +312,19 @@ def test_unify_and_scales(spark):
     items = np.clip(np.round(3 + base[:, None] + rng.normal(0, 0.7, (200, 4))), 1, 5)
     df = frame(spark, [tuple(map(float, r)) for r in items], "S_1 double, S_2 double, S_3 double, S_4 double")
     assert factor.by_scale(df, parallel=False)["S"]["factors"] == 1
+
+
+def test_draw_categories_many_levels(spark):
+    rows = [(i, f"v{i:05d}" if i < 3000 else None) for i in range(6000)]
+    got = impute.draw_categories(spark.createDataFrame(rows, "id long, c string"), "id", "c").toPandas()
+    assert len(got) == 6000 and list(got.columns) == ["id", "c"] and got["c"].notna().all()
+    drawn = got[got["id"] >= 3000]["c"].str[1:].astype(int)
+    assert (drawn >= 1000).mean() == pytest.approx(2 / 3, abs=0.05)
+
+
+def test_person_matrix_is_checked(spark):
+    rows = spark.range(1001).select(F.array(F.lit("a")).alias("codes"), F.col("id").cast("string").alias("speaker"), F.col("id").alias("no"))
+    with pytest.raises(ValueError, match="speakers"):
+        coding.person_matrix(rows, "codes")
+    assert coding.person_labels(rows, "codes").count() == 1001
+    assert len(coding.person_matrix(rows.limit(1000), "codes").columns) == 1001
