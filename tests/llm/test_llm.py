@@ -352,12 +352,26 @@ def test_multi_index_outside_sample(spark, monkeypatch):
     e[:500, :8] -= ((e[:500, :8] * x[:500, :8]).sum(axis=1) / (x[:500, :8] ** 2).sum(axis=1))[:, None] * x[:500, :8]
     e[500:] -= (e[500:] * x[500:]).sum(axis=1)[:, None] * x[500:]
     partner = 0.91 * x + (1 - 0.91**2) ** 0.5 * multiindex.unit(e)
-    rows = [*x, *partner, *(hot + rng.normal(0, 0.1, (500, 16)))]
+    rows = [*x, *partner, *(hot + rng.normal(0, 0.02, (1500, 16)))]
     rows = [r.astype(np.float32).tolist() for r in rows]
     got = {r["vec_id"]: r for r in multiindex.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").repartition(4)).collect()}
     assert np.mean([got[i]["component_id"] == got[i + 1000]["component_id"] for i in range(1000)]) > 0.99
 
 
+def test_multi_index_bound_beside_a_tight_group():
+    """The bound holds for pairs at the threshold even if only a tight group has partners in the sample."""
+    rng = np.random.default_rng(14)
+    hot = rng.normal(size=32) + rng.normal(0, 0.001, (200, 32))
+    x = multiindex.unit(rng.normal(size=(400, 32)))
+    index = multiindex.MultiIndex(multiindex.unit(np.concatenate([x, hot])), 64, 0.9, 0.999)
+    e = np.zeros_like(x)
+    e[:, :16] = rng.normal(size=(400, 16))
+    e[:, :16] -= ((e[:, :16] * x[:, :16]).sum(axis=1) / (x[:, :16] ** 2).sum(axis=1))[:, None] * x[:, :16]
+    cells = index.cells(0.91 * x + (1 - 0.91**2) ** 0.5 * multiindex.unit(e))
+    a, b = index.halves(x)
+    assert np.mean([cells[i] in index.visits(a[i], b[i]) for i in range(400)]) > 0.99
+
+
 def test_multi_index_streams_asking_rows():
     """Asking rows are compared batch by batch, none held until their block ends."""
     import pandas as pd
