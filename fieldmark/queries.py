@@ -377,7 +377,7 @@ def mean_fill_sd_shrink(spark, sf_dir):
 @query()
 def mice_comparison(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber").alias("id"), F.expr("if(l_orderkey % 7 = 0, null, l_quantity)").alias("q"), F.expr("if(l_partkey % 5 = 0, null, l_extendedprice)").alias("e"), "l_discount")
-    done = impute.mice(lines, "id", ["q", "e", "l_discount"], sets=2, sweeps=3)
+    done = impute.mice(lines, "id", ["q", "e", "l_discount"])
     return impute.compare_missing(lines, done, ["q", "e"])
 
 
@@ -429,7 +429,7 @@ def skip_aware_deletion(spark, sf_dir):
 @query()
 def mediation_price(spark, sf_dir):
     orders = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("m"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y"))
-    found = mediate.mediation(orders, "x", "m", "y", replicates=200)
+    found = mediate.mediation(orders, "x", "m", "y")
     return spark.createDataFrame([(found["n"], found["label"], found["indirect"], found["ci_low"], found["ci_high"])], "n long, label string, indirect double, ci_low double, ci_high double")
 
 

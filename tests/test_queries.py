@@ -37,3 +37,16 @@ def test_query(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(("name", "module", "operator"), [("mediation_price", "mediate", "mediation"), ("mice_comparison", "impute", "mice")])
+def test_production_sizes(spark, sf, monkeypatch, name, module, operator):
+    """The operator's own replicates, sets and sweeps are used."""
+    from fieldmark import queries
+
+    def caught(*args, **sizes):
+        raise LookupError(sorted(sizes))
+
+    monkeypatch.setattr(getattr(queries, module), operator, caught)
+    with pytest.raises(LookupError, match=r"^\[\]$"):
+        QUERIES[name](spark, sf)
