@@ -11,7 +11,7 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,37 +21,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmark.llm.common import Memo, named, tidied, without
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as Unicode's property has it; Python's own \s also takes U+001C to U+001F.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-#: Results that one worker remembers, and the longest text it remembers one for.
-MEMO, MEMO_LENGTH = 400_000, 40
+#: Bytes of results that one worker remembers during a task, and the longest text it remembers one for.
+MEMO, MEMO_LENGTH = 64 << 20, 40
 
 
 class PerfectHash:
-    """Minimal perfect hash over byte strings: hash, displace, compare.
+    """Minimal perfect hash over distinct byte strings: hash, displace, compare.
 
     Keys fall into buckets; a bucket of several keys gets the first displacement
     that sends all of them to free slots, and single keys get the slots left over.
+    Displacements repeat after as many tries as there are slots: a bucket that finds
+    none by then makes all keys be hashed anew with the next seed.
     """
 
     def __init__(self, keys: list[bytes]) -> None:
         n = len(keys)
-        self.n, self.buckets = n, max(1, n // 3)
+        if len(set(keys)) < n:
+            raise ValueError("keys must be distinct")
+        self.n, self.buckets, self.seed = n, max(1, n // 3), 0
+        while not self._placed(keys):
+            self.seed += 1
+
+    def _placed(self, keys: list[bytes]) -> bool:
+        n = self.n
         groups: dict[int, list[tuple[int, int, int]]] = {}
         for i, key in enumerate(keys):
-            h = xxhash.xxh3_128_intdigest(key)
+            h = xxhash.xxh3_128_intdigest(key, self.seed)
             groups.setdefault(h % self.buckets, []).append((h >> 32 & 0xFFFFFFFF, h >> 64 | 1, i))
         self.shift, self.slots = [0] * self.buckets, [-1] * n
         free = n - 1
         for b, group in sorted(groups.items(), key=lambda x: -len(x[1])):
             if len(group) > 1:
-                d = 0
-                while True:
+                for d in range(n):
                     places = [(x + d * y) % n for x, y, _ in group]
                     if len(set(places)) == len(places) and all(self.slots[p] < 0 for p in places):
                         break
-                    d += 1
+                else:
+                    return False
                 self.shift[b] = d
                 for p, (_, _, i) in zip(places, group, strict=True):
                     self.slots[p] = i
@@ -59,12 +70,13 @@ class PerfectHash:
                 while self.slots[free] >= 0:
                     free -= 1
                 self.shift[b], self.slots[free] = -1 - free, group[0][2]
+        return True
 
     def slot(self, key: bytes) -> int:
         """The number of the only key that this can be; -1 for none."""
         if not self.n:
             return -1
-        h = xxhash.xxh3_128_intdigest(key)
+        h = xxhash.xxh3_128_intdigest(key, self.seed)
         d = self.shift[h % self.buckets]
         return self.slots[-1 - d if d < 0 else ((h >> 32 & 0xFFFFFFFF) + d * (h >> 64 | 1)) % self.n]
 
@@ -79,7 +91,7 @@ class BytePairCodec:
         self.ids = list(self.ranks.values())
         self.hash = PerfectHash(self.tokens)
         self.pattern = regex.compile(pattern)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
         size = max(self.ids) + 1
         lengths = np.zeros(size, np.int64)
         for token, i in self.ranks.items():
@@ -133,8 +145,8 @@ class BytePairCodec:
         ids = self.memo.get(unit)
         if ids is None:
             ids = self.pieces(unit)
-            if len(self.memo) < MEMO and len(unit) <= MEMO_LENGTH:
-                self.memo[unit] = ids
+            if len(unit) <= MEMO_LENGTH:
+                self.memo.keep(unit, ids, len(ids))
         return ids
 
     def decode(self, ids: bytes) -> bytes:
@@ -177,30 +189,32 @@ def codec(path: str = RANKS) -> BytePairCodec:
 def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: str = RANKS) -> DataFrame:
     """``docs`` without its text, plus ``ids``: binary, little-endian 32-bit ids.
 
-    A null text encodes as an empty one. One narrow pass, no shuffle.
+    A null text encodes as an empty one; a text of any length is encoded whole, in memory
+    that grows with it. Rows may repeat; an empty table gives an empty result. A column
+    that has the name of ``ids`` is replaced, all others stay. One narrow pass, in which
+    only the text goes to Python.
     """
-    keep = [f for f in docs.schema.fields if f.name != text]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
-        for pdf in batches:
-            yield pdf.assign(**{ids: [c.encode(t or "") for t in pdf.pop("_text")]})
+        yield from tidied((pd.Series([c.encode(t or "") for t in texts], dtype=object) for texts in batches), c.memo)
 
-    schema = type(docs.schema)([*keep]).add(ids, "binary")
-    return docs.select(*[f.name for f in keep], F.col(text).alias("_text")).mapInPandas(run, schema)
+    return docs.select(*without(docs, text, ids), run.asNondeterministic()(named(text)).alias(ids))
 
 
 def decode(tokens: DataFrame, ids: str = "token_ids", out: str = "decoded", path: str = RANKS) -> DataFrame:
-    """``tokens`` without ``ids``, plus ``out``: the decoded bytes (null ids: null)."""
-    keep = [f for f in tokens.schema.fields if f.name != ids]
+    """``tokens`` without ``ids``, plus ``out``: the decoded bytes (null ids: null).
+
+    A column that has the name of ``out`` is replaced, all others stay.
+    """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
-        for pdf in batches:
-            yield pdf.assign(**{out: [None if x is None else c.decode(x) for x in pdf.pop("_ids")]})
+        yield from tidied(pd.Series([None if x is None else c.decode(x) for x in some], dtype=object) for some in batches)
 
-    schema = type(tokens.schema)([*keep]).add(out, "binary")
-    return tokens.select(*[f.name for f in keep], F.col(ids).alias("_ids")).mapInPandas(run, schema)
+    return tokens.select(*without(tokens, ids, out), run.asNondeterministic()(named(ids)).alias(out))
 
 
 def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = RANKS) -> DataFrame:
@@ -208,19 +222,21 @@ def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", path: st
 
     Encoding, decoding and both digests in one pass, so that neither ids nor
     decoded bytes travel. Nulls and empty texts have no tokens; ids may be null or
-    repeat; other columns are not read.
+    repeat; long texts are encoded whole; other columns are not read.
     """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
-        for pdf in batches:
-            ids = [c.encode(t or "") for t in pdf["text"]]
-            yield pd.DataFrame({
-                "id": pdf["id"], "n_tokens": [len(x) // 4 for x in ids],
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(c.decode(x)).hexdigest() for x in ids],
-            })
-
-    kind = docs.schema[id].dataType.simpleString()
-    out = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id)
+
+        def digests(texts: pd.Series) -> pd.DataFrame:
+            rows = []
+            for t in texts:
+                x = c.encode(t or "")
+                rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(c.decode(x)).hexdigest()))
+            return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        yield from tidied(map(digests, batches), c.memo)
+
+    found = docs.select(named(id).alias("_id"), run.asNondeterministic()(named(text)).alias("_of"))
+    return found.select(F.col("_id").alias(id), "_of.*")

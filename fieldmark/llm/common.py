@@ -1,14 +1,17 @@
-"""Shared pieces: tables in the cluster's shared folder, whole groups from a sorted
-partition, and connected components."""
+"""Shared pieces: tables in the cluster's shared folder, column names that can't clash,
+bounded memory of worker processes, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,28 +41,59 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Frames that end where a group ends, from a partition sorted by ``keys``.
+def named(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    A group's rows never part; memory holds one batch and one group.
-    """
-    rest: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        last = pdf[keys].iloc[-1]
-        same = (pdf[keys] == last).all(axis=1).to_numpy()
-        start = len(pdf) - int(same[::-1].argmin()) if not same.all() else 0
-        if start:
-            yield pd.concat([*rest, pdf.iloc[:start]], ignore_index=True) if rest else pdf.iloc[:start]
-            rest = [pdf.iloc[start:]]
-        elif rest and not (rest[-1][keys].iloc[-1] == last).all():
-            yield pd.concat(rest, ignore_index=True)
-            rest = [pdf]
-        else:
-            rest.append(pdf)
-    if rest:
-        yield pd.concat(rest, ignore_index=True)
+
+def free_name(taken: Iterable[str], wish: str) -> str:
+    """``wish``, lengthened until no column in ``taken`` has it (Spark ignores case)."""
+    low = {c.lower() for c in taken}
+    while wish.lower() in low:
+        wish += "_"
+    return wish
+
+
+def without(df: DataFrame, *names: str) -> list[Column]:
+    """All columns of ``df`` but those of the given names, whatever their case."""
+    gone = {n.lower() for n in names}
+    return [named(c) for c in df.columns if c.lower() not in gone]
+
+
+class Memo(dict):
+    """Results that a worker process remembers, bounded in bytes; a full one takes no more."""
+
+    #: What one entry costs beside its key and value.
+    ENTRY = 200
+
+    def __init__(self, limit: int) -> None:
+        self.limit = self.room = limit
+
+    def keep(self, key: str | bytes, value: object, size: int = 0) -> None:
+        need = len(key) + size + self.ENTRY
+        if need <= self.room:
+            self.room -= need
+            self[key] = value
+
+    def clear(self) -> None:
+        super().clear()
+        self.room = self.limit
+
+
+def tidied(batches: Iterator, *memos: Memo) -> Iterator:
+    """``batches``; at their end the memos are emptied and free memory goes back to
+    the system, since a worker process lives on and serves later stages."""
+    try:
+        yield from batches
+    finally:
+        for memo in memos:
+            memo.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
 
 
 class Forest:
@@ -94,7 +128,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
-        seen = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000000007), F.sum("b")).first()
+        # exclusive or can't overflow, whatever the ids; the rows are distinct
+        seen = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if seen == mark or not seen[0]:
             break
         mark = seen

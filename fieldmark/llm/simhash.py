@@ -3,11 +3,12 @@
 A fingerprint is the bitwise majority over XXH64 values of word shingles. Links
 join fingerprints whose Hamming distance is at most ``radius``. Equal
 fingerprints collapse first. Two fingerprints within ``radius`` agree in at least
-one of ``radius + 1`` bit bands, so each band value is one shard; a shard's
+k of ``radius + k`` bit bands, so the values of each choice of k bands make one shard,
+with k chosen so that shards stay small; a shard's
 BK-tree (children keyed by their integer Hamming distance to the parent) takes
 every fingerprint in turn and a search follows only edges within the radius.
-Trees are built where their shard lies: at scale their sum has no proven bound,
-so they are routed by band and not broadcast. A band value with more than
+Trees are built where their shard lies: a broadcast would gather the fingerprints
+of all documents on the driver, so they are routed by band. A shard with more than
 ``shard_rows`` fingerprints is dealt into several trees, each of which answers
 all fingerprints of that value, so no task holds an unbounded shard.
 """
@@ -15,6 +16,7 @@ all fingerprints of that value, so no task holds an unbounded shard.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import Forest, components, saved
+from fieldmark.llm.common import Forest, Memo, components, named, saved, tidied, without
 
 
 def simhash(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -43,16 +45,17 @@ def simhash(text: bytes | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` without its text, plus ``fp`` (long). One narrow pass, no shuffle."""
-    keep = [f for f in docs.schema.fields if f.name != text]
+    """``docs`` without its text, plus ``fp`` (long), which replaces a column of that name.
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = [simhash(t, words, seed) for t in pdf.pop("_text")]
-            yield pdf.assign(fp=np.array(fps, np.uint64).view(np.int64))
+    One narrow pass without shuffle, in which only the text goes to Python.
+    """
+
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([simhash(t, words, seed) for t in texts], np.uint64).view(np.int64))
 
-    schema = type(docs.schema)([*keep]).add("fp", "long")
-    return docs.select(*[f.name for f in keep], F.col(text).cast("binary").alias("_text")).mapInPandas(run, schema)
+    return docs.select(*without(docs, text, "fp"), run.asNondeterministic()(named(text).cast("binary")).alias("fp"))
 
 
 class BKTree:
@@ -79,6 +82,19 @@ class BKTree:
             at = below
         return at
 
+    def nearest(self, value: int, radius: int) -> tuple[int, int] | None:
+        """Distance and node of the nearest within ``radius``; of equals the first node."""
+        best, stack = None, [0] if self.values else []
+        while stack:
+            at = stack.pop()
+            d = (self.values[at] ^ value).bit_count()
+            if d <= radius and (best is None or (d, at) < best):
+                best, radius = (d, at), d
+            kids = self.children[at]
+            if kids:
+                stack += [c for k, c in kids.items() if d - radius <= k <= d + radius]
+        return best
+
     def within(self, value: int, radius: int) -> Iterator[int]:
         """Nodes at distance ``radius`` or less."""
         stack = [0] if self.values else []
@@ -92,6 +108,27 @@ class BKTree:
                 stack += [c for k, c in kids.items() if d - radius <= k <= d + radius]
 
 
+def band_keys(n: int, radius: int, crowd: int = 64) -> list[Column]:
+    """Keys of ``fp``, of which two fingerprints within ``radius`` share at least one.
+
+    Each key is a choice of k of ``radius + k`` bands, with the least k that leaves, of
+    ``n`` fingerprints, about ``crowd`` to a key.
+    """
+    for together in range(1, 5):
+        bands = radius + together
+        cuts = [64 * k // bands for k in range(bands + 1)]
+        if n >> (64 * together // bands) <= crowd:
+            break
+    keys = []
+    for number, chosen in enumerate(combinations(range(bands), together)):
+        key, at = f"bigint({number}) << 48", 0
+        for k in chosen:
+            width = cuts[k + 1] - cuts[k]
+            key, at = f"{key} | (shiftrightunsigned(fp, {cuts[k]}) & {(1 << width) - 1}) << {at}", at + width
+        keys.append(F.expr(key))
+    return keys
+
+
 def hamming_links(fps: DataFrame, radius: int = 3, shard_rows: int = 4096) -> DataFrame:
     """``a, b``: links that connect what is within ``radius``.
 
@@ -99,9 +136,7 @@ def hamming_links(fps: DataFrame, radius: int = 3, shard_rows: int = 4096) -> Da
     that merge two groups are returned (at most one per fingerprint and tree), so
     large groups don't make all pairs; no link between groups is lost.
     """
-    bands = radius + 1
-    width = -(-64 // bands)
-    keys = [F.expr(f"bigint({k}) << 33 | (shiftrightunsigned(fp, {k * width}) & {(1 << min(width, 64 - k * width)) - 1})") for k in range(bands)]
+    keys = band_keys(fps.count(), radius)
     banded = fps.select("node", "fp", F.explode(F.array(*keys)).alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     dealt = banded.join(sizes, "band").withColumn("trees", F.ceil(F.col("n") / shard_rows).cast("int"))
@@ -133,30 +168,32 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
     Nulls: a null text has no words (fingerprint 0, linked like any other); a row
     with a null id takes part and gets the component of its fingerprint. Repeated
-    rows and ids stay repeated. An empty table gives an empty result. Columns
-    other than ``id`` and ``text`` are not read.
+    rows and ids stay repeated. Long texts are hashed whole. An empty table gives an
+    empty result. Columns other than ``id`` and ``text`` are not read.
     """
-    rows = saved(fingerprints(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), words=words))
+    rows = saved(fingerprints(docs.select(named(id).cast("long").alias("id"), named(text).alias("text")), words=words))
     distinct = saved(rows.groupBy("fp").agg(F.min("id").alias("node")))
     found = components(hamming_links(distinct.where("node is not null"), radius))
     classes = distinct.join(found, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
     return rows.join(classes, "fp").select(F.col("id").alias(id), "fp", "component_id")
 
 
-#: Bits of a wide fingerprint, and the Hamming distance up to which two of them link unseen.
-WIDE, SURE = 256, 24
+#: Bits of a wide fingerprint, and the distance to a tree's nearest one up to which a fingerprint grows no tree.
+WIDE, CLOSE = 256, 24
 #: Rows of ids up to which a side is broadcast; beyond, both sides are dealt.
 FEW = 1_000_000
+#: Bytes of word hashes that one worker remembers during a task.
+MEMO = 48 << 20
 _MIX = [np.uint64(int(x)) for x in np.random.default_rng(10).integers(1, 1 << 62, WIDE // 64) * 2 + 1]
 
 
-class WordHashes(dict):
+class WordHashes(Memo):
     """XXH64 of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 42)
-        if len(self) < 500_000 and len(word) <= 40:
-            self[word] = h
+        if len(word) <= 40:
+            self.keep(word, h)
         return h
 
 
@@ -189,107 +226,52 @@ def agreement(similarity: float) -> float:
     return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
-def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95, shard_rows: int = 4096) -> DataFrame:
-    """``id, component_id`` of every row: the smallest id reachable over links of texts
-    whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+def shingle_prints(docs: DataFrame, text: Column, words: int) -> DataFrame:
+    """``docs`` plus ``print``: a wide fingerprint and a 128-bit digest of the shingle set."""
 
-    Wide fingerprints are dealt by several choices of their bits; each shard's BK-tree
-    finds what lies within the distance that similar texts keep. The number of bits
-    follows the number of fingerprints and the number of choices follows ``recall``,
-    so shards stay small. Very close fingerprints link at once and grow no tree; of the
-    others each text's nearest neighbour in every group so far is verified on the
-    whole texts. Then every pair of a shard that lies within the distance and is not
-    joined by verified links is verified as well, so that no group hides a partner. Texts without words are alike. Null ids, repeated rows and empty
-    tables are as in ``near_duplicates``.
-    """
-    p = agreement(similarity)
-    radius = int(WIDE * (1 - p) + 2.5 * (WIDE * p * (1 - p)) ** 0.5)
-    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    @F.pandas_udf("fp binary, sig binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes(MEMO)
 
-    def prints(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "fp": [wide_simhash(shingle_hashes(t, words, memo)) for t in pdf["text"]]})
+        def prints(texts: pd.Series) -> pd.DataFrame:
+            rows = []
+            for t in texts:
+                h = shingle_hashes(t, words, memo)
+                rows.append((wide_simhash(h), xxhash.xxh3_128_digest(h.tobytes())))
+            return pd.DataFrame(rows, columns=["fp", "sig"])
 
-    rows = saved(source.mapInPandas(prints, "id long, fp binary"))
-    distinct = saved(rows.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null"))
-    n = distinct.count()
-    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 2, 12, 32))
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - p**bits)))
-    picks = np.stack([np.random.default_rng(100 + k).choice(WIDE, bits, replace=False) for k in range(tables)])
+        yield from tidied(map(prints, batches), memo)
 
-    def deal(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        for pdf in batches:
-            others = [c for c in pdf.columns if c != "fp"]
-            for at in range(0, len(pdf), 1000):
-                some = pdf.iloc[at : at + 1000]
-                if len(some):
-                    flat = np.unpackbits(np.frombuffer(b"".join(some["fp"]), np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
-                    keys = flat[:, picks].astype(np.int64) @ weights | np.arange(tables, dtype=np.int64) << 32
-                    yield pd.DataFrame({"shard": keys.ravel(), **{c: np.repeat(some[c].to_numpy(), tables) for c in others}, "fp": np.repeat(some["fp"].to_numpy(), tables)})
-
-    dealt = distinct.mapInPandas(deal, "shard long, node long, fp binary")
-    crowded = dealt.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees"))
-    crowded = saved(crowded)
-    n_crowded = crowded.count()
-
-    def in_trees(dealt: DataFrame, first: Column) -> DataFrame:
-        """Each row in its own tree and, asking, in the others of its shard from ``first`` on."""
-        if n_crowded:
-            dealt = dealt.join(F.broadcast(crowded) if n_crowded <= FEW else crowded, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-        else:
-            dealt = dealt.withColumn("trees", F.lit(1))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "trees").cast("int")).withColumn("tree", F.explode(F.sequence(first, F.col("trees") - 1)))
-        return dealt.withColumn("asks", F.col("own") != F.col("tree")).drop("trees", "own")
+    return docs.withColumn("print", run.asNondeterministic()(text))
 
-    dealt = in_trees(dealt, F.lit(0))
 
+def _nearest_in_trees(radius: int):
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, forest, key, nodes = BKTree(), Forest(), None, []
+        """Of each row the nearest in its tree so far, from a partition sorted by tree.
+
+        A row close to one of the tree stays outside, so that a group of near copies
+        grows no large tree; what it hides is left to the second pass.
+        """
+        tree, key, nodes = BKTree(), None, []
         for pdf in batches:
             links = []
-            for shard, number, asks, node, fp in zip(pdf["shard"].tolist(), pdf["tree"].tolist(), pdf["asks"].tolist(), pdf["node"].tolist(), pdf["fp"], strict=True):
+            for shard, number, node, fp in zip(pdf["shard"].tolist(), pdf["tree"].tolist(), pdf["node"].tolist(), pdf["fp"], strict=True):
                 value = int.from_bytes(fp, "little")
                 if key != (shard, number):
-                    tree, forest, key, nodes = BKTree(), Forest(), (shard, number), []
-                near: dict[int, tuple[int, int]] = {}
-                for other in tree.within(value, radius):
-                    d, root = (tree.values[other] ^ value).bit_count(), forest.find(nodes[other])
-                    if root not in near or d < near[root][0]:
-                        near[root] = d, nodes[other]
-                for d, other in near.values():
-                    forest.join(node, other)
-                    links.append((node, other, d <= SURE))
-                if not asks and min((d for d, _ in near.values()), default=WIDE) > SURE and tree.insert(value) == len(nodes):
+                    tree, key, nodes = BKTree(), (shard, number), []
+                near = tree.nearest(value, radius)
+                if near:
+                    links.append((node, nodes[near[1]], near[0]))
+                if near is None or near[0] > CLOSE:
+                    tree.insert(value)
                     nodes.append(node)
-            yield pd.DataFrame(links, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
+            yield pd.DataFrame(links, columns=["a", "b", "d"]).astype({"a": "int64", "b": "int64", "d": "int32"})
 
-    found = saved(dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "asks", "node").mapInPandas(search, "a long, b long, sure boolean"))
-    sure, rest = found.where("sure").select("a", "b").distinct(), found.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return search
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose whole texts are similar."""
-        named = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        texts = saved(source.join(F.broadcast(named) if named.count() <= FEW else named, "id").groupBy("id").agg(F.min("text").alias("text")))
-        pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return pairs.mapInPandas(verify, "a long, b long")
-
-    def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
-        for pdf in batches:
-            keep = []
-            a = b = None
-            for i, j, x, y in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                if i != a:
-                    a, s = i, shingle_hashes(x, words, memo)
-                if j != b:
-                    b, t = j, shingle_hashes(y, words, memo)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both >= similarity * (len(s) + len(t) - both))
-            yield pdf.loc[keep, ["a", "b"]]
 
-    def missed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _unjoined_in_trees(radius: int):
+    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of a tree's own rows with all its rows, within the radius and not of one group."""
         key, kept = None, None
         for pdf in batches:
@@ -322,13 +304,105 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", w
             if len(a):
                 yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
 
-    links = saved(sure.unionByName(checked(rest)))
+    return search
+
+
+def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95, shard_rows: int = 4096) -> DataFrame:
+    """``id, component_id`` of every row: the smallest id reachable over links of texts
+    whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Texts of equal shingle sets collapse first. Wide fingerprints are dealt by several
+    choices of their bits; each shard's BK-tree finds what lies within the distance that
+    similar texts keep. The number of bits follows the number of fingerprints and the
+    number of choices follows ``recall``, so shards stay small. Every link is verified on
+    the whole texts: first that of each text to the nearest one found, then every pair of a
+    shard that lies within the distance and that verified links do not join, so that no
+    group hides a partner. A crowded shard is dealt into trees; in the second pass the rows
+    of its largest group stay in a tree each and the others visit all trees.
+
+    Texts without words are alike. Nulls, repeated rows, long texts and empty tables are
+    as in ``near_duplicates``; rows of null ids get the component of an equal shingle set,
+    if it has an id.
+    """
+    p = agreement(similarity)
+    radius = int(WIDE * (1 - p) + 2.5 * (WIDE * p * (1 - p)) ** 0.5)
+    source = docs.select(named(id).cast("long").alias("id"), named(text).cast("binary").alias("text"))
+    rows = saved(shingle_prints(source, F.col("text"), words).select("id", "print.fp", "print.sig"))
+    distinct = saved(rows.groupBy("sig").agg(F.min("id").alias("node"), F.min("fp").alias("fp")).where("node is not null"))
+    n = distinct.count()
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 2, 12, 32))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - p**bits)))
+    picks = np.stack([np.random.default_rng(100 + k).choice(WIDE, bits, replace=False) for k in range(tables)])
+
+    def deal(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for pdf in batches:
+            others = [c for c in pdf.columns if c != "fp"]
+            for at in range(0, len(pdf), 1000):
+                some = pdf.iloc[at : at + 1000]
+                if len(some):
+                    flat = np.unpackbits(np.frombuffer(b"".join(some["fp"]), np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+                    keys = flat[:, picks].astype(np.int64) @ weights | np.arange(tables, dtype=np.int64) << 32
+                    yield pd.DataFrame({"shard": keys.ravel(), **{c: np.repeat(some[c].to_numpy(), tables) for c in others}, "fp": np.repeat(some["fp"].to_numpy(), tables)})
+
+    dealt = distinct.select("node", "fp").mapInPandas(deal, "shard long, node long, fp binary")
+    crowded = saved(dealt.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees")))
+    n_crowded = crowded.count()
+
+    def small(frame: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(frame) if rows <= FEW else frame
+
+    def in_trees(dealt: DataFrame, crowded: DataFrame) -> DataFrame:
+        """Each row with its own tree; trees differ from shard to shard."""
+        if not n_crowded:
+            return dealt.withColumn("trees", F.lit(1)).withColumn("own", F.lit(0)).withColumn("top", F.lit(None).cast("long"))
+        dealt = dealt.join(small(crowded, n_crowded), "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+        return dealt.withColumn("own", F.pmod(F.xxhash64("node", "shard"), "trees").cast("int"))
+
+    first = in_trees(dealt, crowded).select("shard", F.col("own").alias("tree"), "node", "fp")
+    first = first.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "node")
+    found = first.mapInPandas(_nearest_in_trees(radius), "a long, b long, d int")
+    found = found.select(F.greatest("a", "b").alias("a"), F.struct("d", F.least("a", "b").alias("b")).alias("near"))
+    tried = saved(found.groupBy("a").agg(F.min("near").alias("near")).select("a", "near.b"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose whole texts are similar."""
+        ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        texts = saved(source.join(small(ids, ids.count()), "id").groupBy("id").agg(F.min("text").alias("text")))
+        pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        return pairs.mapInPandas(verify, "a long, b long")
+
+    def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes(MEMO)
+
+        def similar(pdf: pd.DataFrame) -> pd.DataFrame:
+            keep = []
+            a = b = None
+            for i, j, x, y in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
+                if i != a:
+                    a, s = i, shingle_hashes(x, words, memo)
+                if j != b:
+                    b, t = j, shingle_hashes(y, words, memo)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both >= similarity * (len(s) + len(t) - both))
+            return pdf.loc[keep, ["a", "b"]]
+
+        yield from tidied(map(similar, batches), memo)
+
+    links = saved(checked(tried))
     groups = components(links)
-    grouped = distinct.join(groups, "node", "left").select("node", F.coalesce("component_id", "node").alias("group"), "fp")
-    again = in_trees(grouped.mapInPandas(deal, "shard long, node long, group long, fp binary"), F.col("own"))
-    again = again.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "asks").mapInPandas(missed, "a long, b long")
-    again = saved(again.distinct().join(rest, ["a", "b"], "left_anti"))
+    grouped = saved(distinct.join(groups, "node", "left").select("node", F.coalesce("component_id", "node").alias("group"), "fp"))
+    again = grouped.mapInPandas(deal, "shard long, node long, group long, fp binary")
+    if n_crowded:
+        tops = again.join(small(crowded, n_crowded), "shard").groupBy("shard", "group", "trees").count().groupBy("shard", "trees").agg(F.max_by("group", F.struct("count", "group")).alias("top"))
+        crowded = saved(tops)
+    again = in_trees(again, crowded)
+    last = F.col("trees") - 1
+    visits = F.when(F.col("trees") == 1, F.array(F.lit(0))).when(F.col("group") == F.col("top"), F.array("own")).otherwise(F.sequence(F.lit(0), last))
+    again = again.withColumn("tree", F.explode(visits)).select("shard", "tree", "node", "group", "fp", (F.col("own") != F.col("tree")).alias("asks"))
+    again = again.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "asks").mapInPandas(_unjoined_in_trees(radius), "a long, b long")
+    again = saved(again.distinct().join(tried, ["a", "b"], "left_anti"))
     if again.limit(1).count():
         groups = components(links.unionByName(checked(again)))
-    classes = distinct.join(groups, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
-    return rows.join(classes, "fp", "left").select(F.col("id").alias(id), "component_id")
+    classes = distinct.join(groups, "node", "left").select("sig", F.coalesce("component_id", "node").alias("component_id"))
+    return rows.join(classes, "sig", "left").select(F.col("id").alias(id), "component_id")

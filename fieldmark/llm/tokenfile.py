@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm.bpe import MEMO_LENGTH, units
-from fieldmark.llm.common import shared_dir
+from fieldmark.llm.common import Memo, named, shared_dir, tidied
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CHUNK, RANK_BLOCK = 8, 512
-#: Results that one worker remembers.
-MEMO = 700_000
-#: Ids of a stored block; a longer document has a block of its own.
-BLOCK_IDS = 1 << 20
+#: Bytes of results that one worker remembers during a task.
+MEMO = 128 << 20
+#: Ids of a stored block (a longer document has a block of its own), and bytes of text that one task encodes, about.
+BLOCK_IDS, RANGE_BYTES = 1 << 20, 64 << 20
 BLOCKS = "part int, block int, n_ids long, doc_ids binary, nulls binary, ends binary, codes binary"
 
 
@@ -114,7 +114,9 @@ class AddressableCodes:
 class LibraryEncoder:
     """Whole texts through the tokenizers library, which sees each distinct part once.
 
-    Parts begin where a pre-token must begin, so their ids in a row are the text's.
+    Parts begin where a pre-token must begin, so their ids in a row are the text's. The
+    vocabulary's added tokens (such as an end mark) are recognised in a text as the
+    library does by default; a text that holds one stays in one part.
     """
 
     def __init__(self, path: str) -> None:
@@ -122,18 +124,23 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memo = Memo(MEMO)
+
+    def parts(self, text: str) -> list[str]:
+        return [text] if any(map(text.__contains__, self.added)) else units(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [units(t) for t in texts]
+        parts = [self.parts(t) for t in texts]
         memo = self.memo
         new = list({u for p in parts for u in p if u not in memo})
         own: dict[str, bytes] = {}
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (memo if len(memo) < MEMO and len(u) <= MEMO_LENGTH else own)[u] = array("I", e.ids).tobytes()
+                own[u] = x = array("I", e.ids).tobytes()
+                if len(u) <= MEMO_LENGTH:
+                    memo.keep(u, x, len(x))
         get = memo.get
         return [b"".join([got if (got := get(u)) is not None else own[u] for u in p]) for p in parts]
 
@@ -151,11 +158,16 @@ def write_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     """Write the ids of every row's whole text, in ascending id order, to ``path``.
 
     A null text encodes as an empty one; ``end_id`` follows every document. Null
-    ids come first and equal ids stand in the order of their texts. One range
-    shuffle; each task writes blocks of at most ``block_ids`` ids or one document.
+    ids come first and equal ids stand in the order of their texts. A text of any
+    length is encoded whole; an empty table writes no block. Other columns are not
+    read. One range shuffle into ranges of about ``RANGE_BYTES`` of text; each task
+    writes blocks of at most ``block_ids`` ids or one document.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from tidied(blocks(batches), encoder(vocabulary).memo)
+
+    def blocks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, block = TaskContext.get().partitionId(), 0
         enc, docs_, ids, size = encoder(vocabulary), [], [], 0
         tail = struct.pack("<I", end_id)
@@ -170,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
             return pd.DataFrame([row], columns=["part", "block", "n_ids", "doc_ids", "nulls", "ends", "codes"])
 
         for pdf in batches:
-            keys = [None if pd.isna(d) else int(d) for d in pdf["id"]]
+            keys = [None if gone else int(d) for d, gone in zip(pdf["id"], pdf["none"], strict=True)]
             texts = [t or "" for t in pdf["text"]]
             for at in range(0, len(texts), 500):
                 for d, x in zip(keys[at : at + 500], enc.encode(texts[at : at + 500]), strict=True):
@@ -182,8 +194,12 @@ def write_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
         if docs_:
             yield flush()
 
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # a null id travels as a mark beside 0, since Python would read a column with nulls as floats
+    key = named(id).cast("long")
+    rows = docs.select(key.isNotNull().alias("some"), F.coalesce(key, F.lit(0)).alias("id"), named(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ordered = rows.repartitionByRange(ranges, "some", "id").sortWithinPartitions("some", "id", "text").select("id", (~F.col("some")).alias("none"), "text")
     ordered.mapInPandas(run, BLOCKS).write.parquet(path)
 
 
