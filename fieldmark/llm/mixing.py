@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import saved
+from fieldmark.llm.common import named, saved
 
 #: Sweeps over all margins between two looks at the error, and at most.
 SWEEPS, MOST_SWEEPS = 5, 60
@@ -96,14 +96,17 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame | dict | None], fraction:
     ``targets``: for each margin, a column of ``docs``, the shares of its values, as
     a dict or as a frame ``value, share``; None: equal shares. ``fraction``: the part
     of the input's tokens to keep in expectation. Documents of values without a
-    target, and those without tokens, have weight and probability 0 and go. Rows
-    with equal ids are kept or left together; null ids count as one id. An empty
-    table gives an empty result.
+    target, and those without tokens, have weight and probability 0 and go; a null is a
+    value of its own. Rows with equal ids are kept or left together; null ids count as
+    one id. Long texts are counted whole. An empty table gives an empty result. Columns
+    of ``docs`` that have one of the four names are replaced, all others stay.
     """
     spark = docs.sparkSession
-    names = {m: f"_m_{k}" for k, m in enumerate(targets)}
-    counted = docs.withColumn("n_tokens", tokens(F.col(f"`{text}`")))
-    cells = saved(counted.groupBy(*[F.col(f"`{m}`").cast("string").alias(n) for m, n in names.items()]).agg(F.sum("n_tokens").alias("tokens")))
+    at = {c.lower(): f"c{k}" for k, c in enumerate(docs.columns)}
+    counted = docs.select(*[named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).withColumn("n_tokens", tokens(F.col(at[text.lower()])))
+    names = {m: f"m{k}" for k, m in enumerate(targets)}
+    value = {n: F.col(at[m.lower()]).cast("string") for m, n in names.items()}
+    cells = saved(counted.groupBy(*[v.alias(n) for n, v in value.items()]).agg(F.sum("n_tokens").alias("tokens")))
     wanted = {}
     for m, n in names.items():
         t = targets[m]
@@ -113,10 +116,11 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame | dict | None], fraction:
     raked = rake(cells, wanted)
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     found = saved(probabilities(raked, fraction * total, total)).drop("tokens", "share")
-    same = reduce(lambda a, b: a & b, [F.col(f"`{m}`").cast("string").eqNullSafe(F.col(n)) for m, n in names.items()])
+    same = reduce(lambda a, b: a & b, [v.eqNullSafe(F.col(n)) for n, v in value.items()])
     # the cells' number is bounded by the margins; a plain join where it isn't small
-    out = counted.join(F.broadcast(found) if found.count() <= 100_000 else found, same, "left").drop(*names.values())
+    out = counted.join(F.broadcast(found) if found.count() <= 100_000 else found, same, "left")
     p = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
     w = F.when(F.col("n_tokens") > 0, F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
-    out = out.withColumn("weight", w).withColumn("probability", p)
-    return out.withColumn("kept", draw(F.col(f"`{id}`"), seed) < F.col("probability"))
+    results = {"n_tokens": F.col("n_tokens"), "weight": w, "probability": p, "kept": draw(F.col(at[id.lower()]), seed) < p}
+    kept = [F.col(at[c.lower()]).alias(c) for c in docs.columns if c.lower() not in results]
+    return out.select(*kept, *[c.alias(n) for n, c in results.items()])

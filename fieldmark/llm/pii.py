@@ -5,7 +5,9 @@ and group rules) are permuted inside their format by a keyed Feistel network, so
 pseudonym is valid where its original was, two originals never share one, and
 equal values stay linked across documents without any shared table. One half of
 the symbols is shifted by a keyed digest of the other half, in turns; each symbol
-moves within its own radix, so every format is a domain of its own.
+moves within its own radix, so every format is a domain of its own. One exception:
+domains of e-mail addresses are written in small letters, since their case means nothing.
+Dates with slashes are a domain of their own beside the other formats of dates, which share one.
 
 Found: secrets behind a name (``token = ...``), e-mail addresses (the part before
 the @), IBANs, IPv4 addresses, phone numbers, payment cards, US social security
@@ -17,7 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmark.llm.common import named
+
 ROUNDS = 8
+FIRST_DAY = "date'1700-01-01'"
 #: First code point and size of each class of symbols that a symbol stays in.
 CLASSES = ((48, 10), (97, 26), (65, 26), (223, 24), (248, 8), (192, 23), (216, 7))
 #: Kinds in the order in which they claim a stretch of text.
@@ -109,13 +114,37 @@ def _pseudonym(kind: str, key: str) -> str:
         moved = _permuted("array(v[0] - if(v[0] > 666, 2, 1), v[1] - 1, v[2] - 1)", "array(898, 99, 9999)", key, kind)
         out = _let("w", moved, "concat(lpad(w[0] + if(w[0] > 664, 2, 1), 3, '0'), '-', lpad(w[1] + 1, 2, '0'), '-', lpad(w[2] + 1, 4, '0'))")
         return _let("v", "transform(split(m, '-'), x -> int(x))", f"if(v[0] between 1 and 899 and v[0] <> 666 and v[1] > 0 and v[2] > 0, {out}, m)")
-    formats = {"^[0-9]{4}-": "yyyy-MM-dd", "^[0-9]{4}/": "yyyy/MM/dd", r"\.": "dd.MM.yyyy"}
-    cases = [f"when m rlike {_sql(p)} then '{f}'" for p, f in formats.items()] + ["when try_to_timestamp(m, 'MM/dd/yyyy') is not null then 'MM/dd/yyyy'"]
-    day0 = "date'1700-01-01'"
-    moved = _permuted("array(int(n div 773), int(n % 773))", "array(189, 773)", key, kind)
-    new = _let("w", moved, f"date_format(date_add({day0}, w[0] * 773 + w[1]), f)")
-    days = f"datediff(date(try_to_timestamp(m, f)), {day0})"
-    return _let("f", "case " + " ".join(cases) + " else 'dd/MM/yyyy' end", _let("n", days, f"if(n between 0 and 146096, {new}, m)"))
+    return f"if(m rlike '^[0-9]{{2}}/', {_slashed_date(key)}, {_date(key)})"
+
+
+def _date(key: str) -> str:
+    """A day of 1700 to 2099 in a format that says where day and month stand."""
+    format = "case when m rlike '^[0-9]{4}-' then 'yyyy-MM-dd' when m rlike '^[0-9]{4}/' then 'yyyy/MM/dd' else 'dd.MM.yyyy' end"
+    moved = _permuted("array(int(n div 773), int(n % 773))", "array(189, 773)", key, "date")
+    new = _let("w", moved, f"date_format(date_add({FIRST_DAY}, w[0] * 773 + w[1]), f)")
+    days = f"datediff(date(try_to_timestamp(m, f)), {FIRST_DAY})"
+    return _let("f", format, _let("n", days, f"if(n between 0 and 146096, {new}, m)"))
+
+
+def _slashed_date(key: str) -> str:
+    """A day as dd/MM/yyyy or MM/dd/yyyy. What can be read both ways stays so, and what
+    can be read one way stays in that way, so that no two values meet.
+
+    Days from the 13th on are numbered without the first twelve of each month: there
+    are 9 x 9833 of them in 400 years.
+    """
+    both = _permuted("array(v[0] - 1, v[1] - 1, v[2] - 1700)", "array(12, 12, 400)", key, "date both ways")
+    either = _let("w", both, "concat(lpad(w[0] + 1, 2, '0'), '/', lpad(w[1] + 1, 2, '0'), '/', w[2] + 1700)")
+    months = "12 * (v[2] - 1700) + if(v[0] > 12, v[1], v[0])"
+    rank = f"datediff(date(try_to_timestamp(m, f)), {FIRST_DAY}) - 12 * ({months})"
+    moved = _permuted("array(int(n div 9833), int(n % 9833))", "array(9, 9833)", key, "date one way")
+    before = f"datediff(add_months({FIRST_DAY}, x), {FIRST_DAY}) - 12 * x"
+    after = f"datediff(add_months({FIRST_DAY}, x + 1), {FIRST_DAY}) - 12 * (x + 1)"
+    month = f"filter(sequence(greatest(r * 4800 div 88497 - 2, 0), r * 4800 div 88497 + 2), x -> {before} <= r and r < {after})[0]"
+    day = _let("y", f"int({month})", f"date_format(date_add({FIRST_DAY}, r + 12 * (y + 1)), f)")
+    one = _let("n", rank, f"if(n is null, m, {_let('w', moved, _let('r', 'w[0] * 9833 + w[1]', day))})")
+    one = _let("f", "if(v[0] > 12, 'dd/MM/yyyy', 'MM/dd/yyyy')", one)
+    return _let("v", "transform(split(m, '/'), x -> int(x))", f"case when v[2] not between 1700 and 2099 or v[0] = 0 or v[1] = 0 or least(v[0], v[1]) > 12 then m when greatest(v[0], v[1]) <= 12 then {either} else {one} end")
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS), count: str | None = None) -> DataFrame:
@@ -123,17 +152,20 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", kinds: tuple[str
 
     ``count``: name of an added column with the number of replaced values (null for
     a null text). One narrow pass without shuffle. A null text stays null, an empty
-    one empty; rows and ids may repeat; an empty table gives an empty result. Only
-    names beginning with ``_pii_`` are reserved.
+    one empty; texts of any length are searched whole; rows and ids may repeat; an empty
+    table gives an empty result. A column that has the name of ``count`` is replaced.
     """
     master = _sql("|".join(PATTERNS[k] for k in kinds))
     which = " ".join(f"when m rlike {_sql('^(?:' + PATTERNS[k] + ')$')} then {_pseudonym(k, key)}" for k in kinds)
-    text_, keep = f"`{text}`", docs.columns
-    found = docs.withColumn("_pii_found", F.expr(f"if({text_} rlike '{HINT}', regexp_extract_all({text_}, {master}, 0), array())"))
-    new = found.withColumn("_pii_new", F.expr(f"transform(_pii_found, m -> case {which} else m end)"))
-    joined = f"array_join(flatten(zip_with(split({text_}, {master}, -1), _pii_new, (g, m) -> array(g, coalesce(m, '')))), '')"
-    out = {c: F.col(f"`{c}`") for c in keep} | {text: F.expr(f"if(size(_pii_found) > 0, {joined}, {text_})")}
+    at = {c.lower(): f"c{k}" for k, c in enumerate(docs.columns)}
+    text_ = at[text.lower()]
+    rows = docs.select(*[named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    found = rows.withColumn("found", F.expr(f"if({text_} rlike '{HINT}', regexp_extract_all({text_}, {master}, 0), array())"))
+    new = found.withColumn("new", F.expr(f"transform(found, m -> case {which} else m end)"))
+    joined = f"array_join(flatten(zip_with(split({text_}, {master}, -1), new, (g, m) -> array(g, coalesce(m, '')))), '')"
+    out = {c: F.col(at[c.lower()]) for c in docs.columns} | {text: F.expr(f"if(size(found) > 0, {joined}, {text_})")}
     if count:
-        changed = F.expr("size(filter(zip_with(_pii_found, _pii_new, (a, b) -> a <> b), x -> x))")
+        out = {c: x for c, x in out.items() if c.lower() != count.lower()}
+        changed = F.expr("size(filter(zip_with(found, new, (a, b) -> a <> b), x -> x))")
         out[count] = F.when(F.col(text_).isNotNull(), changed)
     return new.select(*[c.alias(n) for n, c in out.items()])
