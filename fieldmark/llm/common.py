@@ -46,12 +46,10 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def free_name(taken: Iterable[str], wish: str) -> str:
-    """``wish``, lengthened until no column in ``taken`` has it (Spark ignores case)."""
-    low = {c.lower() for c in taken}
-    while wish.lower() in low:
-        wish += "_"
-    return wish
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns ``c0, c1 ...``, and the new name of each: nothing added to it can clash."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.select(*[named(c).alias(n) for c, n in names.items()]), names
 
 
 def without(df: DataFrame, *names: str) -> list[Column]:

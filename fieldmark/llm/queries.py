@@ -115,13 +115,13 @@ def op8_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(id: str = "doc_id") -> Column:
-    return F.crc32(F.col(id).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fitted on those not held out."""
     docs = _table(spark, sf_dir, "documents")
-    model = langid.train(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    model = langid.train(docs.where(~held_out()))
     return langid.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
