@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes e
 stage's rows as Parquet in the cluster's shared folder and reads them again for the
 next one, so a lost executor costs no finished stage. All stages but the last
 return the columns of ``documents``; the last adds token ids.
+
+Further columns are carried along under any name. Null ids stay as rows of their own
+where a stage compares ids; null, empty and letterless texts go in the first stage;
+repeated rows are one document to the second. Texts of any length are read whole, and
+an empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import bpe, langid, mixing, pii, queries, simhash
-from fieldmark.llm.common import saved
+from fieldmark.llm.common import numbered, saved
 
 #: The prediction's score from which on a document counts as written in that language.
 LEAST_SCORE = 0.5
@@ -25,10 +30,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without a letter, null texts and undecided ones go.
     """
-    model = langid.train(docs)
-    found = langid.identify(docs, model)
-    sure = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return sure.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    rows, at = numbered(docs)
+    found = langid.identify(rows, langid.train(docs), at["text"])
+    sure = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn(at["lang"], F.col("lang_pred"))
+    return sure.select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +50,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for personal data; ``n_chars`` follows the text."""
     out = pii.pseudonymise(docs, queries.PII_KEY)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics meet their targets."""
-    tagged = docs.withColumn("_topic", queries.topic(F.col("text")))
-    mixed = mixing.mix(tagged, {"source": None, "lang": queries.LANGUAGES, "_topic": queries.TOPICS}, MIX_FRACTION)
-    return mixed.where("kept").select(*docs.columns)
+    rows, at = numbered(docs)
+    tagged = rows.withColumn("topic", queries.topic(F.col(at["text"])))
+    targets = {at["source"]: None, at["lang"]: queries.LANGUAGES, "topic": queries.TOPICS}
+    mixed = mixing.mix(tagged, targets, MIX_FRACTION, at["doc_id"], at["text"])
+    return mixed.where("kept").select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns without text, plus ``token_ids`` and ``n_tokens``.
+    """The documents' columns without text, plus ``token_ids`` and ``n_tokens``, which
+    replace columns of these names.
 
     ``token_ids``: little-endian 32-bit ids, which decode to the text's bytes.
     """
