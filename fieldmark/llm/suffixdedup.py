@@ -8,17 +8,20 @@ form one stretch of text. Equal windows have equal minimizers, so:
 1. Stretches are dealt by minimizer, as hashes only. Of equal stretches all but the
    first go; that needs no text. Each task collapses its own first, so that a group
    of copies or a common line sends few rows.
-2. Where one minimizer stands in different stretches, their text is fetched, and an
-   index is built over whole minimizer groups: the Burrows-Wheeler transform of the
-   stretches, run-compressed, with the text position sampled at each run's ends and
-   the borders of rows that share ``span`` bytes. All stretches stream through it
-   from right to left by LF steps, side by side; the row reached at each byte says
-   which longer-than-``span`` matches begin there and where the first of them is.
+2. Where one minimizer stands in different stretches, their text is fetched. Of each
+   group of stretches the earlier half is indexed: the Burrows-Wheeler transform,
+   run-compressed, with the text position sampled at each run's ends. The later half
+   streams past it from right to left: matching statistics, the length of the longest
+   match that begins at each byte and a place of it. Where the next byte is not that of the
+   row's run, the match goes on from the nearest run of that byte above or below, at the
+   position sampled there, whichever agrees longer with the text. Matches of ``span`` bytes
+   or more are marked. The halves are then halved in turn, without what is marked already,
+   so an index holds text of which little repeats. Groups share indexes side by side.
 3. Each document's marked bytes are united and cut out.
 
 Where a minimizer stands in too many different stretches, their windows are settled like
-equal stretches: single windows are either equal or not, so their hashes say it all.
-No text of theirs travels, and no index grows with the number of copies.
+equal stretches: single windows are either equal or not, so their hashes of 128 bits say it
+all. No text of theirs travels, and no index grows with the number of copies.
 """
 
 from __future__ import annotations
@@ -31,11 +34,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import saved
+from fieldmark.llm.common import named, saved
 
 SPAN, GRAM = 100, 32
 #: Bytes hashed at once, bytes of an index, stretches and their bytes from which a minimizer is settled by windows, windows settled at once.
-PIECE, INDEX_BYTES, HOT, HOT_BYTES, LOT = 1 << 20, 1 << 20, 20_000, 1 << 22, 200_000
+PIECE, INDEX_BYTES, HOT, HOT_BYTES, LOT = 1 << 20, 1 << 20, 256, 1 << 20, 200_000
 _PLACE = np.uint64((1 << 21) - 1)
 NO_ID = -(1 << 63)
 _RNG = np.random.default_rng(20240607)
@@ -81,84 +84,158 @@ def stretches(data: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.
 
 
 class RunIndex:
-    """Run-length compressed index of some strings, kept in the order of their origin.
+    """Run-length compressed index of some strings, each closed by a mark.
 
-    Of the suffix order only what a run-length index holds is kept: the runs of the
-    transform, the text position at each run's first and last row, the row at each
-    string's end, and the borders between rows that differ in their first ``span`` bytes.
+    Of the suffix order only the runs of the transform are kept, with the text position
+    at each run's first and last row; the text itself serves to compare two places.
     """
 
-    def __init__(self, strings: list[bytes], span: int = SPAN) -> None:
-        self.lengths = np.array([len(s) for s in strings])
-        self.ends = np.cumsum(self.lengths + 1) - 1
-        text = np.zeros(int(self.ends[-1]) + 1, np.uint64)
-        inside = np.ones(len(text), bool)
-        inside[self.ends] = False
-        text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1)
-        order, classes = self._suffixes(text, span)
-        row_class = classes[order]
-        self.border = np.concatenate([[False], row_class[1:] != row_class[:-1]]).cumsum()
-        bwt = text[order - 1].astype(np.int64)
-        self.run_start = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        self.run_symbol = bwt[self.run_start]
-        size = np.diff(np.append(self.run_start, len(bwt)))
-        self.first_sample, self.last_sample = order[self.run_start], order[self.run_start + size - 1]
-        # rows of each symbol before each run: what an LF step adds to
-        by = np.lexsort((self.run_start, self.run_symbol))
-        cum = np.cumsum(size[by]) - size[by]
-        self.run_to = np.empty(len(by), np.int64)
-        self.run_to[by] = cum
-        rows = np.empty(len(order), np.int64)
-        rows[order] = np.arange(len(order))
-        self.end_row = rows[self.ends]
+    def __init__(self, strings: list[bytes]) -> None:
+        self.text = _marked_text(strings)
+        order = self._suffixes(self.text)
+        bwt = self.text[order - 1].astype(np.int64)
+        self.start = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+        self.symbol = bwt[self.start]
+        size = np.diff(np.append(self.start, len(bwt)))
+        self.end = self.start + size - 1
+        self.first_sample, self.last_sample = order[self.start], order[self.end]
+        # rows of smaller symbols, and of a run's symbol before it: what an LF step adds to
+        self.by_symbol = np.lexsort((self.start, self.symbol))
+        self.to = np.empty(len(size), np.int64)
+        self.to[self.by_symbol] = np.cumsum(size[self.by_symbol]) - size[self.by_symbol]
+        self.keys = self.symbol[self.by_symbol] * len(size) + self.by_symbol
+        self.words = _words(self.text)
 
     @staticmethod
-    def _suffixes(text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order by prefix doubling, and a number for each start's ``span`` symbols."""
+    def _suffixes(text: np.ndarray) -> np.ndarray:
+        """Suffix order by prefix doubling."""
         n = len(text)
         key, depth = np.zeros(n, np.uint64), 6
         for k in range(depth):
             key = key * np.uint64(257)
-            key[: n - k] += text[k:]
-        rank, classes = np.unique(key, return_inverse=True)[1].astype(np.int64), None
+            key[: n - k] += text[k:].astype(np.uint64)
         while True:
-            if classes is None and 2 * depth >= span:
-                other = np.full(n, -1, np.int64)
-                if n > span - depth:
-                    other[: n - (span - depth)] = rank[span - depth :]
-                classes = np.unique(rank * (n + 1) + other + 1, return_inverse=True)[1] if depth < span else rank
-            if classes is not None and rank.max(initial=0) == n - 1:
-                break
-            other = np.full(n, -1, np.int64)
-            if n > depth:
-                other[: n - depth] = rank[depth:]
-            rank, depth = np.unique(rank * (n + 1) + other + 1, return_inverse=True)[1].astype(np.int64), 2 * depth
-        order = np.empty(n, np.int64)
-        order[rank] = np.arange(n)
-        return order, classes
-
-    def step(self, row: np.ndarray) -> np.ndarray:
+            order = np.argsort(key, kind="stable")
+            ranked = key[order]
+            number = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
+            if number[-1] == n - 1:
+                return order
+            rank = np.empty(n, np.int64)
+            rank[order] = number
+            other = np.zeros(n, np.int64)
+            other[: n - depth] = rank[depth:] + 1
+            key, depth = rank * (n + 1) + other, 2 * depth
+
+    def step(self, run: np.ndarray, row: np.ndarray) -> np.ndarray:
         """LF: the rows of the suffixes one symbol longer to the left."""
-        run = np.searchsorted(self.run_start, row, side="right") - 1
-        return self.run_to[run] + row - self.run_start[run]
-
-    def repeats(self, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-        """``string, offset`` of each start whose ``span`` bytes also start earlier."""
-        row, left = self.end_row.copy(), self.lengths.copy()
-        live = np.flatnonzero(left > 0)
-        string, offset, group = [], [], []
+        return self.to[run] + row - self.start[run]
+
+    def agreement(self, at: np.ndarray, words: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Symbols, up to ``most``, in which the text from ``at`` agrees with a pattern from ``place``."""
+        out, live, k = np.zeros(len(at), np.int64), np.flatnonzero(most > 0), 0
+        while len(live):
+            differ = self.words[np.minimum(at[live] + k, len(self.words) - 1)] ^ words[place[live] + k]
+            low = (differ & (~differ + np.uint64(1))).astype(np.float64)
+            out[live] = np.minimum(most[live], k + np.where(differ == 0, WORD, np.frexp(low)[1] - 1 >> 4))
+            k += WORD
+            live = live[(differ == 0) & (most[live] > k)]
+        return out
+
+    def statistics(self, patterns: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``pattern, offset, length, place`` for each byte of each pattern, right to left:
+        the longest match that begins there and the text position of one such match."""
+        text = _marked_text(patterns)
+        words, left = _words(text), np.array([len(p) for p in patterns])
+        begin = np.cumsum(left + 1) - left - 1
+        row, length = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
+        at = np.full(len(patterns), self.first_sample[0])
+        runs, live = len(self.start), np.flatnonzero(left > 0)
         while len(live):
-            row[live] = self.step(row[live])
+            place = begin[live] + left[live]
+            symbol, r = text[place - 1].astype(np.int64), row[live]
+            run = np.searchsorted(self.start, r, side="right") - 1
+            miss = np.flatnonzero(self.symbol[run] != symbol)
+            if len(miss):
+                i, c, here, most = live[miss], symbol[miss], place[miss], length[live[miss]]
+                k = np.searchsorted(self.keys, c * runs + run[miss])
+                below, above = np.minimum(k, runs - 1), np.maximum(k - 1, 0)
+                has_below, has_above = (k < runs) & (self.keys[below] // runs == c), (k > 0) & (self.keys[above] // runs == c)
+                below, above = self.by_symbol[below], self.by_symbol[above]
+                n_below = np.where(has_below, self.agreement(self.first_sample[below], words, here, np.where(has_below, most, 0)), -1)
+                n_above = np.where(has_above, self.agreement(self.last_sample[above], words, here, np.where(has_above, most, 0)), -1)
+                up = n_above > n_below
+                best = np.maximum(n_below, n_above)
+                run[miss] = np.where(up, above, below)
+                r[miss] = np.where(up, self.end[above], self.start[below])
+                at[i] = np.where(up, self.last_sample[above], self.first_sample[below])
+                length[i] = best
+            row[live] = self.step(run, r)
+            at[live] -= 1
+            length[live] += 1
             left[live] -= 1
-            long = live[self.lengths[live] - left[live] >= span]
-            string.append(long), offset.append(left[long]), group.append(self.border[row[long]])
+            found = length[live] > 0
+            if not found.all():  # a byte that the text doesn't have
+                gone = live[~found]
+                row[gone], at[gone], length[gone] = 0, self.first_sample[0], 0
+            yield live, left[live], length[live], at[live]
             live = live[left[live] > 0]
-        string, offset, group = np.concatenate(string), np.concatenate(offset), np.concatenate(group)
-        at = (self.ends - self.lengths)[string] + offset
-        first = np.full(int(self.border[-1]) + 1, at.max(initial=0) + 1)
-        np.minimum.at(first, group, at)
-        late = at > first[group]
-        return string[late], offset[late]
+
+
+#: Symbols that are compared at once.
+WORD = 4
+
+
+def _marked_text(strings: list[bytes]) -> np.ndarray:
+    """Bytes plus one, and 0 behind each string."""
+    lengths = np.array([len(s) for s in strings])
+    text, inside = np.zeros(int(lengths.sum()) + len(strings), np.uint16), np.ones(int(lengths.sum()) + len(strings), bool)
+    inside[np.cumsum(lengths + 1) - 1] = False
+    text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + np.uint16(1)
+    return text
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    wide = np.concatenate([text, np.zeros(WORD, np.uint16)]).astype(np.uint64)
+    return wide[:-4] | wide[1:-3] << np.uint64(16) | wide[2:-2] << np.uint64(32) | wide[3:-1] << np.uint64(48)
+
+
+def repeats(texts: list[bytes], group: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """``string, offset`` of each window whose bytes also stand in an earlier string of its group.
+
+    ``group``: equal numbers side by side, strings in order of origin. No window of one
+    string is in another group.
+    """
+    n = len(texts)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    rank = np.arange(n) - starts[number]
+    windows = np.array([len(t) for t in texts]) - span + 1
+    base = np.cumsum(windows) - windows
+    gone = np.zeros(int(windows.sum()), bool)
+    low, high = np.zeros(n, np.int64), windows.copy()  # of each string what is not marked yet lies between
+    for k in reversed(range(int(rank.max(initial=0)).bit_length())):
+        block, late = rank >> (k + 1), (rank >> k & 1).astype(bool)
+        for b in np.unique(block[late]):
+            right = np.flatnonzero((block == b) & late & (low < high))
+            asked = np.zeros(len(starts), bool)
+            asked[number[right]] = True
+            left = np.flatnonzero((block == b) & ~late & (low < high) & asked[number])
+            asked[:] = False
+            asked[number[left]] = True
+            right = right[asked[number[right]]]
+            if not len(right):
+                continue
+            part = lambda i: texts[i][low[i] : high[i] + span - 1]
+            for i, offset, length, _ in RunIndex([part(i) for i in left]).statistics([part(i) for i in right]):
+                long = length >= span
+                i = right[i[long]]
+                gone[base[i] + low[i] + offset[long]] = True
+            for i in right:
+                own = np.flatnonzero(~gone[base[i] : base[i] + windows[i]])
+                low[i], high[i] = (own[0], own[-1] + 1) if len(own) else (0, 0)
+    at = np.flatnonzero(gone)
+    string = np.searchsorted(base, at, side="right") - 1
+    return string, at - base[string]
 
 
 def _pieces(texts: list[bytes], ids: np.ndarray, ties: np.ndarray, span: int) -> Iterator[tuple]:
@@ -295,9 +372,7 @@ def _index(span: int):
 
         def marked(parts: list[pd.DataFrame]) -> pd.DataFrame:
             pdf = pd.concat(parts, ignore_index=True)
-            string, offset = RunIndex(pdf["text"].tolist(), span).repeats(span)
-            by = np.lexsort((offset, string))
-            string, offset = string[by], offset[by]
+            string, offset = repeats(pdf["text"].tolist(), pdf["h"].to_numpy(), span)
             new = np.concatenate([[True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(string) else np.zeros(0, bool)
             at = np.flatnonzero(new)
             last = np.append(at[1:], len(string)) - 1
@@ -351,14 +426,15 @@ def _cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", span: int = SPAN, hot: int = HOT) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept`` (binary) of every row.
 
-    A null text is empty; a null id comes before all others. Rows alike in id and text
+    A null text is empty; a null id comes before all others. Texts of any length are
+    searched whole, a piece at a time. Rows alike in id and text
     are one document and share its result; rows of equal id and other text are told
     apart and ordered by a hash of the text. Texts shorter than ``span`` stay whole. An
     empty table gives an empty result. Columns other than the two are not read.
     """
     if span < GRAM:
         raise ValueError(f"span must be {GRAM} bytes or more")
-    rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rows = docs.select(F.coalesce(named(id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(named(text).cast("binary"), F.lit(b"")).alias("text"))
     alike = rows.groupBy("id").count().where("count > 1").limit(1).count()
     rows = rows.withColumn("tie", F.xxhash64("text") if alike else F.lit(0).cast("long")).select("id", "tie", "text")
     found = rows.where(F.octet_length("text") >= span).mapInPandas(_find(span), STRETCHES)
