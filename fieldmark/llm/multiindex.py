@@ -21,10 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import components, saved
+from fieldmark.llm.common import components, named, saved
 
-#: Vectors that the codebooks and the bound are fitted on, at most; centroids of a half, at most; vectors of a block (and, about, of a cell).
-SAMPLE, CENTROIDS, BLOCK = 8192, 256, 4096
+#: Vectors that the codebooks and the bound are fitted on (or 16 for each centroid, if more); vectors of a block (and, about, of a cell); cells of the grid, at most.
+SAMPLE, BLOCK, CELLS = 8192, 4096, 1_000_000
+#: Vectors placed at once.
+LOT = 1000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -55,7 +57,7 @@ class MultiIndex:
         cut = sample.shape[1] // 2
         self.cut, self.similarity = cut, similarity
         self.books = codebook(sample[:, :cut], centroids), codebook(sample[:, cut:], centroids, seed=8)
-        self.blocks: dict[int, int] = {}
+        self.occupied, self.blocks = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.margin = self._calibrated(sample, recall)
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +67,17 @@ class MultiIndex:
         a, b = self.halves(x)
         return a.argmin(axis=1) * len(self.books[1]) + b.argmin(axis=1)
 
+    def fill(self, cells: np.ndarray, sizes: np.ndarray, block: int) -> None:
+        """Name the occupied cells and the number of blocks of each."""
+        order = np.argsort(cells)
+        self.occupied, self.blocks = cells[order], -(-sizes[order] // block)
+
+    def found(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the cells that are occupied, and their numbers of blocks."""
+        at = np.minimum(np.searchsorted(self.occupied, cells), len(self.occupied) - 1)
+        hit = self.occupied[at] == cells
+        return cells[hit], self.blocks[at[hit]]
+
     def _calibrated(self, x: np.ndarray, recall: float) -> float:
         """How far past its nearest cell a vector must look to meet all of its partners.
 
@@ -111,13 +124,12 @@ class MultiIndex:
         return out
 
 
-def build(vectors: DataFrame, similarity: float, recall: float) -> MultiIndex | None:
-    """An index fitted on the ``SAMPLE`` distinct vectors with the smallest hashes."""
-    n = vectors.count()
-    rows = vectors.orderBy(F.xxhash64("node"), "node").select("vector").limit(SAMPLE).toPandas()
-    if not n:
-        return None
-    return MultiIndex(unit(np.array(rows["vector"].tolist())), int(np.clip(2 * (n / BLOCK) ** 0.5, 2, CENTROIDS)), similarity, recall)
+def build(vectors: DataFrame, n: int, similarity: float, recall: float) -> MultiIndex:
+    """An index fitted on the distinct vectors with the smallest hashes. Codebooks grow
+    with the number of vectors ``n``, so that a cell of the grid holds about as many as before."""
+    centroids = int(np.clip(2 * (n / BLOCK) ** 0.5, 2, CELLS**0.5))
+    rows = vectors.orderBy(F.xxhash64("node"), "node").select("vector").limit(max(SAMPLE, 16 * centroids)).toPandas()
+    return MultiIndex(unit(np.array(rows["vector"].tolist())), centroids, similarity, recall)
 
 
 def comparison(similarity: float):
@@ -191,43 +203,47 @@ def embedding_links(vectors: DataFrame, similarity: float = 0.9, recall: float =
     groups are returned, so large groups don't make all pairs.
     """
     spark = vectors.sparkSession
-    index = build(vectors, similarity, recall)
-    if index is None:
-        none = vectors.select("node", "n").limit(0)
-        return none, none.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    n = vectors.count()
+    index = build(vectors, n, similarity, recall)
+    block = max(BLOCK, -(-4 * n // CELLS))
 
     def home(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(cell=index.cells(unit(np.array(pdf["vector"].tolist()))))
-
-    schema = vectors.schema.simpleString()[7:-1]
-    placed = saved(vectors.mapInPandas(home, schema.replace(":", " ").replace(",", ", ") + ", cell long"))
-    # at most the square of CENTROIDS
-    counts = placed.groupBy("cell").count().collect()
-    index.blocks = {r["cell"]: -(-r["count"] // BLOCK) for r in counts}
+            for at in range(0, len(pdf), LOT):
+                some = pdf.iloc[at : at + LOT]
+                yield some.assign(cell=index.cells(unit(np.array(some["vector"].tolist()))))
+
+    placed = saved(vectors.select("node", "vector", "n").mapInPandas(home, "node long, vector array<float>, n long, cell long"))
+    # at most CELLS rows
+    counts = placed.groupBy("cell").count().toPandas()
+    index.fill(counts["cell"].to_numpy(), counts["count"].to_numpy(), block)
     sent = spark.sparkContext.broadcast(index)
 
     def deal(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = sent.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            a, b = ix.halves(unit(np.array(pdf["vector"].tolist())))
-            own = (pdf["node"].to_numpy() * 2654435761 % 4294967296) >> 7
-            at, cells, blocks, asks = [], [], [], []
-            for k, cell in enumerate(pdf["cell"]):
-                n = ix.blocks[cell]
-                mine = int(own[k]) % n
-                for m in range(mine, n):
-                    at.append(k), cells.append(cell), blocks.append(m), asks.append(m != mine)
-                for other in ix.visits(a[k], b[k]):
-                    if other > cell and (n := ix.blocks.get(other)):
-                        for m in range(n):
-                            at.append(k), cells.append(other), blocks.append(m), asks.append(True)
-            for s in range(0, len(at), 20_000):
-                some = pdf.iloc[at[s : s + 20_000]]
-                yield pd.DataFrame({"cell": cells[s : s + 20_000], "block": blocks[s : s + 20_000], "asks": asks[s : s + 20_000], "node": some["node"].to_numpy(), "vector": some["vector"].to_numpy(), "n": some["n"].to_numpy()})
+            for start in range(0, len(pdf), LOT):
+                yield from dealt_lot(ix, pdf.iloc[start : start + LOT])
+
+    def dealt_lot(ix: MultiIndex, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        a, b = ix.halves(unit(np.array(pdf["vector"].tolist())))
+        spread = (pdf["node"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        cell = pdf["cell"].to_numpy()
+        own = spread % ix.found(cell)[1]
+        at, cells, blocks, asks = [], [], [], []
+        for k in range(len(pdf)):
+            visited = np.array(ix.visits(a[k], b[k]), np.int64)
+            others, counts = ix.found(np.append(visited[visited > cell[k]], cell[k]))
+            first = np.zeros(len(others), np.int64)
+            first[-1] = own[k]  # its own cell: its own block and those behind it
+            size = counts - first
+            at.append(np.full(size.sum(), k)), cells.append(np.repeat(others, size))
+            blocks.append(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size))
+            asks.append((cells[-1] != cell[k]) | (blocks[-1] != own[k]))
+        at, cells, blocks, asks = (np.concatenate(x) for x in (at, cells, blocks, asks))
+        for s in range(0, len(at), 20_000):
+            some = pdf.iloc[at[s : s + 20_000]]
+            yield pd.DataFrame({"cell": cells[s : s + 20_000], "block": blocks[s : s + 20_000], "asks": asks[s : s + 20_000], "node": some["node"].to_numpy(), "vector": some["vector"].to_numpy(), "n": some["n"].to_numpy()})
 
     compare = comparison(similarity)
     dealt = placed.mapInPandas(deal, "cell long, block int, asks boolean, node long, vector array<float>, n long")
@@ -239,16 +255,19 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
     """``id, n_links, component_id, kept`` of every row.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link
-    with nothing, as do rows without id and vectors of another length than most.
-    Equal vectors are compared once and count each; ids that repeat stay repeated.
-    An empty table gives an empty result. Other columns are not read.
+    with nothing, as do rows without id. Vectors of different lengths have no cosine:
+    each length that several vectors have gets an index of its own. Equal vectors are
+    compared once and count each; ids that repeat stay repeated. An empty table gives
+    an empty result. Other columns are not read.
     """
-    rows = table.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = table.select(named(id).cast("long").alias("id"), named(vector).cast("array<float>").alias("vector"))
     sound = F.col("id").isNotNull() & F.coalesce(F.size("vector") > 0, F.lit(False)) & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
-    size = rows.where(sound).groupBy(F.size("vector").alias("s")).count().orderBy(F.desc("count"), "s").first()
-    sound = sound & (F.size("vector") == F.lit(size["s"] if size else 0))
     distinct = saved(rows.where(sound).groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("n")))
-    counts, links = embedding_links(distinct.select("node", "vector", "n"), similarity, recall)
+    none = distinct.select("node", "n").limit(0)
+    counts, links = none, none.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    for r in distinct.groupBy(F.size("vector").alias("size")).count().where("count > 1").orderBy("size").collect():
+        some, joined = embedding_links(distinct.where(F.size("vector") == r["size"]), similarity, recall)
+        counts, links = counts.unionByName(some), links.unionByName(joined)
     found = distinct.join(counts.withColumnRenamed("n", "linked"), "node", "left").join(components(links), "node", "left")
     found = found.select("vector", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
     out = rows.where(sound).join(found, "vector").select("id", "n_links", "component_id")
