@@ -167,18 +167,42 @@ def test_repeats_crowded_passage(monkeypatch):
         assert set(got) == set(range(1, 300)) and all(set(range(30, 150)) <= v <= set(range(27, 150)) for v in got.values())
 
 
-def test_run_index_round_trip():
-    strings = [b"banana" * 30, b"bananab" * 25, b"x" * 120]
-    index = suffixdedup.RunIndex(strings, 100)
-    text = b"".join(s + b"\0" for s in strings)
-    row, at, out = index.end_row.copy(), index.ends.copy(), []
+def test_matching_statistics():
+    """Lengths and places of the longest matches, against a search of every substring."""
+    rng = np.random.default_rng(0)
     for _ in range(20):
-        row = index.step(row)
-        at = at - 1
-        run = np.searchsorted(index.run_start, row, side="right") - 1
-        out.append([int(index.run_symbol[r]) for r in run])
-        assert [text[a - 1] + 1 for a in at] == out[-1]
-    assert len(index.run_start) < 150
+        strings = [bytes(rng.integers(97, 100, rng.integers(1, 30), np.uint8)) for _ in range(4)]
+        patterns = [bytes(rng.integers(97, 101, rng.integers(1, 30), np.uint8)) for _ in range(4)]
+        index, text = suffixdedup.RunIndex(strings), b"\0".join(strings) + b"\0"
+        seen = 0
+        for rows in index.statistics(patterns):
+            for i, offset, length, at in zip(*rows, strict=True):
+                rest = patterns[i][offset:]
+                assert length == max(k for k in range(len(rest) + 1) if rest[:k] in text)
+                assert text[at : at + length] == rest[:length]
+                seen += 1
+        assert seen == sum(map(len, patterns))
+
+
+def test_run_index_is_compressed():
+    index = suffixdedup.RunIndex([b"banana" * 30, b"bananab" * 25, b"x" * 120])
+    assert len(index.start) < 150 < len(index.text)
+
+
+def test_repeats_in_groups():
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        texts, group, want, seen = [], [], set(), set()
+        for g in range(12):
+            core = bytes([65 + g]) + bytes(rng.integers(97, 123, 14, np.uint8))
+            for _ in range(rng.integers(1, 12)):
+                texts.append(bytes(rng.integers(97, 99, rng.integers(0, 4), np.uint8)) + core + bytes(rng.integers(97, 99, rng.integers(0, 5), np.uint8)))
+                group.append(g)
+                windows = [texts[-1][k : k + 12] for k in range(len(texts[-1]) - 11)]
+                want |= {(len(texts) - 1, k) for k, w in enumerate(windows) if w in seen}
+                seen |= set(windows)
+        string, offset = suffixdedup.repeats(texts, np.array(group), 12)
+        assert set(zip(string.tolist(), offset.tolist(), strict=True)) == want
 
 
 # 4 pseudonyms
@@ -262,6 +286,13 @@ def test_perfect_hash():
     h = bpe.PerfectHash(keys)
     assert sorted(h.slot(k) for k in keys) == list(range(1000))
     assert bpe.PerfectHash([]).slot(b"x") == -1
+    for seed in range(8):
+        for n in range(65):
+            keys = [f"{seed}|{i}".encode() for i in range(n)]
+            h = bpe.PerfectHash(keys)
+            assert sorted(h.slot(k) for k in keys) == list(range(n))
+    with pytest.raises(ValueError, match="distinct"):
+        bpe.PerfectHash([b"a", b"a"])
 
 
 # 6 token files
@@ -320,10 +351,13 @@ def test_multi_index_recall(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 16))
     rows = [(base[i % 60] + (rng.normal(0, 0.15, 16) if i > 40 else 0)).astype(np.float32).tolist() for i in range(700)]
-    rows += [None, [0.0] * 16, [1.0] * 15 + [None], [float("nan")] * 16, [float("inf")] * 16, rows[3], rows[3], [2 * v for v in rows[3]], [1.0], []]
+    rows += [None, [0.0] * 16, [1.0] * 15 + [None], [float("nan")] * 16, [float("inf")] * 16, rows[3], rows[3], [2 * v for v in rows[3]], [1.0], [], [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [-1.0, 2.0, 3.0]]
     df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").withColumn("node", F.lit(1)).withColumn("n", F.lit(2))
     got = {r["vec_id"]: r for r in multiindex.near_duplicates(df.repartition(4)).collect()}
     n, comp = brute_links(rows, 0.9)
+    assert [got[i]["n_links"] for i in range(len(rows) - 4, len(rows))] == [2, 2, 2, 0]
+    assert [got[i]["component_id"] for i in range(len(rows) - 4, len(rows))] == [len(rows) - 4] * 3 + [len(rows) - 1]
+    n[-4:-1], comp[-3:-1] = [2, 2, 2], [len(rows) - 4] * 2
     found = sum(got[i]["n_links"] for i in range(len(rows)))
     assert found >= 0.9 * sum(n) and all(got[i]["n_links"] <= n[i] for i in range(len(rows)))
     assert np.mean([got[i]["component_id"] == comp[i] for i in range(len(rows))]) > 0.98
@@ -331,6 +365,35 @@ def test_multi_index_recall(spark):
     assert multiindex.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_multi_index_recall_on_embeddings(spark, sf):
+    """All pairs of the table itself, at the cosine that one pair in 500 reaches: 0.9 has none at this size."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = table.collect()
+    x = multiindex.unit(np.array([r["embedding"] for r in rows]))
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -1)
+    least = float(np.quantile(cosine, 0.998))
+    near = cosine >= least
+    got = {r["vec_id"]: r["n_links"] for r in multiindex.near_duplicates(table, similarity=least).collect()}
+    assert near.sum() > 400 and sum(got.values()) >= 0.99 * near.sum()
+    assert all(got[r["vec_id"]] <= n for r, n in zip(rows, near.sum(axis=1), strict=True))
+
+
+def test_large_ids(spark):
+    """Ids of 63 bits pass the links, the components and Python."""
+    at = 1 << 62
+    vectors = [(at + k, [1.0, 0.01 * k]) for k in range(9)] + [(None, [1.0, 0.0])]
+    got = multiindex.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["component_id"]) for r in got if r["vec_id"]) == [(at + k, at) for k in range(9)]
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(at + k, " ".join([*words, f"x{k}"])) for k in range(9)] + [(None, "alone")], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.similar_documents(docs).collect() if r["doc_id"]} == {at}
+    found = simhash.near_duplicates(docs).collect()
+    assert {r["doc_id"] for r in found} == {None, *range(at, at + 9)} and {r["component_id"] for r in found if r["doc_id"]} <= set(range(at, at + 9))
+    assert {r["doc_id"] for r in tokenfile.token_file_digest(docs).collect()} == {None, *range(at, at + 9)}
+    assert {r["doc_id"] for r in bpe.round_trip(docs).collect()} == {None, *range(at, at + 9)}
+
+
 def test_multi_index_blocks(spark, monkeypatch):
     monkeypatch.setattr(multiindex, "BLOCK", 16)
     rng = np.random.default_rng(6)
@@ -456,10 +519,38 @@ def test_language_odd_rows(odd, none):
     assert langid.identify(none, model).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    model = langid.PieceModel(["x"], ["a", "ab", "b", "▁"], np.array([[0.1], [0.2], [0.3], [0.4]]))
-    got = float(np.exp(model.score(["ab"])[0, 0]))
-    assert got == pytest.approx(0.4 * (0.1 * 0.3 + 0.2), rel=1e-5)
+def test_forward_sums_all_segmentations(monkeypatch):
+    """Every segmentation of random words, one by one; also where sums are kept as logarithms."""
+    rng = np.random.default_rng(0)
+    pieces = ["a", "ab", "b", "▁", "ba", "aba", "bab", "▁a", "c"]
+    p = rng.random((len(pieces), 2))
+    model = langid.PieceModel(["x", "y"], pieces, p / p.sum(axis=0))
+
+    def brute(word, at=0):
+        if at == len(word):
+            return np.ones(2)
+        found = [model.probabilities[k] * brute(word, at + len(piece)) for k, piece in enumerate(pieces) if word.startswith(piece, at)]
+        return sum(found, langid.UNKNOWN * brute(word, at + 1))
+
+    ws = ["".join(rng.choice(list("abcz"), rng.integers(1, 12))) for _ in range(40)]
+    for short in (40, 0):
+        monkeypatch.setattr(langid, "SHORT", short)
+        assert np.exp(model.score(ws)) == pytest.approx(np.array([brute("▁" + w) for w in ws]), rel=1e-9)
+        x = model.lattice(["▁" + w for w in ws])
+        assert model.sums(x, backward=True)[x.first] == pytest.approx(model.sums(x)[x.first + x.length])
+
+
+def test_long_words_count(spark):
+    """Words of any length are fitted and scored whole: text without spaces is told apart."""
+    rng = np.random.default_rng(1)
+    scripts = {"zh": [chr(c) for c in range(0x4E00, 0x4E40)], "ja": [chr(c) for c in range(0x3042, 0x3082)]}
+    rows = [(i, "".join(rng.choice(scripts[lang], 400)), lang) for i, lang in enumerate(["zh", "ja"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs.where("doc_id < 20"))
+    assert all(r["lang"] == r["lang_pred"] for r in langid.identify(docs, model).collect())
+    once, twice = model.score(["ab" * 300, "ab" * 600])
+    assert np.isfinite(twice).all() and (twice < once).all()
+    assert max(map(len, model.pieces)) > 10
 
 
 # 10 SimHash
