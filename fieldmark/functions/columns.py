@@ -131,7 +131,7 @@ def dummies(df: DataFrame, name: str) -> dict[str, Column]:
 
 def format_p(p: Column) -> Column:
     """A dash for null, two significant digits below 0.0001, else four decimals."""
-    small = F.format_string("%.1e", p)
+    small = F.regexp_replace(F.format_string("%.1e", p), r"\.0e", "e")
     return F.when(p.isNull(), "—").when(p < 1e-4, small).otherwise(F.format_string("%.4f", p))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import dist
 from fieldmark.functions.columns import col, number
-from fieldmark.operators.ranks import kruskal, mann_whitney, value_ranks
+from fieldmark.operators.ranks import kruskal, mann_whitney, quantile_table, running
 from fieldmark.plans.methods import override_compare, pick_compare, pick_within
 
 #: Rows up to which normality is tested by Shapiro-Wilk; beyond, by the moments.
@@ -39,8 +39,10 @@ def _long(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def groups(df: DataFrame, group: str, value: str, most: int = 200) -> list[Group]:
-    """n, mean, sd, median and population moments of each group; one aggregation."""
-    got = _long(df, group, value).groupBy("g").agg(F.count("*"), F.avg("x"), F.stddev_samp("x"), F.percentile("x", 0.5), F.skewness("x"), F.kurtosis("x")).limit(most + 1).collect()
+    """n, mean, sd, median and population moments of each group."""
+    long = _long(df, group, value)
+    sums = long.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"))
+    got = sums.join(quantile_table(long, ["g"], "x", (0.5,)), "g").select("g", "n", "mean", "sd", "q0", "skew", "kurt").limit(most + 1).collect()
     if len(got) > most:
         raise ValueError(f"{group} has more than {most} groups")
     return sorted((Group(*r) for r in got), key=lambda g: g.level)
@@ -100,7 +102,7 @@ def welch_anova(gs: list[Group]) -> dict:
 def levene(df: DataFrame, group: str, value: str) -> dict:
     """Levene's test about the group medians (Brown-Forsythe)."""
     long = _long(df, group, value)
-    middle = long.groupBy("g").agg(F.percentile("x", 0.5).alias("m"))
+    middle = quantile_table(long, ["g"], "x", (0.5,)).withColumnRenamed("q0", "m")
     away = long.join(middle, "g").select("g", F.abs(F.col("x") - F.col("m")).alias("d"))
     got = away.groupBy("g").agg(F.count("*"), F.avg("d"), F.coalesce(F.var_samp("d"), F.lit(0.0))).collect()
     out = one_way([r[1] for r in got], [r[2] for r in got], [r[3] for r in got])
@@ -203,12 +205,15 @@ def wilcoxon(diffs: DataFrame, alpha: float = 0.05) -> dict:
 
     Exact where at most 25 differences are left and none are tied.
     """
-    n, zeros = diffs.agg(F.count("d"), F.count_if(F.col("d") == 0)).first()
-    signed = diffs.where("d <> 0").select(F.abs("d").alias("m"), F.signum("d").alias("s"))
-    ranked = value_ranks(signed, "m")
-    plus = signed.where("s > 0").groupBy("m").agg(F.count("*").alias("k")).join(ranked, "m").agg(F.coalesce(F.sum(F.col("k") * F.col("rank")), F.lit(0.0))).first()[0]
-    k = F.col("n").cast("double")
-    ties = ranked.agg(F.coalesce(F.sum(k * k * k - k), F.lit(0.0))).first()[0]
+    cells = diffs.where("d is not null").groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("k"))
+    # zeros stand first, so a rank among the others is the place without them
+    place = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
+    some, k = F.col("m") > 0, F.col("n").cast("double")
+    n, zeros, above, ranked, ties = running(cells, ["m"], {"upto": "n"}).agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(~some, F.col("n"))), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0)),
+        F.coalesce(F.sum(F.col("k") * place), F.lit(0.0)), F.coalesce(F.sum(F.when(some, k * k * k - k)), F.lit(0.0)),
+    ).first()
+    plus = ranked - zeros * above
     use = n - zeros
     if not use:
         return {"n_pair": n, "n_zero": zeros, "n_use": 0, "w": None, "p": None, "rank_biserial": None}
@@ -228,27 +233,27 @@ def wilcoxon(diffs: DataFrame, alpha: float = 0.05) -> dict:
 
 
 def bootstrap_median(diffs: DataFrame, alpha: float = 0.05, replicates: int = 2000, seed: int = SEED) -> tuple[float, float] | None:
-    """Percentile interval of the median, each row weighted by keyed Poisson draws.
+    """Percentile interval of the median of resamples with replacement.
 
-    Values are first counted, so replicates run over distinct values; the draws depend
-    on value, replicate and seed alone and not on how rows lie.
+    The middle places of a sorted resample are places of the sorted rows whose parts of n
+    follow beta distributions, so each replicate draws its places and no row is copied. What
+    is read are the values between the least and the greatest place, a few times the square
+    root of n.
     """
     counts = diffs.where("d is not null").groupBy("d").agg(F.count("*").alias("n"))
-    if (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) < 5:
+    placed = running(counts, ["d"], {"upto": "n"})
+    n = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if n < 5:
         return None
-    reps = np.arange(replicates)
-
-    def draw(batches):
-        for pdf in batches:
-            for d, n in zip(pdf["d"], pdf["n"], strict=True):
-                w = np.random.default_rng([seed, np.float64(d).view(np.uint64)]).poisson(n, replicates)
-                hit = np.flatnonzero(w)
-                yield pd.DataFrame({"rep": reps[hit], "d": d, "w": w[hit]})
-
-    drawn = counts.mapInPandas(draw, "rep long, d double, w long")
-    medians = drawn.groupBy("rep").agg(F.expr("percentile(d, 0.5, w)").alias("m"))
-    low, high = medians.agg(F.percentile("m", alpha / 2), F.percentile("m", 1 - alpha / 2)).first()
-    return low, high
+    rng = np.random.default_rng(seed)
+    low = rng.beta((n + 1) // 2, n // 2 + 1, replicates)
+    # the next of the n // 2 sorted parts that lie above the first
+    high = low if n % 2 else low + (1 - low) * (1 - rng.random(replicates) ** (2 / n))
+    at = np.minimum(np.floor(np.stack([low, high]) * n), n - 1)
+    near = placed.where((F.col("upto") > int(at.min())) & (F.col("upto") - F.col("n") <= int(at.max()))).orderBy("upto").select("d", "upto").toPandas()
+    medians = near["d"].to_numpy()[np.searchsorted(near["upto"].to_numpy(), at, side="right")].mean(axis=0)
+    low, high = np.percentile(medians, [100 * alpha / 2, 100 * (1 - alpha / 2)])
+    return float(low), float(high)
 
 
 def within(df: DataFrame, first: str, second: str, alpha: float = 0.05) -> dict:
@@ -274,6 +279,6 @@ def histogram(values: DataFrame, name: str, bins: int | None = None) -> DataFram
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whisker ends and outlier counts of each group, ready to draw."""
     long = _long(df, group, value)
-    q = long.groupBy("g").agg(F.percentile("x", 0.25).alias("q1"), F.percentile("x", 0.5).alias("median"), F.percentile("x", 0.75).alias("q3"))
+    q = quantile_table(long, ["g"], "x", (0.25, 0.5, 0.75)).toDF("g", "q1", "median", "q3")
     inside: Column = F.col("x").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return long.join(q, "g").groupBy(F.col("g").alias("level"), "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("n_outside"))

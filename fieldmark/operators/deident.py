@@ -8,52 +8,109 @@ value inside a longer one is never touched.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Kinds of direct identifiers with pattern, group to replace, and confidence, in
-# the order in which they claim text. Labelled numbers come before bare ones.
+# Kinds of direct identifiers with pattern (its group is what is replaced) and
+# confidence, in the order in which they claim text. Labelled numbers come before bare ones.
 DIRECT = {
-    "身份证": (r"(?<![0-9])([0-9]{17}[0-9Xx])(?![0-9])", "high"),
+    "身份证": (r"(?<!\d)(\d{17}[\dXx])(?!\d)", "high"),
     "邮箱": (r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})", "high"),
-    "QQ": (r"(?i:QQ|扣扣)\s*(?:群|号)?\s*(?:是|为|[:：])?\s*([0-9]{5,12})", "high"),
-    "微信": (r"(?i:微信|wechat|vx)\s*(?:号|ID)?\s*(?:是|为|[:：])?\s*([A-Za-z][A-Za-z0-9_\-]{5,19})", "high"),
+    "QQ": (r"(?i:QQ|扣扣)\s*(?:群|号)?\s*(?:是|为|[:：])?\s*(\d{5,12})", "high"),
+    "微信": (r"(?i:微信|wechat|vx)\s*(?:号|ID)?\s*(?:是|为|[:：])?\s*([A-Za-z][\w\-]{5,19})", "high"),
     "编号": (r"(?:学号|工号|员工号|工牌)\s*[:：]?\s*([A-Za-z0-9\-]{4,20})", "high"),
-    "手机": (r"(?<![0-9０-９])([1１][3-9３-９][0-9０-９][\s\-　－‐-―−．。]?[0-9０-９]{4}[\s\-　－‐-―−．。]?[0-9０-９]{4})(?![0-9０-９])", "high"),
-    "卡号": (r"(?<![0-9])([0-9]{16,19})(?![0-9])", "mid"),
-    "座机": (r"(?<![0-9])(0[0-9]{2,3}[- ]?[0-9]{7,8})(?![0-9])", "mid"),
+    "手机": (r"(?<![\d０-９])([1１][3-9３-９][\d０-９][\s\-\u3000\uff0d\u2010-\u2015\u2212\uff0e\u3002]?[\d０-９]{4}[\s\-\u3000\uff0d\u2010-\u2015\u2212\uff0e\u3002]?[\d０-９]{4})(?![\d０-９])", "high"),
+    "卡号": (r"(?<!\d)(\d{16,19})(?!\d)", "mid"),
+    "座机": (r"(?<!\d)(0\d{2,3}[- ]?\d{7,8})(?!\d)", "mid"),
     "车牌": (r"([京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼][A-Z][A-Z0-9]{5})", "mid"),
-    "昵称": (r"(?:昵称|网名)\s*[:：]\s*([A-Za-z0-9_一-龥\-]{2,20})", "mid"),
+    "昵称": (r"(?:昵称|网名)\s*[:：]\s*([\w\u4e00-\u9fa5\-]{2,20})", "mid"),
 }
-# Quasi-identifiers, which are reported and never replaced.
+# Cities and quasi-identifiers, which are reported and never replaced.
+CITIES = (
+    "北京", "上海", "广州", "深圳", "杭州", "南京", "成都", "重庆", "武汉", "西安",
+    "苏州", "天津", "长沙", "郑州", "青岛", "宁波", "东莞", "沈阳", "合肥", "佛山",
+    "无锡", "济南", "大连", "福州", "厦门", "哈尔滨", "昆明", "南昌", "贵阳", "石家庄",
+    "太原", "南宁", "兰州", "长春", "常州", "泉州", "温州", "徐州", "烟台",
+)
 QUASI = {
-    "年龄": r"(?<![0-9])([0-9]{1,2}\s*(?:岁|周岁))",
-    "具体单位": r"([一-龥]{2,12}(?:大学|学院|学校|公司|集团|医院|银行|研究所|研究院|工作室|事业部))",
-    "精确收入": r"((?<![0-9.])[0-9]{1,3}(?:\.[0-9])?\s*[kK千]\b|(?<![0-9.])[0-9]{4,7}\s*(?:元|块|万))",
-    "具体日期": r"([0-9]{4}\s*年\s*[0-9]{1,2}\s*月(?:\s*[0-9]{1,2}\s*日)?)",
-    "门牌地址": r"([一-龥]{2,10}(?:路|街|巷|小区|大厦|公寓|号楼|单元)\s*[0-9A-Za-z\-]*号?)",
-    "行政区": r"([一-龥]{2,4}(?:区|县|镇|街道)(?!别|域|分|间|块))",
+    "年龄": r"(?<!\d)(\d{1,2}\s*(?:岁|周岁))",
+    "具体单位": r"([\u4e00-\u9fa5]{2,12}(?:大学|学院|学校|公司|集团|医院|银行|研究所|研究院|工作室|事业部))",
+    "精确收入": r"((?<![\d.])\d{1,3}(?:\.\d)?\s*[kK千]\b|(?<![\d.])\d{4,7}\s*(?:元|块|万))",
+    "具体日期": r"(\d{4}\s*年\s*\d{1,2}\s*月(?:\s*\d{1,2}\s*日)?)",
+    "门牌地址": r"([\u4e00-\u9fa5]{2,10}(?:路|街|巷|小区|大厦|公寓|号楼|单元)\s*[\dA-Za-z\-]*号?)",
+    "行政区": r"([\u4e00-\u9fa5]{2,4}(?:区|县|镇|街道)(?!别|域|分|间|块))",
+    "可识别特征": r"((?:我们(?:部门|组|团队|班)就(?:我)?一(?:个|名)|全公司只有我|我们那届只有))",
+    "城市": f"({'|'.join(CITIES)})",
 }
-# Common surnames (a parameter of the name rules), and titles and labels beside names.
-SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林罗高郑梁谢宋唐许韩冯邓曹彭曾萧田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔向常"
-TITLES = "老师|同学|先生|女士|小姐|经理|主任|医生|教授|店长|主管|队长"
-NOT_NAMES = ("时候", "时间", "方法", "高兴", "江湖", "金额", "白天", "方便", "常常", "万一", "于是", "任何", "何时", "向来", "马上", "黄色", "石头")
+#: The hundred most common family names, in order of their frequency in the survey that the
+#: Chinese Academy of Sciences published in 2006. A parameter wherever it is used.
+SURNAMES = "李王张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
+NOT_NAMES = ("时候", "时间", "时长", "方法", "方式", "高兴", "江湖", "金额", "白天", "方便", "常常", "万一", "于是", "任何", "何时", "马上", "黄色", "石头", "文件", "康复")
+HAN = "\\u4e00-\\u9fa5"
+
+# What gives a name away. Words, where they stand (before the name, before it with
+# a colon, after it, after it with a colon), and whether the name must begin with a known surname.
+NAME_CLUES = (
+    (("我叫", "我是", "我姓", "名叫"), "before", True),
+    (("记录", "记录人", "访谈者", "访谈对象", "受访者", "被访者", "主持人"), "label", True),
+    (("受访者", "被访者", "被试", "访谈对象"), "label", False),
+    (("姓名", "名字", "全名"), "label", False),
+    (("老师", "同学", "先生", "女士", "小姐", "经理", "主任", "医生", "教授", "店长", "主管", "队长"), "after", True),
+    (("说", "提到", "表示", "认为"), "says", True),
+)
 
 
 def name_patterns(surnames: str = SURNAMES) -> list[str]:
-    """Patterns whose group is a name that its context gives away."""
-    name = f"([{surnames}][一-龥]{{1,2}})"
-    return [
-        rf"(?m)^{name}\s*[:：]",
-        rf"(?:我叫|我姓|名叫){name}",
-        rf"(?:记录人?|访谈者|访谈对象|主持人)\s*[:：]\s*{name}",
-        rf"([{surnames}][一-龥]{{1,2}}?)\s*(?:{TITLES})",
-        r"(?:受访者|被访者|被试|访谈对象)\s*[:：]\s*([一-龥]{2,4})",
-        rf"{name}\s*(?:说|提到|表示|认为)\s*[:：]",
-        r"(?:姓名|名字|全名)\s*[:：]\s*([^\s:：,，;；|]{2,5})",
-        rf"(?m)^(?:[A-Za-z]{{0,3}}[0-9]{{1,4}}[\s、.,，-]+)?{name}\s+(?:男|女|[0-9]{{1,2}}\s*岁)",
-    ]
+    """Patterns whose group is a name that its context gives away: by a clue of the table,
+    as a line's speaker, or as the first words of a line of persons before sex or age."""
+    known, any_ = f"[{surnames}][{HAN}]{{1,2}}", f"[{HAN}]{{2,4}}(?![{HAN}])"
+    out = []
+    for words, where, needs_surname in NAME_CLUES:
+        word, name = f"(?:{'|'.join(sorted(words, key=len, reverse=True))})", known if needs_surname else any_
+        shape = {"before": f"{word}({name})", "label": rf"{word}\s*[:：]\s*({name})", "after": rf"({name}?)\s*{word}", "says": rf"({name}?)\s*{word}\s*[:：]"}
+        out.append(shape[where])
+    person = rf"(?:[A-Za-z]*\d+[\s、.,，-]+)?({known})\s+(?:男|女|\d+\s*岁)"
+    return [*out, rf"(?m)^({known})\s*[:：]", f"(?m)^{person}"]
+
+
+def contact_names(text: Column, surnames: str = SURNAMES) -> Column:
+    """Of each line with a direct identifier its name, if just one word on it can be one."""
+    contact = "|".join(f"(?:{p})" for p, _ in DIRECT.values())
+    word = F.lit(rf"(?<![{HAN}])([{surnames}][{HAN}]{{1,2}})(?![{HAN}])")
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(contact))
+    names = F.transform(lines, lambda x: F.filter(F.array_distinct(F.regexp_extract_all(x, word, F.lit(1))), lambda w: ~w.isin(*NOT_NAMES)))
+    return F.flatten(F.filter(names, lambda x: F.size(x) == 1))
+
+
+def _cells(line: Column) -> Column:
+    """Cells of a line of a table inside a text: between bars, tabs or commas."""
+    bars = F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|")
+    cells = F.when(F.trim(line).startswith("|"), bars).when(line.contains("\t"), F.split(line, "\t")).when(line.contains(","), F.split(line, ",")).otherwise(F.array().cast("array<string>"))
+    return F.transform(cells, lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+
+
+#: What a cell under a header must look like to be replaced.
+CELL_VALUES = {"姓名": None, "编号": r"\d{6,20}", "手机": r"1[3-9]\d{9}", "邮箱": r"[\w.+-]+@[\w.-]+\.\w+", "QQ": r"\d{5,12}", "微信": r"[A-Za-z][\w-]{4,19}", "身份证": r"\d{17}[\dXx]"}
+
+
+def table_entities(docs: DataFrame, id: str = "doc_id", text: str = "text", surnames: str = SURNAMES, header_lines: int = 20) -> DataFrame:
+    """``id, kind, value``: cells of tables inside texts, by the header above them.
+
+    A header is the first of a text's first lines with two identifying columns or more. A
+    cell counts if it looks like its column's kind, so that data columns stay.
+    """
+    kinds = F.transform(F.col("cells"), lambda c: header_kind(c))
+    lines = docs.select(F.col(id), F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line_no", "line")).where(F.col("line").rlike(r"^\s*\||\t|,"))
+    lines = lines.select(id, "line_no", _cells(F.col("line")).alias("cells"))
+    heads = lines.where(F.col("line_no") < header_lines).withColumn("kinds", kinds).where(F.size(F.filter("kinds", lambda k: k.isNotNull())) >= 2)
+    heads = heads.groupBy(id).agg(F.min(F.struct("line_no", "kinds")).alias("head"))
+    cells = lines.join(heads, id).where(F.col("line_no") > F.col("head.line_no")).select(id, "head.kinds", F.posexplode("cells").alias("k", "value"))
+    cells = cells.withColumn("kind", F.try_element_at("kinds", F.col("k") + 1)).where("kind is not null")
+    looks = F.coalesce(*[F.when(F.col("kind") == kind, F.col("value").rlike(f"^(?:{p or f'[{surnames}][{HAN}]{{1,3}}'})$")) for kind, p in CELL_VALUES.items()], F.lit(False))
+    return cells.where(looks).select(id, "kind", "value")
 
 
 def entity_key(kind: Column, value: Column) -> Column:
@@ -67,26 +124,34 @@ def _found(text: Column, kind: str, pattern: str, confidence: str) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(confidence).alias("confidence")))
 
 
-def entities(docs: DataFrame, id: str = "doc_id", text: str = "text", names: bool = True, kinds: dict = DIRECT, surnames: str = SURNAMES) -> DataFrame:
+def entities(docs: DataFrame, id: str = "doc_id", text: str = "text", names: bool = True, kinds: dict = DIRECT, surnames: str = SURNAMES, tables: bool = False) -> DataFrame:
     """``id, kind, value, key, confidence, n, first``: each value found, once per document.
 
-    A value that an earlier kind has claimed in the same document is not named again.
-    ``first`` is its first place in the text.
+    Kinds claim text in their order; what one has claimed is not looked at by the next.
+    ``n`` counts all its places in the text and ``first`` is the first: what a clue gives
+    away once is known in the whole text. ``tables`` also looks into tables inside texts.
     """
     body = F.col(text)
-    parts = [F.concat(*[_found(body, k, p, c) for k, (p, c) in kinds.items()])]
     none = F.filter(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value"), F.lit("").alias("confidence"))), lambda s: F.lit(False))
-    parts[0] = F.when(body.rlike("[0-9@０-９一-龥]|(?i:wechat|vx)"), parts[0]).otherwise(none)
+    parts, rest = [], body
+    for kind, (pattern, confidence) in kinds.items():  # what one kind has claimed, the next ones don't see
+        parts.append(_found(rest, kind, pattern, confidence))
+        rest = F.regexp_replace(rest, pattern, "\u0001")
+    parts = [F.when(body.rlike(rf"[0-9@０-９{HAN}]|(?i:wechat|vx)"), F.concat(*parts)).otherwise(none)]
     if names:
-        named = F.concat(*[F.filter(_found(body, "姓名", p, "mid"), lambda s: ~s["value"].isin(*NOT_NAMES)) for p in name_patterns(surnames)])
-        parts.append(F.when(body.rlike("[一-龥]"), named).otherwise(none))
-    found = F.concat(*parts)
+        values = F.concat(*[F.regexp_extract_all(body, F.lit(p), F.lit(1)) for p in name_patterns(surnames)], contact_names(body, surnames))
+        values = F.filter(values, lambda v: ~v.isin(*NOT_NAMES))
+        parts.append(F.when(body.rlike(f"[{HAN}]"), F.transform(values, lambda v: F.struct(F.lit("姓名").alias("kind"), v.alias("value"), F.lit("mid").alias("confidence")))).otherwise(none))
     rank = {k: i for i, k in enumerate([*kinds, "姓名"])}
-    order = F.coalesce(*[F.when(F.col("e.kind") == k, i) for k, i in rank.items()])
-    rows = docs.select(F.col(id), body.alias("_t"), F.explode(found).alias("e")).where(F.length("e.value") > 1)
-    rows = rows.select(id, "e.*", order.alias("_o"), F.expr("instr(_t, e.value)").alias("first"))
-    got = rows.groupBy(id, "value").agg(F.min(F.struct("_o", "kind", "confidence")).alias("b"), F.count("*").alias("n"), F.min("first").alias("first"))
-    return got.select(id, F.col("b.kind").alias("kind"), "value", entity_key(F.col("b.kind"), F.col("value")).alias("key"), F.col("b.confidence").alias("confidence"), "n", "first")
+    rows = docs.select(F.col(id), F.explode(F.array_distinct(F.concat(*parts))).alias("e")).select(id, "e.*")
+    if tables:
+        rows = rows.unionByName(table_entities(docs, id, text, surnames).withColumn("confidence", F.lit("mid")))
+    order = F.coalesce(*[F.when(F.col("kind") == k, i) for k, i in rank.items()], F.lit(len(rank)))
+    got = rows.where(F.length("value") > 1).groupBy(id, "value").agg(F.min(F.struct(order.alias("o"), "kind", "confidence")).alias("b"))
+    places = docs.select(F.col(id).alias("_id"), body.alias("_t"))
+    got = got.join(places, F.col(id) == F.col("_id")).withColumn("first", F.expr("instr(_t, value)"))
+    n = ((F.length("_t") - F.length(F.replace(F.col("_t"), F.col("value"), F.lit("")))) / F.length("value")).cast("long")
+    return got.select(id, F.col("b.kind").alias("kind"), "value", entity_key(F.col("b.kind"), F.col("value")).alias("key"), F.col("b.confidence").alias("confidence"), n.alias("n"), "first")
 
 
 def numbered(found: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
@@ -111,9 +176,9 @@ def replaced(docs: DataFrame, mapping: DataFrame, id: str = "doc_id", text: str
     return joined.withColumn(text, F.when(F.col("_map").isNotNull(), new).otherwise(F.col(text))).select(*docs.columns)
 
 
-def deidentify(docs: DataFrame, id: str = "doc_id", text: str = "text", names: bool = True) -> tuple[DataFrame, DataFrame]:
+def deidentify(docs: DataFrame, id: str = "doc_id", text: str = "text", names: bool = True, tables: bool = True) -> tuple[DataFrame, DataFrame]:
     """Texts with placeholders numbered within each document, and the mapping with counts."""
-    found = entities(docs, id, text, names)
+    found = entities(docs, id, text, names, tables=tables)
     mapping = numbered(found, [id], ["first"])
     return replaced(docs, mapping, id, text), mapping.select(id, "kind", "value", "placeholder", "n", "confidence")
 
@@ -130,32 +195,42 @@ def quasi_report(docs: DataFrame, text: str = "text", patterns: dict = QUASI) ->
     return rows.groupBy("e.kind", "e.value").agg(F.count("*").alias("n"), F.count_distinct("_r").alias("n_docs"))
 
 
-def parse_rules(text: str) -> tuple[list[tuple[str, str]], list[str], list[str]]:
-    """Custom rules ``src = dst`` (an empty dst deletes), values to leave alone
-    (``!不用管 X``), and lines that were not understood."""
-    pairs, ignored, odd = [], [], []
+@dataclass
+class Rules:
+    """Custom rules, understood: what to replace, what to leave alone, and what is at a place of a sheet."""
+
+    pairs: list[tuple[str, str]] = field(default_factory=list)
+    ignored: list[str] = field(default_factory=list)
+    places: dict[int, str | None] = field(default_factory=dict)
+    odd: list[str] = field(default_factory=list)
+
+
+def parse_rules(text: str) -> Rules:
+    """Rules as lines ``src = dst`` (an empty dst deletes) and directives behind ``!``:
+    ``不用管 X`` leaves X alone, ``这是K X`` says that X is of kind K, ``第N段是K`` and
+    ``第N段不用管`` say what the N-th place of a record is. Other lines are odd."""
+    out = Rules()
     for line in filter(None, map(str.strip, text.splitlines())):
-        if line.startswith("!") or line.startswith("！"):
-            m = re.fullmatch(r"[!！]\s*(?:不用管\s*(.+)|这是(手机|QQ)\s*(.+))", line)
-            if not m:
-                odd.append(line)
-            elif m[1]:
-                ignored.append(m[1].strip())
-            else:
-                pairs.append((m[3].strip(), f"[{m[2]}]"))
-        elif "=" in line:
+        told = re.sub(r"\s+", " ", line[1:]).strip() if line[0] in "!！" else None
+        if told is None and "=" in line:
             src, dst = (x.strip() for x in line.split("=", 1))
             if src:
-                pairs.append((src, dst))
+                out.pairs.append((src, dst))
+        elif told and (m := re.fullmatch(r"不用管 ?(?P<value>.+)", told)):
+            out.ignored.append(m["value"])
+        elif told and (m := re.fullmatch(r"这是(?P<kind>手机|QQ|微信|邮箱|姓名|编号) ?(?P<value>.+)", told)):
+            out.pairs.append((m["value"], f"[{m['kind']}]"))
+        elif told and (m := re.fullmatch(r"第 ?(?P<n>\d+) ?段(?:是 ?(?P<kind>.+)|不用管)", told)):
+            out.places[int(m["n"]) - 1] = m["kind"]
         else:
-            odd.append(line)
-    return pairs, ignored, odd
+            out.odd.append(line)
+    return out
 
 
 def apply_rules(docs: DataFrame, rules: str, text: str = "text") -> DataFrame:
     """Literal replacements in the order of the rules."""
     out = F.col(text)
-    for src, dst in parse_rules(rules)[0]:
+    for src, dst in parse_rules(rules).pairs:
         out = F.replace(out, F.lit(src), F.lit(dst))
     return docs.withColumn(text, out)
 
@@ -174,8 +249,22 @@ def missed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     return seen.join(known, [id, "value"], "left_anti")
 
 
-# Words in headers and keys that name an identifier.
-HEADER_WORDS = {"姓名": ("姓名", "名字", "name"), "手机": ("手机", "电话", "联系方式", "phone", "mobile"), "邮箱": ("邮箱", "email", "mail"), "身份证": ("身份证", "idcard"), "QQ": ("qq",), "微信": ("微信", "wechat"), "编号": ("学号", "工号")}
+# Words in headers and keys that name an identifier, first match first.
+HEADER_WORDS = {
+    "姓名": ("姓名", "名字", "受访者", "被访者", "联系人", "称呼", "name"),
+    "编号": ("学号", "学籍号", "工号"),
+    "手机": ("手机", "电话", "联系方式", "联系电话", "phone", "mobile"),
+    "邮箱": ("邮箱", "email", "e-mail", "邮件", "mail"),
+    "QQ": ("qq",),
+    "微信": ("微信", "wechat"),
+    "身份证": ("身份证", "idcard"),
+}
+
+
+def header_kind(name: Column) -> Column:
+    """The kind of identifier that a header names, or null."""
+    low = F.lower(F.trim(name))
+    return F.coalesce(*[F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), kind) for kind, words in HEADER_WORDS.items()])
 
 
 def kind_of_header(name: str) -> str | None:
@@ -229,19 +318,48 @@ def detect_layout(lines: list[str], sample: int = 3) -> dict:
     return {"style": style if known else "unknown", "records": len(records), "places": places, "uncertain": [p["place"] for p in places if p["kind"] and p["agree"] < p["seen"]]}
 
 
-def apply_layout(lines: DataFrame, layout: dict, line: str = "line") -> DataFrame:
-    """Lines of a one-record-a-line sheet with the identifying places replaced by their kind."""
-    parts = F.split(F.trim(F.col(line)), r"[\s,，;；|\t]+")
-    named = {p["place"]: p["kind"] for p in layout["places"] if p["kind"]}
-    if layout["style"] != "line" or not named:
-        return lines
-    def mask(value: Column, i: Column) -> Column:
-        out = value
-        for place, kind in named.items():
-            out = F.when(i == place, F.lit(f"[{kind}]")).otherwise(out)
-        return out
+def apply_layout(lines: DataFrame, layout: dict, line: str = "line", order: str = "line_no", confirmed: dict[int, str | None] | None = None) -> DataFrame:
+    """Lines of a sheet with the identifying places of each record replaced by their kind.
+
+    One record a line: places are words of the line. Blocks between blank lines: places are
+    lines of the block, a label before a colon stays; ``order`` numbers the lines of one
+    sheet. ``confirmed`` (place: kind, or None to leave it) overrides what was detected.
+    A sheet of unknown layout raises, since passing it on would pass on what it holds.
+    """
+    kinds = {p["place"]: p["kind"] for p in layout["places"]} | (confirmed or {})
+    kinds = {k: v for k, v in kinds.items() if v}
+    if layout["style"] == "unknown" and not kinds:
+        raise ValueError("the layout is unknown: name the places to replace")
+
+    def mask(value: Column, place: Column) -> Column:
+        return F.coalesce(*[F.when(place == k, F.lit(f"[{kind}]")) for k, kind in kinds.items()], value) if kinds else value
+
+    if layout["style"] != "block":
+        parts = F.split(F.trim(F.col(line)), r"[\s,，;；|\t]+")
+        return lines.withColumn(line, F.array_join(F.transform(parts, mask), " "))
+    sheet = [c for c in lines.columns if c not in (line, order)]
+    blank = F.trim(F.col(line)) == ""
+    block = F.count_if(blank).over(Window.partitionBy(*sheet).orderBy(order))
+    place = F.row_number().over(Window.partitionBy(*sheet, "_block", blank).orderBy(order)) - 1
+    label = F.regexp_extract(F.col(line), r"^([^:：]{1,8}[:：]\s*)", 1)
+    new = F.when(blank, F.col(line)).otherwise(mask(F.col(line), F.col("_place")))
+    new = F.when(new.startswith("[") & (new != F.col(line)), F.concat(label, new)).otherwise(new)
+    return lines.withColumn("_block", block).withColumn("_place", place).withColumn(line, new).select(*lines.columns)
+
+
+ACKNOWLEDGED = "id string, note string, at timestamp"
+
+
+def acknowledge(spark: SparkSession, path: str, id: str, note: str = "") -> None:
+    """Add a document to the table of those whose identifiers were seen and accepted."""
+    now = spark.range(1).select(F.lit(id).alias("id"), F.lit(note).alias("note"), F.current_timestamp().alias("at"))
+    now.write.mode("append").parquet(path)
+
 
-    return lines.withColumn(line, F.array_join(F.transform(parts, mask), " "))
+def acknowledged(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
+    """The newest ``most`` acknowledgements, one for each document."""
+    rows = spark.read.schema(ACKNOWLEDGED).parquet(path)
+    return rows.groupBy("id").agg(F.max_by("note", "at").alias("note"), F.max("at").alias("at")).orderBy(F.desc("at"), "id").limit(most)
 
 
 def numbered_by_sequence(found: DataFrame, docs: DataFrame, sequence: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:

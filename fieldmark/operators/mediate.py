@@ -20,20 +20,23 @@ REPLICATES, SEED = 5000, 20260926
 def _poisson_grams(df: DataFrame, names: list[str], replicates: int, seed: int) -> np.ndarray:
     """Cross products of (1, columns) under Poisson bootstrap weights, one per replicate.
 
-    Each task draws weights for its rows and returns ``replicates`` small matrices; their
-    sums over tasks are added in Spark. Draws are keyed by the row's values.
+    Equal rows are counted first. A row's weights are drawn with its count, keyed by its
+    values alone, so they are the same however the rows lie. Each task returns ``replicates``
+    small matrices; their sums over tasks are added in Spark.
     """
     rows = df.select(*[number(col(c)).alias(f"c{k}") for k, c in enumerate(names)]).dropna()
-    rows = rows.withColumn("key", F.xxhash64(*rows.columns))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("key", F.xxhash64(*rows.columns[:-1]))
     k = len(names) + 1
 
     def run(batches):
         total = np.zeros((replicates, k * k))
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                x = np.column_stack([np.ones(len(pdf.iloc[at : at + 2000])), pdf.iloc[at : at + 2000, :-1].to_numpy()])
-                key = int(np.bitwise_xor.reduce(pdf["key"].to_numpy()[at : at + 2000])) & 0x7FFFFFFFFFFFFFFF
-                w = np.random.default_rng([seed, key]).poisson(1.0, (replicates, len(x)))
+            for at in range(0, len(pdf), 500):
+                some = pdf.iloc[at : at + 500]
+                x = np.column_stack([np.ones(len(some)), some.iloc[:, : k - 1].to_numpy()])
+                keys = some["key"].to_numpy().astype(np.uint64)
+                w = np.stack([np.random.default_rng([seed, key]).poisson(n, replicates) for key, n in zip(keys, some["n"], strict=True)], axis=1)
                 total += w @ (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)
         yield pd.DataFrame({"rep": np.arange(replicates), "m": list(total)})
 
@@ -48,27 +51,33 @@ def _slopes(grams: np.ndarray, xs: list[int], y: int) -> np.ndarray:
     return np.linalg.solve(grams[:, at][:, :, at], grams[:, at, y][:, :, None])[:, :, 0]
 
 
+def paths(df: DataFrame, x: str, m: str, y: str, covariates: tuple[str, ...] = (), alpha: float = 0.05) -> dict:
+    """Paths a (x to m), b (m to y beside x), c (x to y) and direct (x to y beside m)."""
+    g = gram(df, {c: number(col(c)) for c in (x, m, y, *covariates)})
+    if g.n < 20:
+        return {"n": int(g.n)}
+    both = solve(g, y, [x, m, *covariates], alpha)["coefficients"]
+    a, c = (solve(g, to, [x, *covariates], alpha)["coefficients"][1] for to in (m, y))
+    return {"n": int(g.n), "a": a, "b": both[2], "c": c, "direct": both[1]}
+
+
 def mediation(df: DataFrame, x: str, m: str, y: str, covariates: tuple[str, ...] = (), alpha: float = 0.05, replicates: int = REPLICATES, seed: int = SEED) -> dict:
-    """Paths a, b, c, c', the indirect effect with its bootstrap interval, and a label.
+    """``paths``, the indirect effect with its bootstrap interval, and a label.
 
     Needs 20 complete rows. The interval is a percentile interval over Poisson
     bootstrap replicates, so replicates need no copy of the rows.
     """
-    names = [x, m, y, *covariates]
-    g = gram(df, {c: number(col(c)) for c in names})
-    if g.n < 20:
-        return {"n": int(g.n), "label": "too few rows"}
-    path_a, path_c = solve(g, m, [x, *covariates], alpha), solve(g, y, [x, *covariates], alpha)
-    both = solve(g, y, [x, m, *covariates], alpha)
-    a, c, direct, b = path_a["coefficients"][1], path_c["coefficients"][1], both["coefficients"][1], both["coefficients"][2]
-    grams = _poisson_grams(df, names, replicates, seed)
+    out = paths(df, x, m, y, covariates, alpha)
+    if "a" not in out:
+        return out | {"label": "too few rows"}
+    grams = _poisson_grams(df, [x, m, y, *covariates], replicates, seed)
     extra = list(range(4, 4 + len(covariates)))
     draws = _slopes(grams, [1, *extra], 2)[:, 1] * _slopes(grams, [1, 2, *extra], 3)[:, 2]
     low, high = np.percentile(draws, [100 * alpha / 2, 100 * (1 - alpha / 2)])
     found = low > 0 or high < 0
-    label = "no mediation" if not found else "full mediation" if direct["p"] >= alpha else "partial mediation"
-    indirect = a["b"] * b["b"]
-    return {"n": int(g.n), "a": a, "b": b, "c": c, "direct": direct, "indirect": indirect, "ci_low": float(low), "ci_high": float(high), "share": indirect / c["b"] if c["b"] else None, "significant": bool(found), "label": label}
+    label = "no mediation" if not found else "full mediation" if out["direct"]["p"] >= alpha else "partial mediation"
+    indirect = out["a"]["b"] * out["b"]["b"]
+    return out | {"indirect": indirect, "ci_low": float(low), "ci_high": float(high), "share": indirect / out["c"]["b"] if out["c"]["b"] else None, "significant": bool(found), "label": label}
 
 
 def _with_product(g3: DataFrame, x: str, w: str, y: str, covariates: tuple[str, ...]) -> tuple[Gram, float, float]:

@@ -21,6 +21,21 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
+def reset(spark: SparkSession, path: str) -> str | None:
+    """Move the ledger's tests to a history folder beside it and begin anew; None if there are none.
+
+    The history is a copy written first, so that a lost job loses no test.
+    """
+    tests = load(spark, path)
+    stamp = tests.agg(F.date_format(F.max("at"), "yyyyMMddHHmmss")).first()[0]
+    if stamp is None:
+        return None
+    kept = f"{path}_history/{stamp}"
+    tests.write.mode("overwrite").parquet(kept)
+    spark.createDataFrame([], LEDGER).write.mode("overwrite").parquet(path)
+    return kept
+
+
 def adjust(tests: DataFrame, alpha: float = 0.05, family: list[str] | None = None, p: str = "p") -> DataFrame:
     """``tests`` plus ``m, bonferroni, bh_rank, bh_threshold, bh`` within each family.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import banded_number, col, composite, is_numeric, is_skip_marker, number, reverse_score, sentinel_to_null, skipped
-from fieldmark.operators.profile import banded_columns
+from fieldmark.operators.profile import banded_columns, quantiles
 
 Step = tuple[DataFrame, str]
 SKIPPED = "_skipped_"
@@ -116,8 +116,12 @@ def outlier_bounds(df: DataFrame, columns: list[str] | None = None, how: str = "
     aggs = []
     for c in names:
         x = number(col(c))
-        aggs += [F.count(x), F.count_distinct(x)] + ([F.avg(x), F.stddev_samp(x)] if how == "z" else [F.percentile(x, 0.25), F.percentile(x, 0.75)])
-    got = df.agg(*[a.alias(f"a{k}") for k, a in enumerate(aggs)]).first()
+        aggs += [F.count(x), F.count_distinct(x), F.avg(x), F.stddev_samp(x)]
+    got = list(df.agg(*[a.alias(f"a{k}") for k, a in enumerate(aggs)]).first())
+    if how != "z":
+        quartiles = {(r["variable"], r["q"]): r["value"] for r in quantiles(df, names, (0.25, 0.75)).collect()}
+        for k, c in enumerate(names):
+            got[4 * k + 2 : 4 * k + 4] = quartiles.get((c, 0.25)), quartiles.get((c, 0.75))
     out = {}
     for k, c in enumerate(names):
         n, d, a, b = got[4 * k : 4 * k + 4]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions import dist
 from fieldmark.functions.columns import banded_number, col, is_numeric, number
 from fieldmark.operators.gram import gram
+from fieldmark.operators.ranks import quantile_table
 
 MAX_CATEGORIES, LABEL_LENGTH = 12, 14
 # Parts of names that mark amounts.
@@ -116,8 +117,10 @@ def describe(df: DataFrame, columns: list[str], by: list[str] | None = None, exa
     named = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), number(col(c)).alias("x")) for c in columns])).alias("v")
     long = df.select(*[col(k) for k in keys], named).select(*[col(k) for k in keys], "v.variable", "v.x")
     m = moments(F.col("x"))
-    median = F.percentile("x", 0.5) if exact else F.percentile_approx("x", 0.5, 10_000)
-    return long.groupBy(*keys, "variable").agg(m["n"].alias("n"), m["mean"].alias("mean"), m["sd"].alias("sd"), median.alias("median"), F.min("x").alias("min"), F.max("x").alias("max"), m["skew"].alias("skew"), m["kurt"].alias("kurt"))
+    got = long.groupBy(*keys, "variable").agg(m["n"].alias("n"), m["mean"].alias("mean"), m["sd"].alias("sd"), F.percentile_approx("x", 0.5, 10_000).alias("near"), F.min("x").alias("min"), F.max("x").alias("max"), m["skew"].alias("skew"), m["kurt"].alias("kurt"))
+    if exact:
+        got = got.drop("near").join(quantile_table(long, [*keys, "variable"], "x", (0.5,)), [*keys, "variable"], "left").withColumnRenamed("q0", "near")
+    return got.select(*keys, "variable", "n", "mean", "sd", F.col("near").alias("median"), "min", "max", "skew", "kurt")
 
 
 def cross_table(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -206,8 +209,11 @@ def banded_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = (0.25, 0.5, 0.75), exact: bool = True) -> DataFrame:
     """``variable, q, value``: linearly interpolated quantiles, or approximate ones with bounded state."""
-    take = (lambda c: F.percentile(c, list(at))) if exact else (lambda c: F.percentile_approx(c, list(at), 10_000))
-    wide = df.agg(*[take(number(col(c))).alias(f"q{k}") for k, c in enumerate(columns)])
+    if exact:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), number(col(c)).alias("x")) for c in columns])).alias("v")
+        wide = quantile_table(df.select(each).select("v.*"), ["variable"], "x", at)
+        return wide.unpivot("variable", [f"q{k}" for k in range(len(at))], "k", "value").select("variable", F.element_at(F.array(*map(F.lit, at)), F.substring("k", 2, 9).cast("int") + 1).alias("q"), "value")
+    wide = df.agg(*[F.percentile_approx(number(col(c)), list(at), 10_000).alias(f"q{k}") for k, c in enumerate(columns)])
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"q{k}").alias("v")) for k, c in enumerate(columns)])).alias("r")
     pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("r.v").alias("value"))).alias("p")
     return wide.select(each).select("r.variable", pairs).select("variable", F.col("p.q").alias("q"), F.col("p.value").alias("value"))

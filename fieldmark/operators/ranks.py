@@ -32,6 +32,38 @@ def running(df: DataFrame, order: list[str], amounts: dict[str, str]) -> DataFra
     return dealt.join(F.broadcast(starts), "_part").select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in amounts])
 
 
+#: Distinct values up to which one aggregation state may hold a column's values.
+STATE = 1_000_000
+
+
+def quantile_table(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """``keys, q0, q1, ...``: exact quantiles of a column in each group, linearly interpolated.
+
+    An aggregation state holds every distinct value of its group, so it serves only where
+    there are few. Beyond, values are counted and ranked over a range partitioning, and the
+    two neighbours of each quantile are read from the running counts.
+    """
+    if not keys:
+        return quantile_table(df.withColumn("_all", F.lit(0)), ["_all"], value, at).drop("_all")
+    rows = df.where(F.col(value).isNotNull())
+    if (rows.agg(F.approx_count_distinct(value)).first()[0] or 0) <= STATE:
+        return rows.groupBy(*keys).agg(*[F.percentile(value, q).alias(f"q{k}") for k, q in enumerate(at)])
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    placed = running(counts, [*keys, value], {"upto": "n"})
+    sizes = placed.groupBy(*keys).agg(F.sum("n").alias("size"), F.min(F.col("upto") - F.col("n")).alias("before"))
+    both = placed.join(sizes, keys)
+    # places of a value: from first up to last, both included
+    both = both.withColumn("last", F.col("upto") - F.col("before") - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    ends = []
+    for k, q in enumerate(at):
+        place = (F.col("size") - 1) * F.lit(float(q))
+        for side, p in (("low", F.floor(place)), ("high", F.ceil(place))):
+            ends.append(F.max(F.when(F.lit(p).between(F.col("first"), F.col("last")), F.col(value))).alias(f"{side}{k}"))
+    got = both.groupBy(*keys).agg(F.first("size").alias("size"), *ends)
+    part = [(F.col("size") - 1) * F.lit(float(q)) % 1 for q in at]
+    return got.select(*keys, *[(F.col(f"low{k}") + (F.col(f"high{k}") - F.col(f"low{k}")) * p).alias(f"q{k}") for k, p in enumerate(part)])
+
+
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
     """``value, n, rank``: each distinct value with its count and average rank."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))

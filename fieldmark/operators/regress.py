@@ -145,15 +145,16 @@ def diagnostics(df: DataFrame, y: str, xs: list[str], categorical: tuple[str, ..
 
 
 def durbin_watson(rows: DataFrame, order: str) -> float:
-    """Sum of squared steps over sum of squares of ``residual`` in row order.
+    """Sum of squared steps over sum of squares of ``residual`` in row order; rows of equal
+    order stand by their residuals.
 
     The order is cut into ranges; each range steps alone, and the steps between ranges
     come from their first and last rows.
     """
-    dealt = rows.select(col(order).alias("o"), "residual").repartitionByRange("o").withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("o")
+    dealt = rows.select(col(order).alias("o"), "residual").repartitionByRange("o", "residual").withColumn("part", F.spark_partition_id())
+    inside = Window.partitionBy("part").orderBy("o", "residual")
     steps = dealt.withColumn("step", F.col("residual") - F.lag("residual").over(inside))
-    ends = steps.groupBy("part").agg(F.sum(F.col("step") ** 2).alias("s"), F.sum(F.col("residual") ** 2).alias("q"), F.min_by("residual", "o").alias("first"), F.max_by("residual", "o").alias("last"))
+    ends = steps.groupBy("part").agg(F.sum(F.col("step") ** 2).alias("s"), F.sum(F.col("residual") ** 2).alias("q"), F.min(F.struct("o", "residual"))["residual"].alias("first"), F.max(F.struct("o", "residual"))["residual"].alias("last"))
     over = Window.orderBy("part")  # one row per range
     s, q, between = ends.withColumn("gap", F.col("first") - F.lag("last").over(over)).agg(F.sum("s"), F.sum("q"), F.sum(F.col("gap") ** 2)).first()
     return ((s or 0.0) + (between or 0.0)) / q if q else math.nan

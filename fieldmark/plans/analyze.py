@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import col, number
 from fieldmark.operators import compare, mediate, profile, regress
-from fieldmark.plans.methods import pick, pick_relate, route
+from fieldmark.plans.methods import guess_kind, pick, pick_relate, route
 
 
 @dataclass
@@ -45,6 +45,13 @@ def analyze(df: DataFrame, spec: Spec) -> Result:
     if missing:
         raise ValueError(f"no such columns: {', '.join(missing)}")
     df = df.select(*[col(c) for c in dict.fromkeys(named)]) if named else df
+    if not named and guess_kind(spec.intent) == "assoc":
+        # no variables named: the first two categorical columns
+        two = [k.name for k in profile.kinds(df) if k.kind == "categorical"][:2]
+        if len(two) < 2:
+            raise ValueError("fewer than two categorical columns")
+        spec = replace(spec, ivs=two)
+        df = df.select(*map(col, two))
     question = "within" if spec.second else route(spec.dv, spec.group, spec.ivs, spec.mediator, spec.moderator, spec.intent)
     if question == "within":
         out = compare.within(df, spec.dv, spec.second, spec.alpha)

@@ -15,11 +15,11 @@ COMPARE = {
 }
 # Words that name a kind of question, in the order in which kinds are tried.
 QUESTION_WORDS = {
-    "within": ("前后", "配对", "同一批", "重复测量", "前测", "后测", "paired", "before and after"),
-    "assoc": ("列联", "卡方", "是否独立", "分布是否", "crosstab", "contingency"),
-    "compare": ("差异", "差别", "比较", "对比", "高于", "低于", "不同", "differ", "compare"),
-    "relate": ("相关", "影响", "预测", "关系", "回归", "relate", "predict", "correlat"),
-    "describe": ("描述", "现状", "分布", "多少", "占比", "describe", "how many"),
+    "within": ("前后测", "前测", "后测", "配对", "同一批人", "干预前", "干预后", "两个时间点", "重复测量", "before", "after"),
+    "assoc": ("交叉表", "卡方", "两个分类", "分类变量", "两类", "占比", "分布"),
+    "compare": ("不一样", "有差异", "更高", "更低", "多于", "少于", "差别", "比一", "相比", "哪个更", "谁更", "组间", "区分", "是不是更", "更倾向于", "更愿意", "更倾向"),
+    "relate": ("相关", "有关系", "影响", "预测", "能解释", "关联", "越高", "越多", "有没有关系"),
+    "describe": ("了解", "看看", "现状", "长什么样", "描述"),
 }
 
 

@@ -481,8 +481,8 @@ def theme_coverage(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, value, n FROM (
-  SELECT doc_id, m AS value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})', 1)) AS m FROM documents) GROUP BY 1, 2)
+SELECT DISTINCT doc_id, m AS value, ((length(text) - length(replace(text, m, ''))) / length(m))::BIGINT AS n
+FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})', 1)) AS m FROM documents)
 """)
 def email_entities(spark, sf_dir):
     got = deident.entities(table(spark, sf_dir, "documents"), names=False, kinds={"邮箱": deident.DIRECT["邮箱"]})

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import codecs
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import clean_columns
 from fieldmark.operators.prep_columns import drop_all_null
 
-#: Encodings tried in turn on the head of a file.
-ENCODINGS = ("utf-8", "gb18030")
 # Endings of files that are no text.
 BINARY = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".xlsx", ".xls", ".docx", ".pptx", ".pdf", ".sav", ".zip")
 
@@ -35,17 +32,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sniff(spark: SparkSession, path: str, head: int = 1 << 16) -> str:
-    """The first encoding that reads the head of a file (of the first one in a folder)."""
-    got = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, head)).first()
-    data = bytes(got[0]) if got else b""
-    for name in ENCODINGS:
-        try:
-            codecs.getincrementaldecoder(name)("strict").decode(data, final=len(data) < head)
-        except UnicodeDecodeError:
-            continue
-        return name
-    return "utf-8"
+def sniff(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every file is valid UTF-8 from end to end, else GB18030. Files are read where they lie."""
+    text = F.col("content").cast("string")
+    bad = spark.read.format("binaryFile").load(path).where(F.try_validate_utf8(text).isNull())
+    return "gb18030" if bad.select("path").limit(1).count() else "utf-8"
 
 
 def allow_charsets(spark: SparkSession) -> None:
@@ -108,16 +99,41 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.posexplode(F.split(text, r"\r\n|\r|\n", -1)).alias("line_no", "line"))
 
 
-def looks_like_transcript(lines: DataFrame) -> DataFrame:
-    """Paths whose head has a metadata label or at least five ``speaker: text`` lines."""
+def looks_like_transcript(lines: DataFrame, head: int = 4000) -> DataFrame:
+    """Paths whose first ``head`` characters have a metadata label in the first twenty lines or
+    at least five ``speaker: text`` lines."""
     from fieldmark.operators.coding import METADATA, SPEAKER
 
+    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    near = lines.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < head)
     meta = (F.col("line_no") < 20) & F.regexp_extract("line", SPEAKER, 1).isin(*METADATA)
-    spoken = (F.col("line_no") < 200) & F.col("line").rlike(SPEAKER)
-    got = lines.groupBy("path").agg(F.count_if(meta).alias("n_meta"), F.count_if(spoken).alias("n_spoken"), F.sum(F.length("line")).alias("n_chars"))
+    got = near.groupBy("path").agg(F.count_if(meta).alias("n_meta"), F.count_if(F.col("line").rlike(SPEAKER)).alias("n_spoken"), F.sum(F.length("line")).alias("n_chars"))
     return got.where((F.col("n_chars") >= 60) & ((F.col("n_meta") >= 1) | (F.col("n_spoken") >= 5)))
 
 
+def only_transcript(lines: DataFrame) -> str | None:
+    """The one path that looks like a transcript; None where none or several do."""
+    found = [r["path"] for r in looks_like_transcript(lines).select("path").limit(2).collect()]
+    return found[0] if len(found) == 1 else None
+
+
+def write_text(spark: SparkSession, text: str, path: str, encoding: str = "UTF-8") -> None:
+    """A report as a text file below ``path``, in UTF-8 or another encoding such as GBK."""
+    if encoding.upper() != "UTF-8":
+        allow_charsets(spark)
+    lines = spark.createDataFrame([(x,) for x in text.split("\n")], "value string").coalesce(1)
+    # the text writer knows no encodings; separator and quote are characters that no report holds
+    lines.write.options(encoding=encoding, sep="\u0001", quote="\u0002", emptyValue="", header=False).mode("overwrite").csv(path)
+
+
+def read_lexicon(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``word``: words of two characters or more between white space; ``#`` begins a comment."""
+    words = spark.read.text(path).select(F.explode(F.split(F.regexp_replace("value", "#.*$", ""), r"\s+")).alias("word"))
+    if extra:
+        words = words.unionByName(spark.createDataFrame([(w,) for w in extra], "word string"))
+    return words.where(F.length("word") >= 2).distinct()
+
+
 def write_table(df: DataFrame, folder: str, name: str, form: str = "csv") -> str:
     """Write a result under ``folder/name``; an earlier version stays in ``folder/_history``.
 

@@ -241,7 +241,8 @@ def test_deident(spark):
     phones = {r["placeholder"] for r in mapping.where("kind = '手机'").collect()}
     assert phones == {"[手机1]"}
     assert deident.guard(out).count() == 0 and deident.guard(docs).count() > 0
-    assert deident.parse_rules("a = b\n!不用管 X\n!什么\n") == ([("a", "b")], ["X"], ["!什么"])
+    rules = deident.parse_rules("a = b\n!不用管 X\n!这是微信 abc\n!第2段是手机\n!第3段不用管\n!什么\n")
+    assert rules.pairs == [("a", "b"), ("abc", "[微信]")] and rules.ignored == ["X"] and rules.places == {1: "手机", 2: None} and rules.odd == ["!什么"]
     masked = deident.mask_columns(frame(spark, [("王一", "1"), ("王一", "2")], "`姓名` string, n string"), "k")
     assert masked.select("姓名").distinct().count() == 1
 
@@ -250,6 +251,85 @@ def test_layout(spark):
     found = deident.detect_layout(["陈嘉怡 13900001111 女", "王小明 13900002222 男"])
     assert found["style"] == "line" and [p["kind"] for p in found["places"]] == ["姓名", "手机", None]
     assert deident.apply_layout(frame(spark, [("陈嘉怡 13900001111 女",)], "line string"), found).first()[0] == "[姓名] [手机] 女"
+    told = deident.apply_layout(frame(spark, [("陈嘉怡 13900001111 女",)], "line string"), found, confirmed={1: None, 2: "性别"})
+    assert told.first()[0] == "[姓名] 13900001111 [性别]"
+    with pytest.raises(ValueError, match="unknown"):
+        deident.apply_layout(frame(spark, [("a b",)], "line string"), deident.detect_layout(["a b"]))
+
+
+def test_acknowledged(spark, tmp_path):
+    for k in range(3):
+        deident.acknowledge(spark, f"file://{tmp_path}/ack", f"doc{k % 2}", "seen")
+    assert {r["id"] for r in deident.acknowledged(spark, f"file://{tmp_path}/ack").collect()} == {"doc0", "doc1"}
+    assert deident.acknowledged(spark, f"file://{tmp_path}/ack", 1).count() == 1
+
+
+def test_quantile_table_both_ways(spark, monkeypatch):
+    rows = [(g, float(v)) for g in "ab" for v in np.random.default_rng(ord(g)).integers(0, 50, 101 if g == "a" else 64)]
+    df = frame(spark, rows, "g string, x double")
+    at = (0.0, 0.25, 0.5, 0.9, 1.0)
+    want = {g: [float(np.quantile([v for h, v in rows if h == g], q)) for q in at] for g in "ab"}
+    for state in (10**6, 0):
+        monkeypatch.setattr(ranks, "STATE", state)
+        got = {r[0]: list(r[1:]) for r in ranks.quantile_table(df, ["g"], "x", at).collect()}
+        assert got == {g: pytest.approx(v) for g, v in want.items()}
+        assert ranks.quantile_table(df, [], "x", (0.5,)).first()[0] == pytest.approx(np.median([v for _, v in rows]))
+
+
+def test_bootstrap_keyed_by_rows(spark):
+    """Replicates do not depend on how rows lie, and equal rows do not cancel out."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, 300).astype(float)
+    rows = [(float(a), float(a + rng.integers(0, 3)), float(2 * a + rng.integers(0, 4))) for a in x]
+    df = frame(spark, rows, "x double, m double, y double")
+    one, two = (mediate.mediation(df.repartition(k), "x", "m", "y", replicates=300) for k in (1, 5))
+    assert (one["ci_low"], one["ci_high"]) == pytest.approx((two["ci_low"], two["ci_high"]))
+    assert one["ci_low"] < one["indirect"] < one["ci_high"]
+
+
+def test_bootstrap_median_interval(spark):
+    values = np.random.default_rng(5).normal(3, 1, 400)
+    for n in (400, 399):
+        low, high = compare.bootstrap_median(frame(spark, [(float(v),) for v in values[:n]], "d double"))
+        draws = np.median(np.random.default_rng(0).choice(values[:n], (4000, n)), axis=1)
+        assert (low, high) == pytest.approx(tuple(np.percentile(draws, [2.5, 97.5])), abs=0.04)
+
+
+def test_rules(spark, tmp_path):
+    from fieldmark.plans import rules
+
+    body = '# x\n```json\n{"purpose_verbs.vague_openers": ["了解"], "purpose_verbs.finite_verbs": ["比较"]}\n```\n```json\n{"sample_size.study_types": [{"label": "访谈", "signals": ["访谈"], "min": 8, "max": 20}]}\n```\n```json\n[1]\n```\n'
+    (tmp_path / "r.md").write_text(body)
+    found, wrong = rules.load_rules(spark, f"file://{tmp_path}/r.md")
+    assert len(found) == 3 and len(wrong) == 1
+    assert rules.check_purpose("本研究希望了解用户", found)[0]["found"] == "了解" and not rules.check_purpose("比较两组", found)
+    assert rules.check_sample("两类各 4 人", "深度访谈", found)[0]["found"] == "few" and not rules.check_sample("视情况", "访谈", found)
+    with pytest.raises(rules.RuleError):
+        rules.load_rules(spark, f"file://{tmp_path}/none.md")
+
+
+def test_intent_words():
+    assert methods.guess_kind("两个分类变量有关联吗") == "assoc" and methods.guess_kind("谁更高") == "compare" and methods.guess_kind("前后测有差异吗") == "within"
+
+
+def test_ledger_reset(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    multiple.register(spark, path, [{"label": "a", "p": 0.01}])
+    kept = multiple.reset(spark, path)
+    assert spark.read.parquet(kept).count() == 1 and multiple.load(spark, path).count() == 0 and multiple.reset(spark, path) is None
+
+
+def test_text_sources(spark, tmp_path):
+    from fieldmark.sources import tables
+
+    (tmp_path / "w.txt").write_text("加班 手机 # 注释\n我\n")
+    assert {r[0] for r in tables.read_lexicon(spark, f"file://{tmp_path}/w.txt", ("食堂",)).collect()} == {"加班", "手机", "食堂"}
+    (tmp_path / "late.csv").write_bytes(b"a,b\n" + b"x,1\n" * 30_000 + "王,2\n".encode("gb18030"))
+    assert tables.read_table(spark, f"file://{tmp_path}/late.csv").where("a = '王'").count() == 1
+    tables.write_text(spark, "甲\n乙", f"file://{tmp_path}/out", "GBK")
+    assert b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part-*")).decode("gbk").split() == ["甲", "乙"]
+    lines = frame(spark, [("x", k, f"受访者{k}：" + "好" * 20) for k in range(9)] + [("y", 0, "正文")], "path string, line_no int, line string")
+    assert tables.only_transcript(lines) == "x"
 
 
 def test_report(spark):
