@@ -6,8 +6,10 @@ classes by time, sixteen rectangle filters are read from its integral image; eac
 response is one of four levels, and the sixteen levels pack into one 32-bit item for
 each place of a window of sixteen frames. A window without sound yields no item.
 
-Recordings that share items are aligned by a histogram of the items' offsets, and
-the best offset is verified by the bit errors over the overlap.
+Recordings that share items are aligned by a histogram of the items' offsets. At each of
+the offsets with the most votes the bit errors over the overlap are verified: over all of
+it, or over the best run of windows, so that a passage that two recordings share is found
+whatever else they hold, also behind a cut.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import saved
+from fieldmark.llm.common import named, saved
 
 #: Samples a second, of a frame and between frames; lowest and highest pitch in Hz; frames of a window and of the smoothing.
 RATE, FRAME, HOP, LOWEST, HIGHEST = 2756, 512, 128, 28.0, 1378.0
@@ -46,8 +48,10 @@ RATIOS = (
     (0.98, 1.00, 1.02),
     (0.96, 1.00, 1.04),
 )
-#: Bit errors and overlapping windows of a match.
-MOST_ERROR, LEAST_OVERLAP = 0.03, 8
+#: Bit errors of a match; overlapping windows of recordings that agree throughout, and windows of a shared run.
+MOST_ERROR, LEAST_OVERLAP, LEAST_RUN = 0.03, 8, 24
+#: Offsets of a pair that are verified.
+OFFSETS = 3
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -129,78 +133,103 @@ def fingerprint(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(sound), packed[sound]
 
 
-def aligned(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], offset: int) -> tuple[int, float]:
-    """Overlapping windows and bit error of ``a`` against ``b`` begun ``offset`` windows later."""
-    _, p, q = np.intersect1d(a[0], b[0] + offset, assume_unique=True, return_indices=True)
-    return len(p), float(np.bitwise_count(a[1][p] ^ b[1][q]).sum() / (32 * len(p))) if len(p) else 1.0
-
+def aligned(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], offset: int, most_error: float = MOST_ERROR, least_overlap: int = LEAST_OVERLAP, least_run: int = LEAST_RUN) -> tuple[int, float]:
+    """Matching windows and bit error of ``a`` against ``b`` begun ``offset`` windows later.
 
-PRINTS = "id long, places binary, items binary"
+    All of the overlap if its error is low enough and it is long enough; else the run of
+    windows that gains most over the highest error allowed, if long enough; else no windows.
+    """
+    _, p, q = np.intersect1d(a[0], b[0] + offset, assume_unique=True, return_indices=True)
+    wrong = np.bitwise_count(a[1][p] ^ b[1][q]) / 32
+    if len(wrong) >= least_overlap and wrong.mean() <= most_error:
+        return len(wrong), float(wrong.mean())
+    if len(wrong) < least_run:
+        return 0, 1.0
+    gain = np.concatenate([[0.0], np.cumsum(most_error - wrong)])
+    least = np.minimum.accumulate(gain)
+    end = int((gain - least).argmax())
+    start = int(np.flatnonzero(gain[: end + 1] == least[end])[-1])
+    return (end - start, float(wrong[start:end].mean())) if end - start >= least_run else (0, 1.0)
 
 
 def fingerprints(media: DataFrame, id: str = "id", data: str = "data") -> DataFrame:
     """``id, places, items`` of every row: little-endian 32-bit places and items.
 
-    Both are empty for null, empty and silent recordings. One narrow pass.
+    Both are empty for null, empty and silent recordings. One narrow pass, in which only
+    the recordings go to Python.
     """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [fingerprint(x) for x in pdf["data"]]
-            yield pd.DataFrame({"id": pdf["id"], "places": [p.astype("<i4").tobytes() for p, _ in got], "items": [i.astype("<u4").tobytes() for _, i in got]})
+    @F.pandas_udf("places binary, items binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for recordings in batches:
+            got = [fingerprint(x) for x in recordings]
+            yield pd.DataFrame({"places": [p.astype("<i4").tobytes() for p, _ in got], "items": [i.astype("<u4").tobytes() for _, i in got]})
 
-    return media.select(F.col(id).cast("long").alias("id"), F.col(data).cast("binary").alias("data")).mapInPandas(run, PRINTS)
+    found = media.select(named(id).cast("long").alias("id"), run.asNondeterministic()(named(data).cast("binary")).alias("of"))
+    return found.select("id", "of.places", "of.items")
 
 
 def _pair(places: bytes, items: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(places, "<i4").astype(np.int64), np.frombuffer(items, "<u4")
 
 
+def _starts(places: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an item begins: of a held tone that repeats it the first place alone."""
+    new = np.concatenate([[True], (items[1:] != items[:-1]) | (places[1:] != places[:-1] + 1)])[: len(items)]
+    return places[new], items[new]
+
+
 def _exploded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at in range(0, len(pdf), 500):
             some = pdf.iloc[at : at + 500]
-            got = [_pair(p, i) for p, i in zip(some["places"], some["items"], strict=True)]
+            got = [_starts(*_pair(p, i)) for p, i in zip(some["places"], some["items"], strict=True)]
             if got:
                 sizes = [len(p) for p, _ in got]
                 yield pd.DataFrame({"item": np.concatenate([i for _, i in got]).astype(np.int64), "class": np.repeat(some["class"].to_numpy(), sizes), "place": np.concatenate([p for p, _ in got])})
 
 
-def search(media: DataFrame, queries: str, id: str = "id", data: str = "data", most_error: float = MOST_ERROR, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
+def search(media: DataFrame, queries: str, id: str = "id", data: str = "data", most_error: float = MOST_ERROR, least_overlap: int = LEAST_OVERLAP, least_run: int = LEAST_RUN) -> DataFrame:
     """The recordings that match those of a query set, one row per recording.
 
     ``queries``: SQL condition over ``id`` that names the query set. Returns ``id,
     n_items, items_crc32, class_id`` (smallest id of equal fingerprints), ``n_links``
     (queries that match it, itself left out) and the best of the other classes'
     queries: ``query_class, offset, overlap, bit_error``. Every recording is indexed by
-    all its items; equal fingerprints are looked up once. A query is compared with
-    what shares an item with it, at the offset that most shared items agree on. Null,
-    empty and silent recordings match nothing; an empty table gives an empty result.
+    all its items, once for each time that an item begins; equal fingerprints are looked up
+    once. A query is compared with what shares an item with it, at the ``OFFSETS`` offsets
+    that most shared items agree on. Null, empty and silent recordings match nothing, and
+    so do recordings whose fingerprint only rows of null ids have; recordings of any length
+    are read whole; an empty table gives an empty result.
     """
-    prints = saved(fingerprints(media, id, data))
+    prints = saved(fingerprints(media, id, data).withColumn("print", F.md5(F.concat("places", "items"))))
     sound = prints.where(F.octet_length("items") > 0)
-    classes = sound.groupBy("places", "items").agg(F.min("id").alias("class"), F.sum(F.expr(f"int(coalesce({queries}, false))")).alias("asks"))
-    classes = saved(classes)
-    index = classes.select("class", "places", "items").mapInPandas(_exploded, "item long, class long, place long")
+    asks = F.expr(f"int(coalesce({queries}, false))")
+    classes = saved(sound.groupBy("print").agg(F.min("id").alias("class"), F.sum(asks).alias("asks"), F.first("places").alias("places"), F.first("items").alias("items")))
+    index = classes.where("class is not null").select("class", "places", "items").mapInPandas(_exploded, "item long, class long, place long")
     asked = classes.where("asks > 0").select("class", "places", "items").mapInPandas(_exploded, "item long, class long, place long")
     asked = asked.select("item", F.col("class").alias("query_class"), F.col("place").alias("query_place"))
     votes = index.join(asked, "item").where("class <> query_class").groupBy("query_class", "class", (F.col("query_place") - F.col("place")).alias("offset")).agg(F.count("*").alias("n"))
-    best = votes.groupBy("query_class", "class").agg(F.max_by("offset", F.struct("n", -F.col("offset"))).alias("offset"))
+    order = Window.partitionBy("query_class", "class").orderBy(F.desc("n"), "offset")
+    best = votes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= OFFSETS).groupBy("query_class", "class").agg(F.collect_list("offset").alias("offsets"))
 
     def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [aligned(_pair(a, b), _pair(c, d), o) for a, b, c, d, o in zip(pdf["qp"], pdf["qi"], pdf["places"], pdf["items"], pdf["offset"], strict=True)]
-            out = pdf[["query_class", "class", "offset", "asks"]].assign(overlap=[n for n, _ in got], bit_error=[e for _, e in got])
-            yield out[(out["overlap"] >= least_overlap) & (out["bit_error"] <= most_error)]
+            rows = []
+            for a, b, c, d, offsets in zip(pdf["qp"], pdf["qi"], pdf["places"], pdf["items"], pdf["offsets"], strict=True):
+                found = [(*aligned(_pair(a, b), _pair(c, d), int(o), most_error, least_overlap, least_run), int(o)) for o in sorted(offsets)]
+                rows.append(max(found, key=lambda x: (x[0], -x[1])))
+            out = pdf[["query_class", "class", "asks"]].assign(overlap=[x[0] for x in rows], bit_error=[x[1] for x in rows], offset=[x[2] for x in rows])
+            yield out[out["overlap"] > 0]
 
     sides = best.join(classes.select(F.col("class").alias("query_class"), F.col("places").alias("qp"), F.col("items").alias("qi"), "asks"), "query_class").join(classes.select("class", "places", "items"), "class")
-    links = sides.mapInPandas(verify, "query_class long, class long, offset long, asks long, overlap long, bit_error double")
+    links = sides.mapInPandas(verify, "query_class long, class long, asks long, overlap long, bit_error double, offset long")
     found = links.groupBy("class").agg(F.sum("asks").alias("others"), F.min(F.struct("bit_error", -F.col("overlap"), "query_class", "offset", "overlap")).alias("best"))
-    by_class = classes.join(found, "class", "left").select("places", "items", F.col("class").alias("class_id"), (F.col("asks") + F.coalesce("others", F.lit(0))).alias("n_links"), "best")
-    out = sound.join(by_class, ["places", "items"])
-    own = F.expr(f"int(coalesce({queries}, false))")
-    out = out.select("id", "items", "class_id", (F.col("n_links") - own).alias("n_links"), F.col("best.query_class").alias("query_class"), F.col("best.offset").alias("offset"), F.col("best.overlap").alias("overlap"), F.col("best.bit_error").alias("bit_error"))
-    none = F.lit(None)
-    quiet = prints.where(F.octet_length("items") == 0).select("id", "items", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), none.cast("long").alias("query_class"), none.cast("long").alias("offset"), none.cast("long").alias("overlap"), none.cast("double").alias("bit_error"))
-    out = out.unionByName(quiet)
-    return out.select(F.col("id").alias(id), (F.octet_length("items") / 4).cast("long").alias("n_items"), F.crc32("items").alias("items_crc32"), "class_id", "n_links", "query_class", "offset", "overlap", "bit_error")
+    by_class = classes.join(found, "class", "left").select("print", F.col("class").alias("class_id"), (F.col("asks") + F.coalesce("others", F.lit(0))).alias("n_links"), "best")
+    # silent recordings have no class of others, so one join serves all rows
+    out = prints.join(by_class, "print", "left")
+    loud = F.octet_length("items") > 0
+    return out.select(
+        F.col("id").alias(id), (F.octet_length("items") / 4).cast("long").alias("n_items"), F.crc32("items").alias("items_crc32"), F.when(loud, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
+        F.when(loud, F.col("n_links") - asks).otherwise(0).cast("long").alias("n_links"), "best.query_class", "best.offset", "best.overlap", "best.bit_error",
+    )

@@ -477,7 +477,10 @@ def test_chroma_search(spark, none):
     songs = [song(k) for k in range(8)]
     late = songs[0][chroma.HOP * 20 :]
     noisy = np.clip(songs[1].astype(int) + rng.integers(-1, 2, len(t)), 0, 255).astype(np.uint8)
-    data = [s.tobytes() for s in songs] + [late.tobytes(), noisy.tobytes(), songs[2].tobytes(), None, b"", b"\x80" * 5000]
+    cut = np.concatenate([songs[3][: chroma.HOP * 80], songs[3][chroma.HOP * 103 :]])
+    other = np.concatenate([songs[4][: chroma.HOP * 70], songs[5][chroma.HOP * 70 :]])
+    more = [cut.tobytes(), other.tobytes()]
+    data = [s.tobytes() for s in songs] + [late.tobytes(), noisy.tobytes(), songs[2].tobytes(), None, b"", b"\x80" * 5000, *more]
     df = spark.createDataFrame([(i, d, 1, 2) for i, d in enumerate(data)], "id long, data binary, item int, places int").repartition(3)
     got = {r["id"]: r for r in chroma.search(df, "id < 8").collect()}
     assert len(got) == len(data)
@@ -485,6 +488,9 @@ def test_chroma_search(spark, none):
     assert got[9]["query_class"] == 1 and got[9]["bit_error"] < 0.03
     assert got[10]["class_id"] == 2 and got[10]["n_links"] == 1
     assert all(got[i]["n_items"] == 0 and got[i]["class_id"] == i and got[i]["n_links"] == 0 for i in (11, 12, 13))
+    # a copy with a piece cut out, and one that goes over into another song
+    assert got[14]["query_class"] == 3 and got[14]["overlap"] >= chroma.LEAST_RUN and got[14]["offset"] in (0, 23)
+    assert got[15]["n_links"] == 2 and got[15]["query_class"] in (4, 5)
     prints = {i: chroma.fingerprint(d) for i, d in enumerate(data)}
     want = set()
     for q in range(8):
@@ -492,9 +498,12 @@ def test_chroma_search(spark, none):
             a, b = prints[q], prints[r]
             if q == r or not len(a[0]) or not len(b[0]):
                 continue
-            best = [chroma.aligned(a, b, o) for o in range(-len(b[0]) - 20, len(a[0]) + 20)]
-            if any(n >= chroma.LEAST_OVERLAP and e <= chroma.MOST_ERROR for n, e in best):
-                want.add((q, r))
+            at = {int(t): int(x) for t, x in zip(*b, strict=True)}
+            for o in range(-len(b[0]) - 20, len(a[0]) + 20):
+                wrong = [(int(x) ^ at[int(t) - o]).bit_count() / 32 for t, x in zip(*a, strict=True) if int(t) - o in at]
+                runs = (wrong[i : i + chroma.LEAST_RUN] for i in range(len(wrong) - chroma.LEAST_RUN + 1))
+                if len(wrong) >= chroma.LEAST_OVERLAP and np.mean(wrong) <= chroma.MOST_ERROR or any(np.mean(w) <= chroma.MOST_ERROR / 2 for w in runs):
+                    want.add((q, r))
     found = sum(got[r]["n_links"] for r in got)
     assert len(want) > 0 and found >= 0.9 * len(want)
     assert chroma.search(df.limit(0), "id < 8").count() == 0
