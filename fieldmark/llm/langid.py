@@ -29,7 +29,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Cost of a character that is no piece; characters of a word whose sums fit a double; characters summed at once, about.
 UNKNOWN, SHORT, LOT = 1e-7, 40, 150_000
 #: Bytes of scores that one worker remembers during a task, and the longest word it remembers one for.
-MEMO, MEMO_LENGTH = 48 << 20, 40
+MEMO, MEMO_LENGTH = 32 << 20, 40
 #: Languages of a model at most: its size, and so what is broadcast, grows with them.
 MOST_LANGUAGES = 400
 _BASE = 0x9E3779B97F4A7C15

@@ -182,8 +182,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 WIDE, CLOSE = 256, 24
 #: Rows of ids up to which a side is broadcast; beyond, both sides are dealt.
 FEW = 1_000_000
+#: Texts of a block in which a cluster is compared, and their bytes, about.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Bytes of word hashes that one worker remembers during a task.
-MEMO = 48 << 20
+MEMO = 32 << 20
 _MIX = [np.uint64(int(x)) for x in np.random.default_rng(10).integers(1, 1 << 62, WIDE // 64) * 2 + 1]
 
 
@@ -270,43 +272,126 @@ def _nearest_in_trees(radius: int):
     return search
 
 
-def _unjoined_in_trees(radius: int):
+def _candidates_in_trees(radius: int):
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of a tree's own rows with all its rows, within the radius and not of one group."""
+        """Links that connect what lies within the radius in a tree, from a partition sorted by
+        tree, its own rows first. Rows of one root are connected; each link joins two roots."""
         key, kept = None, None
         for pdf in batches:
             if not len(pdf):
                 continue
-            node, group, own = pdf["node"].to_numpy(), pdf["group"].to_numpy(), ~pdf["asks"].to_numpy()
+            node, root, own = pdf["node"].to_numpy(), pdf["group"].to_numpy().copy(), ~pdf["asks"].to_numpy()
             shard, tree = pdf["shard"].to_numpy(), pdf["tree"].to_numpy()
             fp = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
             start = np.concatenate([[True], (shard[1:] != shard[:-1]) | (tree[1:] != tree[:-1])])
-            place, found = start.cumsum(), []
-            if key == (shard[0], tree[0]):
-                nodes, groups, fps = kept
-                m = int((place == 1).sum())
-                for at in range(0, m, 64):
-                    to = min(at + 64, m)
-                    i, j = np.nonzero(group[at:to, None] != groups)
-                    near = np.bitwise_count(fp[at + i] ^ fps[j]).sum(axis=1) <= radius
-                    found.append((node[at + i[near]], nodes[j[near]]))
+            place, first, links = start.cumsum() - 1, np.flatnonzero(start), []
+            last = np.append(first[1:], len(pdf))
+            if key == (shard[0], tree[0]):  # the tree of the batch before goes on
+                nodes, roots, fps = kept
+                here = root[: last[0]]
+                for i in range(last[0]):
+                    hit = np.flatnonzero(roots != here[i])
+                    hit = hit[np.bitwise_count(fps[hit] ^ fp[i]).sum(axis=1) <= radius]
+                    for r, j in zip(*np.unique(roots[hit], return_index=True), strict=True):
+                        links.append((node[i], nodes[hit[j]]))
+                        label = here[i]
+                        roots[roots == r] = label
+                        here[here == r] = label
             live, k = np.flatnonzero(own), 1
             while len(live := live[live + k < len(pdf)]) and len(live := live[place[live] == place[live + k]]):
-                i = live[group[live] != group[live + k]]
+                i = live[root[live] != root[live + k]]
                 i = i[np.bitwise_count(fp[i] ^ fp[i + k]).sum(axis=1) <= radius]
-                found.append((node[i], node[i + k]))
+                for x in i.tolist():
+                    if root[x] != root[x + k]:
+                        links.append((node[x], node[x + k]))
+                        here = root[first[place[x]] : last[place[x]]]
+                        here[here == root[x + k]] = root[x]
                 k += 1
             mine = own & (place == place[-1])
-            mine = node[mine], group[mine], fp[mine]
+            mine = node[mine], root[mine], fp[mine]
             same, key = key == (shard[-1], tree[-1]), (shard[-1], tree[-1])
             kept = tuple(np.concatenate(x) for x in zip(kept, mine, strict=True)) if same else mine
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (node[:0], node[:0])
-            if len(a):
-                yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return search
 
 
+class ShingleBlock:
+    """Shingle sets of some texts, and for each shingle the texts that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets])
+        flat, text = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.texts = text[order]
+
+    def similar(self, own: np.ndarray, similarity: float) -> np.ndarray:
+        """Places of the texts whose Jaccard similarity to a set is ``similarity`` or more."""
+        if not len(own):
+            return np.flatnonzero(self.sizes == 0)
+        at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1) if len(self.shingles) else np.zeros(0, np.int64)
+        at = at[self.shingles[at] == own] if len(at) else at
+        n = self.count[at]
+        held = self.texts[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        both = np.bincount(held, minlength=len(self.sizes))
+        return np.flatnonzero(both >= similarity * (len(own) + self.sizes - both))
+
+
+def _similar_in_blocks(words: int, similarity: float):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links between groups of similar texts, from a partition sorted by block, its own rows
+        first. Memory holds one block's own sets; the asking rows stream past them, and each
+        link joins two groups, so that no pairs pile up."""
+        key, parts, block, nodes, roots = None, [], None, None, None
+        memo = WordHashes(MEMO)
+
+        def links_of(rows: Iterable[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+            found = []
+            for node, group, own in rows:
+                hit = block.similar(own, similarity)
+                mine = np.flatnonzero(nodes == node)
+                label = roots[mine[0]] if len(mine) else group
+                hit = hit[roots[hit] != label]
+                for r, j in zip(*np.unique(roots[hit], return_index=True), strict=True):
+                    found.append((node, nodes[hit[j]]))
+                    roots[roots == r] = label
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        def closed() -> pd.DataFrame:
+            nonlocal block, nodes, roots, parts
+            nodes, roots, block = np.array([x[0] for x in parts]), np.array([x[1] for x in parts]), ShingleBlock([x[2] for x in parts])
+            rows, parts = parts, []
+            return links_of(rows)
+
+        def found() -> Iterator[pd.DataFrame]:
+            nonlocal key, block
+            for pdf in batches:
+                asking = []
+                for c, b, asks, node, group, text in zip(pdf["cluster"], pdf["block"], pdf["asks"], pdf["node"], pdf["group"], pdf["text"], strict=True):
+                    new = key != (c, b)
+                    if asking and new:
+                        yield links_of(asking)
+                        asking = []
+                    if parts and (new or asks):
+                        yield closed()
+                    if new:
+                        key, block = (c, b), None
+                    row = node, group, shingle_hashes(text, words, memo)
+                    if not asks:
+                        parts.append(row)
+                    elif block is not None:
+                        asking.append(row)
+                if asking:
+                    yield links_of(asking)
+            if parts:
+                yield closed()
+
+        yield from tidied(found(), memo)
+
+    return run
+
+
 def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95, shard_rows: int = 4096) -> DataFrame:
     """``id, component_id`` of every row: the smallest id reachable over links of texts
     whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
@@ -315,10 +400,11 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     choices of their bits; each shard's BK-tree finds what lies within the distance that
     similar texts keep. The number of bits follows the number of fingerprints and the
     number of choices follows ``recall``, so shards stay small. Every link is verified on
-    the whole texts: first that of each text to the nearest one found, then every pair of a
-    shard that lies within the distance and that verified links do not join, so that no
-    group hides a partner. A crowded shard is dealt into trees; in the second pass the rows
-    of its largest group stay in a tree each and the others visit all trees.
+    the whole texts: first that of each text to the nearest one found; then what lies within
+    the distance without being joined is connected to clusters, and each cluster's texts are
+    compared whole, so that no group hides a partner and no pairs travel. A crowded shard is
+    dealt into trees and a large cluster into blocks; the rows of its largest group stay in
+    one each and the others visit all.
 
     Texts without words are alike. Nulls, repeated rows, long texts and empty tables are
     as in ``near_duplicates``; rows of null ids get the component of an equal shingle set,
@@ -400,9 +486,32 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     last = F.col("trees") - 1
     visits = F.when(F.col("trees") == 1, F.array(F.lit(0))).when(F.col("group") == F.col("top"), F.array("own")).otherwise(F.sequence(F.lit(0), last))
     again = again.withColumn("tree", F.explode(visits)).select("shard", "tree", "node", "group", "fp", (F.col("own") != F.col("tree")).alias("asks"))
-    again = again.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "asks").mapInPandas(_unjoined_in_trees(radius), "a long, b long")
-    again = saved(again.distinct().join(tried, ["a", "b"], "left_anti"))
+    again = again.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "asks").mapInPandas(_candidates_in_trees(radius), "a long, b long")
+    again = saved(again.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if again.limit(1).count():
-        groups = components(links.unionByName(checked(again)))
+        links = links.unionByName(_between_groups(source, grouped, links, again, words, similarity))
+        groups = components(links)
     classes = distinct.join(groups, "node", "left").select("sig", F.coalesce("component_id", "node").alias("component_id"))
     return rows.join(classes, "sig", "left").select(F.col("id").alias(id), "component_id")
+
+
+def _between_groups(source: DataFrame, grouped: DataFrame, links: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Verified links between groups of one cluster: what links and candidates connect.
+
+    Each cluster's texts are compared whole, in blocks of bounded numbers and bytes. The
+    largest group's texts stay in a block each and the others visit all blocks.
+    """
+    clusters = saved(components(links.unionByName(candidates)).withColumnRenamed("component_id", "cluster"))
+    # ``a``, the larger id, is never the smallest of its cluster, which the components leave out
+    open_ = candidates.join(clusters.withColumnRenamed("node", "a"), "a").select("cluster").distinct()
+    nodes = clusters.join(open_, "cluster", "left_semi").select("cluster", "node").unionByName(open_.select("cluster", F.col("cluster").alias("node"))).distinct()
+    nodes = saved(nodes.join(grouped.select("node", "group"), "node"))
+    few = nodes.count() <= FEW
+    texts = source.join(F.broadcast(nodes) if few else nodes, F.col("id") == F.col("node")).groupBy("cluster", "group", "node").agg(F.min("text").alias("text"))
+    texts = saved(texts)
+    groups = texts.groupBy("cluster", "group").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = groups.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"), F.max_by("group", F.struct("n", "group")).alias("top"))
+    dealt = texts.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    visits = F.when(F.col("group") == F.col("top"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("block", F.explode(visits)).select("cluster", "block", (F.col("own") != F.col("block")).alias("asks"), "node", "group", "text")
+    return saved(dealt.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "asks").mapInPandas(_similar_in_blocks(words, similarity), "a long, b long"))
