@@ -1,7 +1,9 @@
 """Operators for training data against brute force, with odd rows: nulls, empty and long
 texts, ties, repeats, empty tables and clashing column names."""
 
+import datetime
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -16,6 +18,8 @@ from fieldmark.llm import bpe, chroma, langid, mixing, multiindex, pii, queries,
 LONG = " ".join(f"word{i * 7919 % 1013}" for i in range(20_000))
 TEXTS = [None, "", " ", "one", "a b c d e f g", "a b c d e f g", "A B C D E F G", "ça va où être naïve 你好 😀", "  two  spaces\n\ttabs ", LONG, LONG + " tail", "mail x.1@mail2.example.com call +1 (017) 555-7713", "x" * 300, "x" * 300, "x <|endoftext|> y<|endoftext|>", "don't can't we'll 123456 !!! \u001c z"]
 CLASH = "doc_id long, text string, lang string, source string, n_tokens int, size int, id int, fp int, at int, h int, tie int, count int"
+#: Names that results, reserved columns and inner columns have.
+NAMES = ("weight", "probability", "kept", "lang_pred", "score", "token_ids", "_text", "_topic", "topic", "component_id", "_ids", "found", "c0", "m0", "print", "node")
 
 
 @pytest.fixture(scope="module")
@@ -82,11 +86,14 @@ def test_shards(odd, shards):
     assert got.loc[got.doc_id == 9, "size"].item() == len(LONG.encode()) + 8
 
 
-def test_capacity_is_minimal(spark):
-    rng = np.random.default_rng(0)
+@pytest.mark.parametrize(("seed", "buckets", "read"), [(0, 10_000, 200_000), (1, 20, 5), (2, 6, 0)])
+def test_capacity_is_minimal(spark, seed, buckets, read):
+    """Also where the running sums are looked at through few buckets."""
+    rng = np.random.default_rng(seed)
     sizes = rng.integers(1, 60, 80).tolist()
+    sizes[5] = 700 if seed == 1 else sizes[5]
     ends = np.cumsum(sizes).tolist()
-    capacity, cuts = sharding.minimax_capacity(spark.createDataFrame([(e,) for e in ends], "end long"), 7, ends[-1], max(sizes))
+    capacity, cuts = sharding.minimax_capacity(spark.createDataFrame([(e,) for e in ends], "end long"), 7, ends[-1], max(sizes), buckets, read)
 
     def fits(c):
         n, left = 1, c
@@ -98,7 +105,7 @@ def test_capacity_is_minimal(spark):
             left -= s
         return n <= 7
 
-    assert fits(capacity) and not fits(capacity - 1) and cuts[-1] == ends[-1]
+    assert fits(capacity) and not fits(capacity - 1) and cuts[-1] == ends[-1] and set(cuts) <= set(ends)
 
 
 def test_shards_empty(none):
@@ -231,6 +238,92 @@ def test_pseudonyms(spark):
     assert got[9] == (None, None) and got[10] == ("", 0) and got[11] == ("plain 12345", 0)
 
 
+def plain_permuted(values, radices, key, tag):
+    """The keyed Feistel network, symbol by symbol."""
+    s = list(values)
+    half = len(s) // 2
+    for i in range(1, pii.ROUNDS + 1):
+        other = s[half:] if i % 2 else s[:half]
+        stream = "".join(hashlib.sha512("|".join([key, tag, str(i), str(b), ",".join(map(str, other))]).encode()).hexdigest() for b in range(len(s) // 16 + 1))
+        for j in range(len(s)):
+            if (j < half) == (i % 2 == 1):
+                s[j] = (s[j] + int(stream[8 * j : 8 * j + 8], 16)) % radices[j]
+    return s
+
+
+def plain_symbols(text, key, tag):
+    def kind(c):
+        return (48, 10) if c.isdigit() else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (ord(c), 1)
+
+    kinds = [kind(c) for c in text]
+    moved = plain_permuted([ord(c) - b for c, (b, _) in zip(text, kinds, strict=True)], [n for _, n in kinds], key, tag)
+    return "".join(chr(b + v) for (b, _), v in zip(kinds, moved, strict=True))
+
+
+def plain_pseudonym(word, key):
+    """The pseudonym of one word by plain rules, or the word itself."""
+    luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s)))
+    if re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", word) and max(map(int, word.split("."))) < 256:
+        return ".".join(map(str, plain_permuted([int(x) for x in word.split(".")], [256] * 4, key, "ip")))
+    if re.fullmatch(r"\d{13,19}", word) and luhn(word) % 10 == 0 and set(word) != {"0"}:
+        p = word[0] + plain_symbols(word[1:-1], key, "card")
+        return p + str(-luhn(p + "0") % 10)
+    if m := re.fullmatch(r"(\d{3})-(\d\d)-(\d{4})", word):
+        a, b, c = map(int, m.groups())
+        if 1 <= a <= 899 and a != 666 and b and c:
+            a, b, c = plain_permuted([a - (2 if a > 666 else 1), b - 1, c - 1], [898, 99, 9999], key, "ssn")
+            return f"{a + (2 if a > 664 else 1):03d}-{b + 1:02d}-{c + 1:04d}"
+    if m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", word):
+        try:
+            n = (datetime.date(*map(int, m.groups())) - datetime.date(1700, 1, 1)).days
+        except ValueError:
+            return word
+        if 0 <= n < 146097:
+            a, b = plain_permuted([n // 773, n % 773], [189, 773], key, "date")
+            return (datetime.date(1700, 1, 1) + datetime.timedelta(a * 773 + b)).isoformat()
+    if m := re.fullmatch(r"([A-Za-z0-9.]+)@([A-Za-z0-9]+\.[a-z]+)", word):
+        return plain_symbols(m[1], key, "email") + "@" + m[2].lower()
+    return word
+
+
+def test_pseudonyms_brute_force(spark):
+    """Texts of random words, valid and not, against the plain rules word by word."""
+    rng = np.random.default_rng(6)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card(n):
+        body = digits(n - 1)
+        return body + str(next(c for c in range(10) if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(body + str(c)))) % 10 == 0))
+
+    makers = [
+        lambda: ".".join(str(x) for x in rng.integers(0, 300, 4)), lambda: card(int(rng.integers(13, 20))), lambda: digits(16), lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: f"{rng.integers(1690, 2110):04d}-{rng.integers(1, 14):02d}-{rng.integers(1, 33):02d}", lambda: f"u{digits(2)}.Xy@Mail{digits(1)}.org", lambda: digits(5), lambda: "plain",
+    ]
+    texts = [" ".join(makers[rng.integers(len(makers))]() for _ in range(rng.integers(1, 9))) for _ in range(300)]
+    got = {r["i"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "key").collect()}
+    want = {i: " ".join(plain_pseudonym(w, "key") for w in t.split(" ")) for i, t in enumerate(texts)}
+    assert got == want
+    assert sum(got[i] != t for i, t in enumerate(texts)) > 200
+
+
+def test_slashed_dates_permute(spark):
+    """All days of a leap year and the one before, as dd/MM/yyyy and as MM/dd/yyyy: as many pseudonyms as values."""
+    days = [datetime.date(2023, 1, 1) + datetime.timedelta(k) for k in range(731)]
+    values = sorted({f"{d:{f}}" for d in days for f in ("%d/%m/%Y", "%m/%d/%Y")})
+    got = {r["text"] for r in pii.pseudonymise(spark.createDataFrame([(v,) for v in values], "text string"), "k").collect()}
+    assert len(got) == len(values)
+    readable = lambda v: sorted(f for f in ("%d/%m/%Y", "%m/%d/%Y") if _reads(v, f))
+    assert sorted(map(readable, got)) == sorted(map(readable, values))
+
+
+def _reads(value, form):
+    try:
+        datetime.datetime.strptime(value, form)
+    except ValueError:
+        return False
+    return True
+
+
 def test_pseudonyms_permute(spark):
     """No two originals share a pseudonym: all of a small format."""
     n = 3000
@@ -653,6 +746,57 @@ def test_similar_documents_templates(spark):
     assert len({c for c, in got.values()}) <= len({forest.find(i) for i in range(300)}) + 4
 
 
+# clashing names
+
+
+@pytest.fixture(scope="module")
+def clash(odd):
+    return odd.withColumns({c: F.concat(F.lit("kept "), F.col("doc_id").cast("string")) for c in NAMES})
+
+
+@pytest.mark.parametrize(
+    ("operator", "made"),
+    [
+        (lambda d: mixing.mix(d, {"lang": None, "source": None}, 0.5), ("n_tokens", "weight", "probability", "kept")),
+        (lambda d: langid.identify(d, langid.train(d)), ("lang_pred", "score")),
+        (lambda d: bpe.encode(d), ("token_ids", "text")),
+        (lambda d: bpe.decode(bpe.encode(d)), ("token_ids", "text", "decoded")),
+        (lambda d: simhash.fingerprints(d), ("fp", "text")),
+        (lambda d: pii.pseudonymise(d, "k", count="found"), ("found",)),
+    ],
+)
+def test_clashing_columns_stay(clash, none, operator, made):
+    """Every column that the operator doesn't make is as it was."""
+    got = operator(clash)
+    stay = [c for c in NAMES if c not in made]
+    assert set(stay) <= set(got.columns) and len(got.columns) == len(set(got.columns))
+    rows = got.select("doc_id", *stay).collect()
+    assert len(rows) == clash.count()
+    assert all(r[c] == (None if r["doc_id"] is None else f"kept {r['doc_id']}") for r in rows for c in stay)
+    assert operator(none.withColumns({c: F.lit("x") for c in NAMES})).count() == 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_rows(clash, none, k):
+    """Nulls, empties, repeats, long texts and clashing names, stage by stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    name, stage = corpus_pipeline.STAGES[k]
+    got = stage(clash.sparkSession, clash, "")
+    made = {"tokens": {"token_ids", "n_tokens"}}.get(name, set())
+    assert set(got.columns) == set(clash.columns) | made - ({"text"} if name == "tokens" else set()) or name == "tokens"
+    stay = [c for c in NAMES if c not in made]
+    rows = got.select("doc_id", *stay).collect()
+    assert rows and all(r[c] == (None if r["doc_id"] is None else f"kept {r['doc_id']}") for r in rows for c in stay)
+    ids = [r["doc_id"] for r in rows]
+    want = [r["doc_id"] for r in clash.select("doc_id").collect()]
+    assert set(ids) <= set(want) and (name not in ("pseudonyms", "tokens") or len(ids) == len(want))
+    if name == "near_copies":
+        assert None in ids and 5 not in ids and 6 not in ids and 4 in ids
+    if name == "language":
+        assert not {0, 1, 2} & set(ids)
+    assert stage(clash.sparkSession, none.withColumns({c: F.lit("x") for c in NAMES}), "").count() == 0
+
+
 # pipeline
 
 
