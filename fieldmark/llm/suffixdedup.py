@@ -38,7 +38,7 @@ from fieldmark.llm.common import named, saved
 
 SPAN, GRAM = 100, 32
 #: Bytes hashed at once, bytes of an index, stretches and their bytes from which a minimizer is settled by windows, windows settled at once.
-PIECE, INDEX_BYTES, HOT, HOT_BYTES, LOT = 1 << 20, 1 << 20, 256, 1 << 20, 200_000
+PIECE, INDEX_BYTES, HOT, HOT_BYTES, LOT = 1 << 20, 2 << 20, 128, 1 << 20, 200_000
 _PLACE = np.uint64((1 << 21) - 1)
 NO_ID = -(1 << 63)
 _RNG = np.random.default_rng(20240607)
@@ -115,7 +115,7 @@ class RunIndex:
             key = key * np.uint64(257)
             key[: n - k] += text[k:].astype(np.uint64)
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ranked = key[order]
             number = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
             if number[-1] == n - 1:
@@ -199,11 +199,22 @@ def _words(text: np.ndarray) -> np.ndarray:
     return wide[:-4] | wide[1:-3] << np.uint64(16) | wide[2:-2] << np.uint64(32) | wide[3:-1] << np.uint64(48)
 
 
+def _window_hashes(texts: list[bytes], windows: np.ndarray, span: int) -> np.ndarray:
+    """A hash of each window of each text, one text after the other."""
+    lengths = windows + span - 1
+    g = _BYTE[np.frombuffer(b"".join(texts), np.uint8)]
+    power, inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(g), x, np.uint64)])) for x in (_R, _R_INV))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * power[:-1], dtype=np.uint64)])
+    begin = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    return _mix((sums[begin + span] - sums[begin]) * inverse[begin])
+
+
 def repeats(texts: list[bytes], group: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """``string, offset`` of each window whose bytes also stand in an earlier string of its group.
 
     ``group``: equal numbers side by side, strings in order of origin. No window of one
-    string is in another group.
+    string is in another group. A window whose hash no other one has can't be equal to any;
+    of the others the index tells which are.
     """
     n = len(texts)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -211,11 +222,30 @@ def repeats(texts: list[bytes], group: np.ndarray, span: int = SPAN) -> tuple[np
     rank = np.arange(n) - starts[number]
     windows = np.array([len(t) for t in texts]) - span + 1
     base = np.cumsum(windows) - windows
-    gone = np.zeros(int(windows.sum()), bool)
-    low, high = np.zeros(n, np.int64), windows.copy()  # of each string what is not marked yet lies between
+    hashes = _window_hashes(texts, windows, span)
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    open_ = np.zeros(len(hashes), bool)
+    open_[order[1:][same]] = open_[order[:-1][same]] = True
+    gone = np.zeros(len(hashes), bool)
+    low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)  # of each string what is open lies between
+
+    def bound(strings: np.ndarray) -> None:
+        part = np.repeat(base[strings] - (np.cumsum(windows[strings]) - windows[strings]), windows[strings]) + np.arange(windows[strings].sum())
+        at = np.flatnonzero(open_[part])
+        of = np.searchsorted(np.cumsum(windows[strings]), at, side="right")
+        offset = part[at] - base[strings][of]
+        low[strings] = high[strings] = 0
+        if len(at):
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            low[strings[of[first]]] = offset[first]
+            high[strings[of[first]]] = offset[np.append(first[1:], len(of)) - 1] + 1
+
+    bound(np.arange(n))
     for k in reversed(range(int(rank.max(initial=0)).bit_length())):
         block, late = rank >> (k + 1), (rank >> k & 1).astype(bool)
-        for b in np.unique(block[late]):
+        live = low < high
+        for b in np.unique(block[late & live]):
             right = np.flatnonzero((block == b) & late & (low < high))
             asked = np.zeros(len(starts), bool)
             asked[number[right]] = True
@@ -230,9 +260,8 @@ def repeats(texts: list[bytes], group: np.ndarray, span: int = SPAN) -> tuple[np
                 long = length >= span
                 i = right[i[long]]
                 gone[base[i] + low[i] + offset[long]] = True
-            for i in right:
-                own = np.flatnonzero(~gone[base[i] : base[i] + windows[i]])
-                low[i], high[i] = (own[0], own[-1] + 1) if len(own) else (0, 0)
+            open_ &= ~gone
+            bound(right)
     at = np.flatnonzero(gone)
     string = np.searchsorted(base, at, side="right") - 1
     return string, at - base[string]
