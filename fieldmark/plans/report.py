@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import col, is_numeric
@@ -92,11 +92,81 @@ def fill_time(items: DataFrame, target_seconds: float, by: str = "doc_id") -> Da
     return got.withColumn("over", F.col("seconds") > 1.15 * target_seconds)
 
 
+# Where a wording lists its choices, in the order in which places are tried, and
+# words of instructions, which are no choices.
+CHOICES = (
+    r"[（(]([^（）()]{2,80})[）)]",
+    r"(?:单选|多选|排序)[：:]\s*([^（(]+)",
+    r"(?:编码为|归为|归入|分为|类别为|取值)\s*([^。；;]{2,80})",
+    r"如\s*([^。；;]{2,80}?)\s*(?:等|等等)",
+    r"[：:]\s*([^（(。；;]*[/／|、][^（(。；;]*)",
+    r"按\s*([^。；;]{2,80}?)\s*(?:区间|分组|档位|归组|分档)",
+)
+INSTRUCTIONS = "按 |分组|选择后|归组|计算|得出|注明|填写|允许|大概|自报|由前|区间归"
+LONGEST_CHOICE, MOST_CHOICES = 14, 8
+
+
+def _choices(listed: Column) -> Column:
+    """Items of a listing; none where its head is an instruction or an item is no choice."""
+    items = F.transform(F.split(listed, r"[/／|、,，]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[（(][^（）()]*[）)]\s*$", ""), r"^[\s\u3000]+|[\s\u3000。；;]+$", ""))
+    items = F.filter(items, lambda x: (x != "") & ~x.isin("等", "等等", "其他等"))
+    # what follows the last item of a fitting length is no part of the listing
+    short = F.transform(items, lambda x: F.length(x) <= LONGEST_CHOICE)
+    items = F.slice(items, 1, F.greatest(F.lit(0), F.size(items) - F.coalesce(F.array_position(F.reverse(short), F.lit(True)) - 1, F.lit(0)).cast("int")))
+    told = F.get(items, F.lit(0)).rlike(INSTRUCTIONS)
+    items = F.filter(items, lambda x: ~x.rlike(INSTRUCTIONS))
+    odd = F.exists(items, lambda x: (F.length(x) > LONGEST_CHOICE) | x.rlike("[。；;（）():：]"))
+    fits = F.size(items).between(2, MOST_CHOICES) & ~F.coalesce(told, F.lit(False)) & ~odd
+    return F.when(fits, items)
+
+
 def options(items: DataFrame, text: str = "how") -> DataFrame:
-    """``items`` plus ``options``: the choices that a wording lists after a colon or in brackets."""
-    listed = F.regexp_extract(F.col(text), r"[:：(（]([^:：()（）]*[/、；;|｜][^:：()（）]*)", 1)
-    found = F.filter(F.transform(F.split(listed, r"[/、；;|｜]"), lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= 20))
-    return items.withColumn("options", F.when(F.size(found) >= 2, found))
+    """``items`` plus ``options``: the choices that a wording lists, from the first place that has some."""
+    found = [_choices(F.regexp_extract(F.col(text), p, 1)) for p in CHOICES]
+    return items.withColumn("options", F.coalesce(*found))
+
+
+def section_diff(old: DataFrame, new: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``change, id, title, old, new`` of Markdown texts by their sections; titles that repeat are told apart by their place among themselves."""
+    sides = []
+    for docs in (old, new):
+        nth = F.row_number().over(Window.partitionBy(id, "title").orderBy("section"))
+        sides.append(sections(docs, id, text).withColumn("nth", nth).select(id, "title", "nth", "body"))
+    return diff(*sides, [id, "title", "nth"]).drop("nth")
+
+
+def line_diff(old: DataFrame, new: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``change, id, line, n``: lines of texts that one side has more often than the other."""
+    counted = [docs.select(id, F.explode(F.split(F.col(text), r"\r\n|\r|\n", -1)).alias("line"), F.lit(sign).alias("n")) for docs, sign in ((old, -1), (new, 1))]
+    got = counted[0].unionByName(counted[1]).groupBy(id, "line").agg(F.sum("n").alias("n")).where("n <> 0")
+    return got.select(F.when(F.col("n") > 0, "added").otherwise("removed").alias("change"), id, "line", F.abs("n").alias("n"))
+
+
+def versions(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """``version, at, n_bytes`` of a result that ``sources.write_table`` wrote, newest first."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{folder}/{name}")
+    version = F.regexp_extract("path", r"/(_v[^/]+)/[^/]+$", 1)
+    return files.groupBy(version.alias("version")).agg(F.max("modificationTime").alias("at"), F.sum("length").alias("n_bytes")).where("version <> ''").orderBy(F.desc("version"))
+
+
+def stale(spark: SparkSession, inputs: list[str], output: str) -> bool:
+    """Whether an input was written after the output, or the output is missing."""
+    newest = lambda paths: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).agg(F.max("modificationTime")).first()[0]
+    try:
+        made = newest([output])
+    except Exception:  # no such path, in whatever store
+        return True
+    return made is None or newest(inputs) > made
+
+
+def assemble(title: str, parts: list[tuple[str, DataFrame | str]], sources: list[str] = ()) -> str:
+    """A Markdown report: a heading, each part as text or table, and where the figures are from."""
+    body = [f"# {title}"]
+    for head, part in parts:
+        body += [f"## {head}", part if isinstance(part, str) else markdown(part)]
+    if sources:
+        body += ["## Sources", "\n".join(f"- {x}" for x in sources)]
+    return "\n\n".join(body) + "\n"
 
 
 def frame(spark: SparkSession, result: dict) -> DataFrame:

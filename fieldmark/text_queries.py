@@ -290,6 +290,30 @@ def form_time(spark, sf_dir):
     return report.fill_time(report.question_kinds(report.variable_rows(report.sections(forms(spark, sf_dir)))), 60)
 
 
+WORDINGS = ("是否知道（知道/不知道/不确定）", "多选：送礼 / 自用 / 收藏", "编码为 单方承担 / 轮流承担 / 均摊", "如陪伴、吸引、同伴压力等", "自报当前状态：单身 / 恋爱中 / 已分手", "按 0–25%、25–50%、50–75% 区间归组", "按 0 次、1 次分组后计算得出的各种很长很长的说明", "李克特量表")
+LISTED = ("知道|不知道|不确定", "送礼|自用|收藏", "单方承担|轮流承担|均摊", "陪伴|吸引|同伴压力", "单身|恋爱中|已分手", "0–25%|25–50%|50–75%", "0 次|1 次", None)
+
+
+@query(f"SELECT p_partkey, ([{', '.join('NULL' if x is None else repr(x) for x in LISTED)}])[(p_partkey % {len(WORDINGS)} + 1)::INT] AS options FROM part")
+def option_patterns(spark, sf_dir):
+    how = F.element_at(F.array(*map(F.lit, WORDINGS)), (F.col("p_partkey") % len(WORDINGS) + 1).cast("int"))
+    return report.options(table(spark, sf_dir, "part").select("p_partkey", how.alias("how"))).select("p_partkey", F.array_join("options", "|").alias("options"))
+
+
+@query("SELECT 'changed' AS change, p_partkey AS doc_id, '变量' AS title FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'added', p_partkey, '附' FROM part WHERE p_partkey % 3 = 1")
+def form_changes(spark, sf_dir):
+    old, k = forms(spark, sf_dir), F.col("doc_id") % 3
+    new = old.withColumn("text", F.when(k == 0, F.replace("text", F.lit("数字"), F.lit("整数"))).when(k == 1, F.concat("text", F.lit("\n# 附\n表"))).otherwise(F.col("text")))
+    return report.section_diff(old, new).select("change", "doc_id", "title")
+
+
+@query("SELECT 'removed' AS change, p_partkey AS doc_id, '了解' AS line, 1::BIGINT AS n FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'added', p_partkey, '比较', 1 FROM part WHERE p_partkey % 2 = 0")
+def form_line_changes(spark, sf_dir):
+    old = forms(spark, sf_dir)
+    new = old.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("了解"), F.lit("比较"))).otherwise(F.col("text")))
+    return report.line_diff(old, new)
+
+
 # cleaning and coercion
 
 SKIPPING = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS status, o_orderkey % 3 = 0 AS skipped FROM orders"
