@@ -26,8 +26,8 @@ from fieldmark.llm.common import Memo, named, tidied, without
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as Unicode's property has it; Python's own \s also takes U+001C to U+001F.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-#: Bytes of results that one worker remembers during a task, and the longest text it remembers one for.
-MEMO, MEMO_LENGTH = 48 << 20, 40
+#: Bytes of results that one worker remembers, also for later tasks, and the longest text it remembers one for.
+MEMO, MEMO_LENGTH = 40 << 20, 40
 
 
 class PerfectHash:
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: st
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
-        yield from tidied((pd.Series([c.encode(t or "") for t in texts], dtype=object) for texts in batches), c.memo)
+        yield from tidied(pd.Series([c.encode(t or "") for t in texts], dtype=object) for texts in batches)
 
     return docs.select(*without(docs, text, ids), run.asNondeterministic()(named(text)).alias(ids))
 
@@ -236,7 +236,7 @@ def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", path: st
                 rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(c.decode(x)).hexdigest()))
             return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-        yield from tidied(map(digests, batches), c.memo)
+        yield from tidied(map(digests, batches))
 
     found = docs.select(named(id).alias("_id"), run.asNondeterministic()(named(text)).alias("_of"))
     return found.select(F.col("_id").alias(id), "_of.*")

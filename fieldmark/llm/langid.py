@@ -28,7 +28,7 @@ from fieldmark.llm.common import Memo, named, tidied, without
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Cost of a character that is no piece; characters of a word whose sums fit a double; characters summed at once, about.
 UNKNOWN, SHORT, LOT = 1e-7, 40, 150_000
-#: Bytes of scores that one worker remembers during a task, and the longest word it remembers one for.
+#: Bytes of scores that one worker remembers as long as it holds the model, and the longest word it remembers one for.
 MEMO, MEMO_LENGTH = 32 << 20, 40
 #: Languages of a model at most: its size, and so what is broadcast, grows with them.
 MOST_LANGUAGES = 400
@@ -306,7 +306,7 @@ def identify(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFram
                 got += m.predict_all(texts.iloc[at : at + 500].tolist())
             return pd.DataFrame(got, columns=["lang_pred", "score"])
 
-        yield from tidied(map(found, batches), m.memo)
+        yield from tidied(map(found, batches))
 
     # not deterministic for the planner, so that a filter on the result doesn't run it twice
     kept = without(docs, "lang_pred", "score")

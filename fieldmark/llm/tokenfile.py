@@ -30,7 +30,7 @@ from fieldmark.llm.common import Memo, named, shared_dir, tidied
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CHUNK, RANK_BLOCK = 8, 512
-#: Bytes of results that one worker remembers during a task.
+#: Bytes of results that one worker remembers, also for later tasks.
 MEMO = 128 << 20
 #: Ids of a stored block (a longer document has a block of its own), and bytes of text that one task encodes, about.
 BLOCK_IDS, RANGE_BYTES = 1 << 20, 64 << 20
@@ -165,7 +165,7 @@ def write_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from tidied(blocks(batches), encoder(vocabulary).memo)
+        yield from tidied(blocks(batches))
 
     def blocks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, block = TaskContext.get().partitionId(), 0
