@@ -27,7 +27,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as Unicode's property has it; Python's own \s also takes U+001C to U+001F.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 #: Bytes of results that one worker remembers, also for later tasks, and the longest text it remembers one for.
-MEMO, MEMO_LENGTH = 40 << 20, 40
+MEMO, MEMO_LENGTH = 72 << 20, 40
 
 
 class PerfectHash:
@@ -139,7 +139,11 @@ class BytePairCodec:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
-        return b"".join(map(self.of, units(text)))
+        parts = units(text)
+        try:
+            return b"".join(map(self.memo.get, parts))
+        except TypeError:  # a part that isn't remembered
+            return b"".join(map(self.of, parts))
 
     def of(self, unit: str) -> bytes:
         ids = self.memo.get(unit)
@@ -172,8 +176,10 @@ def units(text: str) -> list[str]:
     """
     if _ODD_SPACE.search(text):
         return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    if "\0" in text:
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+    return text.replace(" ", "\0 ").split("\0")
 
 
 _codecs: dict[str, BytePairCodec] = {}

@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh folder in ``spark.checkpoint.dir``, which all executors see.
 
     Where that is unset, a local master gets a temporary folder and any other
-    master the warehouse, which is shared as well.
+    master the warehouse, which is shared as well. All folders of one application lie
+    in one, named by its id, which can be removed as soon as its results are written.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
             base = f"file://{tempfile.gettempdir()}/fieldmark-tables"
         else:
             base = spark.conf.get("spark.sql.warehouse.dir") + "/_fieldmark"
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{base}/fieldmark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -67,11 +68,13 @@ class Memo(dict):
     def __init__(self, limit: int) -> None:
         self.limit = self.room = limit
 
-    def keep(self, key: str | bytes, value: object, size: int = 0) -> None:
+    def keep(self, key: str | bytes, value: object, size: int = 0) -> bool:
         need = len(key) + size + self.ENTRY
-        if need <= self.room:
-            self.room -= need
-            self[key] = value
+        if need > self.room:
+            return False
+        self.room -= need
+        self[key] = value
+        return True
 
     def clear(self) -> None:
         super().clear()

@@ -178,7 +178,7 @@ class PieceModel:
     def of(self, texts: list[list[str]]) -> np.ndarray:
         """Log-likelihood of each text, a list of words, in each language."""
         memo, out = self.memo, np.zeros((len(texts), len(self.languages)))
-        new = list({w for ws in texts for w in ws if w not in memo})
+        new = [w for w in set().union(*texts) if w not in memo]
         scores = self.score(new).astype(np.float32)
         if not memo:
             self._scores = np.zeros((0, len(self.languages)), np.float32)

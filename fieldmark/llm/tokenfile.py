@@ -31,7 +31,7 @@ from fieldmark.llm.common import Memo, named, shared_dir, tidied
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CHUNK, RANK_BLOCK = 8, 512
 #: Bytes of results that one worker remembers, also for later tasks.
-MEMO = 128 << 20
+MEMO = 150 << 20
 #: Ids of a stored block (a longer document has a block of its own), and bytes of text that one task encodes, about.
 BLOCK_IDS, RANGE_BYTES = 1 << 20, 64 << 20
 BLOCKS = "part int, block int, n_ids long, doc_ids binary, nulls binary, ends binary, codes binary"
@@ -131,18 +131,21 @@ class LibraryEncoder:
         return [text] if any(map(text.__contains__, self.added)) else units(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.parts(t) for t in texts]
-        memo = self.memo
-        new = list({u for p in parts for u in p if u not in memo})
-        own: dict[str, bytes] = {}
+        memo, parts = self.memo, [self.parts(t) for t in texts]
+        new, own = list(set().union(*parts).difference(memo)), {}
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                own[u] = x = array("I", e.ids).tobytes()
-                if len(u) <= MEMO_LENGTH:
-                    memo.keep(u, x, len(x))
-        get = memo.get
-        return [b"".join([got if (got := get(u)) is not None else own[u] for u in p]) for p in parts]
+                x = array("I", e.ids).tobytes()
+                if len(u) > MEMO_LENGTH or not memo.keep(u, x, len(x)):
+                    own[u] = x
+        out = []
+        for p in parts:
+            try:
+                out.append(b"".join(map(memo.__getitem__, p)))
+            except KeyError:  # a part that isn't remembered
+                out.append(b"".join([x if (x := memo.get(u)) is not None else own[u] for u in p]))
+        return out
 
 
 _encoders: dict[str, LibraryEncoder] = {}
