@@ -71,16 +71,14 @@ def variable_profile(spark, sf_dir):
 
 
 @query("""
-SELECT name, 100 * round(missing / n, 4) AS missing_pct FROM (
+SELECT name, round(100 * missing / n, 1) AS missing_pct FROM (
 SELECT 'x' AS name, count(*)::DOUBLE AS n, count(*) FILTER (l_orderkey % 7 = 0)::DOUBLE AS missing FROM lineitem UNION ALL
 SELECT 'y', count(*)::DOUBLE, count(*) FILTER (l_partkey % 11 = 0)::DOUBLE FROM lineitem)
 """)
 def missing_share(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     df = lines.select(F.expr("if(l_orderkey % 7 = 0, null, l_quantity)").alias("x"), F.expr("if(l_partkey % 11 = 0, null, l_tax)").alias("y"))
-    n = F.count("*").cast("double")
-    wide = df.agg(*[(100 * F.round((n - F.count(c)) / n, 4)).alias(c) for c in ("x", "y")])
-    return wide.unpivot([], ["x", "y"], "name", "missing_pct")
+    return profile.profile(df).select("name", "missing_pct")
 
 
 @query("""
@@ -350,17 +348,21 @@ def weighted_corr(spark, sf_dir):
     return numbers(spark, weights.weighted_corr(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax", "l_quantity"), ["r"])
 
 
-TESTS = [0.0001, 0.0004, 0.0019, 0.0095, 0.0201, 0.0278, 0.0298, 0.0344, 0.0459, 0.3240, 0.4262, 0.5719, 0.6528, 0.7590, 1.0]
+#: One test for each customer: a p-value by rule, small for some.
+P_RULE = "pow((c_custkey * 7919 % 10007 + 1) / 10008{double}, 3)"
+TESTS_SQL = f"SELECT c_custkey AS id, {P_RULE.format(double='::DOUBLE')} AS p, c_custkey % 2 = 0 AS exploratory FROM customer"
+
+
+def tests_of_customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(P_RULE.format(double="D")).alias("p"), (F.col("c_custkey") % 2 == 0).alias("exploratory"))
 
 
 @query(f"""
-WITH t AS (SELECT * FROM (VALUES {", ".join(f"({k}, {p}::DOUBLE)" for k, p in enumerate(TESTS))}) v(id, p)),
-r AS (SELECT id::BIGINT AS id, p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM t)
-SELECT id, p, p <= 0.05::DOUBLE / m AS bonferroni, k <= coalesce((SELECT max(k) FROM r WHERE p <= k * 0.05::DOUBLE / m), 0) AS bh FROM r
+WITH r AS (SELECT id, p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM ({TESTS_SQL}))
+SELECT id, round(p, 12) AS p, p <= 0.05::DOUBLE / m AS bonferroni, k <= coalesce((SELECT max(k) FROM r WHERE p <= k * 0.05::DOUBLE / m), 0) AS bh FROM r
 """)
 def bh_fdr(spark, sf_dir):
-    tests = spark.createDataFrame(list(enumerate(TESTS)), "id long, p double")
-    return multiple.adjust(tests).select("id", "p", "bonferroni", "bh")
+    return multiple.adjust(tests_of_customers(spark, sf_dir)).select("id", F.round("p", 12).alias("p"), "bonferroni", "bh")
 
 
 @query("""
@@ -442,7 +444,7 @@ def moderation_price(spark, sf_dir):
 @query()
 def factor_loadings(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", F.col("l_linenumber").cast("double").alias("l_linenumber"))
-    return factor.loading_table(spark, factor.analyse(lines, lines.columns, factors=2))
+    return factor.loading_table(spark, factor.analyse(lines, lines.columns))
 
 
 @query("""
@@ -462,12 +464,11 @@ def speaker_share(spark, sf_dir):
 
 
 @query("""
-SELECT lang AS label, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2
-FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY 1
+PIVOT (SELECT DISTINCT lang AS label, source FROM documents) ON source USING count(*) GROUP BY label
 """)
 def role_matrix(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.array("lang").alias("label"), F.col("source").alias("speaker"))
-    return coding.person_matrix(docs, "label", ["src0", "src1", "src2"])
+    docs = table(spark, sf_dir, "documents").select(F.array("lang").alias("label"), F.col("source").alias("speaker"), F.col("doc_id").alias("no"))
+    return coding.person_matrix(docs, "label")
 
 
 @query("""
@@ -499,15 +500,15 @@ def email_pseudonyms(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[邮箱1]', 'g') AS text FROM documents
-WHERE len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'))) = 1
+WITH e AS (SELECT doc_id, m AS value, min(instr(text, m)) AS first FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})', 1)) AS m FROM documents) GROUP BY 1, 2),
+n AS (SELECT doc_id, value, '[邮箱' || row_number() OVER (PARTITION BY doc_id ORDER BY first, value)::VARCHAR || ']' AS placeholder FROM e),
+l AS (SELECT doc_id, list(value || chr(1) || placeholder ORDER BY length(value) DESC, value DESC) AS parts FROM n GROUP BY 1)
+SELECT doc_id, CASE WHEN parts IS NULL THEN text ELSE list_reduce(list_prepend(text, parts), lambda a, b: replace(a, split_part(b, chr(1), 1), split_part(b, chr(1), 2))) END AS text FROM documents LEFT JOIN l USING (doc_id)
 """)
 def email_replaced(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = deident.entities(docs, names=False, kinds={"邮箱": deident.DIRECT["邮箱"]})
-    mapping = deident.numbered(found, ["doc_id"], ["first"])
-    single = mapping.groupBy("doc_id").count().where("count = 1").select("doc_id")
-    return deident.replaced(docs, mapping, "doc_id").join(single, "doc_id", "left_semi")
+    return deident.replaced(docs, deident.numbered(found, ["doc_id"], ["first"]), "doc_id")
 
 
 @query()
@@ -637,14 +638,13 @@ def mode_fill_value(spark, sf_dir):
 
 
 @query(f"""
-WITH t AS (SELECT * FROM (VALUES {", ".join(f"({p}::DOUBLE)" for p in TESTS)}) v(p)), r AS (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM t),
-a AS (SELECT p, m, p < 0.05 AS raw, p <= 0.05::DOUBLE / m AS bon, k <= coalesce((SELECT max(k) FROM r WHERE p <= k * 0.05::DOUBLE / m), 0) AS bh FROM r)
-SELECT count(*) AS n_tests, count(*) FILTER (raw) AS n_raw, count(*) FILTER (bon) AS n_bonferroni, count(*) FILTER (bh) AS n_bh, count(*) FILTER (raw AND NOT bh) AS n_dropped, round(1 - 0.95::DOUBLE ** count(*), 6) AS familywise FROM a
+WITH t AS ({TESTS_SQL}), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM t),
+a AS (SELECT exploratory, p < 0.05 AS raw, p <= 0.05::DOUBLE / m AS bon, k <= coalesce((SELECT max(k) FROM r WHERE p <= k * 0.05::DOUBLE / m), 0) AS bh FROM r)
+SELECT coalesce(exploratory::VARCHAR, 'all') AS exploratory, count(*) AS n_tests, count(*) FILTER (raw) AS n_raw, count(*) FILTER (bon) AS n_bonferroni, count(*) FILTER (bh) AS n_bh, count(*) FILTER (raw AND NOT bh) AS n_dropped, round(1 - 0.95::DOUBLE ** count(*), 6) AS familywise FROM a GROUP BY CUBE (exploratory)
 """)
 def ledger_summary(spark, sf_dir):
-    tests = spark.createDataFrame([(p, False) for p in TESTS], "p double, exploratory boolean")
-    got = multiple.summary(tests).where("exploratory is null")
-    return got.drop("exploratory").withColumn("familywise", F.round("familywise", 6))
+    got = multiple.summary(tests_of_customers(spark, sf_dir)).withColumn("familywise", F.round("familywise", 6))
+    return got.withColumn("exploratory", F.coalesce(F.col("exploratory").cast("string"), F.lit("all")))
 
 
 @query()
