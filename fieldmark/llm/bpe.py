@@ -27,7 +27,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as Unicode's property has it; Python's own \s also takes U+001C to U+001F.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 #: Bytes of results that one worker remembers, also for later tasks, and the longest text it remembers one for.
-MEMO, MEMO_LENGTH = 72 << 20, 40
+MEMO, MEMO_LENGTH = 100 << 20, 40
 
 
 class PerfectHash:
