@@ -36,7 +36,7 @@ def _poisson_grams(df: DataFrame, names: list[str], replicates: int, seed: int)
                 some = pdf.iloc[at : at + 500]
                 x = np.column_stack([np.ones(len(some)), some.iloc[:, : k - 1].to_numpy()])
                 keys = some["key"].to_numpy().astype(np.uint64)
-                w = np.stack([np.random.default_rng([seed, key]).poisson(n, replicates) for key, n in zip(keys, some["n"], strict=True)], axis=1)
+                w = np.stack([np.random.default_rng([seed, key]).poisson(n, replicates) for key, n in zip(keys, some["n"], strict=True)]).astype(np.float64).T
                 total += w @ (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)
         yield pd.DataFrame({"rep": np.arange(replicates), "m": list(total)})
 
