@@ -647,9 +647,17 @@ def ledger_summary(spark, sf_dir):
     return got.withColumn("exploratory", F.coalesce(F.col("exploratory").cast("string"), F.lit("all")))
 
 
-@query()
+@query("""
+WITH x AS (SELECT l_quantity AS x, l_discount AS y FROM lineitem), n AS (SELECT count(*) AS n, count(*)::DOUBLE AS m FROM x),
+r AS (SELECT corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM x)),
+t AS (SELECT x, y, count(*)::DOUBLE AS k FROM x GROUP BY 1, 2), s AS (SELECT sum(a.k * b.k * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM t a JOIN t b ON a.x <> b.x AND a.y <> b.y),
+tx AS (SELECT sum(k * (k - 1)) / 2 AS t FROM (SELECT sum(k) AS k FROM t GROUP BY x)), ty AS (SELECT sum(k * (k - 1)) / 2 AS t FROM (SELECT sum(k) AS k FROM t GROUP BY y))
+SELECT 'pearson' AS coefficient, n, round(pearson, 8) AS value, true AS is_primary FROM n, r UNION ALL SELECT 'spearman', n, round(spearman, 8), false FROM n, r
+UNION ALL SELECT 'kendall', n, round(s / sqrt((m * (m - 1) / 2 - tx.t) * (m * (m - 1) / 2 - ty.t)), 8), false FROM n, s, tx, ty
+""")
 def correlation_report(spark, sf_dir):
-    return regress.correlations(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount")
+    got = regress.correlations(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount")
+    return got.select("coefficient", "n", F.round("value", 8).alias("value"), "is_primary")
 
 
 @query("SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem GROUP BY 1")

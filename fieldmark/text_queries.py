@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldmark.functions.columns import banded_number, format_p, number
-from fieldmark.operators import coding, compare, deident, mediate, prep, regress
+from fieldmark.functions.columns import banded_number, clean_columns, format_p, number
+from fieldmark.operators import coding, compare, deident, factor, impute, mediate, prep, regress
+from fieldmark.operators.gram import gram
 from fieldmark.operators.ranks import kendall
 from fieldmark.plans import report
+from fieldmark.plans.analyze import introspect
 from fieldmark.queries import numbers, query, table
+from fieldmark.sources import tables
 
 # transcripts: each conversation is one interview, its turns lines of speakers
 
@@ -447,3 +450,77 @@ SELECT round(s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)), 8) A
 def kendall_with_ties(spark, sf_dir):
     pair = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("x"), F.col("l_tax").alias("y"))
     return numbers(spark, kendall(pair, "x", "y"), ["tau"], 8)
+
+
+CORRELATED = """
+WITH c AS (SELECT count(*)::DOUBLE AS n, corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem),
+p AS (SELECT *, (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) AS pa, (b - a * c) / sqrt((1 - a * a) * (1 - c * c)) AS pb, (c - a * b) / sqrt((1 - a * a) * (1 - b * b)) AS pc FROM c)
+"""
+
+
+@query(CORRELATED + """
+SELECT round((a * a + b * b + c * c) / (a * a + b * b + c * c + pa * pa + pb * pb + pc * pc), 6) AS kmo, round(-(n - 1 - 11.0::DOUBLE / 6) * ln(1 + 2 * a * b * c - a * a - b * b - c * c), 3) AS bartlett, 3::DOUBLE AS df FROM p
+""")
+def factor_suitability(spark, sf_dir):
+    g = gram(table(spark, sf_dir, "lineitem"), {c: F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount")})
+    got = factor.bartlett(g.corr(), g.n)
+    return numbers(spark, {"kmo": factor.kmo(g.corr())[0], "bartlett": round(got["chi2"], 3), "df": got["df"]}, ["kmo", "bartlett", "df"])
+
+
+@query("""
+WITH g AS (SELECT l_linenumber, avg(l_extendedprice) AS q, var_samp(l_extendedprice) / count(*) AS u FROM lineitem GROUP BY 1),
+t AS (SELECT count(*)::DOUBLE AS m, avg(q) AS estimate, avg(u) AS w, var_samp(q) AS b FROM g)
+SELECT round(estimate, 4) AS estimate, round(w, 4) AS within, round(b, 4) AS between, round(w + (1 + 1 / m) * b, 4) AS total, round((1 + 1 / m) * b / (w + (1 + 1 / m) * b), 6) AS lambda, round((m - 1) / ((1 + 1 / m) * b / (w + (1 + 1 / m) * b)) ** 2, 4) AS df FROM t
+""")
+def pooled_estimates(spark, sf_dir):
+    """Each line number's mean stands for the estimate of one completed set."""
+    x = F.col("l_extendedprice")
+    sets = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.avg(x).alias("q"), (F.var_samp(x) / F.count("*")).alias("u")).collect()
+    got = impute.rubin([r["q"] for r in sets], [r["u"] for r in sets])
+    return numbers(spark, {k: round(float(v), 6 if k == "lambda" else 4) for k, v in got.items()}, ["estimate", "within", "between", "total", "lambda", "df"])
+
+
+# tables in and out
+
+@query("SELECT p_partkey AS id, p_name AS \"part name\", p_brand AS \"未命名\", p_type AS \"part name_2\" FROM part")
+def cleaned_table(spark, sf_dir):
+    raw = tables.read_table(spark, f"{sf_dir}/part.parquet", clean=False).select("p_partkey", "p_name", "p_brand", "p_type", F.lit(None).cast("string")).toDF("id", " part   name ", "  ", "part name", "empty")
+    from fieldmark.operators.prep_columns import drop_all_null
+
+    return drop_all_null(clean_columns(raw))
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def written_table(spark, sf_dir):
+    """Written twice, read back as CSV: an earlier version stays and the newest is read."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    folder = tables.shared_dir(spark)
+    tables.write_table(rows.limit(0), folder, "parts")
+    path = tables.write_table(rows, folder, "parts")
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query("SELECT 'n_orders' AS name, count(*) AS n_unique FROM orders UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders")
+def introspected(spark, sf_dir):
+    return introspect(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n_orders"), "o_orderstatus", "o_orderpriority")).select("name", "n_unique")
+
+
+@query("SELECT c_custkey AS doc_id, c_custkey % 2 = 0 AS found FROM customer")
+def identifying_lines(spark, sf_dir):
+    text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("电话 139"), eight())).otherwise(F.concat(F.lit("第 "), F.col("c_custkey").cast("string"), F.lit(" 位")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), coding.identifying(text).alias("found"))
+
+
+@query("SELECT c_custkey AS doc_id, (c_custkey % 6) IN (0, 1, 4, 5) AS meta FROM customer")
+def metadata_lines(spark, sf_dir):
+    k = (F.col("c_custkey") % 6 + 1).cast("int")
+    label = F.element_at(F.array(*map(F.lit, ("访谈时间", "会议地点", "受访者1", "王小明", "受访者", "张伟"))), k)
+    body = F.element_at(F.array(*map(F.lit, ("下午", "食堂", "我觉得", "好的", "李雷", "41 分钟"))), k)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), coding.is_metadata(label, body).alias("meta"))
+
+
+@query("SELECT conv_id, turn, unnest(CASE (conv_id + turn) % 3 WHEN 0 THEN ['我觉得好。', '后来变了！'] WHEN 1 THEN ['为什么？', '因为忙；', '没时间'] ELSE ['就这样'] END) AS text FROM conversations")
+def han_sentences(spark, sf_dir):
+    said_ = F.element_at(F.array(F.lit("我觉得好。后来变了！"), F.lit("为什么？因为忙；没时间"), F.lit("就这样。。")), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.regexp_replace(said_, "。。$", "").alias("text"))
+    return coding.sentences(rows).select("doc_id.conv_id", "doc_id.turn", "text")
