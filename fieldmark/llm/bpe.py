@@ -140,10 +140,10 @@ class BytePairCodec:
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
         parts = units(text)
-        try:
-            return b"".join(map(self.memo.get, parts))
-        except TypeError:  # a part that isn't remembered
-            return b"".join(map(self.of, parts))
+        got = list(map(self.memo.get, parts))
+        if None in got:  # a part that isn't remembered
+            got = [self.of(u) if ids is None else ids for u, ids in zip(parts, got, strict=True)]
+        return b"".join(got)
 
     def of(self, unit: str) -> bytes:
         ids = self.memo.get(unit)

@@ -141,10 +141,10 @@ class LibraryEncoder:
                     own[u] = x
         out = []
         for p in parts:
-            try:
-                out.append(b"".join(map(memo.__getitem__, p)))
-            except KeyError:  # a part that isn't remembered
-                out.append(b"".join([x if (x := memo.get(u)) is not None else own[u] for u in p]))
+            got = list(map(memo.get, p))
+            if own and None in got:  # a part that isn't remembered
+                got = [own[u] if ids is None else ids for u, ids in zip(p, got, strict=True)]
+            out.append(b"".join(got))
         return out
 
 
