@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, chroma, langid, mixing, multiindex, negatives, pii, sharding, simhash, suffixdedup, tokenfile
+from fieldmark.llm import bpe, chroma, langid, mixing, multiindex, negatives, pii, sharding, simhash, suffixdedup, tokenfile, webtext
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,11 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return webtext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op13_radix_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth embedding; every seventh row has its label moved on."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -166,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chroma_search": op8_chroma_search,
     "op9_language_id": op9_language_id,
     "op10_simhash_bk_trees": op10_simhash_bk_trees,
+    "op12_main_text": op12_main_text,
     "op13_radix_negatives": op13_radix_negatives,
 }
 
