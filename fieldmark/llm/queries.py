@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import bpe, chroma, langid, mixing, multiindex, negatives, pii, sharding, simhash, suffixdedup, tokenfile, webtext
+from fieldmark.llm import bpe, chroma, langid, mixing, multiindex, negatives, phrases, pii, sharding, simhash, suffixdedup, tokenfile, webtext
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,40 @@ def op10_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_apriori_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 phrases of every language."""
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, w, unnest(range(1, 5)) AS k FROM words),
+spans AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM grams)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM spans GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, 2000000 * c.a // (x.f + y.f) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.k = c.cut AND x.phrase = array_to_string(c.w[1 : c.cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - c.cut AND y.phrase = array_to_string(c.w[c.cut + 1 : c.k], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2))
+  GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase)::BIGINT AS rank, b.phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best b JOIN n ON n.lang = b.lang LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE most IS NULL OR 100 * most < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
 def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return webtext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -171,8 +205,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chroma_search": op8_chroma_search,
     "op9_language_id": op9_language_id,
     "op10_simhash_bk_trees": op10_simhash_bk_trees,
+    "op11_apriori_phrases": op11_apriori_phrases,
     "op12_main_text": op12_main_text,
     "op13_radix_negatives": op13_radix_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_raked_mix": OP1_SQL, "op13_radix_negatives": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_raked_mix": OP1_SQL, "op11_apriori_phrases": OP11_SQL, "op13_radix_negatives": OP13_SQL}
