@@ -138,15 +138,13 @@ def counted(k: int, known: Frequent | None, batches: Iterable[pa.RecordBatch]) -
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             first, carry = start(lang), np.zeros(0, np.int64)
-            tally = tallies.setdefault(lang, Tally())
             for words in lots(text.as_buffer().to_pybytes() if text.is_valid else b""):
                 new = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
                 w = np.concatenate([carry, new])
-                carry = w[len(w) - k + 1 :] if k > 1 else carry
+                carry = w[max(len(w) - k + 1, 0) :]
                 if k == 1:
                     totals[lang] = totals.get(lang, 0) + np.count_nonzero(w)
-                m = len(w) - k + 1
-                if m <= 0:
+                if len(w) < k:
                     continue
                 if known is None:
                     good = w > 0
@@ -160,12 +158,14 @@ def counted(k: int, known: Frequent | None, batches: Iterable[pa.RecordBatch]) -
                     good = inside[:-1] & inside[1:]
                 at = np.flatnonzero(good)
                 if len(at):
-                    tally.add([w[at + j] for j in range(k)])
-            if len(ids.words) > WORDS or sum(t.size for t in tallies.values()) > PHRASES:
-                merged = sum(len(t.merge()[0]) for t in tallies.values())
-                if len(ids.words) > WORDS or merged > PHRASES // 2:
-                    yield from _rows(tallies, ids, k)
-                    ids, tallies = Ids(), {}
+                    tallies.setdefault(lang, Tally()).add([w[at + j] for j in range(k)])
+                if len(ids.words) > WORDS or sum(t.size for t in tallies.values()) > PHRASES:
+                    merged = sum(len(t.merge()[0]) for t in tallies.values())
+                    if len(ids.words) > WORDS or merged > PHRASES // 2:
+                        yield from _rows(tallies, ids, k)
+                        left = [ids.words[i] for i in carry]
+                        ids, tallies = Ids(), {}
+                        carry = np.array([ids[w] for w in left], np.int64)
     yield from _rows(tallies, ids, k)
     if totals:
         yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([None] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "f"])
