@@ -10,7 +10,8 @@ domains of e-mail addresses are written in small letters, since their case means
 Dates with slashes are a domain of their own beside the other formats of dates, which share one.
 
 Found: secrets behind a name (``token = ...``), e-mail addresses (the part before
-the @), IBANs, IPv4 addresses, phone numbers, payment cards, US social security
+the @, in which every letter, mark and digit of any script moves within a class of its
+script, and only ``. _ % + -`` and apostrophes stay; the domain stays), IBANs, IPv4 addresses, phone numbers, payment cards, US social security
 numbers and dates of 1700 to 2099. What fails its check stays as it is.
 """
 
@@ -23,20 +24,42 @@ from fieldmark.llm.common import named
 
 ROUNDS = 8
 FIRST_DAY = "date'1700-01-01'"
-#: First code point and size of each class of symbols that a symbol stays in.
-CLASSES = ((48, 10), (97, 26), (65, 26), (223, 24), (248, 8), (192, 23), (216, 7))
+#: First code point and size of each class of symbols that a symbol stays in: ASCII and Latin-1.
+CLASSES = ((48, 10), (97, 26), (65, 26), (223, 24), (248, 8), (192, 23), (216, 7), (161, 31))
+#: Runs of letters, marks and digits of other scripts, as Unicode lays them out.
+SCRIPTS = (
+    (0x100, 128), (0x180, 208), (0x250, 96), (0x300, 112),  # Latin, combining marks
+    (0x391, 17), (0x3A3, 9), (0x3AC, 35), (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16),  # Greek, Cyrillic
+    (0x531, 38), (0x561, 38), (0x5D0, 27), (0x620, 43), (0x660, 10), (0x904, 54), (0x966, 10), (0xE01, 46), (0x10D0, 43),  # Armenian to Georgian
+    (0x3041, 86), (0x30A1, 90), (0x3400, 6592), (0x4E00, 20992), (0xAC00, 11172), (0xFF10, 10), (0xFF21, 26), (0xFF41, 26),  # East Asia
+)
+#: Symbols outside these runs stay in their block of so many code points.
+BLOCK = 64
+
+
+def classes() -> list[tuple[int, int]]:
+    """All classes: they share no code point, so a permutation inside each is one of all strings.
+
+    Where a run covers a part of a block, what is left of the block makes classes of its own.
+    """
+    down, up = (lambda x: x // BLOCK * BLOCK), (lambda x: -(-x // BLOCK) * BLOCK)
+    cuts = sorted({e for first, n in SCRIPTS for e in (first, first + n, down(first), up(first + n))})
+    pieces = [(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
+    rest = [(x, n) for x, n in pieces if not any(a <= x < a + m for a, m in SCRIPTS) and any(down(a) <= x < up(a + m) for a, m in SCRIPTS)]
+    return [*CLASSES, *SCRIPTS, *rest]
+
+
 #: Kinds in the order in which they claim a stretch of text.
 PATTERNS = {
     "secret": r"(?<![\p{L}\p{N}])(?i:api[_-]?key|access[_-]?key|secret|token|passwd|password)[\x22\x27]?\s{0,3}[=:]\s{0,3}[\x22\x27]?[A-Za-z0-9+/_-]{8,}",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])(?:[\p{L}\p{M}\p{N}._%+-]|(?<=\p{L})[\x27’](?=\p{L}))++@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)*\.[\p{L}\p{M}]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ -]?[0-9]{2,4}){2,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9])",
-    "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\g[0-9]{4}\g[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
+    "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "date": r"(?<![A-Za-z0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9/-]|\.[0-9])",
 }
-PATTERNS["card"] = PATTERNS["card"].replace("([ -])", "[ -]").replace(r"\g", "[ -]")
 #: Every pattern needs one of these; a text without any is passed on as it is.
 HINT = "[0-9@=:]"
 
@@ -60,15 +83,16 @@ def _permuted(values: str, radices: str, key: str, tag: str) -> str:
 
 
 def _symbols(text: str, key: str, tag: str, letters: str = "26") -> str:
-    """Each symbol permuted within its class, others kept."""
+    """Each symbol permuted within its class; ASCII beside letters and digits is kept."""
     chars = f"transform(sequence(1, greatest(length({text}), 1)), i -> substr({text}, i, 1))"
-    inside = [f"ascii(c) between {base} and {base + size - 1}" for base, size in CLASSES]
-    sizes = [letters if size == 26 else str(size) for _, size in CLASSES]
-    radix = "case " + " ".join(f"when {x} then {n}" for x, n in zip(inside, sizes, strict=True)) + " else 1 end"
-    base = "case " + " ".join(f"when {x} then {b}" for x, (b, _) in zip(inside, CLASSES, strict=True)) + " else ascii(c) end"
-    moved = _permuted(f"transform(cs, c -> cast(ascii(c) - ({base}) as int))", f"transform(cs, c -> {radix})", key, tag)
-    back = f"array_join(zip_with(cs, {moved}, (c, v) -> if(({radix}) = 1, c, char(({base}) + v))), '')"
-    return _let("cs", chars, f"if({text} = '', '', {back})")
+    one = "named_struct('b', {}, 'n', int({}))"
+    known = [f"when ascii(c) between {b} and {b + n - 1} then {one.format(b, letters if n == 26 and b < 128 else n)}" for b, n in classes()]
+    own = f"when ascii(c) < 161 then {one.format('ascii(c)', 1)}"
+    case = f"case {' '.join(known[:3])} {own} {' '.join(known[3:])} else {one.format(f'ascii(c) - ascii(c) % {BLOCK}', BLOCK)} end"
+    moved = _permuted("zip_with(cs, ks, (c, k) -> ascii(c) - k.b)", "transform(ks, k -> k.n)", key, tag)
+    char = "if(k.b + v < 256, char(k.b + v), decode(unhex(lpad(hex(k.b + v), 8, '0')), 'UTF-32'))"
+    back = f"array_join(zip_with(ks, {moved}, (k, v) -> {char}), '')"
+    return _let("cs", chars, _let("ks", f"transform(cs, c -> {case})", f"if({text} = '', '', {back})"))
 
 
 def _filled(text: str, symbols: str, kept: str) -> str:

@@ -306,6 +306,49 @@ def test_pseudonyms_brute_force(spark):
     assert sum(got[i] != t for i, t in enumerate(texts)) > 200
 
 
+def plain_class(o):
+    """First code point and size of a symbol's class, found by walking to its ends."""
+    for first, n in ((48, 10), (97, 26), (65, 26), (223, 24), (248, 8), (192, 23), (216, 7), (161, 31)):
+        if first <= o < first + n:
+            return first, n
+    if o < 161:
+        return o, 1
+    run = lambda x: next((r for r in pii.SCRIPTS if r[0] <= x < r[0] + r[1]), None)
+    if run(o):
+        return run(o)
+    lo, hi = o, o
+    while lo % 64 and not run(lo - 1):
+        lo -= 1
+    while (hi + 1) % 64 and not run(hi + 1):
+        hi += 1
+    return lo, hi - lo + 1
+
+
+LOCALS = ["иван.петров", "張偉", "ИВАН", "łukasz", "Łódź", "γιώργος", "Ά", "ａｂｃ１２", "김철수", "नमस्ते", "é̂x", "𝒳yz", "たなか_1", "ªº²", "çÿ÷".replace("÷", "ß"), "สมชาย", "محمد", "דוד", "o’brien", "a.b%c+d-e"]
+
+
+def test_addresses_of_all_scripts(spark):
+    """Every symbol of a local part moves within its class, as the plain network has it."""
+    docs = spark.createDataFrame([(f"<{x}@Example.com>",) for x in LOCALS], "text string")
+    for x, r in zip(LOCALS, pii.pseudonymise(docs, "k", count="n").collect(), strict=True):
+        kinds = [plain_class(ord(c)) for c in x]
+        moved = plain_permuted([ord(c) - b for c, (b, _) in zip(x, kinds, strict=True)], [n for _, n in kinds], "k", "email")
+        want = "".join(chr(b + v) for (b, _), v in zip(kinds, moved, strict=True))
+        assert (r["text"], r["n"]) == (f"<{want}@example.com>", 1)
+        assert all(n > 1 for c, (_, n) in zip(x, kinds, strict=True) if c not in "._%+-’")
+    found = pii.classes()
+    assert all(a + n <= b for (a, n), (b, _) in zip(sorted(found), sorted(found)[1:], strict=False))
+    assert all(plain_class(o) == next((c for c in found if c[0] <= o < c[0] + c[1]), (o // 64 * 64, 64)) for o in range(161, 0x3200, 3) if o not in (215, 247))
+
+
+def test_addresses_permute(spark):
+    """All pairs of letters from blocks that runs cover in part: as many pseudonyms as addresses."""
+    letters = [chr(o) for o in [*range(0x386, 0x3A2), *range(0x3F8, 0x410), *range(0x10C0, 0x10D4), *range(0x100, 0x104)] if chr(o).isalpha()]
+    docs = spark.createDataFrame([(f"{a}{b}@x.org",) for a in letters for b in letters], "text string")
+    out = {r["text"] for r in pii.pseudonymise(docs, "k").collect()}
+    assert len(out) == len(letters) ** 2
+
+
 def test_slashed_dates_permute(spark):
     """All days of a leap year and the one before, as dd/MM/yyyy and as MM/dd/yyyy: as many pseudonyms as values."""
     days = [datetime.date(2023, 1, 1) + datetime.timedelta(k) for k in range(731)]
