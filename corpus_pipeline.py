@@ -23,6 +23,8 @@ from fieldmark.llm.common import numbered, saved
 LEAST_SCORE = 0.5
 #: Part of the tokens that the mix keeps in expectation.
 MIX_FRACTION = 0.8
+#: Bytes of results that a worker of the last stage remembers: the executors have run four stages before it.
+TOKEN_MEMO = 24 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``token_ids``: little-endian 32-bit ids, which decode to the text's bytes.
     """
-    out = bpe.encode(docs)
+    out = bpe.encode(docs, memo=TOKEN_MEMO)
     return out.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
 
 

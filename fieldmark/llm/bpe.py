@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import Memo, named, tidied, without
+from fieldmark.llm.common import Memo, named, small_batches, tidied, without
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as Unicode's property has it; Python's own \s also takes U+001C to U+001F.
@@ -185,25 +185,28 @@ def units(text: str) -> list[str]:
 _codecs: dict[str, BytePairCodec] = {}
 
 
-def codec(path: str = RANKS) -> BytePairCodec:
-    """One codec per worker process and rank file."""
+def codec(path: str = RANKS, memo: int = MEMO) -> BytePairCodec:
+    """One codec per worker process and rank file, which remembers ``memo`` bytes of results."""
     if path not in _codecs:
         _codecs[path] = BytePairCodec(path)
+    if _codecs[path].memo.limit != memo:
+        _codecs[path].memo.clear(memo)
     return _codecs[path]
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: str = RANKS) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: str = RANKS, memo: int = MEMO) -> DataFrame:
     """``docs`` without its text, plus ``ids``: binary, little-endian 32-bit ids.
 
     A null text encodes as an empty one; a text of any length is encoded whole, in memory
     that grows with it. Rows may repeat; an empty table gives an empty result. A column
     that has the name of ``ids`` is replaced, all others stay. One narrow pass, in which
-    only the text goes to Python.
+    only the text goes to Python. Each worker remembers ``memo`` bytes of results.
     """
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path)
+        c = codec(path, memo)
         yield from tidied(pd.Series([c.encode(t or "") for t in texts], dtype=object) for texts in batches)
 
     return docs.select(*without(docs, text, ids), run.asNondeterministic()(named(text)).alias(ids))

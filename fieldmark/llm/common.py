@@ -59,6 +59,19 @@ def without(df: DataFrame, *names: str) -> list[Column]:
     return [named(c) for c in df.columns if c.lower() not in gone]
 
 
+#: Bytes of an Arrow batch of texts; Spark's own bound is 64 MB, of which a task holds several copies.
+BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches in which texts go to Python, for the rest of the session.
+
+    A size that the session has been given stays.
+    """
+    if str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 class Memo(dict):
     """Results that a worker process remembers, bounded in bytes; a full one takes no more."""
 
@@ -76,9 +89,9 @@ class Memo(dict):
         self[key] = value
         return True
 
-    def clear(self) -> None:
+    def clear(self, limit: int | None = None) -> None:
         super().clear()
-        self.room = self.limit
+        self.room = self.limit = self.limit if limit is None else limit
 
 
 def tidied(batches: Iterator, *memos: Memo) -> Iterator:

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import Memo, named, tidied, without
+from fieldmark.llm.common import Memo, named, small_batches, tidied, without
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Cost of a character that is no piece; characters of a word whose sums fit a double; characters summed at once, about.
@@ -261,21 +261,22 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
 
     Fitted on a bounded sample of labelled documents, whole texts each: for every
     language the ``docs_per_language`` (at most 1000) documents with the smallest
-    hashes of their ids, so the sample is the same however the rows lie. Rows
-    without label or text are left out; without any, the model has no language and
-    finds none. Only word counts of the sample travel to the driver. More than
+    hashes of their ids, then of their texts, so the sample is the same however the rows lie.
+    Rows without label, id or text are left out, and repeated rows are one document;
+    without any, the model has no language and finds none. Only word counts of the sample travel to the driver. More than
     ``MOST_LANGUAGES`` values of ``lang`` are an error, since a column of labels that
     dirty would make a model of no bound.
     """
-    order = Window.partitionBy("lang").orderBy("h", "id")
+    order = Window.partitionBy("lang").orderBy("h", "id", "t")
     labelled = docs.where(named(lang).isNotNull()).select(named(lang).cast("string").alias("lang"), named(id).alias("id"), named(text).alias("text"))
     languages = labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     if languages > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang}")
-    ids = labelled.where("text is not null").select("lang", "id", F.xxhash64("id").alias("h"))
-    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= min(docs_per_language, 1000)).select("lang", "id").distinct()
-    # at most docs_per_language ids for each of the languages counted above
-    sample = labelled.where("text is not null").join(F.broadcast(chosen), ["lang", "id"], "left_semi")
+    whole = labelled.where("text is not null and id is not null").withColumn("t", F.xxhash64("text"))
+    ids = whole.select("lang", "id", "t").distinct().withColumn("h", F.xxhash64("id"))
+    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= min(docs_per_language, 1000)).select("lang", "id", "t")
+    # at most docs_per_language documents for each of the languages counted above
+    sample = whole.join(F.broadcast(chosen), ["lang", "id", "t"], "left_semi").dropDuplicates(["lang", "id", "t"])
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -294,6 +295,7 @@ def identify(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFram
     rows get equal results; an empty table gives an empty result. The model's size is
     bounded by the vocabulary and ``MOST_LANGUAGES``; it travels with the task.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -31,6 +31,7 @@ LOT = 1000
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = np.asarray(vectors, np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # so that no square leaves the range
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -202,7 +203,7 @@ def embedding_links(vectors: DataFrame, similarity: float = 0.9, recall: float =
     ``vectors``: distinct ``node, vector, n``. Within a block only links that merge two
     groups are returned, so large groups don't make all pairs.
     """
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, vectors.schema["vector"].dataType.simpleString()
     n = vectors.count()
     index = build(vectors, n, similarity, recall)
     block = max(BLOCK, -(-4 * n // CELLS))
@@ -213,7 +214,7 @@ def embedding_links(vectors: DataFrame, similarity: float = 0.9, recall: float =
                 some = pdf.iloc[at : at + LOT]
                 yield some.assign(cell=index.cells(unit(np.array(some["vector"].tolist()))))
 
-    placed = saved(vectors.select("node", "vector", "n").mapInPandas(home, "node long, vector array<float>, n long, cell long"))
+    placed = saved(vectors.select("node", "vector", "n").mapInPandas(home, f"node long, vector {kind}, n long, cell long"))
     # at most CELLS rows
     counts = placed.groupBy("cell").count().toPandas()
     index.fill(counts["cell"].to_numpy(), counts["count"].to_numpy(), block)
@@ -246,7 +247,7 @@ def embedding_links(vectors: DataFrame, similarity: float = 0.9, recall: float =
             yield pd.DataFrame({"cell": cells[s : s + 20_000], "block": blocks[s : s + 20_000], "asks": asks[s : s + 20_000], "node": some["node"].to_numpy(), "vector": some["vector"].to_numpy(), "n": some["n"].to_numpy()})
 
     compare = comparison(similarity)
-    dealt = placed.mapInPandas(deal, "cell long, block int, asks boolean, node long, vector array<float>, n long")
+    dealt = placed.mapInPandas(deal, f"cell long, block int, asks boolean, node long, vector {kind}, n long")
     found = saved(dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "asks").mapInPandas(compare, "a long, b long, n long"))
     return found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), found.where("b is not null").select("a", "b")
 
@@ -257,10 +258,11 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
     Vectors that are null, empty, zero, or hold null or non-finite components link
     with nothing, as do rows without id. Vectors of different lengths have no cosine:
     each length that several vectors have gets an index of its own. Equal vectors are
-    compared once and count each; ids that repeat stay repeated. An empty table gives
+    compared once and count each, in the column's own precision; ids that repeat stay repeated. An empty table gives
     an empty result. Other columns are not read.
     """
-    rows = table.select(named(id).cast("long").alias("id"), named(vector).cast("array<float>").alias("vector"))
+    kind = "array<float>" if table.select(named(vector)).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = table.select(named(id).cast("long").alias("id"), named(vector).cast(kind).alias("vector"))
     sound = F.col("id").isNotNull() & F.coalesce(F.size("vector") > 0, F.lit(False)) & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     distinct = saved(rows.where(sound).groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("n")))
     none = distinct.select("node", "n").limit(0)

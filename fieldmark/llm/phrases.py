@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import named, saved
+from fieldmark.llm.common import named, saved, small_batches
 
 #: Hashes broadcast one by one, at most (32 MB); bits of the bitmap beyond that (32 MB).
 MOST, BITS = 4_000_000, 28
@@ -197,6 +197,7 @@ def frequent(level: DataFrame) -> Frequent:
 def levels(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each language (``lang, n``) and its frequent phrases of 1 to 4 words (``lang, phrase, f``)."""
     spark, out, known, totals = docs.sparkSession, [], None, None
+    small_batches(spark)
     for k in range(1, LONGEST + 1):
         sent = spark.sparkContext.broadcast(known)
         counts = docs.mapInArrow(lambda batches, k=k, sent=sent: counted(k, sent.value, batches), "lang string, phrase string, f long")

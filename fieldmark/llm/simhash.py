@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import Forest, Memo, components, named, saved, tidied, without
+from fieldmark.llm.common import Forest, Memo, components, named, saved, small_batches, tidied, without
 
 
 def simhash(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -410,6 +410,7 @@ def similar_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     as in ``near_duplicates``; rows of null ids get the component of an equal shingle set,
     if it has an id.
     """
+    small_batches(docs.sparkSession)
     p = agreement(similarity)
     radius = int(WIDE * (1 - p) + 2.5 * (WIDE * p * (1 - p)) ** 0.5)
     source = docs.select(named(id).cast("long").alias("id"), named(text).cast("binary").alias("text"))

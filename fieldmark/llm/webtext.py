@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import named, tidied, without
+from fieldmark.llm.common import named, small_batches, tidied, without
 
 #: Characters below which a block is short and from which a good one is long; shares of stop words; share of linked characters.
 SHORT, LONG, FEW_STOPS, MANY_STOPS, LINKED = 70, 200, 0.12, 0.25, 0.5
@@ -227,6 +227,7 @@ def extract(pages: DataFrame, markup: str = "html") -> DataFrame:
     read as far as it goes. Repeated rows get equal results; further columns stay; an empty
     table gives an empty result.
     """
+    small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

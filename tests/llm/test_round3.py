@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from fieldmark.llm import negatives, phrases, webtext
+from fieldmark.llm import bpe, common, langid, multiindex, negatives, phrases, webtext
 
 # 11 phrases
 
@@ -232,3 +232,39 @@ def test_products_choose_a_safe_way():
         a, b = (rng.integers(-(2**bits), 2**bits, (7, 5)) for _ in range(2))
         want = [[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for q in b] for p in a]
         assert negatives.products(a, b).tolist() == want
+
+
+# earlier operators: repeated ids, doubles, memory
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Repeated ids and rows fill no more than the sample's places, and rows without id none."""
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda counts, pieces: seen.append(counts))
+    rows = [(7, f"wort{i}", "de") for i in range(500)] + [(8, "same", "de")] * 400 + [(None, "none", "de")] * 50 + [(i, "one", "en") for i in range(20)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), docs_per_language=30)
+    counts = seen[0]
+    assert counts[counts.lang == "de"].n.sum() == 30 and counts[counts.lang == "en"].n.sum() == 20
+    assert "none" not in set(counts.word) and counts[counts.word == "same"].n.sum() <= 1
+
+
+def test_multi_index_keeps_doubles(spark):
+    rows = [(1, [1e39, 0.0]), (2, [2e39, 0.0]), (3, [1e-50, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 1e300]), (6, [1e-320, 1e-310]), (7, [float("inf"), 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multiindex.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """Many long texts reach Python in small batches, in every operator that bounds them."""
+    from pyspark.sql import functions as F
+
+    common.small_batches(spark)
+
+    @F.pandas_udf("long")
+    def size(texts):
+        return texts.str.len() * 0 + texts.str.len().sum()
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("lorem ipsum "), 10_000).alias("text")).coalesce(1)
+    assert docs.select(F.max(size("text"))).first()[0] <= 6 << 20
+    sizes = {r.n for r in bpe.encode(docs, memo=1 << 16).select((F.octet_length("token_ids") / 4).cast("long").alias("n")).collect()}
+    assert len(sizes) == 1 and sizes.pop() > 20_000
