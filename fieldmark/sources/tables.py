@@ -3,66 +3,68 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.functions.columns import clean_columns
+from fieldmark.functions.columns import clean_columns, col
 from fieldmark.operators.prep_columns import drop_all_null
+from fieldmark.sources.ranges import marked, numbered_lines, read_delimited, scan
+from fieldmark.sources.shared import shared_dir, written
 
+__all__ = ["shared_dir", "written"]
+
+# Cells that count as missing, as pandas documents its readers' defaults.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 # Endings of files that are no text.
 BINARY = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".xlsx", ".xls", ".docx", ".pptx", ".pdf", ".sav", ".zip")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder where all executors can read and write."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local[")
-        base = f"file://{tempfile.gettempdir()}/fieldmark-tables" if local else spark.conf.get("spark.sql.warehouse.dir") + "/_fieldmark"
-    return f"{base}/fieldmark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+def allow_charsets(spark: SparkSession) -> None:
+    """Let the session read charsets beyond Spark's default list, bad bytes replaced."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The frame written in the shared folder and read again; cuts the lineage."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def sniff(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every file is valid UTF-8 from end to end, else GB18030 (or UTF-8, where no file is)."""
+    found = {r["encoding"] for r in marked(scan(spark, path)).select("encoding").distinct().collect()}
+    return "gb18030" if "gb18030" in found else "utf-8"
 
 
-def sniff(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every file is valid UTF-8 from end to end, else GB18030. Files are read where they lie."""
-    text = F.col("content").cast("string")
-    bad = spark.read.format("binaryFile").load(path).where(F.try_validate_utf8(text).isNull())
-    return "gb18030" if bad.select("path").limit(1).count() else "utf-8"
+def separator(spark: SparkSession, path: str) -> str:
+    """The one of comma, semicolon and tab that the first line has most of; of equals, the first."""
+    line = spark.read.text(path).select(F.regexp_replace("value", '"[^"]*"', "").alias("line")).first()
+    return max(",;\t", key=lambda x: line[0].count(x)) if line else ","
 
 
-def allow_charsets(spark: SparkSession) -> None:
-    """Let the session read charsets beyond Spark's default list, bad bytes replaced."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+def typed(df: DataFrame) -> DataFrame:
+    """String columns as long, double or boolean where every value that is there can be one; one scan."""
+    is_long, is_double = r"^[+-]?[0-9]{1,18}$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    tests = {"long": lambda c: c.rlike(is_long), "double": lambda c: c.rlike(is_double), "boolean": lambda c: F.lower(c).isin("true", "false")}
+    names = [c for c, t in df.dtypes if t == "string"]
+    if not names:
+        return df
+    counts = df.agg(*[F.count(col(c)).alias(f"n{k}") for k, c in enumerate(names)], *[F.count_if(f(col(c))).alias(f"{t}{k}") for k, c in enumerate(names) for t, f in tests.items()]).first()
+    kinds = {c: next((t for t in tests if counts[f"n{k}"] and counts[f"n{k}"] == counts[f"{t}{k}"]), "string") for k, c in enumerate(names)}
+    return df.select(*[col(c).cast(kinds.get(c, t)).alias(c) for c, t in df.dtypes])
 
 
-def read_table(spark: SparkSession, path: str, encoding: str | None = None, clean: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, encoding: str | None = None, clean: bool = True, sep: str | None = None) -> DataFrame:
     """A table by its ending: csv, tsv, txt (tabs), json, orc, parquet; xlsx, xls and sav with
     the optional readers installed.
 
-    Columns keep their order; headers are cleaned and all-null columns dropped.
+    Columns keep their order; headers are cleaned and all-null columns dropped. Text files
+    are read in parallel whatever their quotes and sizes (``sources.ranges``): each file is UTF-8 if it is
+    valid throughout, else GB18030. Blank lines and cells that mean missing go; short
+    records get nulls, cells beyond the header are dropped. Of several files the header is that of
+    the first by path, and each has one.
     """
     end = os.path.splitext(path.rstrip("/"))[1].lower()
     if end in (".csv", ".tsv", ".txt"):
-        encoding = encoding or sniff(spark, path)
-        if encoding.lower() not in ("utf-8", "utf8"):
-            allow_charsets(spark)
-        options = {"header": True, "inferSchema": True, "multiLine": True, "escape": '"', "encoding": encoding, "sep": "," if end == ".csv" else "\t", "nullValue": "", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
-        df = spark.read.options(**options).csv(path)
-        first = df.columns[0] if df.columns else ""
-        if first.startswith("﻿"):
-            df = df.withColumnRenamed(first, first[1:])
-        strings = [c for c, t in df.dtypes if t == "string"]
-        df = df.withColumns({c: F.when(~F.col(f"`{c}`").isin("NA", "N/A", "NaN", "null"), F.col(f"`{c}`")) for c in strings})
+        names, rows = read_delimited(spark, path, sep or (separator(spark, path) if end == ".csv" else "\t"), encoding)
+        df = typed(rows.select(*[F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) for c in rows.columns])).toDF(*(names or rows.columns))
     elif end in (".json", ".jsonl"):
         df = spark.read.json(path)
     elif end == ".orc":
@@ -86,17 +88,16 @@ def _with_reader(spark: SparkSession, path: str, end: str) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_no, line`` of text files; binary ones raise when read.
+    """``path, line_no, line`` of text files, numbered from 0; binary ones raise.
 
-    Whole files are decoded where they lie: UTF-8 if valid, else GB18030.
+    Files are read by ranges, each decoded as UTF-8 if the whole file is valid, else GB18030.
     """
-    allow_charsets(spark)
-    files = spark.read.format("binaryFile").load(path)
+    marks = written(marked(scan(spark, path)))
     named = F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in BINARY) + ")$")
-    binary = named | (F.expr("position(X'00' in content)") > 0)
-    body = F.when(binary, F.raise_error(F.concat(F.lit("not a text file: "), F.col("path"))).cast("string")).otherwise(F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "GB18030")))
-    text = F.regexp_replace(body, "^﻿", "")
-    return files.select("path", F.posexplode(F.split(text, r"\r\n|\r|\n", -1)).alias("line_no", "line"))
+    bad = marks.where(named | F.col("nul")).select("path").limit(1).collect()
+    if bad:
+        raise ValueError(f"not a text file: {bad[0]['path']}")
+    return numbered_lines(spark, path, marks)
 
 
 def looks_like_transcript(lines: DataFrame, head: int = 4000) -> DataFrame:

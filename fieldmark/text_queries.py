@@ -524,3 +524,24 @@ def han_sentences(spark, sf_dir):
     said_ = F.element_at(F.array(F.lit("我觉得好。后来变了！"), F.lit("为什么？因为忙；没时间"), F.lit("就这样。。")), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
     rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.regexp_replace(said_, "。。$", "").alias("text"))
     return coding.sentences(rows).select("doc_id.conv_id", "doc_id.turn", "text")
+
+
+@query("SELECT doc_id, lang, source, md5(text) AS digest, length(text)::BIGINT AS n FROM documents WHERE text <> ''")
+def csv_round_trip(spark, sf_dir):
+    """Whole texts, line breaks and quotes in them, written as quoted CSV and read in parallel by ranges."""
+    path = f"{tables.shared_dir(spark)}/documents.csv"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").where("text <> ''")
+    docs.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    read = tables.read_table(spark, path)
+    return read.select("doc_id", "lang", "source", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT speaker, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM (SELECT role AS speaker, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM conversations) GROUP BY speaker")
+def transcript_files(spark, sf_dir):
+    """Turns written as text files, one folder a speaker, and read as numbered lines: no number is left out."""
+    path = f"{tables.shared_dir(spark)}/turns"
+    table(spark, sf_dir, "conversations").select("role", "text").write.partitionBy("role").text(path)
+    lines = tables.read_transcripts(spark, path).withColumn("speaker", F.regexp_extract("path", "role=([^/]*)", 1))
+    files = lines.groupBy("speaker", "path").agg(F.count("*").alias("n"), (F.max("line_no") + 1).alias("top"), F.countDistinct("line_no").alias("distinct"), F.sum(F.length("line")).alias("chars"))
+    whole = files.where("n = top and n = distinct")
+    return whole.groupBy("speaker").agg(F.sum("n").alias("n_lines"), F.sum("chars").alias("n_chars"))
