@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldmark.operators.matching import occurrences, replaced_each, replaced_in
+
 # Kinds of direct identifiers with pattern (its group is what is replaced) and
 # confidence, in the order in which they claim text. Labelled numbers come before bare ones.
 DIRECT = {
@@ -45,43 +47,48 @@ QUASI = {
     "可识别特征": r"((?:我们(?:部门|组|团队|班)就(?:我)?一(?:个|名)|全公司只有我|我们那届只有))",
     "城市": f"({'|'.join(CITIES)})",
 }
-#: The hundred most common family names, in order of their frequency in the survey that the
-#: Chinese Academy of Sciences published in 2006. A parameter wherever it is used.
-SURNAMES = "李王张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
-NOT_NAMES = ("时候", "时间", "时长", "方法", "方式", "高兴", "江湖", "金额", "白天", "方便", "常常", "万一", "于是", "任何", "何时", "马上", "黄色", "石头", "文件", "康复")
+#: The most common family names, in order of their frequency in the survey that the
+#: Chinese Academy of Sciences published in 2006; a hundred a line. A parameter wherever it is used.
+SURNAMES = (
+    "李王张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
+    "庞樊兰殷施陶洪翟安颜倪严牛温芦季俞章鲁葛伍韦申尤毕聂丛焦向柳邢路岳齐沿梅莫庄辛管祝左涂谷祁时舒耿牟卜詹关苗凌费纪靳盛童欧甄项曲成游阳裴席卫查屈鲍位覃霍翁隋植甘景薄单包司柏宁柯阮桂闵解强柴华车冉房边"
+)
+#: Family names of two characters.
+LONG_SURNAMES = ("欧阳", "司马", "上官", "诸葛", "东方", "皇甫", "尉迟", "公孙", "慕容", "司徒", "令狐", "夏侯", "宇文", "长孙", "端木", "轩辕", "南宫", "独孤", "闻人", "申屠", "呼延", "澹台")
+#: Words that begin like a name and are none.
+NOT_NAMES = (
+    "时候", "时间", "时长", "时段", "时代", "方法", "方式", "方便", "方面", "高兴", "江湖", "金额", "白天", "常常", "万一", "于是", "任何", "任务", "何时", "马上", "黄色", "石头", "文件", "文化",
+    "康复", "安排", "安全", "安装", "安静", "管理", "关系", "关于", "关注", "单位", "单身", "成绩", "成功", "成本", "成员", "解释", "解决", "向上", "华为", "强调", "强烈", "强度", "路上", "路线", "位置",
+    "阳光", "包括", "包含", "车辆", "边缘", "查看", "查询", "司机", "曲线", "游戏", "左右", "齐全", "牛奶", "温度", "季度", "景点", "薄弱", "卫生", "莫名", "申请", "房间", "费用", "席位", "项目", "章节", "施工", "尤其", "盛行",
+)
 HAN = "\\u4e00-\\u9fa5"
 
-# What gives a name away. Words, where they stand (before the name, before it with
-# a colon, after it, after it with a colon), and whether the name must begin with a known surname.
-NAME_CLUES = (
-    (("我叫", "我是", "我姓", "名叫"), "before", True),
-    (("记录", "记录人", "访谈者", "访谈对象", "受访者", "被访者", "主持人"), "label", True),
-    (("受访者", "被访者", "被试", "访谈对象"), "label", False),
-    (("姓名", "名字", "全名"), "label", False),
-    (("老师", "同学", "先生", "女士", "小姐", "经理", "主任", "医生", "教授", "店长", "主管", "队长"), "after", True),
-    (("说", "提到", "表示", "认为"), "says", True),
+# Patterns whose group is a name that its context gives away. %s is a known family
+# name. Own: the fifth ends where the Han characters end, so that no sentence is cut for a name.
+NAME_PATTERNS = (
+    r"(?m)^(%s[\u4e00-\u9fa5]{1,2})\s*[:：]",
+    r"(?:我叫|我是|我姓|姓|名叫|叫)\s*(%s[\u4e00-\u9fa5]{1,2})",
+    r"(?:记录人?|访谈者|访谈对象|受访者|被访者|主持人|记录)\s*[:：]\s*(%s[\u4e00-\u9fa5]{1,2})",
+    r"(%s[\u4e00-\u9fa5]{1,2})\s*(?:老师|同学|先生|女士|小姐|经理|主任|医生|教授|店长|主管|队长)",
+    r"(?:受访者|被访者|被试|访谈对象)\s*[:：]\s*([\u4e00-\u9fa5]{2,4})(?![\u4e00-\u9fa5])",
+    r"(%s[\u4e00-\u9fa5]{1,2})\s*(?:说|提到|表示|认为)\s*[:：]",
+    r"(?:姓名|名字|全名)\s*[:：]\s*([^\s:：,，;；|]{2,5})",
+    r"(?m)^(?:[A-Za-z]{0,3}\d{1,4}[\s、.,，-]+)?(%s[\u4e00-\u9fa5]{1,2})\s+(?:男|女|\d{1,2}\s*岁)",
 )
 
 
 def name_patterns(surnames: str = SURNAMES) -> list[str]:
-    """Patterns whose group is a name that its context gives away: by a clue of the table,
-    as a line's speaker, or as the first words of a line of persons before sex or age."""
-    known, any_ = f"[{surnames}][{HAN}]{{1,2}}", f"[{HAN}]{{2,4}}(?![{HAN}])"
-    out = []
-    for words, where, needs_surname in NAME_CLUES:
-        word, name = f"(?:{'|'.join(sorted(words, key=len, reverse=True))})", known if needs_surname else any_
-        shape = {"before": f"{word}({name})", "label": rf"{word}\s*[:：]\s*({name})", "after": rf"({name}?)\s*{word}", "says": rf"({name}?)\s*{word}\s*[:：]"}
-        out.append(shape[where])
-    person = rf"(?:[A-Za-z]*\d+[\s、.,，-]+)?({known})\s+(?:男|女|\d+\s*岁)"
-    return [*out, rf"(?m)^({known})\s*[:：]", f"(?m)^{person}"]
+    """The patterns with ``surnames`` (one character each) and the family names of two put in."""
+    known = f"(?:{'|'.join(LONG_SURNAMES)}|[{surnames}])"
+    return [p.replace("%s", known) for p in NAME_PATTERNS]
 
 
 def contact_names(text: Column, surnames: str = SURNAMES) -> Column:
     """Of each line with a direct identifier its name, if just one word on it can be one."""
     contact = "|".join(f"(?:{p})" for p, _ in DIRECT.values())
-    word = F.lit(rf"(?<![{HAN}])([{surnames}][{HAN}]{{1,2}})(?![{HAN}])")
+    word = F.lit(rf"(?<![{HAN}])((?:{'|'.join(LONG_SURNAMES)}|[{surnames}])[{HAN}]{{1,2}})(?![{HAN}])")
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(contact))
-    names = F.transform(lines, lambda x: F.filter(F.array_distinct(F.regexp_extract_all(x, word, F.lit(1))), lambda w: ~w.isin(*NOT_NAMES)))
+    names = F.transform(lines, lambda x: F.filter(F.array_distinct(F.regexp_extract_all(x, word, F.lit(1))), lambda w: ~w.isin(*NOT_NAMES, *CITIES)))
     return F.flatten(F.filter(names, lambda x: F.size(x) == 1))
 
 
@@ -140,7 +147,7 @@ def entities(docs: DataFrame, id: str = "doc_id", text: str = "text", names: boo
     parts = [F.when(body.rlike(rf"[0-9@０-９{HAN}]|(?i:wechat|vx)"), F.concat(*parts)).otherwise(none)]
     if names:
         values = F.concat(*[F.regexp_extract_all(body, F.lit(p), F.lit(1)) for p in name_patterns(surnames)], contact_names(body, surnames))
-        values = F.filter(values, lambda v: ~v.isin(*NOT_NAMES))
+        values = F.filter(values, lambda v: ~v.isin(*NOT_NAMES, *CITIES))
         parts.append(F.when(body.rlike(f"[{HAN}]"), F.transform(values, lambda v: F.struct(F.lit("姓名").alias("kind"), v.alias("value"), F.lit("mid").alias("confidence")))).otherwise(none))
     rank = {k: i for i, k in enumerate([*kinds, "姓名"])}
     rows = docs.select(F.col(id), F.explode(F.array_distinct(F.concat(*parts))).alias("e")).select(id, "e.*")
@@ -163,24 +170,68 @@ def numbered(found: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
 
 
 def replaced(docs: DataFrame, mapping: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with each document's values replaced in one pass, longest first.
+    """``docs`` with each document's values replaced in one pass: from left to right, the longest of
+    those that begin at one place, so that no two replaced places overlap.
 
-    ``mapping``: ``id, value, placeholder``. The text is cut at the values once; what was put
-    in is not looked at again.
+    ``mapping``: ``id, value, placeholder``. What was put in is not looked at again.
     """
-    per_doc = mapping.groupBy(id).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("value", "placeholder")))).alias("_map"))
+    per_doc = mapping.groupBy(id).agg(F.array_distinct(F.collect_list(F.struct("value", "placeholder"))).alias("_map"))
     joined = docs.join(per_doc, id, "left")
-    quoted = F.transform(F.reverse(F.array_sort(F.transform(F.map_keys("_map"), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))), lambda s: F.concat(F.lit(r"\Q"), s["v"], F.lit(r"\E")))
-    joined = joined.withColumn("_p", F.array_join(quoted, "|"))
-    new = F.expr(f"array_join(flatten(zip_with(split(`{text}`, _p, -1), transform(regexp_extract_all(`{text}`, _p, 0), m -> _map[m]), (g, m) -> array(g, coalesce(m, '')))), '')")
-    return joined.withColumn(text, F.when(F.col("_map").isNotNull(), new).otherwise(F.col(text))).select(*docs.columns)
+    new = F.when(F.col("_map").isNotNull(), replaced_each(F.col(f"`{text}`"), F.col("_map.value"), F.col("_map.placeholder"))).otherwise(F.col(f"`{text}`"))
+    return joined.withColumn(text, new).select(*docs.columns)
 
 
-def deidentify(docs: DataFrame, id: str = "doc_id", text: str = "text", names: bool = True, tables: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Texts with placeholders numbered within each document, and the mapping with counts."""
-    found = entities(docs, id, text, names, tables=tables)
-    mapping = numbered(found, [id], ["first"])
-    return replaced(docs, mapping, id, text), mapping.select(id, "kind", "value", "placeholder", "n", "confidence")
+def deidentify(docs: DataFrame, id: str = "doc_id", text: str = "text", names: bool = True, tables: bool = True, rules: str = "") -> tuple[DataFrame, DataFrame]:
+    """Texts with placeholders numbered within each document, and the mapping with counts.
+
+    ``rules`` (``parse_rules``) come before all patterns: their replacements are made first, values
+    they name the kind of are numbered with that kind, places of records are taken as they
+    say, and what they leave alone stays in the text and is no entity. A rule that can't be
+    read raises, since a rule that does nothing looks like one that did.
+    """
+    told = understood(rules)
+    texts = apply_rules(docs, "\n".join(f"{a} = {b}" for a, b in told.pairs), text, told.ignored) if told.pairs else docs
+    found = entities(texts, id, text, names, tables=tables)
+    columns = found.columns
+    named = [*told.named, *[(v, None) for v in told.ignored]]
+    if named:
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame([(v,) for v, _ in named], "value string")), "value", "left_anti")
+        found = found.unionByName(_told_entities(texts, [(v, k) for v, k in named if k], id, text).select(*columns))
+    if told.places:
+        at = place_entities(texts, told.places, id, text)
+        found = found.join(at.where("kind is null").select(id, "value"), [id, "value"], "left_anti")
+        placed = at.where("kind is not null")
+        found = found.join(placed.select(id, "value"), [id, "value"], "left_anti").unionByName(placed.select(*columns))
+    mapping = numbered(found.select(*columns), [id], ["first"])
+    kept = mapping.select(id, "value", "placeholder")
+    if told.ignored:  # what is left alone is matched and put back, so that nothing inside it is replaced
+        alone = docs.sparkSession.createDataFrame([(v,) for v in told.ignored], "word string")
+        kept = kept.unionByName(occurrences(texts, alone, [id], text).select(id, F.col("word").alias("value"), F.col("word").alias("placeholder")))
+    return replaced(texts, kept, id, text), mapping.select(id, "kind", "value", "placeholder", "n", "confidence")
+
+
+def _told_entities(docs: DataFrame, told: list[tuple[str, str]], id: str, text: str) -> DataFrame:
+    kinds = docs.sparkSession.createDataFrame(told, "value string, kind string")
+    hits = occurrences(docs, kinds.withColumnRenamed("value", "word"), [id], text).withColumnRenamed("word", "value").join(F.broadcast(kinds), "value")
+    where = hits.join(docs.select(id, F.col(text).alias("_t")), id)
+    return where.select(id, "kind", "value", entity_key(F.col("kind"), F.col("value")).alias("key"), F.lit("high").alias("confidence"), "n", F.expr("instr(_t, value)").alias("first"))
+
+
+def place_entities(docs: DataFrame, places: dict[int, str | None], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, kind, value, key, confidence, n, first`` of what stands at the named places of records.
+
+    Records are the lines of a text with as many words as most of its lines with two words or
+    more have; a place without kind is one to leave alone, and its kind is null.
+    """
+    lines = docs.select(id, F.col(text).alias("_t"), F.explode(F.split(F.col(text), r"\r?\n")).alias("line"))
+    lines = lines.withColumn("words", F.split(F.trim("line"), r"[\s,，;；|\t]+")).withColumn("size", F.size("words")).where("size > 1")
+    usual = lines.groupBy(id, "size").agg(F.count("*").alias("c")).groupBy(id).agg(F.max(F.struct("c", "size")).alias("m")).select(id, F.col("m.size").alias("size"))
+    which = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(kind).cast("string").alias("kind")) for k, kind in places.items()])
+    at = lines.join(usual, [id, "size"]).select(id, "_t", "words", F.explode(which).alias("p"))
+    at = at.select(id, "_t", "p.kind", F.try_element_at("words", F.col("p.place") + 1).alias("value")).where("value <> ''")
+    n = ((F.length("_t") - F.length(F.replace(F.col("_t"), F.col("value"), F.lit("")))) / F.length("value")).cast("long")
+    at = at.groupBy(id, "value").agg(F.max("kind").alias("kind"), F.first("_t").alias("_t"))
+    return at.select(id, "kind", "value", entity_key(F.col("kind"), F.col("value")).alias("key"), F.lit("high").alias("confidence"), n.alias("n"), F.expr("instr(_t, value)").alias("first"))
 
 
 def report(mapping: DataFrame) -> DataFrame:
@@ -197,42 +248,71 @@ def quasi_report(docs: DataFrame, text: str = "text", patterns: dict = QUASI) ->
 
 @dataclass
 class Rules:
-    """Custom rules, understood: what to replace, what to leave alone, and what is at a place of a sheet."""
+    """Custom rules, understood: what to replace, values of a known kind, what to leave alone, and
+    what is at a place of a record."""
 
     pairs: list[tuple[str, str]] = field(default_factory=list)
+    named: list[tuple[str, str]] = field(default_factory=list)
     ignored: list[str] = field(default_factory=list)
     places: dict[int, str | None] = field(default_factory=dict)
     odd: list[str] = field(default_factory=list)
 
 
+#: Kinds that a directive may name, and the one each stands for.
+TOLD_KINDS = {"手机": "手机", "手机号": "手机", "QQ": "QQ", "qq": "QQ", "微信": "微信", "微信号": "微信", "邮箱": "邮箱", "姓名": "姓名", "编号": "编号", "学号": "编号", "工号": "编号", "身份证": "身份证"}
+
+
 def parse_rules(text: str) -> Rules:
     """Rules as lines ``src = dst`` (an empty dst deletes) and directives behind ``!``:
     ``不用管 X`` leaves X alone, ``这是K X`` says that X is of kind K, ``第N段是K`` and
     ``第N段不用管`` say what the N-th place of a record is. Other lines are odd."""
     out = Rules()
     for line in filter(None, map(str.strip, text.splitlines())):
-        told = re.sub(r"\s+", " ", line[1:]).strip() if line[0] in "!！" else None
-        if told is None and "=" in line:
-            src, dst = (x.strip() for x in line.split("=", 1))
-            if src:
-                out.pairs.append((src, dst))
-        elif told and (m := re.fullmatch(r"不用管 ?(?P<value>.+)", told)):
+        told = re.sub(r"\s+", " ", line[1:]).strip().removesuffix("=").strip() if line[0] in "!！" else None
+        if told is None:
+            src, equals, dst = (x.strip() for x in line.partition("="))
+            (out.pairs.append((src, dst)) if src and equals else out.odd.append(line))
+        elif m := re.fullmatch(r"(?:不用管|不管|保留) ?(?P<value>.+)", told):
             out.ignored.append(m["value"])
-        elif told and (m := re.fullmatch(r"这是(?P<kind>手机|QQ|微信|邮箱|姓名|编号) ?(?P<value>.+)", told)):
-            out.pairs.append((m["value"], f"[{m['kind']}]"))
-        elif told and (m := re.fullmatch(r"第 ?(?P<n>\d+) ?段(?:是 ?(?P<kind>.+)|不用管)", told)):
-            out.places[int(m["n"]) - 1] = m["kind"]
+        elif (m := re.fullmatch(r"这是(?P<kind>[^ ]+) (?P<value>.+)", told)) and m["kind"] in TOLD_KINDS:
+            out.named.append((m["value"], TOLD_KINDS[m["kind"]]))
+        elif (m := re.fullmatch(r"第 ?(?P<n>\d+) ?段 ?(?:[是为] ?(?P<kind>[^ ]+)|不用管|别管|不是标识符)", told)) and m["n"] != "0" and (m["kind"] is None or m["kind"] in TOLD_KINDS):
+            out.places[int(m["n"]) - 1] = TOLD_KINDS.get(m["kind"])
         else:
             out.odd.append(line)
     return out
 
 
-def apply_rules(docs: DataFrame, rules: str, text: str = "text") -> DataFrame:
-    """Literal replacements in the order of the rules."""
-    out = F.col(text)
-    for src, dst in parse_rules(rules).pairs:
-        out = F.replace(out, F.lit(src), F.lit(dst))
-    return docs.withColumn(text, out)
+def understood(rules: str) -> Rules:
+    """Rules of which every line can be carried out."""
+    told = parse_rules(rules)
+    if told.odd:
+        raise ValueError("rules that nothing can carry out: " + "; ".join(told.odd))
+    return told
+
+
+def apply_rules(docs: DataFrame, rules: str, text: str = "text", ignored: tuple[str, ...] | list[str] = (), count: str | None = None) -> DataFrame:
+    """The replacements of the rules, all in one pass over each text: from left to right, the longest
+    of those that begin at one place. What is to be left alone stays, with all inside it.
+    Values of a told kind and places need ``deidentify``, which numbers them, and raise here."""
+    told = understood(rules)
+    if told.named or told.places:
+        raise ValueError("kinds of values and places need deidentify")
+    new = {}
+    for src, dst in told.pairs:
+        new.setdefault(src, dst)  # of two rules for one text the first counts
+    return replaced_in(docs, new | {v: v for v in [*told.ignored, *ignored]}, text, count)
+
+
+def rule_hits(docs: DataFrame, rules: str, text: str = "text") -> DataFrame:
+    """``rule, n_docs, n``: every replacement, named value and value left alone with the number of its
+    places in the texts; those without one are 0, so that a rule in vain is seen."""
+    told = understood(rules)
+    words = [*dict.fromkeys([*(a for a, _ in told.pairs), *(a for a, _ in told.named), *told.ignored])]
+    every = docs.sparkSession.createDataFrame([(w,) for w in words], "rule string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    hits = occurrences(rows, every, ["row"], "text", "rule").groupBy(F.col("word").alias("rule")).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+    return every.join(hits, "rule", "left").select("rule", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def ambiguous_numbers(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -545,3 +545,34 @@ def transcript_files(spark, sf_dir):
     files = lines.groupBy("speaker", "path").agg(F.count("*").alias("n"), (F.max("line_no") + 1).alias("top"), F.countDistinct("line_no").alias("distinct"), F.sum(F.length("line")).alias("chars"))
     whole = files.where("n = top and n = distinct")
     return whole.groupBy("speaker").agg(F.sum("n").alias("n_lines"), F.sum("chars").alias("n_chars"))
+
+
+# many words at once
+
+HELD = "SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS word FROM benchmark) WHERE length(word) >= 8"
+
+
+@query(f"""
+WITH hits AS (SELECT word, doc_id FROM ({HELD}) w JOIN documents d ON contains(d.text, w.word)),
+alone AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.doc_id = h.doc_id AND length(o.word) > length(h.word) AND contains(o.word, h.word)))
+SELECT word, count(*) AS n_segments FROM alone GROUP BY word
+""")
+def lexicon_segments(spark, sf_dir):
+    """Documents by the words of the benchmark that they hold, outside longer ones."""
+    lexicon = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where("length(word) >= 8")
+    return coding.keyword_hits(table(spark, sf_dir, "documents"), lexicon, ["doc_id"], top=2**31 - 1).select("word", "n_segments")
+
+
+#: Family names of two characters, rare ones and common ones, and what is said before each.
+TOLD_NAMES = ("欧阳娜娜", "庞统", "翟天临", "张伟", "诸葛亮", "李雷")
+TOLD_BY = ("我同学叫", "他姓", "我叫", "室友名叫", "我是", "大家都叫")
+
+
+@query(f"SELECT c_custkey AS doc_id, ([{', '.join(repr(x) for x in TOLD_BY)}])[(c_custkey % 6 + 1)::INT] || '[姓名1]，联系[手机1]，总机13900001111。后来[姓名1]去了[QQ1]' AS text FROM customer")
+def names_and_rules(spark, sf_dir):
+    """Rare and long family names behind clues, beside rules: a replacement, a value of a told kind
+    and one left alone."""
+    k = F.col("c_custkey")
+    name, clue = (F.element_at(F.array(*map(F.lit, x)), (k % 6 + 1).cast("int")) for x in (TOLD_NAMES, TOLD_BY))
+    docs = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat(clue, name, F.lit("，电话138"), eight(), F.lit("，总机13900001111。后来"), name, F.lit("去了老地方")).alias("text"))
+    return deident.deidentify(docs, rules="电话 = 联系\n!这是QQ 老地方\n!不用管 13900001111")[0]

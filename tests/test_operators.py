@@ -242,7 +242,7 @@ def test_deident(spark):
     assert phones == {"[手机1]"}
     assert deident.guard(out).count() == 0 and deident.guard(docs).count() > 0
     rules = deident.parse_rules("a = b\n!不用管 X\n!这是微信 abc\n!第2段是手机\n!第3段不用管\n!什么\n")
-    assert rules.pairs == [("a", "b"), ("abc", "[微信]")] and rules.ignored == ["X"] and rules.places == {1: "手机", 2: None} and rules.odd == ["!什么"]
+    assert rules.pairs == [("a", "b")] and rules.named == [("abc", "微信")] and rules.ignored == ["X"] and rules.places == {1: "手机", 2: None} and rules.odd == ["!什么"]
     masked = deident.mask_columns(frame(spark, [("王一", "1"), ("王一", "2")], "`姓名` string, n string"), "k")
     assert masked.select("姓名").distinct().count() == 1
 
