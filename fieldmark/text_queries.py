@@ -12,7 +12,7 @@ from fieldmark.functions.columns import banded_number, clean_columns, format_p,
 from fieldmark.operators import coding, compare, deident, factor, impute, mediate, prep, regress
 from fieldmark.operators.gram import gram
 from fieldmark.operators.ranks import kendall
-from fieldmark.plans import report
+from fieldmark.plans import ordered, report
 from fieldmark.plans.analyze import introspect
 from fieldmark.queries import numbers, query, table
 from fieldmark.sources import tables
@@ -293,8 +293,8 @@ def form_time(spark, sf_dir):
     return report.fill_time(report.question_kinds(report.variable_rows(report.sections(forms(spark, sf_dir)))), 60)
 
 
-WORDINGS = ("是否知道（知道/不知道/不确定）", "多选：送礼 / 自用 / 收藏", "编码为 单方承担 / 轮流承担 / 均摊", "如陪伴、吸引、同伴压力等", "自报当前状态：单身 / 恋爱中 / 已分手", "按 0–25%、25–50%、50–75% 区间归组", "按 0 次、1 次分组后计算得出的各种很长很长的说明", "李克特量表")
-LISTED = ("知道|不知道|不确定", "送礼|自用|收藏", "单方承担|轮流承担|均摊", "陪伴|吸引|同伴压力", "单身|恋爱中|已分手", "0–25%|25–50%|50–75%", "0 次|1 次", None)
+WORDINGS = ("是否来过（来过/没来过/记不清）", "多选：跑步 / 游泳 / 打球", "编码为 只看不买 / 偶尔购买 / 经常购买", "如价格、味道、排队时间等", "自报居住方式：独居 / 合租 / 与家人同住", "按 0–20%、20–40%、40–60% 区间归组", "按 3 天、4 天分组后由系统算出来的一段很长很长的说明", "李克特量表")
+LISTED = ("来过|没来过|记不清", "跑步|游泳|打球", "只看不买|偶尔购买|经常购买", "价格|味道|排队时间", "独居|合租|与家人同住", "0–20%|20–40%|40–60%", "3 天|4 天", None)
 
 
 @query(f"SELECT p_partkey, ([{', '.join('NULL' if x is None else repr(x) for x in LISTED)}])[(p_partkey % {len(WORDINGS)} + 1)::INT] AS options FROM part")
@@ -576,3 +576,25 @@ def names_and_rules(spark, sf_dir):
     name, clue = (F.element_at(F.array(*map(F.lit, x)), (k % 6 + 1).cast("int")) for x in (TOLD_NAMES, TOLD_BY))
     docs = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat(clue, name, F.lit("，电话138"), eight(), F.lit("，总机13900001111。后来"), name, F.lit("去了老地方")).alias("text"))
     return deident.deidentify(docs, rules="电话 = 联系\n!这是QQ 老地方\n!不用管 13900001111")[0]
+
+
+# differences in order
+
+NUMBERED = "SELECT doc_id, list_transform(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x, i: i::VARCHAR || ' ' || x) AS l FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, l, len(l) AS n FROM ({NUMBERED}) WHERE len(l) > 3)
+SELECT 'moved' AS change, doc_id, l[1] AS line, 0 AS old_no, (n - 1)::INTEGER AS new_no FROM t
+UNION ALL SELECT 'removed', doc_id, l[2], 1, -1 FROM t
+UNION ALL SELECT 'added', doc_id, '+ ' || doc_id::VARCHAR, -1, 0 FROM t
+""")
+def text_changes(spark, sf_dir):
+    """Whole texts whose lines are numbered, against themselves with one line put in front, the second
+    taken out and the first moved to the end; texts of up to three lines don't change."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", ordered.LINE_BREAK, -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), x)).alias("l"))
+    old = docs.select("doc_id", F.array_join("l", "\n").alias("text"))
+    moved = F.concat(F.array(F.concat(F.lit("+ "), F.col("doc_id").cast("string"))), F.slice("l", F.lit(3), F.size("l")), F.slice("l", 1, 1))
+    new = docs.select("doc_id", F.array_join(F.when(F.size("l") > 3, moved).otherwise(F.col("l")), "\n").alias("text"))
+    got = ordered.ordered_diff(old, new)
+    return got.select("change", "doc_id", "line", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("old_no", "new_no")])
