@@ -41,8 +41,8 @@ def _long(df: DataFrame, group: str, value: str) -> DataFrame:
 def groups(df: DataFrame, group: str, value: str, most: int = 200) -> list[Group]:
     """n, mean, sd, median and population moments of each group."""
     long = _long(df, group, value)
-    sums = long.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"))
-    got = sums.join(quantile_table(long, ["g"], "x", (0.5,)), "g").select("g", "n", "mean", "sd", "q0", "skew", "kurt").limit(most + 1).collect()
+    sums = {"n": F.count("*"), "mean": F.avg("x"), "sd": F.stddev_samp("x"), "skew": F.skewness("x"), "kurt": F.kurtosis("x")}
+    got = quantile_table(long, ["g"], "x", (0.5,), sums).select("g", "n", "mean", "sd", "q0", "skew", "kurt").limit(most + 1).collect()
     if len(got) > most:
         raise ValueError(f"{group} has more than {most} groups")
     return sorted((Group(*r) for r in got), key=lambda g: g.level)
@@ -99,12 +99,14 @@ def welch_anova(gs: list[Group]) -> dict:
     return {"f": f, "df1": k - 1, "df2": d2, "p": dist.f_sf(f, k - 1, d2)}
 
 
-def levene(df: DataFrame, group: str, value: str) -> dict:
-    """Levene's test about the group medians (Brown-Forsythe)."""
+def levene(df: DataFrame, group: str, value: str, most: int = 200) -> dict:
+    """Levene's test about the group medians (Brown-Forsythe); more than ``most`` groups raise."""
     long = _long(df, group, value)
     middle = quantile_table(long, ["g"], "x", (0.5,)).withColumnRenamed("q0", "m")
     away = long.join(middle, "g").select("g", F.abs(F.col("x") - F.col("m")).alias("d"))
-    got = away.groupBy("g").agg(F.count("*"), F.avg("d"), F.coalesce(F.var_samp("d"), F.lit(0.0))).collect()
+    got = away.groupBy("g").agg(F.count("*"), F.avg("d"), F.coalesce(F.var_samp("d"), F.lit(0.0))).limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"{group} has more than {most} groups")
     out = one_way([r[1] for r in got], [r[2] for r in got], [r[3] for r in got])
     return {"f": out["f"], "df1": out["df1"], "df2": out["df2"], "p": out["p"]}
 

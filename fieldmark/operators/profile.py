@@ -117,9 +117,11 @@ def describe(df: DataFrame, columns: list[str], by: list[str] | None = None, exa
     named = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), number(col(c)).alias("x")) for c in columns])).alias("v")
     long = df.select(*[col(k) for k in keys], named).select(*[col(k) for k in keys], "v.variable", "v.x")
     m = moments(F.col("x"))
-    got = long.groupBy(*keys, "variable").agg(m["n"].alias("n"), m["mean"].alias("mean"), m["sd"].alias("sd"), F.percentile_approx("x", 0.5, 10_000).alias("near"), F.min("x").alias("min"), F.max("x").alias("max"), m["skew"].alias("skew"), m["kurt"].alias("kurt"))
+    sums = {"n": m["n"], "mean": m["mean"], "sd": m["sd"], "min": F.min("x"), "max": F.max("x"), "skew": m["skew"], "kurt": m["kurt"]}
     if exact:
-        got = got.drop("near").join(quantile_table(long, [*keys, "variable"], "x", (0.5,)), [*keys, "variable"], "left").withColumnRenamed("q0", "near")
+        got = quantile_table(long, [*keys, "variable"], "x", (0.5,), sums).withColumnRenamed("q0", "near")
+    else:
+        got = long.groupBy(*keys, "variable").agg(*[c.alias(n) for n, c in sums.items()], F.percentile_approx("x", 0.5, 10_000).alias("near"))
     return got.select(*keys, "variable", "n", "mean", "sd", F.col("near").alias("median"), "min", "max", "skew", "kurt")
 
 

@@ -8,21 +8,32 @@ sums of those before it.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions import dist
+from fieldmark.functions.columns import col
 from fieldmark.sources.tables import written
 
 
+#: Rows whose running sums one task takes.
+FEW = 100_000
+
+
 def running(df: DataFrame, order: list[str], amounts: dict[str, str]) -> DataFrame:
     """``df`` plus running sums, by name, over a global order; each row included.
 
-    The dealt rows are written with the number of their range: a second execution could cut
-    the ranges elsewhere.
+    The rows are written first. Few ones, which a count of the written rows tells, are summed
+    in one task; more are dealt to ranges, and written with the number of their range, since a
+    second execution could cut the ranges elsewhere. Both ways give the same sums.
     """
-    dealt = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    kept = written(df)
+    if kept.count() <= FEW:
+        upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return kept.select("*", *[F.sum(c).over(upto).alias(n) for n, c in amounts.items()])
+    dealt = written(kept.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.select("*", *[F.sum(c).over(inside).alias(n) for n, c in amounts.items()])
     totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in amounts.items()])
@@ -32,36 +43,52 @@ def running(df: DataFrame, order: list[str], amounts: dict[str, str]) -> DataFra
     return dealt.join(F.broadcast(starts), "_part").select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in amounts])
 
 
-#: Distinct values up to which one aggregation state may hold a column's values.
-STATE = 1_000_000
+#: Size of a sketch; its rank error, of which brackets take four: far beyond any that is met.
+SKETCH = 4000
+RANK_ERROR = 2.296 / SKETCH**0.9021
+#: Values of a group that are all counted, without a bracket.
+FULL = 4 * SKETCH
 
 
-def quantile_table(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
-    """``keys, q0, q1, ...``: exact quantiles of a column in each group, linearly interpolated.
+def quantile_table(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], more: dict[str, Column] | None = None) -> DataFrame:
+    """``keys``, the aggregates of ``more`` and ``q0, q1, ...``: exact quantiles of a column in each
+    group, linearly interpolated; null where a group has no value.
 
-    An aggregation state holds every distinct value of its group, so it serves only where
-    there are few. Beyond, values are counted and ranked over a range partitioning, and the
-    two neighbours of each quantile are read from the running counts.
+    Two scans. The first makes a mergeable sketch of each group, beside ``more``, which brackets each
+    quantile. The second counts what lies below each bracket and the values inside it, of
+    which there are a small share of all; the quantile is read from their running counts.
+    No state holds a group's values. A bracket that missed its quantile would raise.
     """
-    if not keys:
-        return quantile_table(df.withColumn("_all", F.lit(0)), ["_all"], value, at).drop("_all")
-    rows = df.where(F.col(value).isNotNull())
-    if (rows.agg(F.approx_count_distinct(value)).first()[0] or 0) <= STATE:
-        return rows.groupBy(*keys).agg(*[F.percentile(value, q).alias(f"q{k}") for k, q in enumerate(at)])
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    placed = running(counts, [*keys, value], {"upto": "n"})
-    sizes = placed.groupBy(*keys).agg(F.sum("n").alias("size"), F.min(F.col("upto") - F.col("n")).alias("before"))
-    both = placed.join(sizes, keys)
-    # places of a value: from first up to last, both included
-    both = both.withColumn("last", F.col("upto") - F.col("before") - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    more = more or {}
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    x = col(value).cast("double")
+    summed = df.groupBy(*[col(k).alias(n) for k, n in names.items()]).agg(F.count(x).alias("_n"), F.kll_sketch_agg_double(x, F.lit(SKETCH)).alias("_s"), *[c.alias(f"_m{i}") for i, c in enumerate(more.values())])
+    first = written(summed)  # a row for each group
+    some = F.col("_n") > 0
+    margin = 4 * RANK_ERROR
     ends = []
     for k, q in enumerate(at):
-        place = (F.col("size") - 1) * F.lit(float(q))
-        for side, p in (("low", F.floor(place)), ("high", F.ceil(place))):
-            ends.append(F.max(F.when(F.lit(p).between(F.col("first"), F.col("last")), F.col(value))).alias(f"{side}{k}"))
-    got = both.groupBy(*keys).agg(F.first("size").alias("size"), *ends)
-    part = [(F.col("size") - 1) * F.lit(float(q)) % 1 for q in at]
-    return got.select(*keys, *[(F.col(f"low{k}") + (F.col(f"high{k}") - F.col(f"low{k}")) * p).alias(f"q{k}") for k, p in enumerate(part)])
+        place = (F.col("_n") - 1) * F.lit(float(q))
+        low, high = F.floor(place), F.ceil(place)
+        # one place is less than the margin in a group beyond FULL; a smaller group is bracketed whole
+        inside = [F.kll_sketch_get_quantile_double("_s", F.lit(min(1.0, max(0.0, q + e)))) for e in (-margin, margin)]
+        bounds = [F.when(F.col("_n") > FULL, b).otherwise(F.lit(end)) for b, end in zip(inside, (-math.inf, math.inf), strict=True)]
+        ends.append(F.struct(F.lit(k).alias("k"), bounds[0].alias("lo"), bounds[1].alias("hi"), low.alias("low"), high.alias("high"), (place % 1).alias("part")))
+    brackets = first.where(some).select(*names.values(), F.array(*ends).alias("ends"))
+    inner = df.where(x.isNotNull()).select(*[col(k).alias(f"_j{i}") for i, k in enumerate(keys)], x.alias("_x"))
+    same = [F.col(f"_j{i}").eqNullSafe(F.col(n)) for i, n in enumerate(names.values())]
+    met = inner.join(brackets, reduce(lambda a, b: a & b, same)) if same else inner.join(F.broadcast(brackets))
+    near = met.select(*names.values(), "_x", F.explode("ends").alias("e")).where("_x <= e.hi")
+    counts = near.groupBy(*names.values(), "e", F.when(F.col("_x") >= F.col("e.lo"), F.col("_x")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*names.values(), "e.k").orderBy(F.col("v").asc_nulls_first()))
+    placed = counts.withColumn("upto", upto)
+    at_end = {side: F.max(F.when((F.col(f"e.{side}") < F.col("upto")) & (F.col(f"e.{side}") >= F.col("upto") - F.col("c")), F.col("v"))) for side in ("low", "high")}
+    found = placed.groupBy(*names.values(), "e.k").agg(*[c.alias(side) for side, c in at_end.items()], F.first("e.part").alias("part"))
+    missed = F.when(F.col("low").isNull() | F.col("high").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    q = F.coalesce(missed, F.when(F.col("part") == 0, F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("part")))
+    wide = found.select(*[F.col(n).alias(f"_j{i}") for i, n in enumerate(names.values())], "k", q.alias("q")).groupBy(*[f"_j{i}" for i in range(len(keys))]).agg(*[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{k}") for k in range(len(at))])
+    out = first.join(wide, reduce(lambda a, b: a & b, same), "left") if same else first.join(F.broadcast(wide), how="left")
+    return out.select(*[F.col(n).alias(k) for k, n in names.items()], *[F.col(f"_m{i}").alias(k) for i, k in enumerate(more)], *[f"q{k}" for k in range(len(at))])
 
 
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
@@ -91,6 +118,8 @@ def mann_whitney(df: DataFrame, group: str, value: str, alpha: float = 0.05) ->
     """U of the first group in string order, tie-corrected normal p with continuity
     correction (exact where both groups have at most 8 rows and nothing is tied), and the
     rank-biserial correlation 1 - 2U/(n1 n2): positive where the first group is lower."""
+    if df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group).distinct().limit(3).count() != 2:
+        raise ValueError("two groups are needed")
     sums, total = group_rank_sums(df, group, value)
     rows = sorted(sums.collect(), key=lambda r: str(r[group]))
     if len(rows) != 2:
@@ -122,11 +151,13 @@ def _u_cdf(u: int, n1: int, n2: int) -> float:
     return sum(ways[: u + 1]) / math.comb(n1 + n2, n1)
 
 
-def kruskal(df: DataFrame, group: str, value: str) -> dict:
-    """Tie-corrected H, p and epsilon squared (H - k + 1)/(n - k)."""
+def kruskal(df: DataFrame, group: str, value: str, most: int = 200) -> dict:
+    """Tie-corrected H, p and epsilon squared (H - k + 1)/(n - k); more than ``most`` groups raise."""
     sums, total = group_rank_sums(df, group, value)
-    rows, (n, ties) = sums.collect(), total.first()
+    rows, (n, ties) = sums.limit(most + 1).collect(), total.first()
     k = len(rows)
+    if k > most:
+        raise ValueError(f"{group} has more than {most} groups")
     h = 12 / (n * (n + 1)) * sum(r["rank_sum"] ** 2 / r["n"] for r in rows) - 3 * (n + 1)
     fix = 1 - ties / (n**3 - n)
     h = h / fix if fix > 0 else 0.0

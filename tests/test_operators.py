@@ -269,8 +269,8 @@ def test_quantile_table_both_ways(spark, monkeypatch):
     df = frame(spark, rows, "g string, x double")
     at = (0.0, 0.25, 0.5, 0.9, 1.0)
     want = {g: [float(np.quantile([v for h, v in rows if h == g], q)) for q in at] for g in "ab"}
-    for state in (10**6, 0):
-        monkeypatch.setattr(ranks, "STATE", state)
+    for state in (10**6, 16_000):
+        monkeypatch.setattr(ranks, "FULL", state)
         got = {r[0]: list(r[1:]) for r in ranks.quantile_table(df, ["g"], "x", at).collect()}
         assert got == {g: pytest.approx(v) for g, v in want.items()}
         assert ranks.quantile_table(df, [], "x", (0.5,)).first()[0] == pytest.approx(np.median([v for _, v in rows]))
