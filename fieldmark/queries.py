@@ -463,8 +463,8 @@ def speaker_share(spark, sf_dir):
     return coding.speaker_share(units).withColumn("pct", F.round("pct", 6))
 
 
-@query("""
-PIVOT (SELECT DISTINCT lang AS label, source FROM documents) ON source USING count(*) GROUP BY label
+@query(f"""
+SELECT * FROM (PIVOT (SELECT DISTINCT lang AS label, source FROM documents) ON source IN ({", ".join(f"'src{k}'" for k in range(20))}) USING count(*) GROUP BY label)
 """)
 def role_matrix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.array("lang").alias("label"), F.col("source").alias("speaker"), F.col("doc_id").alias("no"))
