@@ -13,6 +13,7 @@ changes a count, as phrases are counted and compared by their words.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -129,34 +130,69 @@ def _rows(tallies: dict[str, Tally], ids: Ids, k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams, pa.binary()).cast(pa.string()), n[at : at + 100_000]], names=["lang", "phrase", "f"])
 
 
-def counted(k: int, known: Frequent | None, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of ``k`` words with their counts, by language; level 1 has a row without phrase for all words.
+def _joined(batch: pa.RecordBatch) -> dict[str, bytes]:
+    """Each language's texts end to end, with a line break between two, which ends a piece."""
+    texts: dict[str, list[bytes]] = {}
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+        if text.is_valid:
+            texts.setdefault(lang, []).append(text.as_buffer().to_pybytes())
+    return {lang: b"\n".join(own) for lang, own in texts.items()}
 
-    A text is cut in lots, and the last ``k - 1`` words of a lot go before the next one.
+
+def counted_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts, by language, and a row without phrase for all words."""
+    counts: dict[str, Counter] = {}
+    totals: Counter[str] = Counter()
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            own.pop(BREAK, None)
+            words, n = list(own), list(own.values())
+            for at in range(0, len(n), 100_000):
+                some = words[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()).cast(pa.string()), pa.array(n[at : at + 100_000], pa.int64())], names=["lang", "phrase", "f"])
+        counts.clear()
+
+    for batch in batches:
+        for lang, text in _joined(batch).items():
+            for words in lots(text):
+                totals[lang] += len(words) - words.count(BREAK)
+                counts.setdefault(lang, Counter()).update(words)
+                if sum(map(len, counts.values())) > WORDS:
+                    yield from sent()
+    yield from sent()
+    if totals:
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([None] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "f"])
+
+
+def counted(k: int, known: Frequent, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases of ``k`` words (2 or more) with their counts, by language.
+
+    Texts are cut in lots, and the last ``k - 1`` words of a lot go before the next one.
     """
-    ids, tallies, totals = Ids(), {}, {}
+    ids, tallies, flags = Ids(), {}, {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+        for lang, text in _joined(batch).items():
             first, carry = start(lang), np.zeros(0, np.int64)
-            for words in lots(text.as_buffer().to_pybytes() if text.is_valid else b""):
+            for words in lots(text):
                 new = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
                 w = np.concatenate([carry, new])
                 carry = w[max(len(w) - k + 1, 0) :]
-                if k == 1:
-                    totals[lang] = totals.get(lang, 0) + np.count_nonzero(w)
                 if len(w) < k:
                     continue
-                if known is None:
-                    good = w > 0
+                if k == 2:  # each word is asked for once
+                    done = flags.get(lang, np.zeros(1, bool))
+                    if len(done) < len(ids.words):
+                        more = ids.hashes[len(done) : len(ids.words)]
+                        done = flags[lang] = np.concatenate([done, known.has(follow(np.full(len(more), first), more))])
+                    inside = done[w]
                 else:
-                    h = np.full(len(w) - k + 2, first)
-                    inside = np.ones(len(h), bool)
+                    h, inside = np.full(len(w) - k + 2, first), np.ones(len(w) - k + 2, bool)
                     for j in range(k - 1):
                         part = w[j : j + len(h)]
                         h, inside = follow(h, ids.hashes[part]), inside & (part > 0)
                     inside[inside] = known.has(h[inside])
-                    good = inside[:-1] & inside[1:]
-                at = np.flatnonzero(good)
+                at = np.flatnonzero(inside[:-1] & inside[1:])
                 if len(at):
                     tallies.setdefault(lang, Tally()).add([w[at + j] for j in range(k)])
                 if len(ids.words) > WORDS or sum(t.size for t in tallies.values()) > PHRASES:
@@ -164,11 +200,9 @@ def counted(k: int, known: Frequent | None, batches: Iterable[pa.RecordBatch]) -
                     if len(ids.words) > WORDS or merged > PHRASES // 2:
                         yield from _rows(tallies, ids, k)
                         left = [ids.words[i] for i in carry]
-                        ids, tallies = Ids(), {}
+                        ids, tallies, flags = Ids(), {}, {}
                         carry = np.array([ids[w] for w in left], np.int64)
     yield from _rows(tallies, ids, k)
-    if totals:
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([None] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "f"])
 
 
 def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +234,8 @@ def levels(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
     small_batches(spark)
     for k in range(1, LONGEST + 1):
         sent = spark.sparkContext.broadcast(known)
-        counts = docs.mapInArrow(lambda batches, k=k, sent=sent: counted(k, sent.value, batches), "lang string, phrase string, f long")
+        count = counted_words if k == 1 else lambda batches, k=k, sent=sent: counted(k, sent.value, batches)
+        counts = docs.mapInArrow(count, "lang string, phrase string, f long")
         level = saved(counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(f"f >= {least} or phrase is null"))
         if k == 1:
             totals = level.where("phrase is null").select("lang", F.col("f").alias("n"))

@@ -74,7 +74,7 @@ def test_phrase_lots_in_process(monkeypatch):
 
     def total(k):
         out = Counter()
-        for b in phrases.counted(k, every if k > 1 else None, [batch]):
+        for b in phrases.counted(k, every, [batch]) if k > 1 else phrases.counted_words([batch]):
             for r in b.to_pylist():
                 out[r["lang"], r["phrase"]] += r["f"]
         return out
