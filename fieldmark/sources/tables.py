@@ -12,6 +12,7 @@ from fieldmark.functions.columns import clean_columns, col
 from fieldmark.operators.prep_columns import drop_all_null
 from fieldmark.sources.ranges import marked, numbered_lines, read_delimited, scan
 from fieldmark.sources.shared import shared_dir, written
+from fieldmark.sources.workbooks import read_sav, read_workbooks
 
 __all__ = ["shared_dir", "written"]
 
@@ -51,15 +52,15 @@ def typed(df: DataFrame) -> DataFrame:
     return df.select(*[col(c).cast(kinds.get(c, t)).alias(c) for c, t in df.dtypes])
 
 
-def read_table(spark: SparkSession, path: str, encoding: str | None = None, clean: bool = True, sep: str | None = None) -> DataFrame:
-    """A table by its ending: csv, tsv, txt (tabs), json, orc, parquet; xlsx, xls and sav with
-    the optional readers installed.
+def read_table(spark: SparkSession, path: str, encoding: str | None = None, clean: bool = True, sep: str | None = None, sheet: int | str = 0, labels: bool = False) -> DataFrame:
+    """A table by its ending: csv, tsv, txt (tabs), xlsx, sav, json, orc, parquet. Old workbooks (xls) raise.
 
     Columns keep their order; headers are cleaned and all-null columns dropped. Text files
     are read in parallel whatever their quotes and sizes (``sources.ranges``): each file is UTF-8 if it is
     valid throughout, else GB18030. Blank lines and cells that mean missing go; short
     records get nulls, cells beyond the header are dropped. Of several files the header is that of
-    the first by path, and each has one.
+    the first by path, and each has one. Of workbooks one ``sheet`` is read, by place or name; of SAV
+    files values, or with ``labels`` their labels; both match columns of several files by name.
     """
     end = os.path.splitext(path.rstrip("/"))[1].lower()
     if end in (".csv", ".tsv", ".txt"):
@@ -69,24 +70,16 @@ def read_table(spark: SparkSession, path: str, encoding: str | None = None, clea
         df = spark.read.json(path)
     elif end == ".orc":
         df = spark.read.orc(path)
-    elif end in (".xlsx", ".xlsm", ".xls", ".sav"):
-        df = _with_reader(spark, path, end)
+    elif end in (".xlsx", ".xlsm", ".sav"):
+        names, rows = read_sav(spark, path, labels) if end == ".sav" else read_workbooks(spark, path, sheet)
+        df = typed(rows.select(*[F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) for c in rows.columns])).toDF(*(names or rows.columns))
+    elif end == ".xls":
+        raise ValueError("old workbooks (xls) aren't read: save them as xlsx")
     else:
         df = spark.read.parquet(path)
     return drop_all_null(clean_columns(df)) if clean else df
 
 
-def _with_reader(spark: SparkSession, path: str, end: str) -> DataFrame:
-    """Small workbook formats through pandas' optional readers, on the driver."""
-    import pandas as pd
-
-    try:
-        pdf = pd.read_spss(path) if end == ".sav" else pd.read_excel(path)
-    except ImportError as missing:
-        raise ImportError(f"reading {end} needs an optional package: {missing}") from missing
-    return spark.createDataFrame(pdf)
-
-
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """``path, line_no, line`` of text files, numbered from 0; binary ones raise.
 
