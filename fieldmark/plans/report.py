@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import col, is_numeric
+from fieldmark.plans.staleness import times
 
 
 def markdown(df: DataFrame, most: int = 40, digits: int = 3) -> str:
@@ -142,21 +143,34 @@ def line_diff(old: DataFrame, new: DataFrame, id: str = "doc_id", text: str = "t
     return got.select(F.when(F.col("n") > 0, "added").otherwise("removed").alias("change"), id, "line", F.abs("n").alias("n"))
 
 
+LABELS = "version string, label string, note string, at timestamp"
+
+
+def label_version(spark: SparkSession, folder: str, name: str, version: str, label: str = "", note: str = "") -> None:
+    """Name a version of a result, or say something about it; the version itself is never touched."""
+    if version not in {r["version"] for r in versions(spark, folder, name).select("version").collect()}:
+        raise ValueError(f"{name} has no version {version}")
+    spark.createDataFrame([(version, label.strip()[:60], note.strip()[:400])], "version string, label string, note string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/{name}_labels")
+
+
 def versions(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``version, at, n_bytes`` of a result that ``sources.write_table`` wrote, newest first."""
+    """``version, at, n_bytes, label, note`` of a result that ``sources.write_table`` wrote, newest first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{folder}/{name}")
-    version = F.regexp_extract("path", r"/(_v[^/]+)/[^/]+$", 1)
-    return files.groupBy(version.alias("version")).agg(F.max("modificationTime").alias("at"), F.sum("length").alias("n_bytes")).where("version <> ''").orderBy(F.desc("version"))
+    version = F.regexp_extract("path", r"/(v[0-9]{17}-[0-9a-f]{6})/[^/]+$", 1)
+    found = files.groupBy(version.alias("version")).agg(F.max("modificationTime").alias("at"), F.sum("length").alias("n_bytes")).where("version <> ''")
+    if times(spark, f"{folder}/{name}_labels") is None:
+        told = spark.createDataFrame([], LABELS)
+    else:
+        told = spark.read.schema(LABELS).parquet(f"{folder}/{name}_labels")
+    # of several the newest that says something
+    last = told.groupBy("version").agg(*[F.max_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("at"))).alias(c) for c in ("label", "note")])
+    return found.join(last, "version", "left").select("version", "at", "n_bytes", "label", "note").orderBy(F.desc("version"))
 
 
 def stale(spark: SparkSession, inputs: list[str], output: str) -> bool:
-    """Whether an input was written after the output, or the output is missing."""
-    newest = lambda paths: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).agg(F.max("modificationTime")).first()[0]
-    try:
-        made = newest([output])
-    except Exception:  # no such path, in whatever store
-        return True
-    return made is None or newest(inputs) > made
+    """Whether an input was written after the output's oldest file, or the output is missing."""
+    made = times(spark, output)
+    return made is None or any(found and found[1] > made[0] for found in (times(spark, p) for p in inputs))
 
 
 def assemble(title: str, parts: list[tuple[str, DataFrame | str]], sources: list[str] = ()) -> str:

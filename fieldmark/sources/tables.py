@@ -136,7 +136,7 @@ def write_table(df: DataFrame, folder: str, name: str, form: str = "csv") -> str
     """
     spark = df.sparkSession
     stamp = spark.sql("select date_format(current_timestamp(), 'yyyyMMddHHmmssSSS')").first()[0]
-    path = f"{folder}/{name}/_v{stamp}-{uuid.uuid4().hex[:6]}"
+    path = f"{folder}/{name}/v{stamp}-{uuid.uuid4().hex[:6]}"
     writer = df.write.option("header", True) if form == "csv" else df.write
     writer.format(form).save(path)
     return path
