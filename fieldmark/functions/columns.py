@@ -137,3 +137,10 @@ def format_p(p: Column) -> Column:
 
 def p_band(p: Column, alpha: float = 0.05) -> Column:
     return F.when(p.isNull(), "none").when(p < alpha, "significant").when(p < 0.1, "near").otherwise("not significant")
+
+
+def label_order(c: Column, locale: str = "zh") -> list[Column]:
+    """Sort keys of labels: numbers first and by value, then words as the locale's dictionary has
+    them (for ``zh`` by their reading), nulls last."""
+    n = number(c)
+    return [c.isNull(), n.asc_nulls_last(), F.collate(c.cast("string"), locale), c.cast("string")]

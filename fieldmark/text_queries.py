@@ -6,9 +6,10 @@ transcript, sheet or form; the SQL says what the operator must find in it.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fieldmark.functions.columns import banded_number, clean_columns, format_p, number
+from fieldmark.functions.columns import banded_number, clean_columns, format_p, label_order, number
 from fieldmark.operators import coding, compare, deident, factor, impute, mediate, prep, regress
 from fieldmark.operators.gram import gram
 from fieldmark.operators.ranks import kendall
@@ -598,3 +599,15 @@ def text_changes(spark, sf_dir):
     new = docs.select("doc_id", F.array_join(F.when(F.size("l") > 3, moved).otherwise(F.col("l")), "\n").alias("text"))
     got = ordered.ordered_diff(old, new)
     return got.select("change", "doc_id", "line", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("old_no", "new_no")])
+
+
+#: Labels in the order of their places: numbers, then words by their reading.
+LABELS = ("-3", "2", "10", "阿里", "北京", "广州", "上海", "张伟", "重要")
+
+
+@query(f"SELECT label, (list_position([{', '.join(repr(x) for x in LABELS)}], label))::INT AS place, n FROM (SELECT ([{', '.join(repr(x) for x in LABELS)}])[(c_custkey % {len(LABELS)} + 1)::INT] AS label, count(*) AS n FROM customer GROUP BY 1)")
+def label_places(spark, sf_dir):
+    k = (F.col("c_custkey") % len(LABELS) + 1).cast("int")
+    counts = table(spark, sf_dir, "customer").groupBy(F.element_at(F.array(*map(F.lit, LABELS)), k).alias("label")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.orderBy(*label_order(F.col("label"))))  # a row for each label
+    return counts.select("label", place.alias("place"), "n")
