@@ -6,10 +6,12 @@ classes by time, sixteen rectangle filters are read from its integral image; eac
 response is one of four levels, and the sixteen levels pack into one 32-bit item for
 each place of a window of sixteen frames. A window without sound yields no item.
 
-Recordings that share items are aligned by a histogram of the items' offsets. At each of
-the offsets with the most votes the bit errors over the overlap are verified: over all of
-it, or over the best run of windows, so that a passage that two recordings share is found
-whatever else they hold, also behind a cut.
+Recordings that share items are aligned by a histogram of the items' offsets. At every
+offset with a vote the bit errors over the overlap are verified: over all of it, or over
+the best run of windows, so that a passage that two recordings share is found whatever else
+they hold, also behind a cut. Since a match has less than one wrong bit an item on average, some
+of its items are equal, and no offset without a vote can hold one (held tones aside, which
+vote where they begin).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import named, saved
@@ -50,8 +52,6 @@ RATIOS = (
 )
 #: Bit errors of a match; overlapping windows of recordings that agree throughout, and windows of a shared run.
 MOST_ERROR, LEAST_OVERLAP, LEAST_RUN = 0.03, 8, 24
-#: Offsets of a pair that are verified.
-OFFSETS = 3
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -197,8 +197,8 @@ def search(media: DataFrame, queries: str, id: str = "id", data: str = "data", m
     (queries that match it, itself left out) and the best of the other classes'
     queries: ``query_class, offset, overlap, bit_error``. Every recording is indexed by
     all its items, once for each time that an item begins; equal fingerprints are looked up
-    once. A query is compared with what shares an item with it, at the ``OFFSETS`` offsets
-    that most shared items agree on. Null, empty and silent recordings match nothing, and
+    once. A query is compared with what shares an item with it, at every offset that shared
+    items agree on, of which there are no more than windows. Null, empty and silent recordings match nothing, and
     so do recordings whose fingerprint only rows of null ids have; recordings of any length
     are read whole; an empty table gives an empty result.
     """
@@ -210,8 +210,7 @@ def search(media: DataFrame, queries: str, id: str = "id", data: str = "data", m
     asked = classes.where("asks > 0").select("class", "places", "items").mapInPandas(_exploded, "item long, class long, place long")
     asked = asked.select("item", F.col("class").alias("query_class"), F.col("place").alias("query_place"))
     votes = index.join(asked, "item").where("class <> query_class").groupBy("query_class", "class", (F.col("query_place") - F.col("place")).alias("offset")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("query_class", "class").orderBy(F.desc("n"), "offset")
-    best = votes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= OFFSETS).groupBy("query_class", "class").agg(F.collect_list("offset").alias("offsets"))
+    best = votes.groupBy("query_class", "class").agg(F.collect_list("offset").alias("offsets"))
 
     def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

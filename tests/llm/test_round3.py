@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from fieldmark.llm import bpe, common, langid, multiindex, negatives, phrases, webtext
+from fieldmark.llm import bpe, chroma, common, langid, multiindex, negatives, phrases, webtext
 
 # 11 phrases
 
@@ -268,3 +268,65 @@ def test_batches_of_long_texts_are_bounded(spark):
     assert docs.select(F.max(size("text"))).first()[0] <= 6 << 20
     sizes = {r.n for r in bpe.encode(docs, memo=1 << 16).select((F.octet_length("token_ids") / 4).cast("long").alias("n")).collect()}
     assert len(sizes) == 1 and sizes.pop() > 20_000
+
+
+def plain_items(image):
+    """Filters, levels and packing by loops over the image."""
+    out = {}
+    for t in range(len(image) - chroma.WINDOW + 1):
+        def area(t0, t1, p0, p1, t=t):
+            return sum(float(image[t + i][p]) for i in range(t0, t1) for p in range(p0, p1))
+
+        if not area(0, chroma.WINDOW, 0, 12) > 0:
+            continue
+        item = 0
+        for k in range(16):
+            height, width, kind = (4, 6, 8, 12)[k % 4], (4, 8, 16, 12)[(k + k // 4) % 4], k % 6
+            p = 5 * k % (13 - height)
+            half, quarter, h2, w2, w4 = height // 2, height // 4, p + height // 2, width // 2, width // 4
+            whole = area(0, width, p, p + height)
+            part = {
+                0: whole, 1: area(0, width, p, h2), 2: area(0, w2, p, p + height), 3: area(0, w2, p, h2) + area(w2, width, h2, p + height),
+                4: area(0, width, p + quarter, p + height - quarter), 5: area(w4, width - w4, p, p + height),
+            }[kind]
+            rest = area(0, width, 0, 12) * height / 12 if kind == 0 else whole - part
+            assert half
+            level = sum(part + 1 > (rest + 1) * x for x in chroma.RATIOS[k])
+            item = item << 2 | (0, 1, 3, 2)[level]
+        out[t] = item
+    return out
+
+
+def test_fingerprint_by_plain_loops():
+    rng = np.random.default_rng(12)
+    t = np.arange(14_000)
+    tone = 128 + 60 * np.sin(2 * np.pi * t * 220 / chroma.RATE) + rng.normal(0, 10, len(t))
+    for samples in (tone, rng.integers(0, 256, 9000), np.concatenate([np.full(5000, 128), tone[:6000]]), np.frombuffer(("lorem ipsum dolor sit amet " * 150).encode(), np.uint8)):
+        data = np.clip(samples, 0, 255).astype(np.uint8)
+        image = chroma.chroma(data)
+        places, items = chroma.fingerprint(data.tobytes())
+        assert dict(zip(places.tolist(), items.tolist(), strict=True)) == plain_items(image)
+        # the image itself: a plain transform of one frame in the middle
+        k, want = len(image) // 2, np.zeros(12)
+        for j, weight in enumerate(chroma.SMOOTH):
+            x = (data[(k + j) * chroma.HOP :][: chroma.FRAME].astype(float) - 128) / 128 * np.hanning(chroma.FRAME)
+            for b in range(chroma.FRAME // 2 + 1):
+                hz = b * chroma.RATE / chroma.FRAME
+                if chroma.LOWEST <= hz <= chroma.HIGHEST:
+                    power = abs(sum(x * np.exp(-2j * np.pi * b * np.arange(chroma.FRAME) / chroma.FRAME))) ** 2
+                    want[round(12 * math.log2(hz / 440)) % 12] += weight * power
+        size = math.sqrt((want**2).sum())
+        assert image[k] == pytest.approx(want / size if size > 0.01 else want * 0, abs=1e-3)
+
+
+def test_matches_at_every_offset(spark):
+    """A recording that repeats a passage in five places is found by a query of the passage, at the best of all offsets."""
+    rng = np.random.default_rng(15)
+    t = np.arange(chroma.HOP * 60)
+    passage = np.clip(128 + 50 * np.sin(2 * np.pi * t * (110 * 2 ** (rng.integers(0, 24, 60) / 12)).repeat(chroma.HOP) / chroma.RATE), 0, 255).astype(np.uint8)
+    damaged = [np.clip(passage.astype(int) + rng.normal(0, s, len(passage)).astype(int), 0, 255).astype(np.uint8) for s in (9, 7, 5, 3)]
+    filler = lambda: rng.integers(0, 256, chroma.HOP * 40).astype(np.uint8)
+    whole = np.concatenate([x for d in damaged for x in (d, filler())] + [passage, filler()])
+    df = spark.createDataFrame([(0, passage.tobytes()), (1, whole.tobytes())], "id long, data binary")
+    got = {r["id"]: r for r in chroma.search(df, "id = 0").collect()}
+    assert got[1]["query_class"] == 0 and got[1]["bit_error"] == 0 and got[1]["offset"] == -4 * 100
