@@ -13,7 +13,7 @@ from fieldmark.functions.columns import banded_number, clean_columns, format_p,
 from fieldmark.operators import coding, compare, deident, factor, impute, mediate, prep, regress
 from fieldmark.operators.gram import gram
 from fieldmark.operators.ranks import kendall
-from fieldmark.plans import ordered, report
+from fieldmark.plans import ordered, report, screening
 from fieldmark.plans.analyze import introspect
 from fieldmark.queries import numbers, query, table
 from fieldmark.sources import tables
@@ -611,3 +611,16 @@ def label_places(spark, sf_dir):
     counts = table(spark, sf_dir, "customer").groupBy(F.element_at(F.array(*map(F.lit, LABELS)), k).alias("label")).agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.orderBy(*label_order(F.col("label"))))  # a row for each label
     return counts.select("label", place.alias("place"), "n")
+
+
+@query("""
+WITH g AS (SELECT p_partkey, p_size AS s FROM part)
+SELECT p_partkey, 'gap' AS fault, (s + 1)::DOUBLE AS low, (s + 2)::DOUBLE AS high FROM g
+UNION ALL SELECT p_partkey, 'overlap', s + 10, s + 10 FROM g
+UNION ALL SELECT p_partkey, 'gap', s + 21, s + 24 FROM g
+""")
+def gate_answers(spark, sf_dir):
+    """Answers about an amount whose ends depend on the row: two gaps and a shared end each."""
+    s = F.col("p_size")
+    answers = F.array(F.format_string("%d以下", s), F.format_string("%d-%d", s + 3, s + 10), F.format_string("%d～%d", s + 10, s + 20), F.format_string("%d 及以上", s + 25), F.lit("不确定"))
+    return screening.gate_faults(table(spark, sf_dir, "part").select("p_partkey", answers.alias("options")), ["p_partkey"])
