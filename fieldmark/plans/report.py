@@ -107,18 +107,20 @@ INSTRUCTIONS = "按 |分组|选择后|归组|计算|得出|注明|填写|允许|
 LONGEST_CHOICE, MOST_CHOICES = 14, 8
 
 
+def _is_choice(word: Column) -> Column:
+    """A choice is a short word without marks of a sentence."""
+    return (F.length(word) <= LONGEST_CHOICE) & ~word.rlike("[。；;（）():：]")
+
+
 def _choices(listed: Column) -> Column:
-    """Items of a listing; none where its head is an instruction or an item is no choice."""
-    items = F.transform(F.split(listed, r"[/／|、,，]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[（(][^（）()]*[）)]\s*$", ""), r"^[\s\u3000]+|[\s\u3000。；;]+$", ""))
-    items = F.filter(items, lambda x: (x != "") & ~x.isin("等", "等等", "其他等"))
-    # what follows the last item of a fitting length is no part of the listing
-    short = F.transform(items, lambda x: F.length(x) <= LONGEST_CHOICE)
-    items = F.slice(items, 1, F.greatest(F.lit(0), F.size(items) - F.coalesce(F.array_position(F.reverse(short), F.lit(True)) - 1, F.lit(0)).cast("int")))
-    told = F.get(items, F.lit(0)).rlike(INSTRUCTIONS)
-    items = F.filter(items, lambda x: ~x.rlike(INSTRUCTIONS))
-    odd = F.exists(items, lambda x: (F.length(x) > LONGEST_CHOICE) | x.rlike("[。；;（）():：]"))
-    fits = F.size(items).between(2, MOST_CHOICES) & ~F.coalesce(told, F.lit(False)) & ~odd
-    return F.when(fits, items)
+    """The choices of a listing: its words up to the last short one, instructions left out. Null where
+    a word is no choice, where the first is an instruction, or where they are too few or too many."""
+    bare = F.transform(F.split(listed, r"[/／|、,，]"), lambda x: F.regexp_replace(x, r"^[\s\u3000]+|(?:[（(][^（）()]*[）)])?[\s\u3000。；;]*$", ""))
+    words = F.filter(bare, lambda x: ~x.isin("", "等", "等等", "其他等"))
+    last = F.array_max(F.transform(words, lambda x, i: F.when(F.length(x) <= LONGEST_CHOICE, i + 1)))
+    choices = F.filter(F.slice(words, 1, F.coalesce(last, F.lit(0))), lambda x: ~x.rlike(INSTRUCTIONS))
+    told = F.coalesce(F.get(words, F.lit(0)).rlike(INSTRUCTIONS), F.lit(False))
+    return F.when(F.size(choices).between(2, MOST_CHOICES) & ~told & F.forall(choices, _is_choice), choices)
 
 
 def options(items: DataFrame, text: str = "how") -> DataFrame:
