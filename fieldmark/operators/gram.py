@@ -65,3 +65,25 @@ def gram(df: DataFrame, columns: dict[str, Column], weight: Column | None = None
     for (i, j), v in zip(pairs, got, strict=True):
         cross[i, j] = cross[j, i] = v
     return Gram(names, float(n), mean, cross)
+
+
+def grams(df: DataFrame, key: str, columns: list[str], centre: dict[str, float]) -> dict[object, Gram]:
+    """Cross products of each value of ``key``, all in one aggregation.
+
+    ``centre``: a number near each column's mean, about which products are taken; the exact
+    means follow from the sums. Values of the key are few, as the caller knows.
+    """
+    if len(columns) > MOST:
+        raise ValueError(f"more than {MOST} columns")
+    dev = [F.col("`" + c.replace("`", "``") + "`").cast("double") - F.lit(float(centre[c])) for c in columns]
+    pairs = [(i, j) for i in range(len(dev)) for j in range(i, len(dev))]
+    rows = df.select(F.col(key).alias("key"), *[d.alias(f"d{k}") for k, d in enumerate(dev)]).dropna(subset=[f"d{k}" for k in range(len(dev))])
+    sums = [F.sum(f"d{k}") for k in range(len(dev))] + [F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i, j in pairs]
+    out = {}
+    for r in rows.groupBy("key").agg(F.count("*").cast("double"), *sums).collect():
+        n, away = r[1], np.array(r[2 : 2 + len(dev)]) / r[1]
+        cross = np.zeros((len(dev), len(dev)))
+        for (i, j), v in zip(pairs, r[2 + len(dev) :], strict=True):
+            cross[i, j] = cross[j, i] = v - n * away[i] * away[j]
+        out[r[0]] = Gram(list(columns), n, away + np.array([centre[c] for c in columns]), cross)
+    return out

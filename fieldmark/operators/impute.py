@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import dist
 from fieldmark.functions.columns import col, number
-from fieldmark.operators.gram import gram
+from fieldmark.operators.gram import grams
 from fieldmark.operators.regress import solve
 from fieldmark.sources.tables import written
 
@@ -36,7 +36,8 @@ def normal(*keys: Column | str | int) -> Column:
 def mice(df: DataFrame, row_id: str, columns: list[str], sets: int = SETS, sweeps: int = SWEEPS, seed: int = SEED, skip: Column | None = None) -> DataFrame:
     """``_set`` 1..sets times the rows with the numeric columns completed.
 
-    Starts from means. Columns with fewer than ``LEAST`` values stay as they are; cells
+    All sets go through each step together, in one table keyed by set: a job for each column of
+    each sweep. Starts from means. Columns with fewer than ``LEAST`` values stay as they are; cells
     where ``skip`` holds are structural and stay null in the result.
     """
     base = df.select(*[col(c) for c in df.columns if c not in columns], *[number(col(c)).alias(c) for c in columns])
@@ -49,24 +50,21 @@ def mice(df: DataFrame, row_id: str, columns: list[str], sets: int = SETS, sweep
     start = base.withColumn("_skip", skip)
     for c in use:
         start = start.withColumn(f"_m_{c}", col(c).isNull()).withColumn(c, F.coalesce(col(c), F.lit(mean[c])))
-    start, out = written(start), None
-    for s in range(1, sets + 1):
-        rows = start
-        for sweep in range(sweeps):
-            for c in holes:
-                others = [o for o in use if o != c]
-                seen_rows = rows.where(~F.col(f"_m_{c}") & ~F.col("_skip"))
-                fit = solve(gram(seen_rows, {o: col(o) for o in [*others, c]}), c, others)
-                b = [r["b"] for r in fit["coefficients"]]
-                guess = sum((F.lit(x) * col(o) for x, o in zip(b[1:], others, strict=True)), F.lit(b[0]))
-                noise = normal(col(row_id), seed, s, sweep, c) * math.sqrt(max(0.0, fit["mse"]))
-                rows = rows.withColumn(c, F.when(F.col(f"_m_{c}"), guess + noise).otherwise(col(c)))
-            if sweep % 2:
-                rows = written(rows)
-        done = rows.select(F.lit(s).alias("_set"), *[(F.when(F.col("_skip") & F.col(f"_m_{c}"), None).otherwise(col(c)) if c in holes else col(c)).alias(c) for c in df.columns])
-        done = written(done)
-        out = done if out is None else out.unionByName(done)
-    return out
+    rows = written(start.withColumn("_set", F.explode(F.sequence(F.lit(1), F.lit(sets)))))
+    for sweep in range(sweeps):
+        for c in holes:
+            others = [o for o in use if o != c]
+            seen_rows = rows.where(~F.col(f"_m_{c}") & ~F.col("_skip"))
+            found = grams(seen_rows, "_set", [*others, c], mean)
+            fits = [solve(found[s], c, others) for s in range(1, sets + 1)]
+            of_set = [F.element_at(F.array(*[F.lit(float(f["coefficients"][j]["b"])) for f in fits]), F.col("_set")) for j in range(len(others) + 1)]
+            guess = sum((b * col(o) for b, o in zip(of_set[1:], others, strict=True)), of_set[0])
+            spread = F.element_at(F.array(*[F.lit(math.sqrt(max(0.0, f["mse"]))) for f in fits]), F.col("_set"))
+            noise = normal(col(row_id), seed, F.col("_set"), sweep, c) * spread
+            rows = rows.withColumn(c, F.when(F.col(f"_m_{c}"), guess + noise).otherwise(col(c)))
+        if sweep % 2:
+            rows = written(rows)
+    return written(rows.select("_set", *[(F.when(F.col("_skip") & F.col(f"_m_{c}"), None).otherwise(col(c)) if c in holes else col(c)).alias(c) for c in df.columns]))
 
 
 def draw_categories(df: DataFrame, row_id: str, column: str, seed: int = SEED) -> DataFrame:

@@ -76,3 +76,17 @@ def test_groups_beyond_the_bound_raise(spark):
             f(df, "g", "x")
     with pytest.raises(ValueError, match="two groups"):
         ranks.mann_whitney(df, "g", "x")
+
+
+def test_grams_by_key(spark):
+    """All keys in one aggregation, as one pass for each."""
+    from fieldmark.operators.gram import gram, grams
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k), float(1e6 + a), float(a * k + b), float(b)) for k, a, b in zip(rng.integers(0, 4, 400), rng.normal(size=400), rng.normal(size=400), strict=True)] + [(1, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, a double, `b.c` double, d double").repartition(3)
+    got = grams(df, "k", ["a", "b.c", "d"], {"a": 1e6, "b.c": 0.3, "d": 0.0})
+    assert set(got) == {0, 1, 2, 3}
+    for k, g in got.items():
+        want = gram(df.where(F.col("k") == k), {c: F.col(f"`{c}`") for c in ("a", "b.c", "d")})
+        assert g.n == want.n and g.mean == pytest.approx(want.mean) and g.cross == pytest.approx(want.cross, rel=1e-6, abs=1e-6)
