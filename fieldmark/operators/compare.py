@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import dist
 from fieldmark.functions.columns import col, number
-from fieldmark.operators.ranks import kruskal, mann_whitney, quantile_table, running
+from fieldmark.operators.ranks import kruskal, mann_whitney, pair_ranks, quantile_table, running, u_test
 from fieldmark.plans.methods import override_compare, pick_compare, pick_within
 
 #: Rows up to which normality is tested by Shapiro-Wilk; beyond, by the moments.
@@ -126,24 +126,27 @@ def t_test(a: Group, b: Group, equal_var: bool, alpha: float = 0.05) -> dict:
 
 
 def post_hoc(df: DataFrame, group: str, value: str, parametric: bool, alpha: float = 0.05) -> DataFrame:
-    """Every pair of groups: Tukey's HSD, or rank tests with Bonferroni's correction."""
+    """Every pair of groups: Tukey's HSD, or rank tests with Bonferroni's correction; both with the
+    rank-biserial correlation of the pair and its interval. Ranks of all pairs are taken together."""
     gs = groups(df, group, value)
-    pairs = list(combinations(gs, 2))
+    pairs = list(combinations(range(len(gs)), 2))
+    ranks = pair_ranks(_long(df, group, value), "g", "x", [g.level for g in gs])
     rows = []
-    if parametric:
-        total = sum(g.n for g in gs)
-        mse = sum((g.n - 1) * g.sd**2 for g in gs) / (total - len(gs))
-        for a, b in pairs:
+    total = sum(g.n for g in gs)
+    mse = sum((g.n - 1) * g.sd**2 for g in gs) / (total - len(gs)) if parametric else None
+    for i, j in pairs:
+        a, b = gs[i], gs[j]
+        got = u_test(a.n, b.n, *ranks.get((i, j), (0.0, 0.0)), alpha)
+        if parametric:
             q = abs(a.mean - b.mean) / math.sqrt(mse / 2 * (1 / a.n + 1 / b.n))
             p = dist.tukey_sf(q, len(gs), total - len(gs))
-            rows.append((a.level, b.level, "tukey", a.mean - b.mean, q, p, p < alpha))
-    else:
-        long = _long(df, group, value)
-        for a, b in pairs:
-            got = mann_whitney(long.where(F.col("g").isin(a.level, b.level)), "g", "x", alpha)
+            row = (a.level, b.level, "tukey", a.mean - b.mean, q, p, p < alpha)
+        else:
             p = min(1.0, got["p"] * len(pairs))
-            rows.append((a.level, b.level, "rank test", got["rank_biserial"], got["u"], p, p < alpha))
-    return df.sparkSession.createDataFrame(rows, "level_a string, level_b string, method string, effect double, statistic double, p double, significant boolean")
+            row = (a.level, b.level, "rank test", got["rank_biserial"], got["u"], p, p < alpha)
+        rows.append((*row, *(got[f"rank_biserial{x}"] for x in ("", "_low", "_high"))))
+    schema = "level_a string, level_b string, method string, effect double, statistic double, p double, significant boolean, rank_biserial double, rank_biserial_low double, rank_biserial_high double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def compare(df: DataFrame, group: str, value: str, alpha: float = 0.05, policy: str = "nonparam", method: str | None = None) -> dict:

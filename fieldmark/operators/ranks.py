@@ -125,9 +125,13 @@ def mann_whitney(df: DataFrame, group: str, value: str, alpha: float = 0.05) ->
     if len(rows) != 2:
         raise ValueError("two groups are needed")
     (n1, r1), n2 = (rows[0]["n"], rows[0]["rank_sum"]), rows[1]["n"]
-    n, ties = total.first()
-    u = r1 - n1 * (n1 + 1) / 2
-    mean = n1 * n2 / 2
+    _, ties = total.first()
+    return {"levels": [str(r[group]) for r in rows]} | u_test(n1, n2, r1 - n1 * (n1 + 1) / 2, ties, alpha)
+
+
+def u_test(n1: int, n2: int, u: float, ties: float, alpha: float = 0.05) -> dict:
+    """What follows from U of the first of two groups and the sum of t^3 - t over ties."""
+    n, mean = n1 + n2, n1 * n2 / 2
     var = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))) if n > 1 else 0.0
     if max(n1, n2) <= 8 and not ties:
         p = min(1.0, 2 * _u_cdf(int(min(u, n1 * n2 - u)), n1, n2))
@@ -135,9 +139,32 @@ def mann_whitney(df: DataFrame, group: str, value: str, alpha: float = 0.05) ->
         z = max(0.0, abs(u - mean) - 0.5) / math.sqrt(var) if var > 0 else 0.0
         p = 2 * dist.norm_cdf(-z)
     rb = 1 - 2 * u / (n1 * n2)
-    se = math.sqrt((n1 + n2 + 1) / (3 * n1 * n2))
-    z = dist.norm_ppf(1 - alpha / 2)
-    return {"levels": [str(r[group]) for r in rows], "n1": n1, "n2": n2, "u": u, "p": p, "rank_biserial": rb, "rank_biserial_low": max(-1.0, rb - z * se), "rank_biserial_high": min(1.0, rb + z * se)}
+    half = dist.norm_ppf(1 - alpha / 2) * math.sqrt((n1 + n2 + 1) / (3 * n1 * n2))
+    return {"n1": n1, "n2": n2, "u": u, "p": p, "rank_biserial": rb, "rank_biserial_low": max(-1.0, rb - half), "rank_biserial_high": min(1.0, rb + half)}
+
+
+def pair_ranks(df: DataFrame, group: str, value: str, levels: list[str]) -> dict[tuple[int, int], tuple[float, float]]:
+    """U of the first group and the sum of t^3 - t over ties, for each pair of ``levels`` by their places.
+
+    One row for each distinct value holds every level's count there and below; each pair reads
+    its two, so all pairs take one ordering and one aggregation.
+    """
+    k = len(levels)
+    rows = df.where(col(value).isNotNull()).groupBy(col(value).alias("v")).agg(*[F.count_if(col(group) == x).alias(f"n{i}") for i, x in enumerate(levels)])
+    placed = running(rows, ["v"], {f"c{i}": f"n{i}" for i in range(k)})
+    wide = placed.select(F.array(*[f"n{i}" for i in range(k)]).alias("n"), F.array(*[f"c{i}" for i in range(k)]).alias("c"))
+    every = F.array(*map(F.lit, range(k)))
+
+    def of(i: Column, j: Column) -> Column:
+        ni, nj, cj = (F.get(F.col(a), b) for a, b in (("n", i), ("n", j), ("c", j)))
+        t = (ni + nj).cast("double")
+        counted = (nj > 0) & (j < i)  # the other level of the pair speaks for both
+        return F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), F.when(i < j, ni * (cj - nj / 2)).otherwise(0.0).alias("u"), F.when(counted, 0.0).otherwise(t * t * t - t).alias("ties"))
+
+    present = F.filter(every, lambda i: F.get(F.col("n"), i) > 0)
+    found = F.flatten(F.transform(present, lambda i: F.filter(F.transform(every, lambda j: of(i, j)), lambda x: (x["i"] < x["j"]) & ((x["u"] > 0) | (x["ties"] > 0)))))
+    got = wide.select(F.explode(found).alias("x")).groupBy("x.i", "x.j").agg(F.sum("x.u").alias("u"), F.sum("x.ties").alias("ties")).collect()
+    return {(r["i"], r["j"]): (r["u"], r["ties"]) for r in got}
 
 
 def _u_cdf(u: int, n1: int, n2: int) -> float:

@@ -624,3 +624,16 @@ def gate_answers(spark, sf_dir):
     s = F.col("p_size")
     answers = F.array(F.format_string("%d以下", s), F.format_string("%d-%d", s + 3, s + 10), F.format_string("%d～%d", s + 10, s + 20), F.format_string("%d 及以上", s + 25), F.lit("不确定"))
     return screening.gate_faults(table(spark, sf_dir, "part").select("p_partkey", answers.alias("options")), ["p_partkey"])
+
+
+@query("""
+WITH r AS (
+  SELECT p.a, p.b, o_orderpriority = p.a AS first, rank() OVER (PARTITION BY p.a, p.b ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY p.a, p.b, o_totalprice) - 1) / 2.0::DOUBLE AS rank
+  FROM orders JOIN (SELECT x.o_orderpriority AS a, y.o_orderpriority AS b FROM (SELECT DISTINCT o_orderpriority FROM orders) x JOIN (SELECT DISTINCT o_orderpriority FROM orders) y ON x.o_orderpriority < y.o_orderpriority) p
+    ON o_orderpriority IN (p.a, p.b)),
+u AS (SELECT a, b, count(*) FILTER (first) AS n1, count(*) FILTER (NOT first) AS n2, sum(rank) FILTER (first) AS r1 FROM r GROUP BY 1, 2)
+SELECT a AS level_a, b AS level_b, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u, round(1 - 2 * (r1 - n1 * (n1 + 1) / 2.0::DOUBLE) / (n1 * n2), 9) AS rank_biserial FROM u
+""")
+def post_hoc_ranks(spark, sf_dir):
+    got = compare.post_hoc(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", False)
+    return got.select("level_a", "level_b", F.col("statistic").alias("u"), F.round("rank_biserial", 9).alias("rank_biserial"))

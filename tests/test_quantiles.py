@@ -90,3 +90,24 @@ def test_grams_by_key(spark):
     for k, g in got.items():
         want = gram(df.where(F.col("k") == k), {c: F.col(f"`{c}`") for c in ("a", "b.c", "d")})
         assert g.n == want.n and g.mean == pytest.approx(want.mean) and g.cross == pytest.approx(want.cross, rel=1e-6, abs=1e-6)
+
+
+def test_pair_ranks(spark):
+    """Every pair's U and ties in one job, as each pair by itself."""
+    from fieldmark.operators import compare
+
+    rng = np.random.default_rng(8)
+    rows = [(f"g{int(k)}", float(v)) for k, v in zip(rng.integers(0, 4, 300), rng.integers(0, 40, 300), strict=True)] + [("g9", 1.5), ("g9", 2.5), ("g8", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    levels = ["g0", "g1", "g2", "g3", "g9"]
+    got = ranks.pair_ranks(df, "g", "x", levels)
+    found = {(r.level_a, r.level_b): r for r in compare.post_hoc(df, "g", "x", False).collect()}
+    for i, a in enumerate(levels):
+        for j, b in enumerate(levels[i + 1 :], i + 1):
+            x, y = ([v for g, v in rows if g == c and v is not None] for c in (a, b))
+            u = sum((v > w) + (v == w) / 2 for v in x for w in y)
+            t = [(x + y).count(v) for v in set(x + y)]
+            assert got[i, j] == (u, sum(n**3 - n for n in t))
+            alone = ranks.mann_whitney(df.where(F.col("g").isin(a, b)), "g", "x") if (i, j) in ((0, 1), (3, 4)) else None
+            if alone:
+                assert found[a, b].p == pytest.approx(min(1.0, alone["p"] * 10)) and found[a, b].rank_biserial_low == pytest.approx(alone["rank_biserial_low"])
