@@ -29,7 +29,7 @@ def test_query(spark, sf, name):
         assert len(got.columns)
         return
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "part", "customer", "documents", "events", "conversations"):
+    for t in ("orders", "lineitem", "part", "customer", "documents", "events", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     assert rows(got) == rows(con.sql(ORACLE_SQL[name]).df())
 
