@@ -13,6 +13,7 @@ only what Spark's own readers and writers reach.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from array import array
@@ -25,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.bpe import MEMO_LENGTH, units
-from fieldmark.llm.common import Memo, named, shared_dir, tidied
+from fieldmark.llm.common import named, shared_dir, tidied
+from fieldmark.llm.pretokens import Parts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CHUNK, RANK_BLOCK = 8, 512
-#: Bytes of results that one worker remembers, also for later tasks.
-MEMO = 150 << 20
+#: Bytes of results that one worker remembers, also for later tasks, and parts that go to the library together.
+MEMO, JOINED = 150 << 20, 5000
 #: Ids of a stored block (a longer document has a block of its own), and bytes of text that one task encodes, about.
 BLOCK_IDS, RANGE_BYTES = 1 << 20, 64 << 20
 BLOCKS = "part int, block int, n_ids long, doc_ids binary, nulls binary, ends binary, codes binary"
@@ -112,11 +113,11 @@ class AddressableCodes:
 
 
 class LibraryEncoder:
-    """Whole texts through the tokenizers library, which sees each distinct part once.
+    """Whole texts through the tokenizers library, which sees each distinct part of a batch once.
 
-    Parts begin where a pre-token must begin, so their ids in a row are the text's. The
-    vocabulary's added tokens (such as an end mark) are recognised in a text as the
-    library does by default; a text that holds one stays in one part.
+    Texts are cut only where the vocabulary's file asks for the byte-level pattern alone.
+    Its added tokens (such as an end mark) are recognised in a text as the library does by
+    default; a text that holds one stays in one part.
     """
 
     def __init__(self, path: str) -> None:
@@ -124,28 +125,53 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(MEMO)
-
-    def parts(self, text: str) -> list[str]:
-        return [text] if any(map(text.__contains__, self.added)) else units(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo, parts = self.memo, [self.parts(t) for t in texts]
-        new, own = list(set().union(*parts).difference(memo)), {}
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                x = array("I", e.ids).tobytes()
-                if len(u) > MEMO_LENGTH or not memo.keep(u, x, len(x)):
-                    own[u] = x
-        out = []
-        for p in parts:
-            got = list(map(memo.get, p))
-            if own and None in got:  # a part that isn't remembered
-                got = [own[u] if ids is None else ids for u, ids in zip(p, got, strict=True)]
-            out.append(b"".join(got))
-        return out
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        form = json.loads(self.tokenizer.to_str())
+        before = form["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not (form["normalizer"] or form["truncation"] or form["padding"] or form["model"].get("dropout"))
+        self.joins = plain and not any(set(" \n") & set(t) for t in added)
+        self.added, self.parts = added, Parts(self.new, MEMO, plain, added)
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a token has a letter for each byte
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        return self.parts.encode(texts)
+
+    def new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts in a row, and the number of each.
+
+        Parts without white space but a space before them go to the library many in a row, those
+        without that space by lines, and their ids are told apart by their bytes; others go one by one.
+        """
+        ids: list[np.ndarray | None] = [None] * len(parts)
+        rows: dict[str, list[int]] = {"": [], "\n": []}
+        if self.joins:
+            for k, p in enumerate(parts):
+                word = p.removeprefix(" ")
+                if word.split() == [word] and not any(map(p.__contains__, self.added)):
+                    rows["" if len(word) < len(p) else "\n"].append(k)
+        for sep, these in rows.items():
+            for at in range(0, len(these), JOINED):
+                some = these[at : at + JOINED]
+                x = self._ids([sep.join([parts[k] for k in some])])[0]
+                sizes = np.array([len(parts[k].encode()) for k in some])
+                begins = np.cumsum(sizes + len(sep)) - sizes - len(sep)
+                upto = np.append(0, np.cumsum(self.lengths[x]))
+                firsts, ends = np.searchsorted(upto, begins), np.searchsorted(upto, begins + sizes)
+                if upto[-1] == begins[-1] + sizes[-1] and (upto[firsts] == begins).all() and (upto[ends] == begins + sizes).all():
+                    for k, a, b in zip(some, firsts.tolist(), ends.tolist(), strict=True):
+                        ids[k] = x[a:b]
+        single = [k for k, x in enumerate(ids) if x is None]
+        for at in range(0, len(single), JOINED):
+            some = single[at : at + JOINED]
+            for k, x in zip(some, self._ids([parts[k] for k in some]), strict=True):
+                ids[k] = x
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(array("I", e.ids), np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -187,13 +213,12 @@ def write_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
         for pdf in batches:
             keys = [None if gone else int(d) for d, gone in zip(pdf["id"], pdf["none"], strict=True)]
             texts = [t or "" for t in pdf["text"]]
-            for at in range(0, len(texts), 500):
-                for d, x in zip(keys[at : at + 500], enc.encode(texts[at : at + 500]), strict=True):
-                    if size and size + len(x) // 4 + 1 > block_ids:
-                        yield flush()
-                    docs_.append(d)
-                    ids.append(x + tail)
-                    size += len(x) // 4 + 1
+            for d, x in zip(keys, enc.encode(texts), strict=True):
+                if size and size + len(x) // 4 + 1 > block_ids:
+                    yield flush()
+                docs_.append(d)
+                ids.append(x + tail)
+                size += len(x) // 4 + 1
         if docs_:
             yield flush()
 
