@@ -3,6 +3,7 @@
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is a
 token as it stands is resolved by one probe and one comparison. Tier two merges
 the rest: bytes in a linked list, candidate pairs in a heap, lowest rank first.
+Texts of a batch are cut into parts, of which each distinct one is encoded once.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import Memo, named, small_batches, tidied, without
+from fieldmark.llm.common import named, small_batches, tidied, without
+from fieldmark.llm.pretokens import Parts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as Unicode's property has it; Python's own \s also takes U+001C to U+001F.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-#: Bytes of results that one worker remembers, also for later tasks, and the longest text it remembers one for.
-MEMO, MEMO_LENGTH = 100 << 20, 40
+#: Bytes of results that one worker remembers, also for later tasks.
+MEMO = 100 << 20
 
 
 class PerfectHash:
@@ -91,7 +93,7 @@ class BytePairCodec:
         self.ids = list(self.ranks.values())
         self.hash = PerfectHash(self.tokens)
         self.pattern = regex.compile(pattern)
-        self.memo = Memo(MEMO)
+        self.parts = Parts(self.new, MEMO, pattern == PATTERN)
         size = max(self.ids) + 1
         lengths = np.zeros(size, np.int64)
         for token, i in self.ranks.items():
@@ -125,8 +127,8 @@ class BytePairCodec:
             i = after[i]
         return out
 
-    def pieces(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers, by pre-tokens."""
+    def pieces(self, text: str) -> list[int]:
+        """Ids of a text by its pre-tokens."""
         out: list[int] = []
         for piece in self.pattern.findall(text):
             key = piece.encode()
@@ -135,23 +137,20 @@ class BytePairCodec:
                 out.append(self.ids[k])
             else:
                 out += self.merge(key)
-        return np.array(out, "<u4").tobytes()
+        return out
+
+    def new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts in a row, where those of each part begin and how many they are."""
+        ids, ends = array("I"), []
+        for part in parts:
+            ids.extend(self.pieces(part))
+            ends.append(len(ids))
+        upto = np.array([0, *ends], np.int64)
+        return np.frombuffer(ids, np.uint32), upto[:-1], np.diff(upto)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
-        parts = units(text)
-        got = list(map(self.memo.get, parts))
-        if None in got:  # a part that isn't remembered
-            got = [self.of(u) if ids is None else ids for u, ids in zip(parts, got, strict=True)]
-        return b"".join(got)
-
-    def of(self, unit: str) -> bytes:
-        ids = self.memo.get(unit)
-        if ids is None:
-            ids = self.pieces(unit)
-            if len(unit) <= MEMO_LENGTH:
-                self.memo.keep(unit, ids, len(ids))
-        return ids
+        return next(self.parts.encode([text]))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes behind little-endian 32-bit ids."""
@@ -165,23 +164,6 @@ class BytePairCodec:
         return b"".join(out)
 
 
-_ODD_SPACE = re.compile(r" \s|\s ")
-
-
-def units(text: str) -> list[str]:
-    """Parts of a text that encode separately.
-
-    A space between two other characters always begins a pre-token. Where a space
-    touches other white space, the text stays in one part.
-    """
-    if _ODD_SPACE.search(text):
-        return [text]
-    if "\0" in text:
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-    return text.replace(" ", "\0 ").split("\0")
-
-
 _codecs: dict[str, BytePairCodec] = {}
 
 
@@ -189,8 +171,8 @@ def codec(path: str = RANKS, memo: int = MEMO) -> BytePairCodec:
     """One codec per worker process and rank file, which remembers ``memo`` bytes of results."""
     if path not in _codecs:
         _codecs[path] = BytePairCodec(path)
-    if _codecs[path].memo.limit != memo:
-        _codecs[path].memo.clear(memo)
+    if _codecs[path].parts.memo.limit != memo:
+        _codecs[path].parts.clear(memo)
     return _codecs[path]
 
 
@@ -207,7 +189,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: st
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, memo)
-        yield from tidied(pd.Series([c.encode(t or "") for t in texts], dtype=object) for texts in batches)
+        yield from tidied(pd.Series(list(c.parts.encode([t or "" for t in texts])), dtype=object) for texts in batches)
 
     return docs.select(*without(docs, text, ids), run.asNondeterministic()(named(text)).alias(ids))
 
@@ -240,8 +222,7 @@ def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", path: st
 
         def digests(texts: pd.Series) -> pd.DataFrame:
             rows = []
-            for t in texts:
-                x = c.encode(t or "")
+            for x in c.parts.encode([t or "" for t in texts]):
                 rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(c.decode(x)).hexdigest()))
             return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -50,12 +50,12 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 class Parts:
-    """Encodes texts by their parts; ``new`` gives the ids of parts in a row and the number of each.
+    """Encodes texts by their parts; ``new`` gives ids, where those of each part begin and how many they are.
 
     A bounded memo holds where the ids of a part lie in one array; a full one takes no more.
     """
 
-    def __init__(self, new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int, cut: bool = True, whole: Sequence[str] = ()) -> None:
+    def __init__(self, new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int, cut: bool = True, whole: Sequence[str] = ()) -> None:
         self.new, self.cut, self.whole = new, cut, whole
         self.memo = Memo(limit)
         self.ids, self.used = np.empty(1 << 16, "<u4"), 0
@@ -106,18 +106,30 @@ class Parts:
     def _places(self, parts: list[str]) -> np.ndarray:
         """Where in ``ids`` those of each part begin (upper half) and how many they are (lower half)."""
         places = list(map(self.memo.get, parts))
-        if None in places:
-            new = [k for k, x in enumerate(places) if x is None]
-            new.sort(key=lambda k: len(parts[k]) > MEMO_LENGTH)
-            ids, sizes = self.new([parts[k] for k in new])
-            if self.used + len(ids) > len(self.ids) or len(self.ids) > 4 * (self.used + len(ids)) + (1 << 20):
-                self.ids = np.append(self.ids[: self.used], np.empty(len(ids) + self.used // 4, "<u4"))
-            self.ids[self.used : self.used + len(ids)] = ids
-            ends = self.used + np.cumsum(sizes)
-            room = True
-            for k, x, n, end in zip(new, (ends - sizes << 32 | sizes).tolist(), sizes.tolist(), ends.tolist(), strict=True):
+        new, at = [k for k, x in enumerate(places) if x is None], self.used
+        for short in (True, False):
+            some = [k for k in new if (len(parts[k]) <= MEMO_LENGTH) is short]
+            if not some:
+                continue
+            names = [parts[k] for k in some]
+            ids, begins, sizes = self.new(names)
+            end = at + len(ids)
+            if end > len(self.ids) or len(self.ids) > 4 * end + (1 << 20):
+                self.ids = np.append(self.ids[:at], np.empty(len(ids) + at // 4, "<u4"))
+            self.ids[at:end] = ids
+            found = (begins + at << 32 | sizes).tolist()
+            for k, x in zip(some, found, strict=True):
                 places[k] = x
-                room = room and len(parts[k]) <= MEMO_LENGTH and self.memo.keep(parts[k], x, 4 * n)
-                if room:
-                    self.used = end
+            at = end
+            if short and self._remember(names, found, sizes):
+                self.used = end
         return np.array(places, np.int64)
+
+    def _remember(self, names: list[str], found: list[int], sizes: np.ndarray) -> bool:
+        """Keep as many as there is room for; whether any are kept. From the first without room on, none are."""
+        memo = self.memo
+        upto = np.cumsum(np.array(list(map(len, names))) + 4 * sizes + memo.ENTRY)
+        n = int(np.searchsorted(upto, memo.room, "right"))
+        memo.update(zip(names[:n], found[:n], strict=True))
+        memo.room = memo.room - int(upto[-1]) if n == len(names) else 0
+        return n > 0

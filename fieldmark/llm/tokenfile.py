@@ -139,36 +139,46 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         return self.parts.encode(texts)
 
-    def new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of parts in a row, and the number of each.
+    def new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where those of each part begin and how many they are.
 
         Parts without white space but a space before them go to the library many in a row, those
         without that space by lines, and their ids are told apart by their bytes; others go one by one.
         """
-        ids: list[np.ndarray | None] = [None] * len(parts)
         rows: dict[str, list[int]] = {"": [], "\n": []}
-        if self.joins:
-            for k, p in enumerate(parts):
-                word = p.removeprefix(" ")
-                if word.split() == [word] and not any(map(p.__contains__, self.added)):
-                    rows["" if len(word) < len(p) else "\n"].append(k)
+        single, ids, count = [], [np.empty(0, np.uint32)], 0
+        firsts, sizes = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        for k, p in enumerate(parts):
+            word = p.removeprefix(" ")
+            if self.joins and word.split() == [word]:
+                rows["" if len(word) < len(p) else "\n"].append(k)
+            else:
+                single.append(k)
         for sep, these in rows.items():
             for at in range(0, len(these), JOINED):
                 some = these[at : at + JOINED]
-                x = self._ids([sep.join([parts[k] for k in some])])[0]
-                sizes = np.array([len(parts[k].encode()) for k in some])
-                begins = np.cumsum(sizes + len(sep)) - sizes - len(sep)
+                row = sep.join([parts[k] for k in some])
+                if any(map(row.__contains__, self.added)):
+                    single += some
+                    continue
+                x = self._ids([row])[0]
+                n = np.array([len(parts[k].encode()) for k in some])
+                begins = np.cumsum(n + len(sep)) - n - len(sep)
                 upto = np.append(0, np.cumsum(self.lengths[x]))
-                firsts, ends = np.searchsorted(upto, begins), np.searchsorted(upto, begins + sizes)
-                if upto[-1] == begins[-1] + sizes[-1] and (upto[firsts] == begins).all() and (upto[ends] == begins + sizes).all():
-                    for k, a, b in zip(some, firsts.tolist(), ends.tolist(), strict=True):
-                        ids[k] = x[a:b]
-        single = [k for k, x in enumerate(ids) if x is None]
+                a, b = np.searchsorted(upto, begins), np.searchsorted(upto, begins + n)
+                if upto[-1] != begins[-1] + n[-1] or (upto[a] != begins).any() or (upto[b] != begins + n).any():
+                    single += some
+                    continue
+                ids.append(x)
+                firsts[some], sizes[some] = count + a, b - a
+                count += len(x)
         for at in range(0, len(single), JOINED):
             some = single[at : at + JOINED]
             for k, x in zip(some, self._ids([parts[k] for k in some]), strict=True):
-                ids[k] = x
-        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+                ids.append(x)
+                firsts[k], sizes[k] = count, len(x)
+                count += len(x)
+        return np.concatenate(ids), firsts, sizes
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(array("I", e.ids), np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -1,10 +1,13 @@
 """Parts of texts that encode separately: right at every place, and few of them."""
 
+import base64
+
 import numpy as np
 import pytest
+import tiktoken
 from tokenizers import Tokenizer
 
-from fieldmark.llm import pretokens, tokenfile
+from fieldmark.llm import bpe, pretokens, tokenfile
 
 SYMBOLS = [*"ab  \n\t\r'stVLÉé1² 你 　\u001f\u0085    ​﻿😀.,;:!?-ßà“—", "\r\n", " the", "don't ", "\n\n", ". ", "<|endoftext|>"]
 
@@ -63,3 +66,28 @@ def test_texts_stay_whole_where_the_vocabulary_asks_for_more(tmp_path):
     texts = ["in the end.\nAnd so on", " of the, with the", *random_texts(50, 9)]
     got = [np.frombuffer(x, "<u4").tolist() for x in tokenfile.LibraryEncoder(path).encode(texts)]
     assert got == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("limit", [0, 20_000, 1 << 24])
+def test_own_ids_of_many_texts(limit, monkeypatch):
+    monkeypatch.setattr(pretokens, "TOGETHER", 400)
+    monkeypatch.setattr(pretokens, "GATHERED", 7)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.RANKS, "rb"))}
+    whole = tiktoken.Encoding("own", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.codec(memo=limit)
+    for seed in range(4):
+        texts = random_texts(400, seed)
+        got = list(codec.parts.encode(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode_ordinary(t) for t in texts]
+        assert [codec.decode(x) for x in got] == [t.encode() for t in texts]
+    assert codec.parts.memo.room >= 0
+
+
+def test_a_word_merges_once(monkeypatch):
+    """Whatever stops follow it and however many texts hold it, also where nothing is remembered."""
+    codec, seen = bpe.codec(memo=0), []
+    monkeypatch.setattr(codec, "merge", lambda piece, inner=codec.merge: seen.append(piece) or inner(piece))
+    words = [f"zx{a}qq{b}vw" for a in "bdfgkl" for b in "mnprstvwxz"]
+    texts = [" ".join(w + stop for w in words) + "\nAnd" for stop in ("", ",", ".", ";", ".\n") for _ in range(100)]
+    assert len(list(codec.parts.encode(texts))) == 500
+    assert len(seen) <= 2 * len(words) + 10
