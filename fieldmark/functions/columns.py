@@ -32,6 +32,14 @@ def number(c: Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """``number`` of a column; doubles and whole numbers are taken as they are, not by their text."""
+    c, kind = col(name), df.select(col(name)).schema[0].dataType
+    if isinstance(kind, T.DoubleType):
+        return F.when(~F.isnan(c), c)
+    return c.cast("double") if isinstance(kind, T.IntegralType) else number(c)
+
+
 def numbers(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns, as doubles."""
     return df.select(*[number(col(n)).alias(n) if not isinstance(df.schema[n].dataType, T.DoubleType) else F.when(~F.isnan(col(n)), col(n)).alias(n) for n in names])

@@ -1,4 +1,5 @@
 import math
+import timeit
 
 import numpy as np
 import pytest
@@ -287,6 +288,37 @@ def test_bootstrap_keyed_by_rows(spark):
     assert one["ci_low"] < one["indirect"] < one["ci_high"]
 
 
+def test_bootstrap_draws_from_tables():
+    """Weights have the probabilities of a Poisson distribution, and cost less than a third of single draws."""
+    rng = np.random.default_rng(11)
+    for mean in (1, 3, 60, 200):
+        p, size = mediate.Poisson(mean), 400_000
+        got = np.bincount(p.draw(rng, size), minlength=len(p.upto))
+        k = np.arange(len(got))
+        want = size * np.exp(k * math.log(mean) - mean - np.array([math.lgamma(x + 1) for x in k]))
+        many = want > 20
+        assert ((got - want)[many] ** 2 / want[many]).sum() < many.sum() + 6 * math.sqrt(2 * many.sum())
+        assert abs(got[~many].sum() - want[~many].sum()) < 6 * math.sqrt(want[~many].sum()) + 1
+        one, other = (min(timeit.repeat(f, number=1, repeat=3)) for f in (lambda p=p: p.draw(rng, size), lambda mean=mean: rng.poisson(mean, size)))
+        assert 3 * one < other
+
+
+def test_bootstrap_does_not_depend_on_batches(spark):
+    """A bucket that goes on in the next batch is one bucket, and sums are those of its weights."""
+    rng = np.random.default_rng(4)
+    rows = [tuple(map(float, r)) for r in np.column_stack([rng.normal(size=300), rng.integers(0, 2, 300), rng.normal(size=300)])]
+    df = frame(spark, rows + rows[:50], "x double, m double, y double")
+    seen = []
+    for batch in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        seen.append(mediate._poisson_grams(df, ["x", "m", "y"], 350, 200, 1))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose(*seen)
+    x = np.column_stack([np.ones(350), np.array(rows + rows[:50])])
+    assert np.abs(seen[0].mean(0) - x.T @ x).max() < 6 * np.sqrt((x**4).sum(0).max() * 2 / 200)
+    assert seen[0][:, 0, 0].std() == pytest.approx(math.sqrt(350), rel=0.2)
+
+
 def test_bootstrap_median_interval(spark):
     values = np.random.default_rng(5).normal(3, 1, 400)
     for n in (400, 399):
