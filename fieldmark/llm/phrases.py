@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -26,6 +27,8 @@ from fieldmark.llm.common import named, saved, small_batches
 
 #: Hashes broadcast one by one, at most (32 MB); bits of the bitmap beyond that (32 MB).
 MOST, BITS = 4_000_000, 28
+#: Words of 64 bits in a page of the bitmap, as it comes to the driver (64 KB).
+PAGE = 1 << 13
 #: Bytes of text cut into words at once; distinct words and phrases that a task holds before it sends their counts.
 LOT, WORDS, PHRASES = 1 << 20, 400_000, 1_500_000
 LONGEST = 4
@@ -206,25 +209,52 @@ def counted(k: int, known: Frequent, batches: Iterable[pa.RecordBatch]) -> Itera
 
 
 def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    starts, known = {}, {}
     for batch in batches:
         out = np.zeros(batch.num_rows, np.uint64)
         words = [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
-        h = np.array([start(x) for x in batch.column("lang").to_pylist()], np.uint64)
+        langs = batch.column("lang").to_pylist()
+        starts.update((x, start(x)) for x in set(langs) - starts.keys())
+        if len(known) > WORDS:
+            known.clear()
+        known.update((x, xxhash.xxh64_intdigest(x)) for x in {x for w in words for x in w} - known.keys())
+        h = np.array([starts[x] for x in langs], np.uint64)
         for j in range(max(map(len, words), default=0)):
-            h = follow(h, np.array([xxhash.xxh64_intdigest(w[j]) for w in words], np.uint64))
+            h = follow(h, np.array([known[w[j]] for w in words], np.uint64))
             out = h
         yield pa.RecordBatch.from_arrays([out.view(np.int64)], names=["h"])
 
 
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes end to end, a row for each batch: the driver sees no row of a single hash."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column("h").to_numpy().tobytes()], pa.binary())], names=["bytes"])
+
+
+def _page(words: pd.DataFrame) -> pd.DataFrame:
+    """One page of the bitmap from those of its words that have bits."""
+    out, at = np.zeros(PAGE, np.int64), words["i"].to_numpy()
+    out[at % PAGE] = words["bits"].to_numpy()
+    return pd.DataFrame({"page": [at[0] // PAGE], "bytes": [out.tobytes()]})
+
+
 def frequent(level: DataFrame) -> Frequent:
-    """What tasks need to know of a level: at most ``MOST`` hashes, or a bitmap of ``BITS`` bits."""
+    """What tasks need to know of a level: at most ``MOST`` hashes, or a bitmap of ``BITS`` bits.
+
+    Either comes to the driver as bytes, 32 MB at most; rows would take many times that.
+    """
     hashes = level.select("lang", "phrase").mapInArrow(_hashed, "h long")
     if level.count() <= MOST:
-        return Frequent(np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+        parts = hashes.mapInArrow(_packed, "bytes binary").toArrow().column("bytes")
+        found = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in parts)])
+        found.sort()
+        return Frequent(found)
     at = F.shiftrightunsigned("h", 64 - BITS)
-    filled = hashes.select(F.shiftright(at, 6).alias("i"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - BITS}) & 63))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = hashes.select(F.shiftright(at, 6).alias("i"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - BITS}) & 63))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("bits"))
+    pages = words.groupBy(F.expr(f"i div {PAGE}")).applyInPandas(_page, "page long, bytes binary").toArrow()
     bitmap = np.zeros(1 << (BITS - 6), np.uint64)
-    bitmap[filled["i"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).view(np.uint64)
+    for page, own in zip(pages.column("page").to_pylist(), pages.column("bytes"), strict=True):
+        bitmap[page * PAGE : (page + 1) * PAGE] = np.frombuffer(own.as_buffer(), np.uint64)
     return Frequent(bitmap=bitmap)
 
 
@@ -237,6 +267,8 @@ def levels(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
         count = counted_words if k == 1 else lambda batches, k=k, sent=sent: counted(k, sent.value, batches)
         counts = docs.mapInArrow(count, "lang string, phrase string, f long")
         level = saved(counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(f"f >= {least} or phrase is null"))
+        sent.destroy()  # the level is written; what its tasks knew goes before the next is gathered
+        known = sent = count = None
         if k == 1:
             totals = level.where("phrase is null").select("lang", F.col("f").alias("n"))
             level = level.where("phrase is not null")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from fieldmark.llm import bpe, chroma, common, langid, multiindex, negatives, phrases, webtext
 
@@ -98,6 +99,24 @@ def test_bitmap_and_hashes_agree(spark, monkeypatch):
     assert not phrases.Frequent(np.zeros(0, np.uint64)).has(other).any()
 
 
+@pytest.mark.parametrize("most", [4_000_000, 10])
+def test_frequent_phrases_reach_the_driver_as_bytes(spark, monkeypatch, most):
+    """What the driver gathers of 400,000 phrases is of the size of their hashes or bits, not of rows."""
+    import tracemalloc
+
+    level = spark.range(400_000).selectExpr("'en' as lang", "concat('w', id % 1000, ' v', id div 1000) as phrase", "id as f")
+    monkeypatch.setattr(phrases, "MOST", most)
+    monkeypatch.setattr(phrases, "BITS", 24)
+    tracemalloc.start()
+    known = phrases.frequent(level)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+    some = [(f"w{i % 1000}".encode(), f"v{i // 1000}".encode()) for i in range(0, 400_000, 997)]
+    h = np.array([phrases.follow(phrases.follow(np.array([phrases.start("en")]), np.array([xxhash.xxh64_intdigest(a)], np.uint64)), np.array([xxhash.xxh64_intdigest(b)], np.uint64))[0] for a, b in some])
+    assert known.has(h).all()
+
+
 def test_phrases_scores_beyond_64_bits(spark):
     """2000000 * a passes 64 bits from 4.7e12 on; decimals keep it."""
     got = spark.sql("select cast(2000000BD * cast(a as decimal(19, 0)) div (cast(l as decimal(19, 0)) + cast(r as decimal(19, 0))) as bigint) as s from values (9000000000000000000L, 9100000000000000000L, 9200000000000000000L) t(a, l, r)").first()[0]
