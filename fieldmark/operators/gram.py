@@ -42,10 +42,11 @@ class Gram:
         return out
 
 
-def gram(df: DataFrame, columns: dict[str, Column], weight: Column | None = None) -> Gram:
+def gram(df: DataFrame, columns: dict[str, Column], weight: Column | None = None, centre: dict[str, float] | None = None) -> Gram:
     """Cross products over the rows where every column is there.
 
-    Products are taken about the first pass's means, so large means cost no digits.
+    Products are taken about the first pass's means, so large means cost no digits. Where a number near
+    each column's mean is known, ``centre`` saves that pass; the exact means follow from the sums.
     """
     if len(columns) > MOST:
         raise ValueError(f"more than {MOST} columns")
@@ -53,13 +54,18 @@ def gram(df: DataFrame, columns: dict[str, Column], weight: Column | None = None
     at = [f"c{k}" for k in range(len(names))]
     rows = df.select(*[c.cast("double").alias(a) for a, c in zip(at, columns.values(), strict=True)], (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"))
     rows = rows.dropna()
+    pairs = [(i, j) for i in range(len(at)) for j in range(i, len(at))]
+    if centre is not None:
+        near = np.array([float(centre[c]) for c in names])
+        dev = [F.col(a) - F.lit(float(m)) for a, m in zip(at, near, strict=True)]
+        got = rows.agg(F.sum("w"), *[F.sum(d * F.col("w")) for d in dev], *[F.sum(dev[i] * dev[j] * F.col("w")) for i, j in pairs]).first()
+        return _about(names, got, near, pairs)
     first = rows.agg(F.sum("w"), *[F.sum(F.col(a) * F.col("w")) for a in at]).first()
     n = first[0] or 0.0
     if not n:
         return Gram(names, 0.0, np.full(len(at), np.nan), np.full((len(at), len(at)), np.nan))
     mean = np.array([x / n for x in first[1:]])
     dev = [F.col(a) - F.lit(float(m)) for a, m in zip(at, mean, strict=True)]
-    pairs = [(i, j) for i in range(len(at)) for j in range(i, len(at))]
     got = rows.agg(*[F.sum(dev[i] * dev[j] * F.col("w")) for i, j in pairs]).first()
     cross = np.zeros((len(at), len(at)))
     for (i, j), v in zip(pairs, got, strict=True):
@@ -67,6 +73,17 @@ def gram(df: DataFrame, columns: dict[str, Column], weight: Column | None = None
     return Gram(names, float(n), mean, cross)
 
 
+def _about(names: list[str], got: tuple, near: np.ndarray, pairs: list[tuple[int, int]]) -> Gram:
+    """From the weight, sums and products of differences from ``near``."""
+    k, n = len(names), got[0] or 0.0
+    if not n:
+        return Gram(names, 0.0, np.full(k, np.nan), np.full((k, k), np.nan))
+    away, cross = np.array(got[1 : 1 + k]) / n, np.zeros((k, k))
+    for (i, j), v in zip(pairs, got[1 + k :], strict=True):
+        cross[i, j] = cross[j, i] = v - n * away[i] * away[j]
+    return Gram(names, float(n), near + away, cross)
+
+
 def grams(df: DataFrame, key: str, columns: list[str], centre: dict[str, float]) -> dict[object, Gram]:
     """Cross products of each value of ``key``, all in one aggregation.
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions import dist
-from fieldmark.functions.columns import col, dummies, number
+from fieldmark.functions.columns import col, dummies, number, number_of
 from fieldmark.operators.gram import Gram, gram
 from fieldmark.operators.ranks import kendall, with_ranks
 
@@ -26,7 +27,7 @@ def design(df: DataFrame, columns: list[str], categorical: tuple[str, ...] = ())
     """Numeric columns as scores (ordinal ones too), categorical ones as indicators."""
     out: dict[str, Column] = {}
     for c in columns:
-        out |= dummies(df, c) if c in categorical else {c: number(col(c))}
+        out |= dummies(df, c) if c in categorical else {c: number_of(df, c)}
     return out
 
 
@@ -93,12 +94,12 @@ def solve(g: Gram, y: str, xs: list[str], alpha: float = 0.05) -> dict:
     for j, name in enumerate(["(intercept)", *xs]):
         t = beta[j] / se[j] if se[j] > 0 else math.nan
         rows.append({"name": name, "b": float(beta[j]), "se": float(se[j]), "t": float(t), "p": dist.t_sf2(t, dof) if t == t else None, "ci_low": float(beta[j] - t_crit * se[j]), "ci_high": float(beta[j] + t_crit * se[j]), "beta": float(beta[j] * sd[j - 1] / sd[-1]) if j and sd[-1] > 0 else None})
-    return {"n": int(s.n), "k": k, "df": int(dof), "coefficients": rows, "r2": r2, "adj_r2": 1 - (1 - r2) * (s.n - 1) / dof if dof > 0 else None, "f": f, "f_p": dist.f_sf(f, k - 1, dof) if f == f else None, "mse": mse, "rss": rss, "inverse": inverse}
+    return {"n": int(s.n), "k": k, "df": int(dof), "coefficients": rows, "r2": r2, "adj_r2": 1 - (1 - r2) * (s.n - 1) / dof if dof > 0 else None, "f": f, "f_p": dist.f_sf(f, k - 1, dof) if f == f else None, "mse": mse, "rss": rss, "inverse": inverse, "mean": dict(zip(s.names, s.mean.tolist(), strict=True))}
 
 
 def ols(df: DataFrame, y: str, xs: list[str], categorical: tuple[str, ...] = (), alpha: float = 0.05) -> dict:
     cols = design(df, xs, categorical)
-    return solve(gram(df, cols | {y: number(col(y))}), y, list(cols), alpha)
+    return solve(gram(df, cols | {y: number_of(df, y)}), y, list(cols), alpha)
 
 
 def vif(g: Gram, xs: list[str]) -> dict[str, float]:
@@ -128,14 +129,15 @@ def diagnostics(df: DataFrame, y: str, xs: list[str], categorical: tuple[str, ..
 
     Durbin-Watson needs the order of rows, so it is given only with ``row_order``.
     """
-    cols, target = design(df, xs, categorical), number(col(y))
+    cols, target = design(df, xs, categorical), number_of(df, y)
     g = gram(df, cols | {y: target})
     fit = solve(g, y, list(cols), alpha)
     rows = with_influence(df, fit, cols, target, [row_order] if row_order else [])
     flag = 4 / fit["n"]
     n_flag, n_strong, top = rows.agg(F.count_if(F.col("cook") > flag), F.count_if(F.col("cook") > COOK_STRONG), F.max("cook")).first()
     squared = {c: F.col(f"x{k}") for k, c in enumerate(cols)} | {"e2": F.col("residual") ** 2}
-    lm = fit["n"] * solve(gram(rows, squared), "e2", list(cols))["r2"]
+    near = dict(zip(cols, g.mean, strict=False)) | {"e2": fit["rss"] / fit["n"]}
+    lm = fit["n"] * solve(gram(rows, squared, centre=near), "e2", list(cols))["r2"]
     out = {"fit": fit, "vif": vif(g, list(cols)), "cook_flag": flag, "n_cook_flag": n_flag, "n_cook_strong": n_strong, "cook_max": top, "bp": lm, "bp_p": dist.chi2_sf(lm, len(cols)) if lm == lm else None}
     if row_order:
         out["dw"] = durbin_watson(rows, row_order)
@@ -148,28 +150,43 @@ def durbin_watson(rows: DataFrame, order: str) -> float:
     """Sum of squared steps over sum of squares of ``residual`` in row order; rows of equal
     order stand by their residuals.
 
-    The order is cut into ranges; each range steps alone, and the steps between ranges
-    come from their first and last rows.
+    The order is cut into ranges; each range is sorted once and steps alone, and the steps
+    between ranges come from their first and last rows.
     """
-    dealt = rows.select(col(order).alias("o"), "residual").repartitionByRange("o", "residual").withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("o", "residual")
-    steps = dealt.withColumn("step", F.col("residual") - F.lag("residual").over(inside))
-    ends = steps.groupBy("part").agg(F.sum(F.col("step") ** 2).alias("s"), F.sum(F.col("residual") ** 2).alias("q"), F.min(F.struct("o", "residual"))["residual"].alias("first"), F.max(F.struct("o", "residual"))["residual"].alias("last"))
+    dealt = rows.select(col(order).alias("o"), "residual").repartitionByRange("o", "residual").sortWithinPartitions("o", "residual")
+
+    def run(batches):
+        part = first = last = None
+        s = q = 0.0
+        for pdf in batches:
+            e = pdf["residual"].to_numpy()
+            if not len(e):
+                continue
+            if part is None:
+                part, first, last = int(pdf["part"].iloc[0]), e[0], e[0]
+            s, q, last = s + float(np.sum(np.diff(e, prepend=last) ** 2)), q + float(np.sum(e**2)), e[-1]
+        if part is not None:
+            yield pd.DataFrame({"part": [part], "s": [s], "q": [q], "first": [first], "last": [last]})
+
+    ends = dealt.select(F.spark_partition_id().alias("part"), "residual").mapInPandas(run, "part int, s double, q double, first double, last double")
     over = Window.orderBy("part")  # one row per range
     s, q, between = ends.withColumn("gap", F.col("first") - F.lag("last").over(over)).agg(F.sum("s"), F.sum("q"), F.sum(F.col("gap") ** 2)).first()
     return ((s or 0.0) + (between or 0.0)) / q if q else math.nan
 
 
-def sensitivity(df: DataFrame, y: str, xs: list[str], categorical: tuple[str, ...] = (), alpha: float = 0.05) -> dict:
+def sensitivity(df: DataFrame, y: str, xs: list[str], categorical: tuple[str, ...] = (), alpha: float = 0.05, full: dict | None = None) -> dict:
     """The fit with and without rows of a Cook's distance over 4/n, and whether the
-    conclusion turns: significance flips, R2 moves by 0.10, or (one predictor) r by 0.15."""
-    cols, target = design(df, xs, categorical), number(col(y))
-    full = solve(gram(df, cols | {y: target}), y, list(cols), alpha)
+    conclusion turns: significance flips, R2 moves by 0.10, or (one predictor) r by 0.15.
+
+    ``full``: the fit with all rows, where ``ols`` or ``diagnostics`` has given it already.
+    """
+    cols, target = design(df, xs, categorical), number_of(df, y)
+    full = full or solve(gram(df, cols | {y: target}), y, list(cols), alpha)
     rows = with_influence(df, full, cols, target, [])
     flagged = F.col("cook") > 4 / full["n"]
-    n_flag = rows.where(flagged).count()
     names = {c: F.col(f"x{k}") for k, c in enumerate(cols)} | {y: F.col("y_")}
-    less = solve(gram(rows.where(~F.coalesce(flagged, F.lit(False))), names), y, list(cols), alpha)
+    less = solve(gram(rows.where(~F.coalesce(flagged, F.lit(False))), names, centre=full["mean"]), y, list(cols), alpha)
+    n_flag = full["n"] - less["n"]
     a, b = full["coefficients"][1], less["coefficients"][1]
     turned = (a["p"] < alpha) != (b["p"] < alpha) or abs(full["r2"] - less["r2"]) >= 0.10
     if len(cols) == 1:

@@ -250,7 +250,7 @@ def cooks_flags(spark, sf_dir):
 def breusch_pagan_sensitivity(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     found = regress.diagnostics(lines, "l_extendedprice", ["l_quantity", "l_discount"], row_order="l_orderkey")
-    turned = regress.sensitivity(lines, "l_extendedprice", ["l_quantity", "l_discount"])
+    turned = regress.sensitivity(lines, "l_extendedprice", ["l_quantity", "l_discount"], full=found["fit"])
     return numbers(spark, found | {"n_flagged": turned["n_flagged"], "r2_without": turned["without"]["r2"]}, ["bp", "bp_p", "dw", "cook_max", "n_flagged", "r2_without"])
 
 

@@ -1,5 +1,6 @@
 import math
 import timeit
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -110,6 +111,51 @@ def test_ols_matches_lstsq(spark):
     assert part["df"] == 197
 
 
+def test_regression_reads_numbers_as_they_are(spark):
+    """Doubles and whole numbers take no way over text, and a number is the same by either way."""
+    from fieldmark.functions.columns import number_of
+
+    kinds = "a double, b long, c int, d float, e decimal(9, 2), f boolean, g string, `h.i` double"
+    rows = [(1.5, 2**53 + 1, -7, 0.1, 2, True, " 3 ", math.inf), (math.nan, None, 0, math.nan, None, False, "x", -0.0), (None, 5, None, None, 1, None, "NaN", 1e-320)]
+    df = spark.createDataFrame([(*r[:4], None if r[4] is None else Decimal(r[4]), *r[5:]) for r in rows], kinds)
+    by_text = df.select(*[number(F.col(f"`{c}`")).alias(c) for c in df.columns]).collect()
+    assert df.select(*[number_of(df, c).alias(c) for c in df.columns]).collect() == by_text
+    for c in ("a", "b", "c", "A"):
+        plan = df.select(*regress.design(df, [c]).values())._jdf.queryExecution().analyzed().toString()
+        assert "as string" not in plan
+
+
+def test_durbin_watson_ties_and_batches(spark):
+    rng = np.random.default_rng(8)
+    o, e = rng.integers(0, 40, 500), rng.normal(size=500)
+    at = np.lexsort((e, o))
+    want = (np.diff(e[at]) ** 2).sum() / (e**2).sum()
+    df = frame(spark, [(int(a), float(b)) for a, b in zip(o, e)], "o int, residual double", 7)
+    for batch in (10_000, 9):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert regress.durbin_watson(df, "o") == pytest.approx(want)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert math.isnan(regress.durbin_watson(df.limit(0), "o"))
+
+
+def test_sensitivity_takes_a_fit(spark):
+    """The fit of ``diagnostics`` serves, and products about a number near the means are the same."""
+    from fieldmark.operators.gram import gram
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(1e6, 1, 300)
+    rows = [(float(a), float(3 * a + b)) for a, b in zip(x, rng.standard_t(2, 300))] + [(None, 1.0), (1.0, None)]
+    df = frame(spark, rows, "x double, y double")
+    found = regress.diagnostics(df, "y", ["x"])
+    one, two = regress.sensitivity(df, "y", ["x"]), regress.sensitivity(df, "y", ["x"], full=found["fit"])
+    assert one["n_flagged"] == two["n_flagged"] == found["n_cook_flag"] > 0
+    assert one["without"]["r2"] == pytest.approx(two["without"]["r2"]) and one["turned"] == two["turned"]
+    cols = {"x": F.col("x"), "y": F.col("y")}
+    a, b = gram(df, cols), gram(df, cols, centre={"x": 1e6, "y": 3e6})
+    assert a.n == b.n == 300 and a.mean == pytest.approx(b.mean) and a.cross == pytest.approx(b.cross)
+    assert gram(df.limit(0), cols, centre={"x": 0, "y": 0}).n == 0
+
+
 def test_logistic_recovers(spark):
     rng = np.random.default_rng(2026)
     x = rng.normal(size=(600, 2))
