@@ -241,6 +241,26 @@ def test_mice_does_not_depend_on_layout(spark, parts):
     assert value == pytest.approx(test_mice_does_not_depend_on_layout.__dict__.setdefault("seen", value))
 
 
+def test_mice_by_patterns_and_by_rows(spark, monkeypatch):
+    """Cross products of each pattern of missing columns give what sweeps over the rows give, and write no table."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(1000, 1, (240, 3)) @ np.array([[1, 0.5, 0.2], [0, 1, 0.4], [0, 0, 1]])
+    gone = rng.random((240, 3)) < [0.3, 0.25, 0.2]
+    rows = [(i, *[None if m else float(v) for v, m in zip(r, g)], float(r.sum() + rng.normal()), i % 20 == 0) for i, (r, g) in enumerate(zip(x, gone))]
+    df = frame(spark, rows, "id long, a double, b double, c double, d double, out boolean")
+    written, seen = [], []
+    monkeypatch.setattr(impute, "written", lambda t: written.append(t) or t.localCheckpoint())
+    for most in (impute.MOST, 0):
+        monkeypatch.setattr(impute, "MOST", most)
+        got = impute.mice(df, "id", ["a", "b", "c", "d"], sets=2, sweeps=3, skip=F.col("out"))
+        seen.append(sorted(got.collect(), key=lambda r: (r["_set"], r["id"])))
+        assert bool(written) == (most == 0)
+    assert len(seen[0]) == 480 and gone[1:, :2].all(1).any()
+    for one, two in zip(*seen, strict=True):
+        assert tuple(one) == pytest.approx(tuple(two)) and one.asDict().keys() == two.asDict().keys()
+        assert (one["a"] is None) == bool(gone[one["id"], 0] and one["out"])
+
+
 def test_rubin():
     got = impute.rubin([1.0, 1.2, 0.8], [0.04, 0.05, 0.045])
     assert got["total"] > got["within"] and got["ci_low"] < 1 < got["ci_high"]
